@@ -44,7 +44,7 @@ STOP_WORDS = frozenset(
 LIMITS = {"symbols": (0.2, 0.02), "capitals": (0.6, 0.3), "repeats": (0.10, 0.02), "lines": (0.3, 0.0), "exclamations": (0.3, 0.05), "stop_words": (0.005, 0.05), "letters": (0.6, 0.75)}
 #: Estimates before any text is seen, and how many texts they count for.
 PRIOR_GOOD, PRIOR_ACCURACY, PRIOR_TEXTS = 0.8, 0.85, 20.0
-LEAST_ACCURACY, ROUNDS = 0.55, 200
+LEAST_ACCURACY, ROUNDS = 0.02, 200
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, license_scan, mixing, quality_rules, secret_scan
+from . import exact_dedup, license_scan, mixing, quality_classifier, quality_rules, secret_scan, toxicity, warc
 
-MODULES = (quality_rules, license_scan, mixing, secret_scan, exact_dedup)
+MODULES = (quality_rules, license_scan, toxicity, quality_classifier, mixing, secret_scan, exact_dedup, warc)
 
 
 def queries() -> dict:
