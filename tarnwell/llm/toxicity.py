@@ -7,8 +7,8 @@ only. Severity is the expectation of the grade, 0 to GRADES - 1.
 
 Fitted on at most SAMPLE labelled documents of each class (a documented bound);
 every document is scored whole. Labels that are only 0 or 1 are graded first: a
-toxic text's grade is its third, by the share of its words that strongly mark toxic
-texts. Only distinct texts count, so that copies of one text make no feature.
+toxic text's grade is its third, by how many of the features that strongly mark
+toxic texts it has. Only distinct texts count, so that copies of one text make no feature.
 
 Defined results: null and empty texts have grade 0 unless most texts are toxic;
 texts are read whole; equal texts get equal results; without labels of both kinds
@@ -31,10 +31,10 @@ from pyspark.sql import types as T
 from .common import read
 from .samples import labelled_sample
 
-SAMPLE, GRADES, PREFIXES = 4000, 4, (5, 7)
+SAMPLE, GRADES, PREFIXES = 4000, 4, (4, 5, 7)
 #: A feature is kept that LEAST_TEXTS sampled texts have and whose log odds lie Z standard errors from 0.
 LEAST_TEXTS, Z, STRONG_Z, MAX_FEATURES = 5, 4.0, 5.0, 5000
-RIDGE, ROUNDS, RATE = 1e-3, 600, 0.1
+RIDGE, ROUNDS, RATE = 1e-5, 600, 0.1
 _NO_LETTER = re.compile(r"[\W\d_]+")
 
 
@@ -57,13 +57,13 @@ class Model:
 
 
 def _graded(rows: list[tuple[Counter, int]], strong: set[str]) -> np.ndarray:
-    """Labels as grades; two-valued ones by thirds of the share of strong words."""
+    """Labels as grades; two-valued ones by thirds of the number of strong features."""
     labels = np.array([label for _, label in rows])
     if labels.max(initial=0) > 1:
         return np.minimum(labels, GRADES - 1)
-    share = np.array([sum(n for f, n in found.items() if f in strong) / max(1, sum(found.values())) for found, _ in rows])
-    cuts = np.quantile(share[labels == 1], [i / (GRADES - 1) for i in range(1, GRADES - 1)])
-    return np.where(labels == 1, 1 + np.searchsorted(cuts, share, side="right"), 0)
+    marks = np.array([len(strong & found.keys()) for found, _ in rows])
+    cuts = np.quantile(marks[labels == 1], [i / (GRADES - 1) for i in range(1, GRADES - 1)])
+    return np.where(labels == 1, 1 + np.searchsorted(cuts, marks, side="right"), 0)
 
 
 def fit(texts: list[tuple[str, int]], class_weight: dict[int, float]) -> Model:
