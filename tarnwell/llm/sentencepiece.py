@@ -13,8 +13,8 @@
    That is the model's definition, and results equal the public library's.
    Characters without a piece become their bytes.
 4. The FREQUENT commonest chunks (a fixed bound) are broadcast to all tasks. For
-   other chunks each block of documents asks for its own by a shuffle of (block,
-   chunk), and blocks meet their answers in a cogroup. No text takes part in a
+   other chunks each block of documents asks by a shuffle of (block, chunk), and
+   blocks meet their answers in a cogroup. No text takes part in a
    lattice more than once, and no group grows beyond BLOCK_BYTES and one document.
 
 Chunks of more than LONGEST characters (text without spaces) would make the fold
@@ -30,10 +30,12 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections import Counter
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,9 +44,12 @@ from pyspark.sql import types as T
 from .common import materialise, own, partitions, read, whole_text
 
 MARK = "▁"
-#: One pattern for Java and Python: spaces and what follows, a line feed, spaces at an end.
+#: Spaces and what follows, a line feed, spaces at an end.
 CHUNK = r" *[^ \n]+|\n| +"
-LONGEST, FREQUENT, BLOCK_BYTES, CHUNKS_PER_TASK = 48, 100_000, 8 << 20, 30_000
+LONGEST, FREQUENT, BLOCK_BYTES, CHUNKS_PER_TASK = 48, 100_000, 16 << 20, 30_000
+#: Distinct chunks after which a task hands on its counts.
+COUNTED_AT_ONCE = 500_000
+_FIND = re.compile(CHUNK).findall
 _FALLBACK = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
 BLOCK, ID, TEXT, ROW = own("block"), own("id"), own("text"), own("row")
 
@@ -83,24 +88,32 @@ def standard() -> Pieces:
     return load(public_tokenizers.path("piece_bpe_32k.model"))
 
 
-def chunks_of(text: Column) -> Column:
-    """The chunks of a text, spelled with spaces."""
-    marked = F.concat(F.lit(" "), F.translate(text, MARK, " "))
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.regexp_extract_all(marked, F.lit(CHUNK), F.lit(0)))
+#: The score or id of a span from x to y, null without an edge. Columns k, s and i hold the edges' keys, scores and ids.
+_AT = "get({of}, int(array_position(k, 64 * {x} + {y} - {x})) - 1)"
 
 
 def _bpe_bounds() -> Column:
-    """Fold of the merges: the bounds of the final spans. Columns n and scores, a map from 64 * start + length."""
-    score = "transform(s.b, (x, k) -> if(k = 0 or k = size(s.b) - 1, null, scores[64 * s.b[k - 1] + s.b[k + 1] - s.b[k - 1]]))"
-    # The inner aggregate names the scores once: folds have no let.
-    step = f"aggregate(array({score}), s, (q, c) -> if(array_max(c) is null, named_struct('b', q.b, 'more', false), named_struct('b', concat(slice(q.b, 1, int(array_position(c, array_max(c))) - 1), slice(q.b, int(array_position(c, array_max(c))) + 1, size(q.b))), 'more', size(q.b) > 3)))"
-    return F.expr(f"aggregate(sequence(1, n), named_struct('b', sequence(0, n), 'more', n > 1), (s, i) -> if(s.more, {step}, s), s -> s.b)")
+    """Fold of the merges: the bounds b of the final spans. Columns n, k, s.
+
+    Beside the bounds the state holds what a merge across each would score, so a step
+    looks up the two that change. Folds have no let; an inner fold over one value names it.
+    """
+    at = lambda x, y: _AT.format(of="s", x=f"get(q.b, p {x})", y=f"get(q.b, p {y})")
+    merged = f"""named_struct(
+        'b', concat(slice(q.b, 1, p - 1), slice(q.b, p + 1, size(q.b))),
+        'c', concat(slice(q.c, 1, greatest(p - 2, 0)), array({at("- 3", "")}, {at("- 2", "+ 1")}), slice(q.c, p + 2, size(q.c))),
+        'more', true)"""
+    step = f"aggregate(array(int(coalesce(array_position(t.c, array_max(t.c)), 0))), t, (q, p) -> if(p = 0, named_struct('b', q.b, 'c', q.c, 'more', false), {merged}))"
+    start = _AT.format(of="s", x="(j - 1)", y="(j + 1)")
+    first = f"named_struct('b', sequence(0, n), 'c', transform(sequence(0, n), j -> if(j = 0 or j = n, null, {start})), 'more', true)"
+    return F.expr(f"aggregate(sequence(1, n), {first}, (t, i) -> if(t.more, {step}, t), t -> t.b)")
 
 
 def _viterbi_bounds(unknown_score: float) -> Column:
     """Fold of the best paths by end; then the best path backwards."""
-    offers = f"""transform(filter(sequence(greatest(0, i - longest), i - 1), j -> scores[64 * j + i - j] is not null or j = i - 1),
-        j -> named_struct('total', t[j].total + coalesce(scores[64 * j + i - j], {unknown_score}D), 'from', j))"""
+    score = _AT.format(of="s", x="j", y="i")
+    offers = f"""transform(filter(sequence(greatest(0, i - longest), i - 1), j -> {score} is not null or j = i - 1),
+        j -> named_struct('total', t[j].total + coalesce({score}, {unknown_score}D), 'from', j))"""
     best = f"aggregate(sequence(1, n), array(named_struct('total', 0D, 'from', 0)), (t, i) -> concat(t, array(array_max({offers}))))"
     return F.expr(f"aggregate(array({best}), array(n), (z, t) -> aggregate(sequence(1, n), array(n), (b, i) -> if(b[0] = 0, b, concat(array(t[b[0]].from), b))))")
 
@@ -129,16 +142,16 @@ def folded(edges: DataFrame, chunks: DataFrame, pieces: Pieces) -> DataFrame:
     key = 64 * F.col("start") + F.col("length")
     grouped = edges.groupBy("chunk").agg(F.collect_list(F.struct(key.alias("k"), F.col("score").alias("s"), F.col("id").alias("i"))).alias("e"))
     grouped = chunks.join(grouped, "chunk", "left").withColumn("e", F.coalesce("e", F.expr("cast(array() as array<struct<k:int,s:double,i:int>>)")))
-    grouped = grouped.select("chunk", F.length("chunk").alias("n"), F.lit(pieces.longest).alias("longest"), F.map_from_arrays("e.k", "e.s").alias("scores"), F.map_from_arrays("e.k", "e.i").alias("known"))
-    # The second projection must not be merged into the first, or the maps are built anew for each look-up.
+    grouped = grouped.select("chunk", F.length("chunk").alias("n"), F.lit(pieces.longest).alias("longest"), F.col("e.k").alias("k"), F.col("e.s").alias("s"), F.col("e.i").alias("i"))
     bounds = _bpe_bounds() if pieces.kind == "bpe" else _viterbi_bounds(min(s for _, _, s in pieces.rows) - 10.0)
     cut = grouped.withColumn("b", bounds)
     if pieces.first_byte is None:
         unknown = f"array({pieces.unknown})"
     else:
-        char = "substring(chunk, b[k] + 1, 1)"
+        char = "substring(chunk, x + 1, 1)"
         unknown = f"transform(sequence(1, octet_length({char})), o -> {pieces.first_byte} + int(conv(substring(hex({char}), 2 * o - 1, 2), 16, 10)))"
-    ids = f"flatten(transform(sequence(0, size(b) - 2), k -> if(known[64 * b[k] + b[k + 1] - b[k]] is not null, array(known[64 * b[k] + b[k + 1] - b[k]]), {unknown})))"
+    found = _AT.format(of="i", x="x", y="get(b, y + 1)")
+    ids = f"flatten(transform(slice(b, 1, size(b) - 1), (x, y) -> if({found} is null, {unknown}, array({found}))))"
     return cut.select("chunk", F.expr(ids).alias("ids"))
 
 
@@ -180,11 +193,32 @@ def best_path(chunk: str, table: dict[str, tuple[int, float]], pieces: Pieces) -
     return [i for ids in reversed(out) for i in ids]
 
 
+def chunks_in(text: str) -> list[str]:
+    """The chunks of a text, spelled with spaces."""
+    return _FIND(" " + text.replace(MARK, " ")) if text else []
+
+
+def _counts(held: Counter) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], names=["chunk", "n"])
+
+
 def dictionary(texts: DataFrame, pieces: Pieces) -> tuple[DataFrame, dict[str, list[int]]]:
     """(chunk, ids) of all chunks of the column TEXT but the long ones, written; and the FREQUENT commonest."""
     spark = texts.sparkSession
-    words = texts.select(F.explode(chunks_of(F.col(TEXT))).alias("chunk")).where(F.length("chunk") <= LONGEST)
-    counted = materialise(words.groupBy("chunk").agg(F.count(F.lit(1)).alias("n")), "chunks")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter[str] = Counter()
+        for batch in batches:
+            for value in batch.column(0):
+                held.update(chunks_in(value.as_py()))
+            if len(held) > COUNTED_AT_ONCE:
+                yield _counts(held)
+                held.clear()
+        if held:
+            yield _counts(held)
+
+    words = texts.select(TEXT).mapInArrow(count, "chunk string, n long").where(F.length("chunk") <= LONGEST)
+    counted = materialise(words.groupBy("chunk").agg(F.sum("n").alias("n")), "chunks")
     parts = max(partitions(spark), counted.count() // CHUNKS_PER_TASK + 1)
     distinct = counted.select("chunk").repartition(parts, "chunk")
     with _setting(spark, _FALLBACK, str(4 * CHUNKS_PER_TASK)):
@@ -194,19 +228,15 @@ def dictionary(texts: DataFrame, pieces: Pieces) -> tuple[DataFrame, dict[str, l
     return ids, {c: list(map(int, i)) for c, i in zip(found["chunk"], found["ids"], strict=True)}
 
 
+def decoded_bytes(ids: list[int], pieces: Pieces) -> bytes:
+    """UTF-8 of the pieces of a list of ids, the leading space included."""
+    first = pieces.first_byte
+    return b"".join(bytes([i - first]) if first is not None and first <= i < first + 256 else pieces.names[i].replace(MARK, " ").encode() for i in ids)
+
+
 def decode_ids(ids: list[int], pieces: Pieces) -> str:
     """The text of a list of ids."""
-    out, held = [], bytearray()
-    for i in ids:
-        if pieces.first_byte is not None and pieces.first_byte <= i < pieces.first_byte + 256:
-            held.append(i - pieces.first_byte)
-            continue
-        if held:
-            out.append(held.decode("utf-8", "replace"))
-            held.clear()
-        out.append(pieces.names[i].replace(MARK, " "))
-    out.append(held.decode("utf-8", "replace"))
-    text = "".join(out)
+    text = decoded_bytes(ids, pieces).decode("utf-8", "replace")
     return text[1:] if text[:1] == " " else text
 
 
@@ -218,33 +248,50 @@ def encoded(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: s
     size = plain.agg(F.sum(F.octet_length(TEXT))).first()[0] or 0
     blocks = max(partitions(spark), size // BLOCK_BYTES + 1)
     blocked = plain.withColumn(BLOCK, F.pmod(F.xxhash64(ID, TEXT), F.lit(blocks)))
-    usual = F.broadcast(spark.createDataFrame([(c,) for c in frequent], "usual string"))
-    rare = blocked.select(F.col(BLOCK).alias(own("asks")), F.explode(chunks_of(F.col(TEXT))).alias("chunk")).where(F.length("chunk") <= LONGEST)
-    rare = rare.join(usual, F.col("chunk") == F.col("usual"), "left_anti").distinct()
-    answers = rare.join(ids, "chunk").select(own("asks"), "chunk", "ids")
+    commonest = spark.sparkContext.broadcast(frozenset(frequent))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        usual = commonest.value
+        for batch in batches:
+            wanted: dict[int, set[str]] = {}
+            for block, value in zip(batch.column(0), batch.column(1), strict=True):
+                wanted.setdefault(block.as_py(), set()).update(chunks_in(value.as_py()))
+            for block, chunks in wanted.items():
+                rare = chunks - usual
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(rare), pa.int64()), pa.array(rare, pa.string())], names=["asks", "chunk"])
+
+    rare = blocked.select(BLOCK, TEXT).mapInArrow(ask, "asks long, chunk string").where(F.length("chunk") <= LONGEST).distinct()
+    answers = rare.join(ids, "chunk").select("asks", "chunk", "ids")
     shared = spark.sparkContext.broadcast((frequent, {p.replace(MARK, " "): (i, s) for p, i, s in pieces.rows}, pieces))
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType()), T.StructField("round_trip", T.BooleanType())])
-    find = re.compile(CHUNK).findall
 
     def assemble(texts: pa.Table, found: pa.Table) -> pa.Table:
         usual, table, model = shared.value
         long_chunk = merged if model.kind == "bpe" else best_path
-        own_ids = dict(zip(found.column("chunk").to_pylist(), found.column("ids").to_pylist(), strict=True))
-        out = []
+        answers = dict(zip(found.column("chunk").to_pylist(), found.column("ids").to_pylist(), strict=True))
+        known: dict[str, tuple[np.ndarray, bytes]] = {}
+
+        def look_up(chunk: str) -> tuple[np.ndarray, bytes]:
+            got = usual.get(chunk) or answers.get(chunk)
+            if got is None:
+                if len(chunk) <= LONGEST:
+                    raise LookupError(f"chunk {chunk!r} has no answer")
+                got = long_chunk(chunk, table, model)
+            known[chunk] = out = (np.array(got, np.int32), decoded_bytes(got, model))
+            return out
+
+        every, ends, same = [], [0], []
         for value in texts.column(TEXT):
             text = value.as_py()
-            encoded: list[int] = []
-            for chunk in find(" " + text.replace(MARK, " ")) if text else ():
-                got = usual.get(chunk) or own_ids.get(chunk)
-                if got is None:
-                    if len(chunk) <= LONGEST:
-                        raise LookupError(f"chunk {chunk!r} has no answer")
-                    got = long_chunk(chunk, table, model)
-                encoded += got
-            out.append((encoded, len(encoded), decode_ids(encoded, model) == text))
-        return pa.table([texts.column(ID), pa.array([o[0] for o in out], pa.list_(pa.int32())), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.bool_())], names=schema.names)
-
-    return blocked.groupBy(BLOCK).cogroup(answers.groupBy(own("asks"))).applyInArrow(assemble, schema)
+            parts = [known.get(c) or look_up(c) for c in chunks_in(text)]
+            every += (p[0] for p in parts)
+            ends.append(ends[-1] + sum(len(p[0]) for p in parts))
+            same.append(b"".join([p[1] for p in parts]) == (b" " + text.encode() if text else b""))
+        values = np.concatenate(every) if every else np.zeros(0, np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
+        return pa.table([texts.column(ID).combine_chunks(), lists, pa.array(np.diff(ends), pa.int64()), pa.array(same, pa.bool_())], names=schema.names)
+
+    return blocked.groupBy(BLOCK).cogroup(answers.groupBy("asks")).applyInArrow(assemble, schema)
 
 
 def decoded(rows: DataFrame, pieces: Pieces, id_col: str = "doc_id") -> DataFrame:
