@@ -46,7 +46,7 @@ from .common import materialise, own, partitions, read, whole_text
 MARK = "▁"
 #: Spaces and what follows, a line feed, spaces at an end.
 CHUNK = r" *[^ \n]+|\n| +"
-LONGEST, FREQUENT, BLOCK_BYTES, CHUNKS_PER_TASK = 48, 100_000, 16 << 20, 30_000
+LONGEST, FREQUENT, BLOCK_BYTES, CHUNKS_PER_TASK = 48, 100_000, 4 << 20, 30_000
 #: Distinct chunks after which a task hands on its counts.
 COUNTED_AT_ONCE = 500_000
 _FIND = re.compile(CHUNK).findall
