@@ -12,6 +12,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,6 +57,11 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return f"{scratch_dir(spark).rstrip('/')}/tarnwell/{what}-{uuid.uuid4().hex}"
 
 
+def store(folder: str) -> tuple[pa.fs.FileSystem, str]:
+    """The file system of a folder by its URI, and the folder's path there; for Python code in tasks."""
+    return pa.fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else "file://" + folder)
+
+
 def materialise(df: DataFrame, what: str) -> DataFrame:
     """Write a (narrow) table to the shared folder and read it again.
 

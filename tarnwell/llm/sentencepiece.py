@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding (operator 7) on a relational lattice.
 
 1. Texts, with their leading space, are cut into chunks at which no piece can cross:
-   spaces with what follows them, and line feeds.
+   before spaces and line feeds, and before signs that no piece of the table has after
+   the word's last character.
 2. Each distinct chunk is exploded into its substrings of at most the longest
    piece's length, which are equi-joined to the piece table (its size is bounded by
    the vocabulary, so it is broadcast). The matches are the lattice's edges.
@@ -12,10 +13,11 @@
    edge covers, the one of best score, the first of equal ones, until none is left.
    That is the model's definition, and results equal the public library's.
    Characters without a piece become their bytes.
-4. The FREQUENT commonest chunks (a fixed bound) are broadcast to all tasks. For
-   other chunks each block of documents asks by a shuffle of (block, chunk), and
-   blocks meet their answers in a cogroup. No text takes part in a
-   lattice more than once, and no group grows beyond BLOCK_BYTES and one document.
+4. Texts never move. A block is a file's split, as the scan reads it (other input than
+   a scan is written first). A first pass over the texts gives each block's distinct
+   chunks; joined to their ids they are written by block to the shared folder, and a
+   second pass over the same splits looks each block's dictionary up there. A
+   dictionary is bounded by its split, and a lost task reads it again.
 
 Chunks of more than LONGEST characters (text without spaces) would make the fold
 quadratic; the same merges are done for them with a heap, in Python, in place.
@@ -30,28 +32,27 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, own, partitions, read, whole_text
+from .common import materialise, new_folder, own, partitions, read, store, whole_text
 
 MARK = "▁"
-#: Spaces and what follows, a line feed, spaces at an end.
-CHUNK = r" *[^ \n]+|\n| +"
-LONGEST, FREQUENT, BLOCK_BYTES, CHUNKS_PER_TASK = 48, 100_000, 4 << 20, 30_000
-#: Distinct chunks after which a task hands on its counts.
-COUNTED_AT_ONCE = 500_000
-_FIND = re.compile(CHUNK).findall
+#: Spaces and a word with what its last character can join, spaces and what follows, a line feed, spaces at an end.
+CHUNK = r" *(?:\w+(?:(?:{joined})[^ \n]*)?|[^\w \n][^ \n]*)|\n| +"
+LONGEST, CHUNKS_PER_TASK = 48, 30_000
+#: Distinct chunks after which a task hands on what it holds, answers a task of the join by block should have, and pieces of one batch of results.
+GATHERED_AT_ONCE, ANSWERS_PER_TASK, PIECES_AT_ONCE = 500_000, 1_000_000, 500_000
 _FALLBACK = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
-BLOCK, ID, TEXT, ROW = own("block"), own("id"), own("text"), own("row")
+BLOCK, ID, TEXT = own("block"), own("id"), own("text")
 
 
 @dataclass(frozen=True)
@@ -68,6 +69,20 @@ class Pieces:
     def longest(self) -> int:
         return max(len(p) for p, _, _ in self.rows)
 
+    @property
+    def chunk(self) -> str:
+        """The regular expression of chunks: a sign stays with a word only if some piece has it after the word's last character."""
+        before: dict[str, set[str]] = {}
+        for piece, _, _ in self.rows:
+            for x, y in zip(piece, piece[1:], strict=False):
+                if re.match(r"\w", x) and not re.match(r"\w", y):
+                    before.setdefault(y, set()).add(x)
+        alike: dict[str, str] = {}
+        for y, x in sorted(before.items()):
+            of = re.escape("".join(sorted(x)))
+            alike[of] = alike.get(of, "") + re.escape(y)
+        return CHUNK.format(joined="|".join(f"[{y}](?<=[{x}][{y}])" for x, y in alike.items()) or "(?!)")
+
 
 def load(path: str, kind: str = "bpe") -> Pieces:
     """A public model file. kind: bpe or unigram."""
@@ -129,19 +144,19 @@ def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
 
 
 def lattice(chunks: DataFrame, pieces: Pieces) -> DataFrame:
-    """chunks: distinct, column chunk, of LONGEST characters at most. All edges (chunk, start, length, id, score)."""
+    """chunks: distinct, column chunk, of LONGEST characters at most. All edges (chunk, start, length, id, score), and single characters that have no piece (id null)."""
     table = chunks.sparkSession.createDataFrame([(p.replace(MARK, " "), i, s) for p, i, s in pieces.rows], "piece string, id int, score double")
     starts = chunks.select("chunk", F.length("chunk").alias("n")).select("chunk", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("start"))
     ends = starts.select("chunk", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.col("n") - F.col("start")))).alias("length"))
     spans = ends.select("chunk", "start", "length", F.expr("substring(chunk, start + 1, length)").alias("piece"))
-    return spans.join(F.broadcast(table), "piece").select("chunk", "start", "length", "id", "score")
+    return spans.join(F.broadcast(table), "piece", "left").where("id is not null or length = 1").select("chunk", "start", "length", "id", "score")
 
 
-def folded(edges: DataFrame, chunks: DataFrame, pieces: Pieces) -> DataFrame:
-    """(chunk, ids) for each chunk."""
+def folded(edges: DataFrame, pieces: Pieces) -> DataFrame:
+    """(chunk, ids) for each chunk of a lattice."""
     key = 64 * F.col("start") + F.col("length")
-    grouped = edges.groupBy("chunk").agg(F.collect_list(F.struct(key.alias("k"), F.col("score").alias("s"), F.col("id").alias("i"))).alias("e"))
-    grouped = chunks.join(grouped, "chunk", "left").withColumn("e", F.coalesce("e", F.expr("cast(array() as array<struct<k:int,s:double,i:int>>)")))
+    edge = F.when(F.col("id").isNotNull(), F.struct(key.alias("k"), F.col("score").alias("s"), F.col("id").alias("i")))
+    grouped = edges.groupBy("chunk").agg(F.collect_list(edge).alias("e"))
     grouped = grouped.select("chunk", F.length("chunk").alias("n"), F.lit(pieces.longest).alias("longest"), F.col("e.k").alias("k"), F.col("e.s").alias("s"), F.col("e.i").alias("i"))
     bounds = _bpe_bounds() if pieces.kind == "bpe" else _viterbi_bounds(min(s for _, _, s in pieces.rows) - 10.0)
     cut = grouped.withColumn("b", bounds)
@@ -193,39 +208,123 @@ def best_path(chunk: str, table: dict[str, tuple[int, float]], pieces: Pieces) -
     return [i for ids in reversed(out) for i in ids]
 
 
-def chunks_in(text: str) -> list[str]:
-    """The chunks of a text, spelled with spaces."""
-    return _FIND(" " + text.replace(MARK, " ")) if text else []
+def chunker(pieces: Pieces) -> Callable[[str], list[str]]:
+    """A function that gives the chunks of a text, spelled with spaces."""
+    find = re.compile(pieces.chunk).findall
+    return lambda text: find(" " + text.replace(MARK, " ")) if text else []
+
 
+def _is_scan(docs: DataFrame) -> bool:
+    """Whether rows come straight from a scan of files, so that a task's rows are its splits'."""
+    node = docs._jdf.queryExecution().analyzed()
+    while node.children().size() == 1 and node.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().head()
+    return node.getClass().getSimpleName() == "LogicalRelation"
 
-def _counts(held: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], names=["chunk", "n"])
 
+def located(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """ID, TEXT and BLOCK, a number of the split that each row is in."""
+    if not _is_scan(docs):
+        docs, id_col, text_col = materialise(docs.select(F.col(id_col).alias(ID), whole_text(text_col).alias(TEXT)), "texts"), ID, TEXT
+    at = docs.metadataColumn("_metadata")
+    return docs.select(F.col(id_col).alias(ID), whole_text(text_col).alias(TEXT), F.xxhash64(at["file_path"], at["file_block_start"]).alias(BLOCK))
 
-def dictionary(texts: DataFrame, pieces: Pieces) -> tuple[DataFrame, dict[str, list[int]]]:
-    """(chunk, ids) of all chunks of the column TEXT but the long ones, written; and the FREQUENT commonest."""
+
+def dictionaries(texts: DataFrame, pieces: Pieces) -> str:
+    """A shared folder with (chunk, ids, same) of all chunks of each BLOCK but the long ones; same: whether the ids decode to the chunk."""
     spark = texts.sparkSession
+    shared = spark.sparkContext.broadcast(pieces)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks_in = chunker(shared.value)
+        held: dict[int, set[str]] = {}
+
+        def handed() -> Iterator[pa.RecordBatch]:
+            for block, chunks in held.items():
+                asked = pa.array([c for c in chunks if len(c) <= LONGEST], pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(asked), block, np.int64)), asked], names=["block", "chunk"])
+            held.clear()
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[str] = Counter()
         for batch in batches:
-            for value in batch.column(0):
-                held.update(chunks_in(value.as_py()))
-            if len(held) > COUNTED_AT_ONCE:
-                yield _counts(held)
-                held.clear()
-        if held:
-            yield _counts(held)
-
-    words = texts.select(TEXT).mapInArrow(count, "chunk string, n long").where(F.length("chunk") <= LONGEST)
-    counted = materialise(words.groupBy("chunk").agg(F.sum("n").alias("n")), "chunks")
-    parts = max(partitions(spark), counted.count() // CHUNKS_PER_TASK + 1)
-    distinct = counted.select("chunk").repartition(parts, "chunk")
+            for block, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                of = held.setdefault(block, set())
+                of.update(chunks_in(value.as_py()))
+                if len(of) > GATHERED_AT_ONCE:
+                    yield from handed()
+        yield from handed()
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same = [decoded_bytes(i, shared.value) == c.encode() for c, i in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same, pa.bool_())], names=["chunk", "ids", "same"])
+
+    asked = materialise(texts.select(BLOCK, TEXT).mapInArrow(gather, "block long, chunk string"), "chunks")
+    distinct = materialise(asked.select("chunk").distinct(), "distinct")
+    parts = max(partitions(spark), distinct.count() // CHUNKS_PER_TASK + 1)
     with _setting(spark, _FALLBACK, str(4 * CHUNKS_PER_TASK)):
-        ids = materialise(folded(lattice(distinct, pieces), distinct, pieces), "lattice")
-    commonest = counted.orderBy(F.desc("n"), "chunk").limit(FREQUENT).select("chunk")
-    found = ids.join(F.broadcast(commonest), "chunk").toPandas()
-    return ids, {c: list(map(int, i)) for c, i in zip(found["chunk"], found["ids"], strict=True)}
+        found = folded(lattice(distinct.repartition(parts, "chunk"), pieces), pieces)
+        ids = materialise(found.mapInArrow(check, "chunk string, ids array<int>, same boolean"), "lattice")
+    folder = new_folder(spark, "dictionaries")
+    parts = max(partitions(spark), asked.count() // ANSWERS_PER_TASK + 1)
+    asked.join(ids, "chunk").repartition(parts, "block").write.partitionBy("block").parquet(folder)
+    return folder
+
+
+class Dictionary:
+    """The chunks of one block; longer ones are added as they come."""
+
+    def __init__(self, folder: str, block: int, pieces: Pieces) -> None:
+        fs, path = store(f"{folder}/block={block}")
+        # A block of long chunks only has no folder.
+        files = [f.path for f in fs.get_file_info(pa.fs.FileSelector(path, allow_not_found=True)) if f.base_name.endswith(".parquet")]
+        tables = [pq.read_table(fs.open_input_file(f), columns=["chunk", "ids", "same"]) for f in files]
+        self.pieces, self.table = pieces, {p.replace(MARK, " "): (i, s) for p, i, s in pieces.rows}
+        self.place: dict[str, int] = {}
+        values, lengths, same = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+        for chunk in (c for t in tables for c in t.column("chunk").chunks):
+            for c in chunk.to_pylist():
+                self.place[c] = len(self.place)
+        if len(self.place) < sum(t.num_rows for t in tables):
+            # Handed on twice by a task: keep the first of each.
+            whole = pa.concat_tables(tables).combine_chunks()
+            first = {c: i for i, c in reversed(list(enumerate(whole.column("chunk").to_pylist())))}
+            tables = [whole.take(pa.array(sorted(first.values())))]
+            self.place = {c: i for i, c in enumerate(tables[0].column("chunk").to_pylist())}
+        for ids in (c for t in tables for c in t.column("ids").chunks):
+            values.append(ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32, copy=False))
+            lengths.append(np.diff(ids.offsets.to_numpy()).astype(np.int64))
+        same += [t.column("same").to_numpy() for t in tables]
+        self.values, self.lengths, self.same = np.concatenate(values), np.concatenate(lengths), np.concatenate(same)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.added: list[list[int]] = []
+
+    def places(self, chunks: list[str]) -> list[int]:
+        try:
+            return [self.place[c] for c in chunks]
+        except KeyError:
+            for c in chunks:
+                if c not in self.place:
+                    self._add(c)
+            return [self.place[c] for c in chunks]
+
+    def _add(self, chunk: str) -> None:
+        if len(chunk) <= LONGEST:
+            raise LookupError(f"chunk {chunk!r} has no answer")
+        self.added.append((merged if self.pieces.kind == "bpe" else best_path)(chunk, self.table, self.pieces))
+        self.place[chunk] = len(self.lengths) + len(self.added) - 1
+
+    def ids(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids of the chunks, how many each has, and whether it decodes to itself."""
+        if self.added:
+            lengths = np.array([len(i) for i in self.added], np.int64)
+            same = [decoded_bytes(i, self.pieces) == c.encode() for c, i in zip(list(self.place)[-len(self.added) :], self.added, strict=True)]
+            self.starts = np.r_[self.starts, len(self.values) + np.cumsum(lengths) - lengths]
+            self.values = np.concatenate([self.values, *(np.array(i, np.int32) for i in self.added)])
+            self.lengths, self.same, self.added = np.r_[self.lengths, lengths], np.r_[self.same, np.array(same, bool)], []
+        n = self.lengths[places]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.values[np.repeat(self.starts[places] - (ends - n), n) + np.arange(total)], n, self.same[places]
 
 
 def decoded_bytes(ids: list[int], pieces: Pieces) -> bytes:
@@ -243,55 +342,41 @@ def decode_ids(ids: list[int], pieces: Pieces) -> str:
 def encoded(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: its id, ids, n_pieces and round_trip (whether the ids decode to the text)."""
     spark = docs.sparkSession
-    plain = docs.select(F.col(id_col).alias(ID), whole_text(text_col).alias(TEXT))
-    ids, frequent = dictionary(plain, pieces)
-    size = plain.agg(F.sum(F.octet_length(TEXT))).first()[0] or 0
-    blocks = max(partitions(spark), size // BLOCK_BYTES + 1)
-    blocked = plain.withColumn(BLOCK, F.pmod(F.xxhash64(ID, TEXT), F.lit(blocks)))
-    commonest = spark.sparkContext.broadcast(frozenset(frequent))
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        usual = commonest.value
-        for batch in batches:
-            wanted: dict[int, set[str]] = {}
-            for block, value in zip(batch.column(0), batch.column(1), strict=True):
-                wanted.setdefault(block.as_py(), set()).update(chunks_in(value.as_py()))
-            for block, chunks in wanted.items():
-                rare = chunks - usual
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(rare), pa.int64()), pa.array(rare, pa.string())], names=["asks", "chunk"])
-
-    rare = blocked.select(BLOCK, TEXT).mapInArrow(ask, "asks long, chunk string").where(F.length("chunk") <= LONGEST).distinct()
-    answers = rare.join(ids, "chunk").select("asks", "chunk", "ids")
-    shared = spark.sparkContext.broadcast((frequent, {p.replace(MARK, " "): (i, s) for p, i, s in pieces.rows}, pieces))
+    texts = located(docs, id_col, text_col)
+    folder = dictionaries(texts, pieces)
+    shared = spark.sparkContext.broadcast(pieces)
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType()), T.StructField("round_trip", T.BooleanType())])
 
-    def assemble(texts: pa.Table, found: pa.Table) -> pa.Table:
-        usual, table, model = shared.value
-        long_chunk = merged if model.kind == "bpe" else best_path
-        answers = dict(zip(found.column("chunk").to_pylist(), found.column("ids").to_pylist(), strict=True))
-        known: dict[str, tuple[np.ndarray, bytes]] = {}
-
-        def look_up(chunk: str) -> tuple[np.ndarray, bytes]:
-            got = usual.get(chunk) or answers.get(chunk)
-            if got is None:
-                if len(chunk) <= LONGEST:
-                    raise LookupError(f"chunk {chunk!r} has no answer")
-                got = long_chunk(chunk, table, model)
-            known[chunk] = out = (np.array(got, np.int32), decoded_bytes(got, model))
-            return out
-
-        every, ends, same = [], [0], []
-        for value in texts.column(TEXT):
-            text = value.as_py()
-            parts = [known.get(c) or look_up(c) for c in chunks_in(text)]
-            every += (p[0] for p in parts)
-            ends.append(ends[-1] + sum(len(p[0]) for p in parts))
-            same.append(b"".join([p[1] for p in parts]) == (b" " + text.encode() if text else b""))
-        values = np.concatenate(every) if every else np.zeros(0, np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
-        return pa.table([texts.column(ID).combine_chunks(), lists, pa.array(np.diff(ends), pa.int64()), pa.array(same, pa.bool_())], names=schema.names)
-
-    return blocked.groupBy(BLOCK).cogroup(answers.groupBy("asks")).applyInArrow(assemble, schema)
+    def encode(ids: pa.Array, values: list[str], places: list[list[int]], known: Dictionary) -> pa.RecordBatch:
+        flat = np.fromiter((p for of in places for p in of), np.int64)
+        found, n, same = known.ids(flat)
+        ends = np.cumsum([0, *(len(of) for of in places)])
+        cut = np.r_[0, np.cumsum(n)][ends]
+        wrong = np.diff(np.r_[0, np.cumsum(~same)][ends])
+        # Chunks that decode to themselves make up the text unless it has the mark itself; other texts are decoded.
+        trip = [MARK not in t if not w else decode_ids(found[i:j].tolist(), known.pieces) == t for t, w, i, j in zip(values, wrong, cut[:-1], cut[1:], strict=True)]
+        lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(found))
+        return pa.RecordBatch.from_arrays([ids, lists, pa.array(np.diff(cut), pa.int64()), pa.array(trip, pa.bool_())], names=schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks_in = chunker(shared.value)
+        block = known = None
+        for batch in batches:
+            start, values, places, held = 0, [], [], 0
+            for at, (of, value) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2), strict=True)):
+                if values and (of != block or held > PIECES_AT_ONCE):
+                    yield encode(batch.column(0)[start:at], values, places, known)
+                    start, values, places, held = at, [], [], 0
+                if of != block or known is None:
+                    known = None
+                    block, known = of, Dictionary(folder, of, shared.value)
+                values.append(value.as_py())
+                places.append(known.places(chunks_in(values[-1])))
+                held += len(places[-1])
+            if values:
+                yield encode(batch.column(0)[start:], values, places, known)
+
+    return texts.select(ID, BLOCK, TEXT).mapInArrow(run, schema)
 
 
 def decoded(rows: DataFrame, pieces: Pieces, id_col: str = "doc_id") -> DataFrame:

@@ -35,7 +35,7 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, new_folder, own, partitions, read
+from .common import materialise, new_folder, own, partitions, read, store
 
 #: Uncompressed bytes after which a task begins another archive; entries of an index block.
 ARCHIVE_BYTES, BLOCK_ENTRIES, GZIP_LEVEL = 64 << 20, 1000, 1
@@ -61,10 +61,6 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _store(folder: str) -> tuple[pa.fs.FileSystem, str]:
-    return pa.fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else "file://" + folder)
-
-
 def _gzip(data: bytes) -> bytes:
     packer = zlib.compressobj(GZIP_LEVEL, zlib.DEFLATED, 31)
     return packer.compress(data) + packer.flush()
@@ -103,7 +99,7 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
     """records: ID (string), URL, BODY (binary) and KEEP (the id that a revisit refers to). The entries written, as WRITTEN."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, path = _store(folder)
+        fs, path = store(folder)
         fs.create_dir(path, recursive=True)
         out, name, at, full = None, "", 0, 0
         for batch in batches:
@@ -133,7 +129,7 @@ def write_index(entries: DataFrame, folder: str) -> DataFrame:
     ordered = entries.repartitionByRange(partitions(spark), "surt", "archive", "offset").sortWithinPartitions("surt", "archive", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, path = _store(folder)
+        fs, path = store(folder)
         fs.create_dir(path, recursive=True)
         name, at, held, rows = f"{uuid.uuid4().hex}.idx.gz", 0, [], []
         out = None
@@ -163,7 +159,7 @@ def write_index(entries: DataFrame, folder: str) -> DataFrame:
 
 
 def read_range(folder: str, name: str, offset: int, length: int) -> bytes:
-    fs, path = _store(folder)
+    fs, path = store(folder)
     with fs.open_input_file(f"{path}/{name}") as file:
         file.seek(offset)
         return file.read(length)
@@ -190,7 +186,7 @@ def read_records(entries: DataFrame, folder: str) -> DataFrame:
     schema = "page_id string, url string, record_type string, payload_bytes long, payload_digest string, refers_to string, payload binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, path = _store(folder)
+        fs, path = store(folder)
         name, file = None, None
         for batch in batches:
             for start in range(0, batch.num_rows, 256):

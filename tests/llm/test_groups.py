@@ -159,7 +159,7 @@ def test_viterbi_fold_equals_all_paths(spark):
         return max((table[text[:k]][1] if text[:k] in table else low) + best(text[k:]) for k in range(1, len(text) + 1) if text[:k] in table or k == 1)
 
     frame = spark.createDataFrame([(c,) for c in sorted(set(chunks))], "chunk string")
-    for r in sentencepiece.folded(sentencepiece.lattice(frame, pieces), frame, pieces).collect():
+    for r in sentencepiece.folded(sentencepiece.lattice(frame, pieces), pieces).collect():
         scores = {i: s for i, s in table.values()} | {0: low}
         assert sum(scores[i] for i in r["ids"]) == pytest.approx(best(r["chunk"]))
         assert sum(scores[i] for i in sentencepiece.best_path(r["chunk"], table, pieces)) == pytest.approx(best(r["chunk"]))
