@@ -12,9 +12,9 @@ c is a longest common subsequence, aligned within the band that a link can leave
 No bucket's pairs are listed. At first each text of a bucket meets the bucket's first,
 the text that shares most buckets with most texts. Then texts that share a bucket but
 no component meet within a window that slides over the bucket: in the first rounds
-over orders by other sketches, then over seeded ones, with a window 16 times as wide each
-time, until a round finds no link or no bucket is wider than the windows it had. A
-window as wide as its bucket leaves no pair out. Before texts are moved, a pair's
+over orders by other sketches, then over a seeded one with a window 16 times as wide. A
+window as wide as its bucket leaves no pair out; wider buckets are then cut into parts,
+and each part meets itself and each other part. Before texts are moved, a pair's
 signatures (the least item of each of BINS ranges of hashes, 1 byte each, and the number
 of items) must allow 0.8 within SIGMAS standard deviations. No pair is verified twice. Classes are the
 links' connected components.
@@ -52,6 +52,10 @@ SKETCHES, PER_SKETCH = 12, 2
 BINS, SIGMAS = 256, 4.5
 #: First window over a bucket, and texts of a part of a large bucket.
 WINDOW, PART = 16, 1000
+#: Rounds of windows; buckets wider than the last window are then compared part by part.
+WINDOWED = 2
+#: Pairs of signatures compared at once.
+AT_ONCE = 20_000
 #: Texts' ids (40 bytes each) that may be broadcast; more of them are joined by a shuffle.
 BROADCAST_IDS = 250_000
 #: Pairs and bytes of texts of a cell of pairs to verify, and cells of a side at least.
@@ -274,7 +278,12 @@ def linked(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> Data
     links = labels = tried = texts = None
     turn = 0
     while True:
-        met = _starred(shared) if turn == 0 else _meetings(shared, labels, turn)
+        if turn == 0:
+            met = _starred(shared)
+        elif turn <= WINDOWED:
+            met = _meetings(shared, labels, turn)
+        else:
+            met = _parted(shared, once, labels, turn)
         pairs = met.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -285,13 +294,12 @@ def linked(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> Data
         more = _texts(docs, rows, materialise(needed, "needed"), id_col, text_col)
         texts = more if texts is None else texts.unionByName(more)
         found = materialise(_verified(pairs, texts), "links")
-        nothing = found.isEmpty()
         tried = pairs if tried is None else tried.unionByName(pairs)
-        if not nothing:
+        if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             labels = components(links)
         turn += 1
-        if nothing and turn > 2 or shared.where(F.col("n") > _covered(turn)).isEmpty():
+        if turn > WINDOWED + 1 or shared.where(F.col("n") > _covered(turn)).isEmpty():
             return labels
 
 
@@ -322,6 +330,14 @@ def _starred(shared: DataFrame) -> DataFrame:
     return both.select(F.least("first", UID).alias("a"), F.greatest("first", UID).alias("b"), "sig", "first_sig").mapInArrow(run, "a binary, b binary")
 
 
+def _uncovered(shared: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
+    """Members of the buckets that have pairs left, with the label of their component."""
+    rows = shared.where(F.col("n") > _covered(turn))
+    if labels is None:
+        return rows.withColumn("label", F.col(UID))
+    return rows.join(labels.withColumnRenamed("id", UID), UID, "left").withColumn("label", F.coalesce("label", UID))
+
+
 def _meetings(shared: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
     """Pairs (a, b), repeated ones too, of texts without a common component that are within a window of their bucket.
 
@@ -329,8 +345,7 @@ def _meetings(shared: DataFrame, labels: DataFrame | None, turn: int) -> DataFra
     part is a contiguous run of rows in one task, which holds one window of them.
     """
     width = _width(turn)
-    rows = shared.where(F.col("n") > _covered(turn))
-    rows = rows.withColumn("label", F.col(UID)) if labels is None else rows.join(labels.withColumnRenamed("id", UID), UID, "left").withColumn("label", F.coalesce("label", UID))
+    rows = _uncovered(shared, labels, turn)
     part = F.pmod(F.xxhash64(UID, F.lit(turn)), F.ceil(F.col("n") / max(PART, 2 * width)))
     drawn = F.xxhash64(UID, F.lit(turn))
     rows = rows.select(F.xxhash64("key", part).alias("run"), UID, F.xxhash64("label").alias("label"), "sig", "next", "later", "n", drawn.alias("drawn")).repartition("run")
@@ -370,6 +385,46 @@ def _meetings(shared: DataFrame, labels: DataFrame | None, turn: int) -> DataFra
     return out
 
 
+def _parted(shared: DataFrame, once: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
+    """All pairs (a, b) left of texts that share a bucket but no component.
+
+    Buckets are cut by hash into parts of about PART texts, and each pair of parts is a
+    group of its own. A pair meets in the first bucket it shares only: where that one is
+    not wide, the pair has met before.
+    """
+    rows = _uncovered(shared, labels, turn).select("key", UID, "label", "sig", "n")
+    several = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    rows = rows.join(several, "key").join(once.select(UID, "keys"), UID)
+    parts = F.ceil(F.col("n") / PART)
+    rows = rows.withColumn("part", F.pmod(F.xxhash64(UID, F.lit(turn)), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    rows = rows.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", UID, F.xxhash64("label").alias("label"), F.array_position("keys", F.col("key")).alias("place"), "keys", "sig")
+
+    def run(block: pa.Table) -> pa.Table:
+        uid, label, part = block.column(UID).to_pylist(), block.column("label").to_numpy(), block.column("part").to_numpy()
+        sig, keys = _matrix(block.column("sig")), np.array(block.column("keys").to_pylist(), np.int64)
+        place = block.column("place").to_numpy() - 1
+        size = sig[:, BINS:].copy().view("<u4")[:, 0].astype(np.float64)
+        within = block.column("low")[0] == block.column("high")[0]
+        a, b = [], []
+        rows_at_once = max(1, AT_ONCE // len(uid))
+        for low in range(0, len(uid), rows_at_once):
+            left = np.arange(low, min(low + rows_at_once, len(uid)))
+            meets = label[left, None] != label
+            meets &= left[:, None] < np.arange(len(uid)) if within else part[left, None] < part
+            meets &= np.minimum(size[left, None], size) >= SIMILARITY * np.maximum(size[left, None], size) - 1e-6
+            i, j = np.nonzero(meets)
+            i = left[i]
+            first = (keys[i] == keys[j]).argmax(1) == place[i]
+            i, j = i[first], j[first]
+            ok = may_be_similar(sig[i], sig[j])
+            for x, y in zip(i[ok], j[ok], strict=True):
+                a.append(min(uid[x], uid[y]))
+                b.append(max(uid[x], uid[y]))
+        return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    return rows.groupBy("key", "low", "high").applyInArrow(run, "a binary, b binary")
+
+
 def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Sketched rows, and (UID, class_id, class_size) of each text."""
     rows = materialise(sketched(docs, id_col, text_col), "sketches")

@@ -122,6 +122,19 @@ def test_near_classes_equal_brute_force(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(label)) and kept.columns == clashing(docs).columns
 
 
+def test_near_classes_find_a_pair_hidden_in_large_buckets(spark):
+    """The pair shares only buckets of over 257 texts, where it is further apart than the windows of 16 and 256 reach."""
+    draw, apart = random.Random(7), random.Random(197)
+    new = lambda d, n: [f"w{d.randint(0, 999_999)}" for _ in range(n)]
+    passage = new(draw, 85)
+    texts = [passage + new(draw, 15) for _ in range(900)]
+    tail = new(apart, 15)
+    texts += [passage + tail, passage + tail[:8] + new(apart, 7)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(docs).collect()}
+    assert got == {i: min(i, 900) for i in range(902)}
+
+
 def test_near_awkward(spark):
     rows = near_dedup.near_classes(awkward(spark)).collect()
     assert len(rows) == 12
