@@ -1,6 +1,7 @@
 """Secret scans (operator 6): fixed patterns, and novelty under a primed zstandard.
 
-A candidate is a string of CANDIDATE characters near a sensitive word. Its novelty is
+A candidate is a string of CANDIDATE characters near a sensitive word; of a string that
+holds the word itself, the values behind its key separators. Its novelty is
 the number of bytes by which the compressed surrounding code grows when the
 candidate is put back into it, over the candidate's length; the compressor is primed
 with a dictionary of common identifiers and words. Names, paths and words are in the
@@ -34,7 +35,11 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "novel")
 
 SENSITIVE = re.compile(r"(?:key|secret|token|passw|passphrase|credential|auth|bearer|private)", re.I | re.A)
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=~-]{16,}")
+SHORTEST = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=~-]{{{SHORTEST},}}")
+#: Parts of a run between key separators, with a value's padding; and a run's rest behind a sensitive word and a separator.
+PIECE = re.compile(r"[^=]+(?:=+$)?")
+OWN_VALUE = re.compile(r"^[+/_.=~-]+([^+/_.=~-][^=]*(?:=+$)?)")
 #: Characters after a sensitive word in which a candidate starts, and of surroundings on either side.
 REACH, AROUND = 64, 256
 NOVELTY, LEVEL = 0.7, 3
@@ -68,6 +73,16 @@ def novelty(text: str, start: int, end: int, compressor: zstandard.ZstdCompresso
     return (len(compressor.compress(before + after + found)) - len(compressor.compress(before + after))) / len(found)
 
 
+def tail_values(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """Candidates of a run that goes on right behind a sensitive word: what follows its key separators, or else the word's own."""
+    pieces = [(start + m.start(), start + m.end()) for m in PIECE.finditer(text[start:end])]
+    later = [(s, e) for s, e in pieces if text[s - 1] == "=" and e - s >= SHORTEST]
+    if later:
+        return later
+    own = OWN_VALUE.match(text[start:end])
+    return [(start + own.start(1), start + own.end(1))] if own and len(own[1]) >= SHORTEST else []
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, str]], compressor: zstandard.ZstdCompressor) -> list[tuple[int, int, str]]:
     """Incompressible candidates after sensitive words, outside the spans that are there."""
     found: dict[int, int] = {}
@@ -76,16 +91,22 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]], compressor: zstand
         while (m := CANDIDATE.search(text, at, min(len(text), limit))) and m.start() < limit:
             start, end = m.start(), CANDIDATE.match(text, m.start()).end()
             at = end
-            if start > 0 and CANDIDATE.match(text, start - 1):
-                continue  # the tail of a longer string that began before the sensitive word ended
-            found[start] = end
+            if start == word.end():  # the rest of a longer string that holds the sensitive word
+                found |= {s: e for s, e in tail_values(text, start, end) if s < limit}
+            else:
+                found[start] = end
     out = []
     for start, end in found.items():
         value = text[start:end]
         mixed = any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
         if mixed and not any(start < e and s < end for s, e, _ in taken) and novelty(text, start, end, compressor) >= NOVELTY:
             out.append((start, end, "novel"))
-    return out
+    whole, reached = [], 0
+    for span in sorted(out, key=lambda s: (s[0], -s[1])):
+        if span[1] > reached:  # not within another
+            whole.append(span)
+            reached = span[1]
+    return whole
 
 
 def listed(spans: list[tuple[int, int, str]]) -> str:

@@ -71,6 +71,17 @@ def test_secret_spans_drop_failing_matches_without_looking_again():
     assert secret_scan.base_spans("ſecret = abcdefgh12") == []  # only ASCII letters fold
 
 
+def _novel(text):
+    return [text[s:e] for s, e, _ in secret_scan.novel_spans(text, secret_scan.base_spans(text), secret_scan._compressor())]
+
+
+@pytest.mark.parametrize("before", ["AWS_SECRET_ACCESS_KEY=", "private_key=", "auth=", "export DB_AUTH=", "x.private_key==", "bearer-", "auth_", "private/"])
+def test_novel_values_behind_a_sensitive_word(before):
+    for value in ("wJalrXUt7nFEMI/K7MDENG/bPx2RfiCYzQ8", "q9Xz7Lw2Rk8Tn4Vb6Yp1", "q9Xz7Lw2Rk8Tn4Vb6Yp1Zg=="):
+        assert _novel(f"{before}{value}\nnext line") == [value]
+    assert _novel(f"{before}short1") == [] == _novel(f"{before}authorization_header")
+
+
 def _labelled(spark, bad):
     docs = [(i, SENTENCE + f"number{i} " + (bad if i % 3 == 0 else "kind")) for i in range(240)]
     return spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 3 != 0), int(i % 3 == 0)) for i in range(240)], "doc_id long, quality int, toxic int")
