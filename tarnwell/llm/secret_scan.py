@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import zstandard
@@ -67,9 +67,22 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return spans + [(*m.span(), "hex") for m in HEX.finditer(text)]
 
 
+def _surroundings(part: Callable[[int], str], value: str) -> str:
+    """Text beside a value without the value's other occurrences, so wide that none is cut within the nearest AROUND characters."""
+    width = AROUND + len(value)
+    while True:
+        beside = part(width)
+        found = beside.replace(value, "")
+        if len(found) >= AROUND + len(value) - 1 or len(beside) < width:
+            return found
+        width *= 2
+
+
 def novelty(text: str, start: int, end: int, compressor: zstandard.ZstdCompressor) -> float:
-    before, after = text[max(0, start - AROUND) : start].encode("utf-8", "replace"), text[end : end + AROUND].encode("utf-8", "replace")
-    found = text[start:end].encode()
+    value = text[start:end]
+    before = _surroundings(lambda width: text[max(0, start - width) : start], value)[-AROUND:].encode("utf-8", "replace")
+    after = _surroundings(lambda width: text[end : end + width], value)[:AROUND].encode("utf-8", "replace")
+    found = value.encode()
     return (len(compressor.compress(before + after + found)) - len(compressor.compress(before + after))) / len(found)
 
 
@@ -88,7 +101,7 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]], compressor: zstand
     found: dict[int, int] = {}
     for word in SENSITIVE.finditer(text):
         at, limit = word.end(), word.end() + REACH
-        while (m := CANDIDATE.search(text, at, min(len(text), limit))) and m.start() < limit:
+        while (m := CANDIDATE.search(text, at, limit + SHORTEST)) and m.start() < limit:
             start, end = m.start(), CANDIDATE.match(text, m.start()).end()
             at = end
             if start == word.end():  # the rest of a longer string that holds the sensitive word

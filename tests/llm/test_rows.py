@@ -82,6 +82,20 @@ def test_novel_values_behind_a_sensitive_word(before):
     assert _novel(f"{before}short1") == [] == _novel(f"{before}authorization_header")
 
 
+@pytest.mark.parametrize("gap", [0, 10, 48, 49, 50, 62])
+def test_novel_values_up_to_reach(gap):
+    key = "q9Xz7Lw2Rk8Tn4Vb6Yp1"
+    assert _novel("bearer " + " " * gap + key) == [key]
+    assert _novel("bearer" + " " * secret_scan.REACH + key) == []
+
+
+@pytest.mark.parametrize("gap", [1, 100, 215, 225, 245])
+def test_novel_values_that_stand_twice(gap):
+    key = "q9Xz7Lw2Rk8Tn4Vb6Yp1"
+    assert _novel(f"bearer {key}" + "\n" * gap + f"bearer {key}") == [key, key]
+    assert _novel((f"bearer {key}" + " " * (gap % 7) + "\n") * 40) == [key] * 40
+
+
 def _labelled(spark, bad):
     docs = [(i, SENTENCE + f"number{i} " + (bad if i % 3 == 0 else "kind")) for i in range(240)]
     return spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 3 != 0), int(i % 3 == 0)) for i in range(240)], "doc_id long, quality int, toxic int")
