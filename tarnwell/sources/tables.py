@@ -75,17 +75,21 @@ def log_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return df.where(F.coalesce(*[F.col(c).isNotNull() for c in df.columns[:1]], F.lit(False)))
 
 
-def documents(spark: SparkSession, paths: str | Iterable[str]) -> DataFrame:
-    """path, suffix, n_chars, text, error, truncated of each document; formats without a parser are listed with an error."""
+def documents(spark: SparkSession, paths: str | Iterable[str], limit: int | None = None) -> DataFrame:
+    """path, suffix, n_chars, text, error, truncated of each document; formats without a parser are listed with an error.
+
+    Texts are whole unless a limit (the reference's is DOCUMENT_LIMIT) is given.
+    """
     raw = spark.read.format("binaryFile").load(list(paths) if not isinstance(paths, str) else paths)
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
     rows = raw.select("path", suffix.alias("suffix"), "content").where(F.col("suffix").isin(*DOCUMENTS))
     plain = F.col("suffix").isin(".md", ".txt")
     text = F.when(plain, F.coalesce(F.expr("try_validate_utf8(cast(content as string))"), F.decode("content", "ISO-8859-1")))
     text = F.regexp_replace(text, "^﻿", "")
-    rows = rows.withColumn("text", text).withColumn("truncated", F.coalesce(F.length("text") > DOCUMENT_LIMIT, F.lit(False)))
+    rows = rows.withColumn("text", text).withColumn("truncated", F.coalesce(F.length("text") > F.lit(limit), F.lit(False)))
     error = F.when(~plain, F.concat(F.lit("parser_missing:"), F.substring("suffix", 2, 10)))
-    return rows.select("path", "suffix", F.coalesce(F.length("text"), F.lit(0)).alias("n_chars"), F.substring("text", 1, DOCUMENT_LIMIT).alias("text"), error.alias("error"), "truncated")
+    kept = F.col("text") if limit is None else F.substring("text", 1, limit)
+    return rows.select("path", "suffix", F.coalesce(F.length("text"), F.lit(0)).alias("n_chars"), kept.alias("text"), error.alias("error"), "truncated")
 
 
 def latest_wins(rows: DataFrame, key: str, order: str) -> DataFrame:

@@ -136,6 +136,15 @@ def test_readers(spark, tmp_path):
     assert not report["errors"] and set(report["tables"]) == {"a", "b", "c"}
 
 
+def test_documents_are_whole_unless_limited(spark, tmp_path):
+    text = "ab" * tables.DOCUMENT_LIMIT
+    (tmp_path / "long.txt").write_text(text)
+    row = tables.documents(spark, str(tmp_path / "long.txt")).first()
+    assert row["text"] == text and row["n_chars"] == len(text) and row["truncated"] is False
+    row = tables.documents(spark, str(tmp_path / "long.txt"), tables.DOCUMENT_LIMIT).first()
+    assert row["text"] == text[: tables.DOCUMENT_LIMIT] and row["n_chars"] == len(text) and row["truncated"] is True
+
+
 def test_project(tmp_path):
     project = Project(tmp_path / "p", Mission(target="y", threshold=0.9, stagnation_window=2, iteration_cap=20, token_cap=1000, floor=0.8))
     project.record("linear", 0.6, plan="a", tokens=120)
