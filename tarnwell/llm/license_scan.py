@@ -3,7 +3,7 @@
 A text is brought to a canonical form: lower case, no copyright lines, equivalent
 spellings made one, every run of other characters than letters and digits made one
 space. The digest of the entire text is joined to the digests of known licences
-(a fixed table of this file, so broadcast). Beside that each line that speaks of a
+(a fixed table of this file, or the caller's, so broadcast). Beside that each line that speaks of a
 licence is brought to the same form, and its digest looked up among known notices.
 
 Defined results: null and empty texts have the digest of the empty string and no
@@ -100,10 +100,13 @@ def _known(spark: SparkSession, table: tuple) -> DataFrame:
     return rows.select("spdx", F.sha2(canonical(F.lower("raw")), 256).alias("digest")).distinct()
 
 
-def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: canon_sha256, license (of the entire text) and notices (names in its lines, in order)."""
+def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", entire_texts: tuple = LICENSES) -> DataFrame:
+    """One row per row of docs: canon_sha256, license (of the entire text) and notices (names in its lines, in order).
+
+    entire_texts: (spdx, text) of the licences to know by their entire text; one name for each canonical text.
+    """
     spark = docs.sparkSession
-    entire = F.broadcast(_known(spark, LICENSES).select(F.col("spdx").alias("license"), F.col("digest").alias("canon_sha256")))
+    entire = F.broadcast(_known(spark, entire_texts).select(F.col("spdx").alias("license"), F.col("digest").alias("canon_sha256")))
     names = {digest: spdx for spdx, digest in _known(spark, NOTICES).collect()}
     lower = F.lower(whole_text(text_col))
     line_digests = F.transform(F.filter(F.split(lower, "\n"), lambda x: x.contains("licen") | x.contains("cc0")), lambda x: F.sha2(canonical(x), 256))

@@ -53,6 +53,14 @@ def test_licenses(spark):
     assert license_scan.licenses(empty(spark)).count() == 0
 
 
+def test_licenses_of_a_given_table(spark):
+    full = "GNU GENERAL PUBLIC LICENSE\nVersion 3\n" + SENTENCE * 400
+    docs = spark.createDataFrame([(1, full.lower()), (2, license_scan._MIT), (3, full + "more")], "doc_id long, text string")
+    of = lambda **table: {r["doc_id"]: r["license"] for r in license_scan.licenses(docs, **table).collect()}
+    assert of() == {1: None, 2: "MIT", 3: None}
+    assert of(entire_texts=(*license_scan.LICENSES, ("GPL-3.0", full))) == {1: "GPL-3.0", 2: "MIT", 3: None}
+
+
 def test_secret_spans(spark):
     key = "q9Xz7Lw2Rk8Tn4Vb6Yp1"
     text = f'é api_key = "{key}" and AKIA{"A1B2C3D4E5F6"} then {"0f" * 20}'
