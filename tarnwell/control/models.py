@@ -1,102 +1,318 @@
-"""Estimators by key, of pyspark.ml where it has them, and fold-aware evaluation."""
+"""Estimators by key, and fold-aware evaluation.
+
+A key gives an estimator: ``fit(df, features, target, ...)`` returns a fitted model,
+whose ``scored(df)`` adds column p to all rows: the probability of class 1, a score or a
+predicted number. Estimators of pyspark.ml are fitted on all rows; those of
+``estimators`` on at most SAMPLE rows, chosen by hash (a documented bound), and applied
+to all rows in batches; series models see the last SAMPLE values of the target.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml import classification as C
 from pyspark.ml import regression as R
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnwell.control import estimators as E
+from tarnwell.control.estimators import cox_ph, isolation_scores  # noqa: F401
 from tarnwell.operators import metrics
+from tarnwell.operators.running import ranked
 
-CLASSIFIERS: dict[str, Callable] = {
-    "logreg": lambda seed: C.LogisticRegression(regParam=1e-3),
-    "logreg_l1": lambda seed: C.LogisticRegression(regParam=1e-3, elasticNetParam=1.0),
-    "logreg_elastic": lambda seed: C.LogisticRegression(regParam=1e-3, elasticNetParam=0.5),
-    "decision_tree": lambda seed: C.DecisionTreeClassifier(maxDepth=8, seed=seed),
-    "random_forest": lambda seed: C.RandomForestClassifier(numTrees=50, maxDepth=8, seed=seed),
-    "gbt": lambda seed: C.GBTClassifier(maxIter=30, seed=seed),
-    "naive_bayes": lambda seed: C.NaiveBayes(modelType="gaussian"),
-}
-REGRESSORS: dict[str, Callable] = {
-    "ridge": lambda seed: R.LinearRegression(regParam=1e-3, elasticNetParam=0.0),
-    "elasticnet": lambda seed: R.LinearRegression(regParam=1e-2, elasticNetParam=0.5),
-    "random_forest_regressor": lambda seed: R.RandomForestRegressor(numTrees=50, maxDepth=8, seed=seed),
-    "gbt_regressor": lambda seed: R.GBTRegressor(maxIter=30, seed=seed),
-    "aft": lambda seed: R.AFTSurvivalRegression(censorCol="censor"),
+SAMPLE = 5000
+
+
+@dataclass
+class Fitted:
+    """add: what gives a frame its column p."""
+
+    add: Callable[[DataFrame], DataFrame]
+
+    def scored(self, df: DataFrame) -> DataFrame:
+        return self.add(df)
+
+
+@dataclass
+class OnAllRows:
+    """A pyspark.ml estimator behind an assembler; of classifiers p is the probability of class 1."""
+
+    make: Callable[[int], object]
+    classifies: bool = False
+    scaled: bool = False
+    signed: bool = False  # labels as -1 and 1, the answer as 0 or 1
+    weighted: bool = False  # rows of the rarer class count more
+    seed: int = 0
+
+    def fit(self, df: DataFrame, features: list[str], target: str, time: str | None = None, key: Sequence[str] = ()) -> Fitted:
+        stages: list = [VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="keep")]
+        if self.scaled:
+            stages.append(StandardScaler(inputCol="__x", outputCol="__z", withMean=True))
+        estimator = self.make(self.seed).setFeaturesCol("__z" if self.scaled else "__x").setLabelCol("__y").setPredictionCol("__p")
+        if isinstance(estimator, C.MultilayerPerceptronClassifier):
+            estimator = estimator.setLayers([len(features), 32, 2])
+        if self.weighted:
+            estimator = estimator.setWeightCol("__w")
+            sizes = df.groupBy(F.col(target).alias("__of")).agg(F.count(F.lit(1)).alias("__n"))
+            total = sizes.agg(F.sum("__n").alias("__all"), F.count(F.lit(1)).alias("__k"))
+            df = df.join(F.broadcast(sizes.join(F.broadcast(total))), F.col(target) == F.col("__of")).withColumn("__w", F.col("__all") / (F.col("__k") * F.col("__n"))).drop("__of", "__n", "__all", "__k")
+        y = F.col(target).cast("double")
+        model = Pipeline(stages=[*stages, estimator]).fit(df.withColumn("__y", 2 * y - 1 if self.signed else y))
+        p: Column = F.col("__p")
+        if self.classifies:
+            p = vector_to_array("probability")[1]
+        elif self.signed:
+            p = (F.col("__p") > 0).cast("double")
+        return Fitted(lambda rows: model.transform(rows).withColumn("p", p).select(*rows.columns, "p"))
+
+
+@dataclass
+class OnSample:
+    """A numpy model."""
+
+    make: Callable[[int], object]
+    seed: int = 0
+
+    def fit(self, df: DataFrame, features: list[str], target: str, time: str | None = None, key: Sequence[str] = ()) -> Fitted:
+        columns = [*features, target]
+        drawn = df.select(*columns, F.xxhash64(*(key or columns), F.lit(self.seed)).alias("__draw")).orderBy("__draw", *columns).limit(SAMPLE)
+        rows = np.array([r[:-1] for r in drawn.collect()], float).reshape(-1, len(columns))
+        model = self.make(self.seed).fit(rows[:, :-1], rows[:, -1]) if len(rows) else None
+
+        @F.pandas_udf("double")
+        def predicted(x: pd.Series) -> pd.Series:
+            return pd.Series(model.predict(np.stack(x.to_list()).astype(float)) if len(x) else np.zeros(0))
+
+        p = predicted(F.array(*[F.col(c).cast("double") for c in features])) if model else F.lit(None).cast("double")
+        return Fitted(lambda of: of.withColumn("p", p))
+
+
+@dataclass
+class OnSeries:
+    """A forecast by step: the rows to score are the steps after the fitted ones, in time order."""
+
+    make: Callable[[np.ndarray], tuple[list[float], float]]
+    seed: int = 0
+
+    def fit(self, df: DataFrame, features: list[str], target: str, time: str | None = None, key: Sequence[str] = ()) -> Fitted:
+        if not time:
+            raise ValueError("a series model needs a time column")
+        tail = df.where(F.col(target).isNotNull()).orderBy(F.desc(time), *key).select(F.col(target).cast("double")).limit(SAMPLE)
+        pattern, slope = self.make(np.array([r[0] for r in tail.collect()][::-1], float))
+        at = F.element_at(F.array(*map(F.lit, pattern)), (F.pmod(F.col("__step"), F.lit(len(pattern))) + 1).cast("int"))
+        return Fitted(lambda of: ranked(of, time, then=key, name="__step").withColumn("p", at + F.lit(slope) * F.col("__step")).drop("__step"))
+
+
+@dataclass
+class Blend:
+    """The mean of members' probabilities, or a logistic regression on them, fitted on the half of the rows that they are not fitted on."""
+
+    members: tuple[str, ...]
+    stacked: bool = False
+    resampled: bool = False  # each member sees rows with Poisson-like multiplicities
+    seed: int = 0
+
+    def fit(self, df: DataFrame, features: list[str], target: str, time: str | None = None, key: Sequence[str] = ()) -> Fitted:
+        drawn = lambda seed: F.pmod(F.xxhash64(*(key or [*features, target]), F.lit(seed)), F.lit(1000))
+        half = drawn(self.seed) < 500
+        own = df.where(half) if self.stacked else df
+        fits = []
+        for i, member in enumerate(self.members):
+            rows = own
+            if self.resampled:
+                times = sum(((drawn(self.seed + 17 * (i + 1)) >= cut).cast("int") for cut in (368, 736, 920, 981, 996)), F.lit(0))
+                rows = own.withColumn("__times", F.explode(F.array_repeat(F.lit(1), times))).drop("__times")
+            fits.append(build(member, features, target, self.seed + i).fit(rows, time, key))
+        names = [f"__m{i}" for i in range(len(fits))]
+
+        def members(of: DataFrame) -> DataFrame:
+            for name, fit in zip(names, fits, strict=True):
+                of = fit.scored(of).withColumnRenamed("p", name)
+            return of
+
+        if not self.stacked:
+            return Fitted(lambda of: members(of).withColumn("p", sum((F.col(n) for n in names), F.lit(0.0)) / len(names)).drop(*names))
+        meta = OnAllRows(lambda seed: C.LogisticRegression(regParam=1e-3), classifies=True).fit(members(df.where(~half)), names, target)
+        return Fitted(lambda of: meta.scored(members(of)).drop(*names))
+
+
+def _logistic(net: float = 0.0) -> OnAllRows:
+    return OnAllRows(lambda seed: C.LogisticRegression(regParam=1e-3, elasticNetParam=net), classifies=True)
+
+
+def _boosted(**more) -> OnAllRows:
+    return OnAllRows(lambda seed: C.GBTClassifier(maxIter=30, seed=seed), classifies=True, **more)
+
+
+def _boosted_regressor() -> OnAllRows:
+    return OnAllRows(lambda seed: R.GBTRegressor(maxIter=30, seed=seed))
+
+
+def _linear(net: float, strength: float = 1e-3) -> OnAllRows:
+    return OnAllRows(lambda seed: R.LinearRegression(regParam=strength, elasticNetParam=net))
+
+
+#: What makes an estimator. Keys are those of the task descriptions (fixed values); extra_trees is a forest without resampling, an approximation.
+MODELS: dict[str, Callable[[], object]] = {
+    "logreg": _logistic,
+    "logreg_l1": lambda: _logistic(1.0),
+    "logreg_elastic": lambda: _logistic(0.5),
+    "ridge_classifier": lambda: OnAllRows(lambda seed: R.LinearRegression(regParam=1e-3), signed=True),
+    "decision_tree": lambda: OnAllRows(lambda seed: C.DecisionTreeClassifier(maxDepth=8, seed=seed), classifies=True),
+    "random_forest": lambda: OnAllRows(lambda seed: C.RandomForestClassifier(numTrees=50, maxDepth=8, seed=seed), classifies=True),
+    "extra_trees": lambda: OnAllRows(lambda seed: C.RandomForestClassifier(numTrees=50, maxDepth=8, subsamplingRate=1.0, bootstrap=False, seed=seed), classifies=True),
+    "lgbm_binary": _boosted,
+    "lgbm_weighted": lambda: _boosted(weighted=True),
+    "lgbm_focal": lambda: OnSample(lambda seed: E.FocalBoosting()),
+    "xgboost_focal": lambda: OnSample(lambda seed: E.FocalBoosting()),
+    "mlp_tabular": lambda: OnAllRows(lambda seed: C.MultilayerPerceptronClassifier(maxIter=100, seed=seed), classifies=True, scaled=True),
+    "naive_bayes": lambda: OnAllRows(lambda seed: C.NaiveBayes(modelType="gaussian"), classifies=True),
+    "voting_soft": lambda: Blend(("logreg", "random_forest", "lgbm_binary")),
+    "bagging": lambda: Blend(("decision_tree",) * 10, resampled=True),
+    "stacked_blend": lambda: Blend(("logreg", "random_forest", "lgbm_binary"), stacked=True),
+    "ridge": lambda: _linear(0.0),
+    "ridge_lagged": lambda: _linear(0.0),
+    "elasticnet": lambda: _linear(0.5, 1e-2),
+    "random_forest_regressor": lambda: OnAllRows(lambda seed: R.RandomForestRegressor(numTrees=50, maxDepth=8, seed=seed)),
+    "extra_trees_regressor": lambda: OnAllRows(lambda seed: R.RandomForestRegressor(numTrees=50, maxDepth=8, subsamplingRate=1.0, bootstrap=False, seed=seed)),
+    "lgbm_regressor": _boosted_regressor,
+    "lgbm_survival": _boosted_regressor,
+    "permutation_importance": _boosted_regressor,
+    "lgbm_aft": lambda: OnAllRows(lambda seed: _Uncensored()),
+    "mlp_tabular_regressor": lambda: OnSample(lambda seed: E.MlpRegressor(seed=seed)),
+    "cox_ph": lambda: OnSample(lambda seed: E.CoxPh()),
+    "isolation_forest": lambda: OnSample(lambda seed: E.IsolationForest(seed)),
+    "lof": lambda: OnSample(lambda seed: E.LocalOutlierFactor()),
+    "ocsvm": lambda: OnSample(lambda seed: E.OneClassSvm()),
+    "autoencoder_anomaly": lambda: OnSample(lambda seed: E.Reconstruction()),
+    "naive_seasonal": lambda: OnSeries(E.naive_seasonal),
+    "theta": lambda: OnSeries(E.theta),
+    "ets": lambda: OnSeries(E.ets),
 }
 #: Keys that need libraries this engine does without.
-UNAVAILABLE = ("xgboost_binary", "catboost_binary", "ft_transformer", "tabnet", "random_survival_forest", "prophet")
+UNAVAILABLE = ("xgboost_binary", "xgboost_regressor", "catboost_binary", "catboost_regressor", "ft_transformer", "tabnet", "random_survival_forest", "prophet")
+
+
+def _Uncensored():
+    """An accelerated-failure-time estimator whose events are all observed."""
 
+    class Uncensored(R.AFTSurvivalRegression):
+        def _fit(self, df: DataFrame):
+            return super()._fit(df.withColumn("__seen", F.lit(1.0)).where(F.col("__y") > 0))
 
-def build(key: str, features: list[str], target: str, seed: int = 0) -> Pipeline:
-    """A pipeline of imputation by 0, assembly and the estimator; KeyError for unknown or unavailable keys."""
-    make = CLASSIFIERS.get(key) or REGRESSORS.get(key)
-    if make is None:
+    return Uncensored(censorCol="__seen")
+
+
+@dataclass
+class Task:
+    """An estimator with the columns that it is for."""
+
+    estimator: OnAllRows | OnSample | OnSeries | Blend
+    features: list[str]
+    target: str
+
+    def fit(self, df: DataFrame, time: str | None = None, key: Sequence[str] = ()) -> Fitted:
+        return self.estimator.fit(df, self.features, self.target, time, key)
+
+
+def build(key: str, features: list[str], target: str, seed: int = 0) -> Task:
+    """The estimator of a key for these columns; KeyError for unknown or unavailable keys."""
+    if key not in MODELS:
         raise KeyError(f"model {key!r} is {'unavailable' if key in UNAVAILABLE else 'unknown'}")
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="keep"), make(seed).setFeaturesCol("__x").setLabelCol(target)])
+    estimator = MODELS[key]()
+    estimator.seed = seed
+    return Task(estimator, features, target)
+
 
+def available(allowed: Sequence[str]) -> list[str]:
+    """Those of the allowed keys that build."""
+    return sorted(k for k in allowed if k in MODELS)
 
-def prepared(df: DataFrame, features: list[str], target: str) -> DataFrame:
-    """Numbers as double, unknown and NaN as 0, rows without a target left out."""
-    return df.where(F.col(target).isNotNull()).withColumns({c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for c in features} | {target: F.col(target).cast("double")})
 
+def prepared(df: DataFrame, features: list[str], target: str, median: bool = False) -> DataFrame:
+    """Numbers as double, unknown and NaN as 0 or as the column's exact median, rows without a target left out."""
+    rows = df.where(F.col(target).isNotNull()).withColumns({c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in features} | {target: F.col(target).cast("double")})
+    return imputed(rows, features) if median else rows.fillna(0.0, subset=features)
 
-def scored(model, df: DataFrame, target: str, key: str) -> DataFrame:
-    """(id, y, p): the probability of class 1 or the prediction."""
-    out = model.transform(df)
-    p = vector_to_array("probability")[1] if key in CLASSIFIERS else F.col("prediction")
-    return out.select(F.monotonically_increasing_id().alias("id"), F.col(target).alias("y"), p.alias("p"))
 
+def imputed(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Unknown values as the column's median, of all columns by one count of values; 0 for a column without any."""
+    from tarnwell.operators.running import quantiles
 
-def evaluated(rows: DataFrame, names: tuple[str, ...]) -> dict[str, float | None]:
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("d")) for c in columns])).alias("v")).select("v.*")
+    cells = long.where(F.col("d").isNotNull() & ~F.isnan("d")).groupBy("column", "d").agg(F.count(F.lit(1)).alias("n"))
+    middle = {r["column"]: r["quantiles"][0] for r in quantiles(cells, "d", "n", (0.5,), by=["column"]).collect()}
+    return df.withColumns({c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), F.lit(float(middle.get(c, 0.0)))) for c in columns})
+
+
+def evaluated(rows: DataFrame, names: Sequence[str]) -> dict[str, float | None]:
     """Named metrics of (id, y, p); plain aggregates share a pass, and a metric that cannot be computed is None."""
     plain = [n for n in names if n in metrics.AGGREGATES]
     found = metrics.plain(rows, plain).first().asDict() if plain else {}
     for n in names:
-        fn = {"roc_auc": metrics.roc_auc, "average_precision": metrics.average_precision, "precision_at_k": metrics.precision_at, "ece": metrics.ece, "ndcg": metrics.ndcg, "spearman": metrics.spearman, "concordance": metrics.concordance}.get(n)
-        if fn:
-            found[n] = fn(rows).first()[0]
+        if n not in found and (fn := metrics.named(n)):
+            try:
+                found[n] = fn(rows).first()[0]
+            except (ArithmeticError, TypeError, ValueError):
+                found[n] = None
     return {n: found.get(n) for n in names}
 
 
-def cross_validate(df: DataFrame, features: list[str], target: str, key: str, fold: str, names: tuple[str, ...], seed: int = 0) -> dict[str, float | None]:
+def population(rows: DataFrame, names: Sequence[str]) -> dict[str, float]:
+    """The same metrics over the whole table, each name with _pop; those that cannot be computed are left out."""
+    return {f"{n}_pop": float(v) for n, v in evaluated(rows, names).items() if v is not None}
+
+
+def judged(fit: Fitted, rows: DataFrame, target: str, key: Sequence[str]) -> DataFrame:
+    number = F.xxhash64(*(key or rows.columns))
+    return fit.scored(rows).select(number.alias("id"), F.col(target).alias("y"), "p")
+
+
+def cross_validate(df: DataFrame, features: list[str], target: str, key: str, fold: str, names: tuple[str, ...], seed: int = 0, time: str | None = None, row_key: Sequence[str] = ()) -> dict[str, float | None]:
     """Means over folds of the validation metrics; folds without a metric are left out of its mean."""
     df = prepared(df, features, target).cache()
     folds = sorted(r[0] for r in df.select(fold).distinct().collect())
     found = []
     for k in folds:
-        model = build(key, features, target, seed + int(k)).fit(df.where(F.col(fold) != k))
-        found.append(evaluated(scored(model, df.where(F.col(fold) == k), target, key), names))
+        fit = build(key, features, target, seed + int(k)).fit(df.where(F.col(fold) != k), time, row_key)
+        found.append(evaluated(judged(fit, df.where(F.col(fold) == k), target, row_key), names))
     df.unpersist()
+    return mean_of(found, names)
+
+
+def mean_of(found: list[dict[str, float | None]], names: Sequence[str]) -> dict[str, float | None]:
     means = {n: [f[n] for f in found if f[n] is not None] for n in names}
     return {n: float(np.mean(v)) if v else None for n, v in means.items()}
 
 
-def cox_ph(times: np.ndarray, x: np.ndarray, ridge: float = 1e-3, rounds: int = 25) -> np.ndarray:
-    """Proportional-hazards coefficients by Newton steps, all events observed, ties by Breslow; for samples that fit in memory."""
-    order = np.argsort(-times, kind="stable")
-    x, times = x[order], times[order]
-    beta = np.zeros(x.shape[1])
-    last = np.searchsorted(-times, -times, side="right") - 1
-    for _ in range(rounds):
-        w = np.exp(np.clip(x @ beta, -50, 50))
-        s0, s1 = np.cumsum(w)[last], np.cumsum(w[:, None] * x, axis=0)[last]
-        s2 = np.cumsum(w[:, None, None] * x[:, :, None] * x[:, None, :], axis=0)[last]
-        mean = s1 / s0[:, None]
-        gradient = (x - mean).sum(axis=0) - ridge * beta
-        hessian = (s2 / s0[:, None, None] - mean[:, :, None] * mean[:, None, :]).sum(axis=0) + ridge * np.eye(len(beta))
-        step = np.linalg.solve(hessian, gradient)
-        beta = beta + step
-        if np.abs(step).max() < 1e-8:
-            break
-    return beta
+@dataclass
+class Split:
+    """Folds as rows of (key, fold, role)."""
+
+    rows: DataFrame
+    key: list[str]
+    folds: list[int] = field(default_factory=list)
+
+
+def train_and_validate(df: DataFrame, split: Split, features: list[str], target: str, key: str, names: Sequence[str], seed: int = 0, time: str | None = None) -> tuple[dict[str, float | None], dict[str, float | None]]:
+    """Mean metrics over the folds of a split: of validation rows, and of the rows fitted on."""
+    joined = prepared(df, features, target).join(split.rows, split.key).cache()
+    folds = split.folds or sorted(r[0] for r in joined.select("fold").distinct().collect())
+    valid, train = [], []
+    for k in folds:
+        own = joined.where((F.col("fold") == k) & (F.col("role") == "train"))
+        fit = build(key, features, target, seed + int(k)).fit(own, time, split.key)
+        valid.append(evaluated(judged(fit, joined.where((F.col("fold") == k) & (F.col("role") == "valid")), target, split.key), names))
+        train.append(evaluated(judged(fit, own, target, split.key), names))
+    joined.unpersist()
+    return mean_of(valid, names), mean_of(train, names)
 
 
 def treatment_effect(df: DataFrame, treatment: str, outcome: str, covariates: list[str], resamples: int = 50, seed: int = 0) -> dict[str, float]:
@@ -117,31 +333,3 @@ def treatment_effect(df: DataFrame, treatment: str, outcome: str, covariates: li
         m = np.array([[sums[f"s{w}_{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)], float)
         effects.append(float(np.linalg.lstsq(m[:-1, :-1], m[:-1, -1], rcond=None)[0][1]))
     return {"effect": effects[0], "low": float(np.quantile(effects[1:], 0.05)), "high": float(np.quantile(effects[1:], 0.95))}
-
-
-def isolation_scores(x: np.ndarray, trees: int = 100, sample: int = 256, seed: int = 0) -> Callable[[np.ndarray], np.ndarray]:
-    """A scorer of how easily rows are isolated by random cuts, 0 to 1; fitted on samples of 256 rows."""
-    draw = np.random.default_rng(seed)
-    deepest = int(np.ceil(np.log2(max(2, min(sample, len(x))))))
-    usual = lambda n: 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else float(n == 2)
-
-    def grow(rows: np.ndarray, depth: int):
-        varied = np.flatnonzero(rows.max(axis=0) > rows.min(axis=0)) if len(rows) else []
-        if depth >= deepest or len(rows) <= 1 or not len(varied):
-            return depth + usual(len(rows))
-        c = int(draw.choice(varied))
-        cut = draw.uniform(rows[:, c].min(), rows[:, c].max())
-        return c, cut, grow(rows[rows[:, c] < cut], depth + 1), grow(rows[rows[:, c] >= cut], depth + 1)
-
-    forest = [grow(x[draw.choice(len(x), min(sample, len(x)), replace=False)], 0) for _ in range(trees)]
-
-    def depth(tree, rows: np.ndarray) -> np.ndarray:
-        if not isinstance(tree, tuple):
-            return np.full(len(rows), tree, float)
-        c, cut, low, high = tree
-        left = rows[:, c] < cut
-        out = np.empty(len(rows))
-        out[left], out[~left] = depth(low, rows[left]), depth(high, rows[~left])
-        return out
-
-    return lambda rows: 2 ** (-np.mean([depth(t, rows) for t in forest], axis=0) / max(1e-9, usual(min(sample, len(x)))))

@@ -19,7 +19,7 @@ import numpy as np
 from tarnwell.sources.tables import append_jsonl, read_jsonl
 
 #: Technique families and events of the ledger (fixed values).
-FAMILIES = ("linear", "tree", "boosting", "neural", "ensemble", "temporal", "survival", "anomaly", "causal", "baseline")
+FAMILIES = ("linear", "tree", "boosted_tree", "neural", "ensemble", "rule_based", "survival", "anomaly", "forecasting_classical", "forecasting_neural")
 LEAST_FAMILIES = 4
 
 
@@ -36,23 +36,37 @@ class Capability:
     higher_is_better: bool
     models: tuple[str, ...]
     required: tuple[str, ...] = ("target",)
+    allowed: tuple[str, ...] = ()
 
     @property
     def signature(self) -> str:
         return f"{self.target_type}|{self.temporal}|{self.split}"
 
+    def lacking(self, mission: Mission) -> list[str]:
+        """Required fields that the mission leaves empty."""
+        return [name for name in self.required if not getattr(mission, name, None)]
 
-_CLASS = ("roc_auc", "average_precision", "log_loss", "brier")
+    def available(self) -> list[str]:
+        """The allowed models that build here."""
+        from tarnwell.control import models
+
+        return models.available(self.allowed)
+
+
+#: Metrics, primary metrics and allowed models of each capability (fixed values).
+_CLASS = ("roc_auc", "average_precision", "log_loss", "brier", "expected_calibration_error", "recall_at_top_pct_10", "precision_at_top_pct_10", "lift_at_top_pct_10")
+_BOOSTED = ("lgbm_binary", "xgboost_binary", "catboost_binary", "lgbm_focal", "lgbm_weighted", "xgboost_focal")
+_BLENDS = ("voting_soft", "bagging", "stacked_blend")
 CAPABILITIES = {
     c.key: c
     for c in (
-        Capability("tabular_classification", "binary", "none", "stratified", _CLASS, "roc_auc", True, ("logreg", "gbt")),
-        Capability("tabular_regression", "continuous", "none", "group", ("rmse", "mae", "r2", "mape"), "rmse", False, ("ridge", "gbt_regressor")),
-        Capability("temporal_classification", "binary", "time", "time", _CLASS, "roc_auc", True, ("logreg", "gbt"), ("target", "time")),
-        Capability("forecasting", "continuous", "time", "rolling", ("mape", "rmse", "smape"), "mape", False, ("naive_seasonal", "ridge"), ("target", "time")),
-        Capability("predictive_maintenance", "survival", "time", "group", ("concordance",), "concordance", True, ("cox_ph",), ("target",)),
-        Capability("anomaly_detection", "binary", "none", "stratified", ("roc_auc", "average_precision", "precision_at_k"), "average_precision", True, ("isolation_forest",)),
-        Capability("root_cause_attribution", "binary", "none", "stratified", ("roc_auc", "ndcg", "spearman"), "ndcg", True, ("logreg",)),
+        Capability("tabular_classification", "binary", "none", "stratified", _CLASS, "roc_auc", True, ("logreg", "lgbm_binary"), allowed=("logreg", "ridge_classifier", "elasticnet", "logreg_l1", "logreg_elastic", *_BOOSTED, "decision_tree", "extra_trees", "random_forest", *_BLENDS, "mlp_tabular", "ft_transformer", "tabnet")),
+        Capability("tabular_regression", "continuous", "none", "group", ("rmse", "mae", "r2", "mape"), "rmse", False, ("ridge", "lgbm_regressor"), allowed=("ridge", "elasticnet", "lgbm_regressor", "xgboost_regressor", "catboost_regressor", "extra_trees_regressor", "random_forest_regressor", "mlp_tabular_regressor")),
+        Capability("temporal_classification", "binary", "time", "time", _CLASS, "roc_auc", True, ("lgbm_binary", "logreg"), ("target", "time"), ("logreg", "ridge_classifier", "logreg_l1", *_BOOSTED, "extra_trees", "random_forest", *_BLENDS, "mlp_tabular")),
+        Capability("forecasting", "continuous", "time", "rolling", ("mape", "rmse", "smape"), "mape", False, ("naive_seasonal", "ridge_lagged", "lgbm_regressor"), ("target", "time"), ("naive_seasonal", "ridge_lagged", "prophet", "theta", "ets", "lgbm_regressor", "xgboost_regressor")),
+        Capability("predictive_maintenance", "survival", "time", "group", ("concordance_index",), "concordance_index", True, ("cox_ph", "lgbm_survival"), ("target",), ("cox_ph", "lgbm_survival", "lgbm_aft", "random_survival_forest")),
+        Capability("anomaly_detection", "binary", "none", "stratified", ("roc_auc", "average_precision", "precision_at_k", "recall_at_top_pct_5", "precision_at_top_pct_5", "lift_at_top_pct_5"), "average_precision", True, ("isolation_forest", "ocsvm", "lof"), allowed=("isolation_forest", "ocsvm", "lof", "autoencoder_anomaly", "lgbm_binary", "xgboost_binary")),
+        Capability("root_cause_attribution", "binary", "none", "stratified", ("roc_auc", "ndcg_at_10", "spearman_rank_corr"), "ndcg_at_10", True, ("lgbm_binary", "logreg"), allowed=("lgbm_binary", "xgboost_binary", "logreg", "permutation_importance")),
     )
 }
 
@@ -83,6 +97,10 @@ class Mission:
     floor: float | None = None
     breakthrough_window: int = 6
     breakthroughs: int = 2
+    metric: str | None = None
+    notes: str = ""
+    domain: str = "general"
+    joins: tuple = ()
 
     def __post_init__(self) -> None:
         if not self.target or self.target in self.forbidden:
@@ -121,14 +139,25 @@ class Project:
         self.folder.mkdir(parents=True, exist_ok=True)
         if mission is not None:
             self._replace("MISSION.json", asdict(mission))
-        self.mission = Mission(**{k: tuple(v) if isinstance(v, list) else v for k, v in self._load("MISSION.json").items()})
-        known = State.__dataclass_fields__
-        self.state = State(**{k: v for k, v in self._load("STATE.json").items() if k in known})
+        self.mission = Mission(**{k: tuple(v) if isinstance(v, list) else v for k, v in self._load("MISSION.json").items() if k in Mission.__dataclass_fields__})
+        self.state = State(**{k: v for k, v in self._load("STATE.json").items() if k in State.__dataclass_fields__})
+
+    def migrate(self) -> list[str]:
+        """Rewrite mission and state in the present form; the fields that were left out or added."""
+        changed = []
+        for name, value in (("MISSION.json", asdict(self.mission)), ("STATE.json", asdict(self.state))):
+            changed += [f"{name}: {k}" for k in sorted(set(self._load(name)) ^ set(value))]
+            self._replace(name, value)
+        return changed
 
     def _load(self, name: str) -> dict:
         path = self.folder / name
         return json.loads(path.read_text()) if path.exists() else {}
 
+    def write(self, name: str, value: dict) -> None:
+        """Put a JSON file in the folder, whole or not at all."""
+        self._replace(name, value)
+
     def _replace(self, name: str, value: dict) -> None:
         part = self.folder / f".{name}.part"
         part.write_text(json.dumps(value, indent=1, sort_keys=True))
@@ -137,10 +166,63 @@ class Project:
     def experiments(self) -> list[dict]:
         return read_jsonl(self.folder / "experiments.jsonl")
 
+    def recent_plans(self) -> list[str]:
+        """Fingerprints of the last ten plans, the oldest first."""
+        return self._load("PLANS.json").get("recent", [])
+
+    def untried(self) -> list[str]:
+        """Families without an experiment."""
+        tried = {r["family"] for r in self.experiments()}
+        return [f for f in FAMILIES if f not in tried]
+
+    def direct(self, text: str, features: Iterable[str] = ()) -> dict:
+        """Leave a message for the next iteration."""
+        row = {"sequence": len(read_jsonl(self.folder / "inbox.jsonl")) + 1, "text": text, "features": list(features), "iteration": self.state.iteration}
+        append_jsonl(self.folder / "inbox.jsonl", row)
+        return row
+
+    def directives(self, consume: bool = False) -> list[dict]:
+        """Messages that no iteration has taken yet."""
+        done = self._load("INBOX.json").get("consumed", 0)
+        rows = [r for r in read_jsonl(self.folder / "inbox.jsonl") if r.get("sequence", 0) > done]
+        if consume and rows:
+            self._replace("INBOX.json", {"consumed": rows[-1]["sequence"]})
+        return rows
+
+    def brief(self, k: int = 5) -> dict:
+        """What the next iteration should know."""
+        from tarnwell.control.domains import domain
+
+        rows = self.experiments()
+        arms = self.arms()
+        return {
+            "iteration": self.state.iteration + 1,
+            "mission": asdict(self.mission),
+            "best": self.state.best,
+            "since_improvement": self.state.since_improvement,
+            "breakthrough": self.state.breakthrough,
+            "recent": [{key: r.get(key) for key in ("iteration", "family", "metric", "verdict")} for r in rows[-k:]],
+            "recent_plans": self.recent_plans(),
+            "looping": self.looping(),
+            "top_arms": sorted(arms, key=lambda f: (-arms[f], f))[:3],
+            "untried_arms": self.untried(),
+            "budget_spent": self.spent(),
+            "directives": self.directives(),
+            "domain": domain(self.mission.domain).brief(self.mission.target),
+            "stop_reasons": self.stop_reasons(),
+        }
+
+    def status(self) -> dict:
+        return {"project": self.folder.name, "iteration": self.state.iteration, "best": self.state.best, "status": self._load("STATUS.json").get("status", "open"), "confidence": self.recommendation()["confidence"], "domain": self.mission.domain, "spent": self.spent()}
+
+    def archive(self) -> None:
+        """Mark as finished; nothing is removed."""
+        self._replace("STATUS.json", {"status": "archived"})
+
     def better(self, a: float, b: float | None) -> bool:
         return b is None or (a > b if self.mission.higher_is_better else a < b)
 
-    def record(self, family: str, metric: float | None, verdict: str = "ACCEPT", failed: Iterable[str] = (), plan: str = "", tokens: int = 0) -> dict:
+    def record(self, family: str, metric: float | None, verdict: str = "ACCEPT", failed: Iterable[str] = (), plan: str = "", tokens: int = 0, outcome: dict | None = None, area: str = "") -> dict:
         """Append an experiment and update state, bandit, spending and the ring of plans. Its information gain is at most 1."""
         s = self.state
         s.iteration += 1
@@ -153,7 +235,7 @@ class Project:
             s.since_improvement += 1
         s.in_breakthrough = 0 if improved or not s.breakthrough else s.in_breakthrough + 1
         s.breakthrough = s.breakthrough and not improved
-        row = {"iteration": s.iteration, "family": family, "metric": value, "verdict": verdict, "failed": sorted(failed), "plan": plan, "gain": gain if improved else 0.0, "improved": improved}
+        row = {"iteration": s.iteration, "family": family, "metric": value, "verdict": verdict, "failed": sorted(failed), "plan": plan, "gain": gain if improved else 0.0, "improved": improved, "area": area, "outcome": outcome}
         append_jsonl(self.folder / "experiments.jsonl", row)
         self.spend(tokens)
         self._replace("PLANS.json", {"recent": [*self._load("PLANS.json").get("recent", []), plan][-10:]})
@@ -195,31 +277,26 @@ class Project:
     def stop_reasons(self) -> list[str]:
         """Why to stop; ``escalation_required`` alone is no reason to."""
         m, s, rows = self.mission, self.state, self.experiments()
-        reasons = []
-        if s.best is not None and (s.best >= m.threshold if m.higher_is_better else s.best <= m.threshold):
-            reasons.append("goal_met")
-        if self.spent() >= 1:
-            reasons.append("budget_exhausted")
-        tried = len({r["family"] for r in rows if r["verdict"] != "FAIL"}) >= LEAST_FAMILIES
-        if s.breakthrough:
-            if s.in_breakthrough >= m.breakthrough_window and tried:
-                reasons.append("breakthrough_stagnation")
-        elif s.since_improvement >= m.stagnation_window and tried:
-            low = m.floor is not None and s.best is not None and self.better(m.floor, s.best)
-            if low and s.entries < m.breakthroughs:
-                s.breakthrough, s.in_breakthrough, s.entries = True, 0, s.entries + 1
-                self._replace("STATE.json", asdict(s))
-                reasons.append("escalation_required")
-            else:
-                reasons.append("stagnation")
-        if s.iteration >= m.iteration_cap:
-            reasons.append("iteration_cap")
         last = rows[-m.failure_window :]
-        if len(last) == m.failure_window and all(r["verdict"] == "FAIL" for r in last):
-            shared = set.intersection(*(set(r["failed"]) for r in last))
-            if shared:
-                reasons.append(f"catastrophic_skeptic:{sorted(shared)}")
-        return reasons
+        broad = len({r["family"] for r in rows if r["verdict"] != "FAIL"}) >= LEAST_FAMILIES
+        shared = sorted(set.intersection(*(set(r["failed"]) for r in last))) if len(last) == m.failure_window and all(r["verdict"] == "FAIL" for r in last) else []
+        stuck = broad and not s.breakthrough and s.since_improvement >= m.stagnation_window
+        poor = m.floor is not None and s.best is not None and self.better(m.floor, s.best)
+        escalates = stuck and poor and s.entries < m.breakthroughs
+        rules = (
+            ("goal_met", s.best is not None and not self.better(m.threshold, s.best)),
+            ("budget_exhausted", self.spent() >= 1),
+            ("breakthrough_stagnation", broad and s.breakthrough and s.in_breakthrough >= m.breakthrough_window),
+            ("escalation_required", escalates),
+            ("stagnation", stuck and not escalates),
+            ("iteration_cap", s.iteration >= m.iteration_cap),
+            (f"catastrophic_skeptic:{shared}", bool(shared)),
+        )
+        if escalates:
+            s.breakthrough, s.in_breakthrough, s.entries = True, 0, s.entries + 1
+            self._replace("STATE.json", asdict(s))
+            append_jsonl(self.folder / "breakthroughs.jsonl", {"entry": s.entries, "iteration": s.iteration, "best": s.best, "queries": literature_queries(self.mission)})
+        return [name for name, holds in rules if holds]
 
     def halted(self) -> bool:
         return any(r != "escalation_required" for r in self.stop_reasons())
@@ -236,6 +313,24 @@ class Project:
         return {"best": best, "confidence": "high" if met and best["verdict"] == "ACCEPT" else "medium" if met or len(newest) >= LEAST_FAMILIES else "low", "evidence": evidence}
 
 
+def projects_in(workspace: str | Path) -> list[dict]:
+    """The status of every project folder."""
+    return [Project(p.parent).status() for p in sorted(Path(workspace).glob("*/MISSION.json"))]
+
+
+def literature_queries(mission: Mission, capability: str = "") -> list[str]:
+    """Search strings for a task, from the more to the less special."""
+    about = [w for w in (mission.domain.replace("_", " ") if mission.domain != "general" else "", mission.target.replace("_", " ")) if w]
+    return [" ".join([*about, tail]) for tail in (capability.replace("_", " ") or "prediction", "feature engineering", "state of the art")]
+
+
+def literature_hits(hits: Iterable[dict], k: int = 10) -> list[dict]:
+    """Hits in one form, one of each title, newest and then best first."""
+    rows = [{"title": str(h.get("title") or "").strip(), "year": int(h["year"]) if str(h.get("year") or "").isdigit() else 0, "score": float(h.get("score") or 0.0), "url": h.get("url") or h.get("link") or ""} for h in hits]
+    best = {r["title"].lower(): r for r in sorted(rows, key=lambda r: (r["year"], r["score"])) if r["title"]}
+    return sorted(best.values(), key=lambda r: (-r["year"], -r["score"], r["title"]))[:k]
+
+
 @dataclass
 class Library:
     """Findings of finished projects: hypotheses and similarity vectors, one JSON line each; the latest of a project wins."""
@@ -246,8 +341,8 @@ class Library:
     def __post_init__(self) -> None:
         self.rows = list({r["project"]: r for r in read_jsonl(self.path) if "project" in r}.values())
 
-    def add(self, project: str, vector: list[float], hypotheses: list[dict], capability: str, tier: int = 0) -> None:
-        row = {"project": project, "vector": vector, "hypotheses": hypotheses, "capability": capability, "tier": tier}
+    def add(self, project: str, vector: list[float], hypotheses: list[dict], capability: str, tier: int = 0, domain: str = "general", failures: Iterable[dict] = ()) -> None:
+        row = {"project": project, "vector": vector, "hypotheses": hypotheses, "capability": capability, "tier": tier, "domain": domain, "failures": list(failures)}
         append_jsonl(self.path, row)
         self.__post_init__()
 
@@ -256,6 +351,19 @@ class Library:
         found = [(r["project"], cosine(r["vector"], vector) + 0.01 * r["tier"]) for r in self.rows]
         return sorted(found, key=lambda p: (-p[1], p[0]))[:k]
 
+    def summary(self, domain: str | None = None, capability: str | None = None) -> dict:
+        """How many projects and hypotheses there are, of which domains and capabilities."""
+        rows = [r for r in self.rows if (domain is None or r.get("domain") == domain) and (capability is None or r["capability"] == capability)]
+        return {"projects": len(rows), "hypotheses": sum(len(r["hypotheses"]) for r in rows), "domains": sorted({r.get("domain", "general") for r in rows}), "capabilities": sorted({r["capability"] for r in rows})}
+
+    def failures(self, capability: str | None = None) -> list[dict]:
+        """Failure clusters of the projects, the largest first."""
+        found = [{**c, "project": r["project"]} for r in self.rows if capability in (None, r["capability"]) for c in r.get("failures", [])]
+        return sorted(found, key=lambda c: (-c["n"], c["project"], c["cluster_id"]))
+
+    def project(self, name: str) -> dict | None:
+        return next((r for r in self.rows if r["project"] == name), None)
+
     def hypotheses(self, capability: str, least_gain: float = 0.0) -> list[dict]:
         found = [h for r in self.rows if r["capability"] == capability for h in r["hypotheses"] if h.get("gain", 0.0) >= least_gain]
         return sorted(found, key=lambda h: -h.get("gain", 0.0))

@@ -14,8 +14,19 @@ def contains_any(text: Column, hints: tuple[str, ...]) -> Column:
 
 def name_words(text: Column) -> Column:
     """Words of a name, cut at underscores, hyphens, spaces and lower-to-upper changes."""
-    cut = F.lower(F.regexp_replace(text, r"([a-z0-9])([A-Z])", "$1_$2"))
-    return F.filter(F.split(F.regexp_replace(cut, r"[\s\-]+", "_"), "_"), lambda w: w != "")
+    apart = F.lower(F.regexp_replace(text, r"(?<=[a-z0-9])(?=[A-Z])", " "))
+    return F.filter(F.split(apart, r"[_\s-]+"), lambda w: w != "")
+
+
+def slug(text: Column) -> Column:
+    """Lower case, runs of anything but ASCII letters and digits as one hyphen, none at the ends."""
+    return F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", "-"), r"^-|-$", "")
+
+
+def role_of(name: Column, roles: dict[str, tuple[str, ...]]) -> Column:
+    """The first role that has a word of the name; null without one."""
+    words = name_words(name)
+    return F.coalesce(*[F.when(F.arrays_overlap(words, F.array(*map(F.lit, marks))), F.lit(role)) for role, marks in roles.items()])
 
 
 def fingerprint(*parts: Column) -> Column:

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import running
+
 BINS, TOP_PERCENTS = 15, (1, 2, 5, 10, 20)
 
 
@@ -46,16 +48,15 @@ def _by_score(df: DataFrame) -> DataFrame:
 
 def roc_auc(df: DataFrame) -> DataFrame:
     """Rank-sum form with ties at half; null for a single class."""
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = _by_score(df).select("pos", "neg", (F.col("pos") * (below + F.col("neg") / 2.0)).alias("won"))
+    won = running(_by_score(df), "p", {"below": F.col("neg")}).select("pos", "neg", (F.col("pos") * (F.col("below") + F.col("neg") / 2.0)).alias("won"))
     return won.agg(F.try_divide(F.sum("won"), F.sum("pos").cast("double") * F.sum("neg")).alias("roc_auc"))
 
 
 def average_precision(df: DataFrame) -> DataFrame:
     """Steps of recall times precision at each distinct score."""
-    down = Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    t = _by_score(df).select("pos", F.sum("pos").over(down).alias("tp"), F.sum(F.col("pos") + F.col("neg")).over(down).alias("n"))
-    return t.agg(F.try_divide(F.sum(F.col("pos") * (F.col("tp") / F.col("n"))), F.sum("pos").cast("double")).alias("average_precision"))
+    t = running(_by_score(df), "p", {"tp": F.col("pos"), "n": F.col("pos") + F.col("neg")}, descending=True)
+    tp, n = F.col("tp") + F.col("pos"), F.col("n") + F.col("pos") + F.col("neg")
+    return t.agg(F.try_divide(F.sum(F.col("pos") * (tp / n)), F.sum("pos").cast("double")).alias("average_precision"))
 
 
 def top_rows(df: DataFrame, n: int, tiebreak: str = "id") -> DataFrame:
@@ -67,18 +68,38 @@ def precision_at(df: DataFrame, k: int = 10) -> DataFrame:
     return top_rows(df, k).agg(F.avg(_y()).alias("precision_at_k"))
 
 
-def top_percent(df: DataFrame, percents: tuple[int, ...] = TOP_PERCENTS) -> DataFrame:
-    """recall, precision and lift of the best-scored hundredths: a row for each percentage. Sizes are rounded half to even."""
-    n, positives = df.agg(F.count(F.lit(1)), F.sum(_y())).first()
-    rows = []
-    for percent in percents if n else ():
-        size = max(1, min(n, round(percent / 100 * n)))
-        rows.append(top_rows(df, size).agg(F.lit(percent).alias("percent"), F.sum(_y()).alias("hit"), F.lit(float(size)).alias("size")))
-    out = rows[0]
-    for row in rows[1:]:
-        out = out.unionByName(row)
-    total, base = F.lit(float(positives or 0)), F.lit(float(positives or 0) / n)
-    return out.select("percent", F.try_divide("hit", total).alias("recall"), F.try_divide("hit", "size").alias("precision"), F.try_divide(F.try_divide("hit", "size"), base).alias("lift"))
+def top_percent(df: DataFrame, percents: tuple[int, ...] = TOP_PERCENTS, tiebreak: str = "id") -> DataFrame:
+    """recall, precision and lift of the best-scored hundredths: a row for each percentage. Sizes are rounded half to even.
+
+    Places come from running sums over ranges of scores, so the best rows never meet in one task.
+    """
+    rows = df.select(_y().alias("y"), _p().alias("p"), tiebreak)
+    placed = running(rows, "p", {"place": F.lit(1).cast("long")}, then=[tiebreak], descending=True)
+    total = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("positives"))
+    sizes = total.select("n", "positives", F.explode(F.array(*map(F.lit, percents))).alias("percent"))
+    sizes = sizes.where("n > 0").withColumn("size", F.greatest(F.lit(1), F.least(F.col("n"), F.bround(F.col("percent") / 100.0 * F.col("n")).cast("long"))))
+    # One row for each percentage; a row of data is in the shares of those whose size is above its place.
+    shares = sizes.groupBy().agg(F.collect_list(F.struct("percent", "size", "positives", "n")).alias("shares"))
+    within = placed.join(F.broadcast(shares)).select("y", F.explode(F.filter("shares", lambda x: x["size"] > F.col("place"))).alias("x"))
+    hit = within.groupBy("x").agg(F.sum("y").alias("hit")).select("x.*", "hit")
+    positives, precision = F.col("positives"), F.try_divide(F.col("hit"), F.col("size").cast("double"))
+    return hit.select("percent", F.try_divide(F.col("hit"), positives).alias("recall"), precision.alias("precision"), F.try_divide(precision, positives / F.col("n")).alias("lift"))
+
+
+def _one_of(values: DataFrame, percent: int, name: str) -> DataFrame:
+    return values.where(F.col("percent") == percent).select(F.col(name).alias(f"{name}_at_{percent}"))
+
+
+def recall_at_top(df: DataFrame, percent: int) -> DataFrame:
+    return _one_of(top_percent(df, (percent,)), percent, "recall")
+
+
+def precision_at_top(df: DataFrame, percent: int) -> DataFrame:
+    return _one_of(top_percent(df, (percent,)), percent, "precision")
+
+
+def lift_at_top(df: DataFrame, percent: int) -> DataFrame:
+    return _one_of(top_percent(df, (percent,)), percent, "lift")
 
 
 def ece(df: DataFrame, bins: int = BINS) -> DataFrame:
@@ -110,8 +131,7 @@ def ndcg(df: DataFrame, k: int = 10) -> DataFrame:
 def average_ranks(df: DataFrame, column: str) -> DataFrame:
     """Each distinct value of a column with its average rank, from counts per value."""
     counts = df.groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return counts.select("v", (before + (F.col("n") + 1) / 2.0).alias("rank"))
+    return running(counts, "v", {"before": F.col("n")}).select("v", (F.col("before") + (F.col("n") + 1) / 2.0).alias("rank"))
 
 
 def spearman(df: DataFrame) -> DataFrame:
@@ -125,21 +145,59 @@ def spearman(df: DataFrame) -> DataFrame:
 def concordance(df: DataFrame) -> DataFrame:
     """Share of pairs with different times in which the shorter time has the higher risk, ties of risk not counted as concordant.
 
-    Counted per distinct time and risk with running sums over risk for each time, so it
-    is for outcomes of few distinct times; work grows with times times risks, not rows squared.
+    Distinct times get places. Two places part at one level of the binary tree above them,
+    so each row stands once a level in the half of a block, and in every block rows of the
+    second half count the rows of the first that have a higher risk, by running sums: work
+    is rows times the logarithm of the number of times, and no pair is made.
     """
-    cells = df.groupBy(_y().alias("y"), _p().alias("p")).agg(F.count(F.lit(1)).alias("n"))
-    times = df.select(_y().alias("t")).distinct()
-    totals = df.groupBy(_y().alias("y")).agg(F.count(F.lit(1)).alias("n"))
-    later = Window.orderBy("y").rowsBetween(1, Window.unboundedFollowing)
-    comparable = totals.agg(F.lit(1)).join(F.broadcast(totals.select((F.col("n") * F.coalesce(F.sum("n").over(later), F.lit(0))).alias("c")).agg(F.sum("c").alias("all")))).select("all")
-    # Each cell is counted for every earlier time: rows with that time and a higher risk.
-    offered = cells.join(times, F.col("y") > F.col("t"), "inner").select(F.col("t").alias("time"), "p", F.col("n").alias("ask"), F.lit(0).cast("long").alias("own"))
-    own = cells.select(F.col("y").alias("time"), "p", F.lit(0).cast("long").alias("ask"), F.col("n").alias("own"))
-    by_risk = offered.unionByName(own).groupBy("time", "p").agg(F.sum("ask").alias("ask"), F.sum("own").alias("own"))
-    higher = F.coalesce(F.sum("own").over(Window.partitionBy("time").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    right = by_risk.select((F.col("ask") * higher).alias("c")).agg(F.sum("c").alias("right"))
-    return right.join(F.broadcast(comparable)).select(F.try_divide(F.col("right").cast("double"), F.col("all")).alias("concordance"))
+    cells = df.groupBy(_y().alias("y"), _p().alias("p")).agg(F.count(F.lit(1)).alias("n")).where("y is not null and p is not null")
+    times = cells.groupBy("y").agg(F.sum("n").alias("of_time"))
+    placed = running(times, "y", {"place": F.lit(1).cast("long"), "before": F.col("of_time")})
+    comparable = placed.agg(F.sum(F.col("of_time") * F.col("before")).alias("all"))
+    levels = max(1, (max(1, times.count()) - 1).bit_length())
+    rows = cells.join(placed.select(F.col("y").alias("t"), "place"), F.col("y") == F.col("t")).select("p", "n", "place", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("level"))
+    second = F.expr("(shiftright(place, level) & 1) = 1")
+    halves = rows.groupBy("level", F.expr("shiftright(place, level + 1)").alias("block"), "p").agg(F.sum(F.when(second, F.lit(0)).otherwise(F.col("n"))).alias("first"), F.sum(F.when(second, F.col("n")).otherwise(F.lit(0))).alias("second"))
+    counted = running(halves, "p", {"higher": F.col("first")}, by=["level", "block"], descending=True)
+    right = counted.agg(F.sum(F.col("second") * F.col("higher")).alias("right"))
+    return right.join(F.broadcast(comparable)).select(F.try_divide(F.col("right").cast("double"), F.col("all").cast("double")).alias("concordance"))
+
+
+def _nothing(name: str):
+    """A metric that is named but not defined: null."""
+    return lambda df: df.sparkSession.range(1).select(F.lit(None).cast("double").alias(name))
+
+
+#: Metrics by name, beside AGGREGATES; the names without a percentage mean 10.
+NAMED = {
+    "roc_auc": roc_auc,
+    "average_precision": average_precision,
+    "precision_at_k": precision_at,
+    "ece": ece,
+    "expected_calibration_error": ece,
+    "ndcg": ndcg,
+    "ndcg_at_10": ndcg,
+    "spearman": spearman,
+    "spearman_rank_corr": spearman,
+    "concordance": concordance,
+    "concordance_index": concordance,
+    "recall_at_top_k": lambda df: recall_at_top(df, 10),
+    "precision_at_top_k": lambda df: precision_at_top(df, 10),
+    "lift_at_top_k": lambda df: lift_at_top(df, 10),
+    "top_k_capture_rate": lambda df: recall_at_top(df, 10),
+    "ibs": _nothing("ibs"),
+    "cumulative_dynamic_auc": _nothing("cumulative_dynamic_auc"),
+}
+for _percent in TOP_PERCENTS:
+    for _name, _fn in (("recall", recall_at_top), ("precision", precision_at_top), ("lift", lift_at_top)):
+        NAMED[f"{_name}_at_top_pct_{_percent}"] = lambda df, fn=_fn, percent=_percent: fn(df, percent)
+
+
+def named(name: str):
+    """The function of a metric's name, or None."""
+    if name in AGGREGATES:
+        return lambda df: plain(df, [name])
+    return NAMED.get(name)
 
 
 def focal_loss(df: DataFrame, gamma: float = 2.0, alpha: float = 0.25) -> DataFrame:
@@ -148,19 +206,21 @@ def focal_loss(df: DataFrame, gamma: float = 2.0, alpha: float = 0.25) -> DataFr
     return df.agg(F.avg(value).alias("focal_loss"))
 
 
-def check_metrics(values: dict[str, float | None], train: dict[str, float | None] | None = None, n_features: int = 10**9, primary: str | None = None) -> dict:
-    """The sceptic's verdict: FAIL for non-finite or impossible values, WARN for a wide train gap or for scores too good with few features."""
+def check_metrics(values: dict[str, float | None], train: dict[str, float | None] | None = None, n_features: int = 10**9, primary: str | None = None, strict: bool = False) -> dict:
+    """The sceptic's verdict: FAIL for non-finite or impossible values, WARN (strict: FAIL) for a wide train gap or for scores too good with few features."""
     failed, warned = [], []
     finite = {k: v for k, v in values.items() if v is not None and math.isfinite(v)}
     if primary and primary not in finite:
         failed.append("finite_metric")
     if any(v is not None and not math.isfinite(v) for v in values.values()):
         failed.append("nan_metrics")
-    unit = ("roc_auc", "average_precision", "brier", "ece", "ndcg", "concordance")
+    unit = ("roc_auc", "average_precision", "brier", "ece", "expected_calibration_error", "ndcg", "ndcg_at_10", "concordance", "concordance_index")
     if any(not -1e-9 <= finite[k] <= 1 + 1e-9 for k in unit if k in finite):
         failed.append("metric_in_range")
     if train and primary in finite and train.get(primary) is not None and abs(train[primary] - finite[primary]) > 0.25:
         warned.append("train_val_gap")
     if finite.get("roc_auc", 0) >= 0.99 and n_features < 10:
         warned.append("too_good_to_be_true")
+    if strict:
+        failed, warned = failed + warned, []
     return {"verdict": "FAIL" if failed else "WARN" if warned else "ACCEPT", "failed": failed, "warnings": warned}

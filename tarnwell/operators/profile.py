@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .running import quantiles
+
 #: Name hints and identifier words (fixed values).
 TIME_HINTS = ("time", "ts", "date", "datetime", "timestamp", "created_at", "event_at", "_dt")
 TARGET_HINTS = ("target", "label", "y", "defect", "fail", "outcome", "yield", "demand", "sales", "is_", "_flag")
@@ -46,35 +48,69 @@ def known(df: DataFrame, column: str) -> Column:
     return F.when(~F.isnan(c), c) if isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType)) else c
 
 
-def column_profile(df: DataFrame) -> DataFrame:
-    """One row per column: n_total, n_missing, n_unique, semantic, and of numbers min, max, mean, stdev and the quantiles.
+def _cells(df: DataFrame) -> DataFrame:
+    """column, d (of numbers), key (exact form of a known value) and n, of every distinct value: columns are unpivoted before they are counted, in one shuffle."""
+    values = []
+    for f in df.schema.fields:
+        c = known(df, f.name)
+        number = is_numeric(f.dataType)
+        whole = isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+        nested = isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType))
+        text = None if whole or isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.to_json(c) if nested else c.cast("string")
+        value = {"column": F.lit(f.name), "d": c.cast("double") if number else None, "l": c.cast("long") if whole else None, "s": text}
+        kinds = {"column": "string", "d": "double", "l": "long", "s": "string"}
+        values.append(F.struct(*[(F.lit(None) if v is None else v).cast(kinds[k]).alias(k) for k, v in value.items()]))
+    return df.select(F.explode(F.array(*values)).alias("v")).select("v.*").groupBy("column", "d", "l", "s").agg(F.count(F.lit(1)).alias("n"))
 
-    One aggregate over the whole table computes all columns; the rows are cut from its single result row.
+
+def column_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
+    """One row per column: n_total, n_missing, n_unique, semantic, and of numbers and times min, max (times as seconds), mean, stdev and the quantiles.
+
+    Counts and moments are one aggregate. Distinct values and quantiles are exact, from
+    counts of values and their running sums, so no task has all values of a column;
+    approximate takes sketches instead, in the same pass, for columns with as many values as rows.
     """
     parts = []
     for f in df.schema.fields:
         c = known(df, f.name)
         number = is_numeric(f.dataType)
+        clock = isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))
         value = c.cast("double") if number else F.lit(None).cast("double")
+        bound = c.cast("timestamp").cast("double") if clock else value
         nested = isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType))
+        sketched = [] if not approximate else [
+            F.approx_count_distinct(F.to_json(c) if nested else c, 0.01).alias("n_unique"),
+            (F.percentile_approx(value, F.array(*map(F.lit, QUANTILES)), 10_000) if number else F.lit(None).cast("array<double>")).alias("quantiles"),
+        ]
         parts.append(
             F.struct(
                 F.lit(f.name).alias("column"),
                 F.count(F.lit(1)).alias("n_total"),
                 F.count_if(c.isNull()).alias("n_missing"),
-                F.count_distinct(F.to_json(c) if nested else c).alias("n_unique"),
-                F.min(value).alias("min"),
-                F.max(value).alias("max"),
+                F.min(bound).alias("min"),
+                F.max(bound).alias("max"),
                 F.avg(value).alias("mean"),
                 (F.coalesce(F.stddev_samp(value), F.when(F.count(value) == 1, F.lit(0.0)))).alias("stdev"),
-                (F.percentile(value, F.array(*map(F.lit, QUANTILES))) if number else F.lit(None).cast("array<double>")).alias("quantiles"),
+                *sketched,
                 F.lit(_fixed_semantic(f.dataType)).alias("fixed"),
             ).alias(f"c{len(parts)}")
         )
     one = df.agg(*parts)
     rows = one.select(F.explode(F.array(*one.columns)).alias("r")).select("r.*")
+    if not approximate:
+        cells = _cells(df)
+        unique = cells.groupBy("column").agg(F.count_if(F.coalesce(F.col("d").cast("string"), F.col("s")).isNotNull()).alias("n_unique"))
+        rows = rows.join(F.broadcast(unique.select(F.col("column").alias("of"), F.col("n_unique").alias("known"))), F.col("column") == F.col("of"), "left")
+        rows = rows.withColumn("n_unique", F.coalesce("known", F.lit(0).cast("long"))).drop("of", "known")
+        if numeric_columns(df):
+            # Rows of one column each.
+            found = quantiles(cells.where("d is not null"), "d", "n", QUANTILES, by=["column"]).withColumnRenamed("column", "of")
+            rows = rows.join(F.broadcast(found), F.col("column") == F.col("of"), "left").drop("of")
+        else:
+            rows = rows.withColumn("quantiles", F.lit(None).cast("array<double>"))
     text_from = F.greatest(F.lit(50), F.floor(F.sqrt(F.col("n_total"))))
-    return rows.withColumn("semantic", F.coalesce("fixed", F.when(F.col("n_unique") <= text_from, F.lit("categorical")).otherwise(F.lit("text")))).drop("fixed")
+    rows = rows.withColumn("semantic", F.coalesce("fixed", F.when(F.col("n_unique") <= text_from, F.lit("categorical")).otherwise(F.lit("text"))))
+    return rows.select("column", "n_total", "n_missing", "n_unique", "min", "max", "mean", "stdev", "quantiles", "semantic")
 
 
 def _fixed_semantic(kind: T.DataType) -> str | None:
@@ -106,28 +142,31 @@ def looks_like_time(df: DataFrame, column: str) -> bool:
     return bool(n) and ok > 0.9 * n
 
 
+#: What a profile's row must be like for a role.
+ROLES = {
+    "time": lambda row: row["semantic"] == "datetime" or (hinted(row["column"], TIME_HINTS) and bool(row.get("parses_as_time"))),
+    "target": lambda row: hinted(row["column"], TARGET_HINTS),
+    "id": lambda row: looks_like_id(row["column"]) and row["n_unique"] >= max(1, int(0.95 * row["n_total"])),
+}
+
+
 def likely_roles(profile: list[dict]) -> dict[str, list[str]]:
-    """Likely time, target and id columns of a profile's rows; an id has a name like one and nearly one value per row."""
-    roles: dict[str, list[str]] = {"time": [], "target": [], "id": []}
-    for row in profile:
-        name = row["column"]
-        if row["semantic"] == "datetime" or hinted(name, TIME_HINTS) and row.get("parses_as_time"):
-            roles["time"].append(name)
-        if hinted(name, TARGET_HINTS):
-            roles["target"].append(name)
-        if looks_like_id(name) and row["n_unique"] >= max(1, int(0.95 * row["n_total"])):
-            roles["id"].append(name)
-    return roles
+    """The columns of a profile that each role's test passes; an id has a name like one and nearly one value per row."""
+    return {role: [row["column"] for row in profile if test(row)] for role, test in ROLES.items()}
 
 
 def propose_joins(columns: dict[str, list[str]]) -> list[dict]:
-    """For each pair of tables that share key-like or time-like names: an inner join on them."""
-    found = []
-    for (a, of_a), (b, of_b) in combinations(sorted(columns.items()), 2):
-        shared = [c for c in of_a if c in set(of_b) and (looks_like_id(c) or hinted(c, TIME_HINTS))]
-        if shared:
-            found.append({"left": a, "right": b, "on": shared, "how": "inner"})
-    return found
+    """For each pair of tables that share key-like or time-like names: an inner join on them, in the left table's order."""
+    holders: dict[str, list[str]] = {}
+    for table, names in sorted(columns.items()):
+        for name in dict.fromkeys(names):
+            if looks_like_id(name) or hinted(name, TIME_HINTS):
+                holders.setdefault(name, []).append(table)
+    shared: dict[tuple[str, str], list[str]] = {}
+    for name, tables in holders.items():
+        for pair in combinations(tables, 2):
+            shared.setdefault(pair, []).append(name)
+    return [{"left": a, "right": b, "on": sorted(names, key=columns[a].index), "how": "inner"} for (a, b), names in sorted(shared.items())]
 
 
 def inspect_tables(tables: dict[str, DataFrame]) -> dict:

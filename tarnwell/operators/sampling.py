@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .running import quantiles, ranked
+
 ROWS = 5000
 
 
@@ -24,20 +26,26 @@ def class_weights(df: DataFrame, target: str) -> DataFrame:
     return _mean_one(joined, 1.0 / F.col("__n")).drop("__class", "__n")
 
 
+def median_of(df: DataFrame, value: str) -> DataFrame:
+    """One row and column, median: exact, from counts of values and their running sums."""
+    cells = df.groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    return quantiles(cells, "v", "n", (0.5,)).select(F.col("quantiles")[0].alias("median"))
+
+
 def regression_weights(df: DataFrame, target: str) -> DataFrame:
     """1 + distance from the median over the median distance (0 counts as 1), mean 1."""
-    middle = df.agg(F.percentile(target, 0.5).alias("__median"))
+    middle = median_of(df, target).select(F.col("median").alias("__median"))
     off = df.join(F.broadcast(middle)).withColumn("__off", F.abs(F.col(target) - F.col("__median")))
-    mad = off.agg(F.coalesce(F.nullif(F.percentile("__off", 0.5), F.lit(0.0)), F.lit(1.0)).alias("__mad"))
+    mad = median_of(off, "__off").select(F.coalesce(F.nullif("median", F.lit(0.0)), F.lit(1.0)).alias("__mad"))
     return _mean_one(off.join(F.broadcast(mad)), 1 + F.col("__off") / F.col("__mad")).drop("__median", "__off", "__mad")
 
 
 def recency_weights(df: DataFrame, time: str) -> DataFrame:
     """0.1 to 2.0 by dense rank of time, mean 1. Ranks are of distinct times only."""
     times = df.select(F.col(time).alias("__t")).distinct()
-    ranks = times.withColumn("__rank", F.dense_rank().over(Window.orderBy("__t")) - 1)
-    ranks = ranks.withColumn("__top", F.max("__rank").over(Window.partitionBy(F.lit(1))))
-    joined = df.join(ranks, F.col(time).eqNullSafe(F.col("__t")))
+    ranks = ranked(times, "__t", name="__rank")
+    top = times.agg((F.count(F.lit(1)) - 1).alias("__top"))
+    joined = df.join(ranks, F.col(time).eqNullSafe(F.col("__t"))).join(F.broadcast(top))
     return _mean_one(joined, 0.1 + 1.9 * F.coalesce(F.try_divide("__rank", "__top"), F.lit(1.0))).drop("__t", "__rank", "__top")
 
 
@@ -52,9 +60,9 @@ def weighted_sample(df: DataFrame, weight: str, key: Sequence[str], rows: int =
     return drawn.join(F.broadcast(total)).withColumn(weight, F.col(weight) * F.col("__n") / F.col("__sum")).drop("__sum", "__n")
 
 
-def stratified_fold(target: str, order: Sequence[str], k: int = 5) -> Column:
-    """Fold by turns within each class, in a given order."""
-    return F.pmod(F.row_number().over(Window.partitionBy(target).orderBy(*order)) - 1, F.lit(k)).cast("int")
+def stratified_folds(df: DataFrame, target: str, order: str, k: int = 5) -> DataFrame:
+    """df with fold: by turns within each class, in the order of a number or time; a class is cut into ranges, so none is one task's."""
+    return ranked(df, order, by=[target], name="__place").withColumn("fold", F.pmod(F.col("__place"), F.lit(k)).cast("int")).drop("__place")
 
 
 def hashed_fold(key: Sequence[str], k: int = 5, seed: int = 0) -> Column:
@@ -65,16 +73,22 @@ def hashed_fold(key: Sequence[str], k: int = 5, seed: int = 0) -> Column:
 def group_folds(df: DataFrame, group: str, k: int = 5) -> DataFrame:
     """group and fold: larger groups first, dealt to and fro, so that folds are of like sizes."""
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    place = F.row_number().over(Window.orderBy(F.desc("n"), group)) - 1
-    turn = F.pmod(place, F.lit(2 * k))
-    return sizes.select(group, F.when(turn < k, turn).otherwise(2 * k - 1 - turn).cast("int").alias("fold"))
+    turn = F.pmod(F.col("place"), F.lit(2 * k))
+    return ranked(sizes.withColumn("__less", -F.col("n")), "__less", then=[group]).select(group, F.when(turn < k, turn).otherwise(2 * k - 1 - turn).cast("int").alias("fold"))
 
 
 def time_folds(df: DataFrame, time: str, key: str, splits: int = 5, parts: int = 6, gap: int = 0) -> DataFrame:
     """key, fold and role (train or valid) of an expanding split: fold i trains on the first i parts and validates on the next, gap rows later."""
-    placed = df.select(key, F.row_number().over(Window.orderBy(time, key)).alias("place"), F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))).alias("n"))
-    chunk = F.floor(F.col("n") / parts)
-    folds = placed.select(key, "place", chunk.alias("chunk"), F.explode(F.sequence(F.lit(1), F.lit(splits))).alias("fold"))
+    total = df.agg(F.floor(F.count(F.lit(1)) / parts).alias("chunk"))
+    placed = ranked(df.select(key, time), time, then=[key]).join(F.broadcast(total)).select(key, (F.col("place") + 1).alias("place"), "chunk")
+    folds = placed.select(key, "place", "chunk", F.explode(F.sequence(F.lit(1), F.lit(splits))).alias("fold"))
     start, end = F.col("fold") * F.col("chunk"), F.col("fold") * F.col("chunk") + gap
     role = F.when(F.col("place") <= start, F.lit("train")).when((F.col("place") > end) & (F.col("place") <= end + F.col("chunk")), F.lit("valid"))
     return folds.select(key, "fold", role.alias("role")).where("role is not null")
+
+
+def positional_split(df: DataFrame, time: str, key: str, share: float = 0.8) -> DataFrame:
+    """df with role: the first share of the rows in time order train, the others valid."""
+    total = df.agg(F.floor(F.count(F.lit(1)) * F.lit(share)).alias("__train"))
+    placed = ranked(df, time, then=[key], name="__place").join(F.broadcast(total))
+    return placed.withColumn("role", F.when(F.col("__place") < F.col("__train"), F.lit("train")).otherwise(F.lit("valid"))).drop("__place", "__train")

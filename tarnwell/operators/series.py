@@ -9,7 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import ranked
+
 WINDOW = 64
+#: Rows of a series up to which pelt is tried.
+PELT_ROWS = 5000
 
 
 def moving_profile(df: DataFrame, time: str, value: str, by: list[str] | None = None, window: int = WINDOW) -> DataFrame:
@@ -105,25 +109,27 @@ def regime_bounds(alarms: list[int], n: int, most: int = 8) -> list[int]:
     return kept[: most - 1]
 
 
-def change_points(df: DataFrame, time: str, value: str, by: list[str], method: str = "cusum", pelt_rows: int = 5000) -> DataFrame:
-    """by columns and place of the regimes' bounds, one task for each series, which is an inherently sequential scan."""
+def change_points(df: DataFrame, time: str, value: str, by: list[str], method: str = "cusum", pelt_rows: int = PELT_ROWS) -> DataFrame:
+    """by columns, place of the regimes' bounds and the method that found them, one task for each series, which is an inherently sequential scan.
+
+    pelt needs memory of the square of a series' length, so series of over pelt_rows are searched by cusum; the column method says so.
+    """
 
     def scan(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(time)
         v = part[value].astype(float).ffill().bfill().fillna(0.0).to_numpy()
-        alarms = pelt_rbf(v) if method == "pelt" and len(v) <= pelt_rows else cusum(v)
-        places = regime_bounds(alarms, len(v))
-        return pd.DataFrame({**{c: [part[c].iloc[0]] * len(places) for c in by}, "place": places}).astype({"place": "int64"})
+        used = "pelt" if method == "pelt" and len(v) <= pelt_rows else "cusum"
+        places = regime_bounds(pelt_rbf(v) if used == "pelt" else cusum(v), len(v))
+        return pd.DataFrame({**{c: [part[c].iloc[0]] * len(places) for c in by}, "place": places, "method": [used] * len(places)}).astype({"place": "int64"})
 
     kinds = dict(df.dtypes)
-    return df.select(*by, time, value).groupBy(*by).applyInPandas(scan, ", ".join(f"{c} {kinds[c]}" for c in by) + ", place long")
+    return df.select(*by, time, value).groupBy(*by).applyInPandas(scan, ", ".join(f"{c} {kinds[c]}" for c in by) + ", place long, method string")
 
 
 def regime_summary(df: DataFrame, time: str, value: str, bounds: list[int]) -> DataFrame:
     """Size, mean, deviation and share above 0 of a value by regime, the regimes bounded by row places in time order."""
-    place = F.row_number().over(Window.orderBy(time)) - 1
     regime = sum(((F.col("place") >= b).cast("int") for b in bounds), F.lit(0))
-    return df.select(value, place.alias("place")).withColumn("regime", regime).groupBy("regime").agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("stdev"), F.avg((F.col(value) > 0).cast("double")).alias("rate"))
+    return ranked(df.select(time, value), time).withColumn("regime", regime).groupBy("regime").agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("stdev"), F.avg((F.col(value) > 0).cast("double")).alias("rate"))
 
 
 def matrix_profile(values: np.ndarray, m: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:

@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import running
+
 
 def safe_corr(a: Column, b: Column) -> Column:
     """Pearson's correlation over rows where both are known; null for a constant."""
@@ -105,13 +107,13 @@ def dependence_graph(df: DataFrame, columns: list[str], alpha: float = 0.05, max
 def ks_statistic(df: DataFrame, value: str, side: Column) -> DataFrame:
     """The two-sample Kolmogorov-Smirnov statistic: the largest gap between cumulative shares.
 
-    Counts per distinct value are aggregated first, so the running window holds values, not rows.
+    Counts per distinct value are aggregated first, and their running sums go by ranges of values.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count_if(side).alias("a"), F.count_if(~side).alias("b"))
-    running = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy(F.lit(1))
-    gap = F.abs(F.sum("a").over(running) / F.sum("a").over(every) - F.sum("b").over(running) / F.sum("b").over(every))
-    return counts.select(gap.alias("gap")).agg(F.max("gap").alias("ks"))
+    sums = running(counts, "v", {"below_a": F.col("a"), "below_b": F.col("b")})
+    total = counts.agg(F.sum("a").alias("all_a"), F.sum("b").alias("all_b"))
+    gap = F.abs(F.try_divide(F.col("below_a") + F.col("a"), F.col("all_a")) - F.try_divide(F.col("below_b") + F.col("b"), F.col("all_b")))
+    return sums.join(F.broadcast(total)).agg(F.max(gap).alias("ks"))
 
 
 def ks_p(statistic: float, n: int, m: int) -> float:

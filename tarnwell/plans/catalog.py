@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnwell.functions import scalars as S
-from tarnwell.operators import clusters, joins, metrics, profile, sampling, series, statistics
+from tarnwell.control import models
+from tarnwell.operators import clusters, joins, metrics, profile, sampling, sensors, series, statistics, vectors
 from tarnwell.plans.features import Context, expand
+from tarnwell.sources import tables
 from tarnwell.sources.tables import latest_wins
 from tarnwell.streaming import windows
 
@@ -37,15 +39,15 @@ def r(column, digits: int = 6):
 # --- scans, joins -----------------------------------------------------------------
 
 
-@query("scan_filter_project", "SELECT l_orderkey, l_partkey, l_quantity, l_extendedprice * (1 - l_discount) AS revenue FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-01-01' AND l_quantity >= 25")
+@query("scan_filter_project", "SELECT l_orderkey, l_partkey, l_quantity, l_extendedprice * (1 - l_discount) AS revenue FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-01-01' AND l_quantity >= 25")
 def _(spark, d):
-    li = _t(spark, d, "lineitem").where((F.col("l_shipdate") < F.expr("timestamp_ntz'1995-01-01'")) & (F.col("l_quantity") >= 25))
+    li = _t(spark, d, "lineitem").where((F.col("l_shipdate") < F.expr("timestamp_ntz'1998-01-01'")) & (F.col("l_quantity") >= 25))
     return li.select("l_orderkey", "l_partkey", "l_quantity", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"))
 
 
 def _customer_orders(spark, d):
-    c = _t(spark, d, "customer").select("c_custkey", "c_mktsegment", F.col("c_acctbal").alias("value")).where("c_custkey % 3 <> 0")
-    o = _t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", F.col("o_totalprice").alias("value")).where("o_orderkey % 2 = 0")
+    c = _t(spark, d, "customer").select("c_custkey", "c_mktsegment", F.col("c_acctbal").alias("value"))
+    o = _t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", F.col("o_totalprice").alias("value"))
     return c, o
 
 
@@ -53,7 +55,7 @@ for _how, _sql in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JO
     query(
         f"join_{_how}",
         f"""SELECT coalesce(c.c_custkey, o.o_custkey) AS c_custkey, c.c_mktsegment, c.c_acctbal AS value, o.o_orderkey, o.o_totalprice AS value_orders
-FROM (SELECT * FROM customer WHERE c_custkey % 3 <> 0) c {_sql} (SELECT * FROM orders WHERE o_orderkey % 2 = 0) o ON c.c_custkey = o.o_custkey""",
+FROM customer c {_sql} orders o ON c.c_custkey = o.o_custkey""",
     )(lambda spark, d, how=_how: joins.equi_join(*_customer_orders(spark, d), ["c_custkey"], how, "orders"))
 
 
@@ -196,7 +198,8 @@ def _(spark, d):
 
 @query("dependence_graph")
 def _(spark, d):
-    edges = statistics.dependence_graph(_t(spark, d, "lineitem"), _NUM)
+    li = _t(spark, d, "lineitem").select("l_quantity", "l_extendedprice", "l_tax", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net"), (F.col("l_extendedprice") * F.col("l_tax")).alias("tax_paid"))
+    edges = statistics.dependence_graph(li, li.columns)
     return spark.createDataFrame([(e["src"], e["dst"], e["kind"], round(e["weight"], 6)) for e in edges], "src string, dst string, kind string, weight double")
 
 
@@ -236,7 +239,16 @@ def _(spark, d):
     return series.moving_profile(_t(spark, d, "events"), "ts", "value", ["user_id"], 16).select("user_id", "ts", r(F.col("window_mean")).alias("window_mean"), r(F.col("distance")).alias("distance"))
 
 
-@query("sax_top_words")
+_SAX_LETTER = "CASE WHEN list_avg(w[{lo}:{hi}]) > 0.6744897501960817 THEN 'd' WHEN list_avg(w[{lo}:{hi}]) > 0 THEN 'c' WHEN list_avg(w[{lo}:{hi}]) > -0.6744897501960817 THEN 'b' ELSE 'a' END"
+_SAX_WORD = " || ".join(_SAX_LETTER.format(lo=4 * i + 1, hi=4 * i + 4) for i in range(8))
+
+
+@query(
+    "sax_top_words",
+    f"""WITH z AS (SELECT user_id, ts, (value - avg(value) OVER (PARTITION BY user_id)) / nullif(stddev_samp(value) OVER (PARTITION BY user_id), 0) AS z FROM events),
+x AS (SELECT user_id, list(coalesce(z, 0)) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN CURRENT ROW AND 31 FOLLOWING) AS w FROM z)
+SELECT word, n FROM (SELECT {_SAX_WORD} AS word, count(*) AS n FROM x WHERE len(w) = 32 GROUP BY 1) ORDER BY n DESC, word LIMIT 8""",
+)
 def _(spark, d):
     words = series.sax_words(_t(spark, d, "events"), "ts", "value", ["user_id"], 32)
     total = words.groupBy("word").agg(F.sum("n").alias("n"))
@@ -276,6 +288,51 @@ def _(spark, d):
     return clusters.cluster_rows(_t(spark, d, "events").select("event_type", "event_id", "value"), "event_type", "event_id", ["value"])
 
 
+@query(
+    "sensor_flatlines",
+    """WITH s AS (SELECT event_type, ts, floor(value / 25) AS v FROM events), m AS (SELECT *, CASE WHEN v IS NOT DISTINCT FROM lag(v) OVER w THEN 0 ELSE 1 END AS new FROM s WHERE v IS NOT NULL WINDOW w AS (PARTITION BY event_type ORDER BY ts, v)),
+k AS (SELECT *, sum(new) OVER (PARTITION BY event_type ORDER BY ts, v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM m)
+SELECT event_type, any_value(v) AS v, min(ts) AS start, max(ts) AS "end", count(*) AS n FROM k GROUP BY event_type, k HAVING count(*) > 1 AND epoch(max(ts)) - epoch(min(ts)) >= 3600""",
+)
+def _(spark, d):
+    e = _t(spark, d, "events").select("event_type", "ts", F.floor(F.col("value") / 25).cast("double").alias("v"))
+    return sensors.flatlines(e, "ts", "v", ["event_type"])
+
+
+@query(
+    "sensor_report",
+    """WITH x AS (SELECT event_type, date_trunc('minute', ts) AS t, CASE WHEN event_id % 9 <> 0 THEN value - 5 END AS v FROM events), m AS (SELECT event_type, avg(v) AS mean, stddev_samp(v) AS sd FROM x GROUP BY 1),
+t AS (SELECT event_type, t, count(*) AS n, count(*) FILTER (WHERE abs(v - mean) > 3 * sd) AS spikes, count(*) FILTER (WHERE v < 0) AS negative, count(*) FILTER (WHERE v IS NULL) AS missing FROM x JOIN m USING (event_type) GROUP BY 1, 2)
+SELECT event_type, CAST(sum(spikes) AS BIGINT) AS n_spikes, CAST(sum(n - 1) AS BIGINT) AS n_stale, CAST(sum(negative) AS BIGINT) AS n_negative, CAST(sum(missing) AS BIGINT) AS n_missing FROM t GROUP BY 1""",
+)
+def _(spark, d):
+    e = _t(spark, d, "events").select("event_type", F.date_trunc("minute", "ts").alias("t"), F.expr("if(event_id % 9 <> 0, value - 5, null)").alias("v"))
+    return sensors.readings_report(e, "t", "v", ["event_type"])
+
+
+@query(
+    "calendar_gaps",
+    """WITH t AS (SELECT DISTINCT user_id, date_trunc('hour', ts) AS after FROM events), g AS (SELECT *, lead(after) OVER (PARTITION BY user_id ORDER BY after) AS before FROM t)
+SELECT user_id, after, before, CAST(ceil((epoch(before) - epoch(after)) / 3600) - 1 AS BIGINT) AS n_missing FROM g WHERE (epoch(before) - epoch(after)) / 3600 > 1""",
+)
+def _(spark, d):
+    gaps = sensors.calendar_gaps(_t(spark, d, "events").select("user_id", F.date_trunc("hour", "ts").alias("ts")), "ts", ["user_id"], 3600)
+    return gaps.select("user_id", F.col("after").cast("timestamp_ntz").alias("after"), F.col("before").cast("timestamp_ntz").alias("before"), "n_missing")
+
+
+@query(
+    "window_functions",
+    """SELECT event_id, CAST(ntile(4) OVER w AS INTEGER) AS quarter, lead(value, 2) OVER w AS later, first_value(value) OVER w AS opening, nth_value(value, 3) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS third, round(percent_rank() OVER w, 9) AS share,
+count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000000 RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS last_hour FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""",
+)
+def _(spark, d):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    hour = Window.partitionBy("user_id").orderBy("second").rangeBetween(-3600, 0)
+    e = _t(spark, d, "events").withColumn("second", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000000))
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return e.select("event_id", F.ntile(4).over(w).alias("quarter"), F.lead("value", 2).over(w).alias("later"), F.first("value").over(w).alias("opening"), F.nth_value("value", 3).over(whole).alias("third"), F.round(F.percent_rank().over(w), 9).alias("share"), F.count(F.lit(1)).over(hour).alias("last_hour"))
+
+
 # --- features ---------------------------------------------------------------------------
 
 
@@ -392,7 +449,7 @@ def _(spark, d):
 
 @query("split_stratified", "SELECT o_orderkey, CAST((row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1) % 5 AS INTEGER) AS fold FROM orders")
 def _(spark, d):
-    return _t(spark, d, "orders").select("o_orderkey", sampling.stratified_fold("o_orderstatus", ["o_orderkey"]).alias("fold"))
+    return _t(spark, d, "orders").select("o_orderkey", "o_orderstatus").transform(sampling.stratified_folds, "o_orderstatus", "o_orderkey").select("o_orderkey", "fold")
 
 
 @query("split_group", "WITH s AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1), p AS (SELECT o_custkey, (row_number() OVER (ORDER BY n DESC, o_custkey) - 1) % 10 AS t FROM s) SELECT o_custkey, CAST(CASE WHEN t < 5 THEN t ELSE 9 - t END AS INTEGER) AS fold FROM p")
@@ -413,6 +470,17 @@ def _(spark, d):
     return sampling.time_folds(_t(spark, d, "events"), "ts", "event_id", parts=7, gap=6)
 
 
+@query("split_positional", "WITH p AS (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS k, count(*) OVER () AS n FROM events) SELECT event_id, CASE WHEN k < floor(n * 0.8) THEN 'train' ELSE 'valid' END AS role FROM p")
+def _(spark, d):
+    return sampling.positional_split(_t(spark, d, "events").select("event_id", "ts"), "ts", "event_id")
+
+
+@query("impute_median", "WITH e AS (SELECT event_id, CASE WHEN event_id % 6 <> 0 THEN value END AS value FROM events) SELECT event_id, round(coalesce(value, (SELECT median(value) FROM e)), 6) AS value FROM e")
+def _(spark, d):
+    e = _t(spark, d, "events").select("event_id", F.expr("if(event_id % 6 <> 0, value, double('NaN'))").alias("value"))
+    return models.imputed(e, ["value"]).select("event_id", r(F.col("value")).alias("value"))
+
+
 # --- metrics -------------------------------------------------------------------------------
 
 
@@ -493,15 +561,27 @@ def _(spark, d):
     return metrics.concordance(li).select(r(F.col("concordance")).alias("concordance"))
 
 
+@query("metric_aliases", f"WITH s AS (SELECT *, row_number() OVER (ORDER BY p DESC, id) AS k, count(*) OVER () AS n FROM {_S}), t AS (SELECT sum(y) FILTER (WHERE k <= greatest(1, least(n, round_even(0.1 * n, 0))))::DOUBLE AS hit, any_value(greatest(1, least(n, round_even(0.1 * n, 0))))::DOUBLE AS size, sum(y)::DOUBLE AS pos, count(*)::DOUBLE AS n FROM s) SELECT round(hit / pos, 6) AS top_k_capture_rate, round(hit / size, 6) AS precision_at_top_k, round(hit / size / (pos / n), 6) AS lift_at_top_k FROM t")
+def _(spark, d):
+    rows = _scored(spark, d)
+    parts = [metrics.named(n)(rows).toDF(n).select(r(F.col(n)).alias(n)) for n in ("top_k_capture_rate", "precision_at_top_k", "lift_at_top_k")]
+    return parts[0].join(F.broadcast(parts[1])).join(F.broadcast(parts[2]))  # one row each
+
+
+@query("metric_population", f"SELECT round(-avg(CASE WHEN y = 1 THEN ln(greatest(1e-7, least(1 - 1e-7, p))) ELSE ln(1 - greatest(1e-7, least(1 - 1e-7, p))) END), 6) AS log_loss_pop, round(avg((y - p) * (y - p)), 6) AS brier_pop FROM {_S}")
+def _(spark, d):
+    found = models.population(_scored(spark, d), ("log_loss", "brier", "ibs"))
+    return spark.createDataFrame([{k: round(v, 6) for k, v in found.items()}], "log_loss_pop double, brier_pop double")
+
+
 # --- vectors, logs, text --------------------------------------------------------------------
 
 
-@query("cosine_topk", "WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(similarity, 6) AS similarity FROM (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]) AS similarity FROM embeddings, q) ORDER BY similarity DESC, vec_id LIMIT 10")
+@query("cosine_topk", "WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id, list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]) AS similarity FROM embeddings, q), p AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, vec_id) AS INTEGER) AS place FROM s) SELECT query_id, vec_id, place, round(similarity, 6) AS similarity FROM p WHERE place <= 10")
 def _(spark, d):
-    e = _t(spark, d, "embeddings")
-    one = e.where("vec_id = 0").select(F.col("embedding").alias("q")).limit(1)
-    scored = e.join(F.broadcast(one)).select("vec_id", S.cosine(F.col("embedding"), F.col("q")).alias("similarity"))
-    return scored.orderBy(F.desc("similarity"), "vec_id").limit(10).select("vec_id", r(F.col("similarity")).alias("similarity"))
+    e = _t(spark, d, "embeddings").select("vec_id", "embedding")
+    best = vectors.nearest(e.where("vec_id % 50 = 0"), e, "vec_id", "embedding", 10)
+    return best.select("query_id", "vec_id", "place", r(F.col("similarity")).alias("similarity"))
 
 
 @query("running_budget", "SELECT event_id, user_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 4) AS total FROM events")
@@ -520,6 +600,33 @@ def _(spark, d):
     return latest_wins(_t(spark, d, "events").select("user_id", "event_id", "ts"), "user_id", "ts")
 
 
+@query("first_wins", "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events) WHERE k = 1 ORDER BY event_id LIMIT 12")
+def _(spark, d):
+    return tables.first_wins(_t(spark, d, "events").select("user_id", "event_id"), ["user_id"], "event_id").orderBy("event_id").limit(12)
+
+
+@query(
+    "pair_upsert",
+    """WITH a AS (SELECT least(user_id, event_id % 50) AS a, greatest(user_id, event_id % 50) AS b, round(max(value), 4) AS strength FROM events WHERE value < 50 GROUP BY 1, 2), n AS (SELECT least(user_id, event_id % 50) AS a, greatest(user_id, event_id % 50) AS b, round(min(value), 4) AS strength FROM events WHERE value >= 50 GROUP BY 1, 2)
+SELECT a, b, strength FROM (SELECT * FROM n UNION ALL SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.a = a.a AND n.b = a.b)) ORDER BY strength DESC, a, b LIMIT 10""",
+)
+def _(spark, d):
+    e = _t(spark, d, "events").select("user_id", (F.col("event_id") % 50).alias("other"), "value", "event_id")
+    held = lambda rows, best: e.where(rows).groupBy(F.least("user_id", "other").alias("x"), F.greatest("user_id", "other").alias("y")).agg(F.round(best, 4).alias("strength"))
+    return tables.pair_upsert(held("value < 50", F.max("value")), held("value >= 50", F.min("value")), "x", "y", "strength", 10).select(F.col("x").alias("a"), F.col("y").alias("b"), "strength")
+
+
+@query("library_summary", "SELECT count(DISTINCT user_id) AS projects, count(*) AS hypotheses, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS domains FROM events")
+def _(spark, d):
+    return _t(spark, d, "events").agg(F.count_distinct("user_id").alias("projects"), F.count(F.lit(1)).alias("hypotheses"), F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("domains"))
+
+
+@query("newest_best_first", "SELECT event_id, year, score FROM (SELECT event_id, extract(day FROM ts)::INTEGER AS year, value AS score FROM events) ORDER BY year DESC, score DESC, event_id LIMIT 20")
+def _(spark, d):
+    e = _t(spark, d, "events").select("event_id", F.dayofmonth("ts").alias("year"), F.col("value").alias("score"))
+    return e.orderBy(F.desc("year"), F.desc("score"), "event_id").limit(20)
+
+
 @query("bandit_posteriors", "SELECT event_type AS family, round((1 + sum(least(1, greatest(0, value / 100)))) / (2 + count(*)), 6) AS posterior_mean FROM events GROUP BY 1")
 def _(spark, d):
     reward = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("value") / 100))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnwell.operators.profile import numeric_columns
+from tarnwell.operators.running import quantiles
 
 log = logging.getLogger(__name__)
 
@@ -181,8 +182,11 @@ def _frequency(out: Expanded, c: str) -> str:
 
 def _binned(out: Expanded, columns: list[str], k: int) -> list[str]:
     """Place among right-closed quantile bins, of all columns by one aggregate whose row of edges is broadcast."""
-    steps = F.array(*[F.lit(i / k) for i in range(k + 1)])
-    edges = out.frame.agg(*[F.array_distinct(F.percentile(c, steps)).alias(f"__e_{c}") for c in columns])
+    long = out.frame.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("d")) for c in columns])).alias("v")).select("v.*")
+    cells = long.where(F.col("d").isNotNull()).groupBy("column", "d").agg(F.count(F.lit(1)).alias("n"))
+    steps = [i / k for i in range(k + 1)]
+    found = quantiles(cells, "d", "n", steps, by=["column"])
+    edges = found.agg(*[F.array_distinct(F.first(F.when(F.col("column") == c, F.col("quantiles")), ignorenulls=True)).alias(f"__e_{c}") for c in columns])
     made = {}
     for c in columns:
         inner = F.slice(F.col(f"__e_{c}"), F.lit(2), F.greatest(F.size(f"__e_{c}") - 2, F.lit(0)))

@@ -3,19 +3,27 @@
 from __future__ import annotations
 
 import json
+import math
+from collections.abc import Sequence
+from dataclasses import asdict
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwell.control.project import cosine
-from tarnwell.operators import profile, sampling, series, statistics
+from tarnwell.control import models
+from tarnwell.control.project import CAPABILITIES, cosine
+from tarnwell.operators import clusters, profile, sampling, series, statistics
+from tarnwell.sources.tables import read_texts, write_text
+
+#: Gain from which a regime study asks for new bounds, and iterations between two such.
+REGIME_GAIN, REGIME_REST = 0.3, 5
 
 
 def build_sketch(df: DataFrame, folder: str | Path, target: str | None = None, time: str | None = None, forbidden: tuple[str, ...] = (), key: list[str] | None = None, seed: int = 0) -> Sketch:
     """A few batched jobs over the table; every layer is a small JSON file but the coreset, which is parquet."""
-    folder = Path(folder)
-    folder.mkdir(parents=True, exist_ok=True)
+    folder = str(folder)
     df = df.cache()
     numbers = profile.numeric_columns(df)
     inputs = [c for c in numbers if c != target and c not in forbidden]
@@ -33,19 +41,23 @@ def build_sketch(df: DataFrame, folder: str | Path, target: str | None = None, t
         l3["bounds"] = [r["place"] for r in series.change_points(one, time, signal, ["part"]).orderBy("place").collect()]
         l3["regimes"] = [r.asDict() for r in series.regime_summary(df.where(F.col(signal).isNotNull()), time, signal, l3["bounds"]).orderBy("regime").collect()]
     weighed = sampling.class_weights(df, target) if target and target not in numbers else df.withColumn("weight", F.lit(1.0))
-    sampling.weighted_sample(weighed, "weight", key or df.columns, seed=seed).write.mode("overwrite").parquet(str(folder / "coreset"))
-    l5 = {}
+    sampling.weighted_sample(weighed, "weight", key or df.columns, seed=seed).write.mode("overwrite").parquet(f"{folder}/coreset")
+    l5: dict[str, dict] = {}
     if time and numbers:
         long = df.select(time, F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in inputs[:30]])).alias("p")).select(time, "p.*")
         for row in series.sax_words(long, time, "v", ["column"]).orderBy(F.desc("n"), "word").collect():
-            l5.setdefault(row["column"], []).append([row["word"], row["n"]])
-        l5 = {c: words[:8] for c, words in l5.items()}
+            l5.setdefault(row["column"], {"words": [], "motif": [], "discord": []})["words"].append([row["word"], row["n"]])
+        for row in series.motifs_discords(long, time, "v", ["column"]).orderBy("column", "kind", "distance", "place").collect():
+            l5.setdefault(row["column"], {"words": [], "motif": [], "discord": []})[row["kind"]].append([row["place"], row["match"], row["distance"]])
+        l5 = {c: {**found, "words": found["words"][:8], "discord": found["discord"][::-1]} for c, found in l5.items()}
     l6 = statistics.dependence_graph(df, numbers)
     layers = {"L1": l1, "L2": l2, "L3": l3, "L5": l5, "L6": l6, "L7": []}
     layers["similarity"] = similarity_vector(layers)
-    layers["manifest"] = {"seed": seed, "target": target, "time": time, "n_columns": len(df.columns)}
+    matrix = statistics.correlation_matrix(df.dropna(subset=numbers), numbers) if len(numbers) > 1 else []
+    layers["matrix"] = {"columns": numbers, "n": df.dropna(subset=numbers).count(), "values": [list(map(float, row)) for row in matrix]}
+    layers["manifest"] = {"seed": seed, "target": target, "time": time, "n_columns": len(df.columns), "updated": 0}
     for name, value in layers.items():
-        (folder / f"{name}.json").write_text(json.dumps(value, default=str, sort_keys=True))
+        write_text(folder, f"{name}.json", json.dumps(value, default=str, sort_keys=True))
     df.unpersist()
     return Sketch(folder)
 
@@ -59,23 +71,36 @@ def similarity_vector(layers: dict) -> list[float]:
     pairs = [p["abs_corr"] for p in l2["pairs"][:4]]
     pad = lambda v, n: [*v, *[0.0] * n][:n]
     sizes = [float(r["n"]) for r in l3["regimes"]]
-    return [*kinds, missing, float(len(l1)), *pad(explained, 4), *pad(pairs, 4), float(len(sizes)), min(sizes, default=0.0), max(sizes, default=0.0), float(len(l7)), 0.0, 0.0]
+    failures = [float(c["n"]) for c in l7]
+    return [*kinds, missing, float(len(l1)), *pad(explained, 4), *pad(pairs, 4), float(len(sizes)), min(sizes, default=0.0), max(sizes, default=0.0), float(len(l7)), sum(failures), max(failures, default=0.0)]
+
+
+def residual_signature(verdict: str, gain: float, metric: float | None, n_features: int) -> dict[str, float]:
+    """Five numbers by which failed experiments are alike; an unknown metric is 0."""
+    return {"metric": metric if metric is not None and math.isfinite(metric) else 0.0, "gain": gain, "n_features": float(n_features), "warn": float(verdict == "WARN"), "fail": float(verdict == "FAIL")}
 
 
 class Sketch:
     """Answers from the layers; a name that is not there gives {"error": ...}, never an exception."""
 
     def __init__(self, folder: str | Path):
-        self.folder = Path(folder)
-        self.layers = {p.stem: json.loads(p.read_text()) for p in self.folder.glob("*.json")}
+        self.folder = str(folder)
+        self.layers = {name: json.loads(text) for name, text in read_texts(self.folder, ".json").items()}
+
+    def tools(self) -> list[str]:
+        return ["quantile", "distribution", "cardinality", "missingness", "top_interactions", "conditional_dependence", "principal_components", "regimes", "regime_compare", "motifs", "discords", "causal_neighbors", "confounder_candidates", "failure_clusters", "match_residuals", "fit_quick", "cross_validate_quick"]
 
     def ask(self, tool: str, **arguments) -> dict:
-        fn = getattr(self, f"_{tool}", None)
+        fn = getattr(self, f"_{tool}", None) if tool in self.tools() else None
         try:
             return fn(**arguments) if fn else {"error": f"unknown tool {tool}"}
-        except (KeyError, IndexError, TypeError) as error:
+        except (KeyError, IndexError, TypeError, ValueError) as error:
             return {"error": str(error)}
 
+    def _write(self, name: str, value: object) -> None:
+        self.layers[name] = value
+        write_text(self.folder, f"{name}.json", json.dumps(value, default=str, sort_keys=True))
+
     def _column(self, column: str) -> dict:
         return next((r for r in self.layers["L1"] if r["column"] == column), None) or {"error": f"unknown column {column}"}
 
@@ -86,8 +111,6 @@ class Sketch:
         row = self._column(column)
         if not row.get("quantiles"):
             return {"error": row.get("error", f"{column} has no quantiles")}
-        import numpy as np
-
         return {"column": column, "q": q, "value": float(np.interp(q, profile.QUANTILES, row["quantiles"]))}
 
     def _cardinality(self, column: str) -> dict:
@@ -109,14 +132,28 @@ class Sketch:
 
     def _regime_compare(self, a: int, b: int) -> dict:
         found = self.layers["L3"]["regimes"]
+        if not (0 <= a < len(found) and 0 <= b < len(found)):
+            return {"error": f"regimes are numbered 0 to {len(found) - 1}"}
         return {"a": found[a], "b": found[b], "mean_gap": found[b]["mean"] - found[a]["mean"]}
 
     def _motifs(self, column: str) -> dict:
-        return {"column": column, "words": self.layers["L5"][column]}
+        found = self.layers["L5"][column]
+        return {"column": column, "words": found["words"], "motifs": found["motif"]}
 
-    def _conditional_dependence(self, a: str, b: str) -> dict:
+    def _discords(self, column: str) -> dict:
+        return {"column": column, "discords": self.layers["L5"][column]["discord"]}
+
+    def _conditional_dependence(self, a: str, b: str, given: Sequence[str] = ()) -> dict:
+        """The edge of the graph; with given, the partial correlation and its p-value as well."""
         edge = next((e for e in self.layers["L6"] if {e["src"], e["dst"]} == {a, b}), None)
-        return {"a": a, "b": b, "dependent": edge is not None, "edge": edge}
+        out = {"a": a, "b": b, "given": list(given), "dependent": edge is not None, "edge": edge}
+        if given:
+            held = self.layers["matrix"]
+            at = [held["columns"].index(c) for c in (a, b, *given)]
+            r = statistics.partial_correlation(np.array(held["values"]), at[0], at[1], tuple(at[2:]))
+            p = statistics.fisher_p(r, held["n"], len(given))
+            out |= {"partial_corr": r, "p": p, "dependent": p <= 0.05}
+        return out
 
     def _causal_neighbors(self, node: str, top_k: int = 10) -> dict:
         found = sorted((e for e in self.layers["L6"] if node in (e["src"], e["dst"])), key=lambda e: -e["weight"])
@@ -129,5 +166,65 @@ class Sketch:
     def _failure_clusters(self, top_k: int = 10) -> dict:
         return {"clusters": sorted(self.layers["L7"], key=lambda c: -c["n"])[:top_k]}
 
+    def _match_residuals(self, signature: dict[str, float]) -> dict:
+        """The nearest failure cluster; nothing is changed."""
+        known = [clusters.Cluster(**c) for c in self.layers["L7"]]
+        found = [(d, c.cluster_id) for c in known if (d := c.distance(signature)) is not None]
+        if not found:
+            return {"matched": False, "best_cluster_id": None, "distance": None}
+        distance, name = min(found)
+        return {"matched": True, "best_cluster_id": name, "distance": distance}
+
+    def _coreset(self, features: Sequence[str], target: str):
+        spark = SparkSession.getActiveSession()
+        rows = spark.read.parquet(f"{self.folder}/coreset")
+        numbers = set(profile.numeric_columns(rows))
+        usable = [c for c in features if c in numbers and c not in (target, "weight")]
+        if target not in rows.columns:
+            raise ValueError(f"target {target} is not in the coreset")
+        if not usable:
+            raise ValueError("no requested feature is in the coreset")
+        return rows.withColumn("__row", F.xxhash64(*rows.columns)).dropDuplicates(["__row"]), usable
+
+    def _fit_quick(self, capability: str, features: Sequence[str], target: str, seed: int = 0) -> dict:
+        """The capability's usual model on four fifths of the coreset, by time if there is one, measured on the others."""
+        rows, usable = self._coreset(features, target)
+        time = self.layers["manifest"]["time"]
+        kind = CAPABILITIES[capability]
+        order = time if time in rows.columns else "__row"
+        dealt = sampling.positional_split(rows.select("__row", *({order} - {"__row"})), order, "__row").select("__row", F.lit(0).alias("fold"), "role")
+        valid, _ = models.train_and_validate(rows, models.Split(dealt, ["__row"], [0]), usable, target, kind.models[0], kind.metrics, seed, time)
+        counts = {r["role"]: r["count"] for r in dealt.groupBy("role").count().collect()}
+        return {"capability": capability, "features": usable, "metrics": valid, "n_train": counts.get("train", 0), "n_val": counts.get("valid", 0)}
+
+    def _cross_validate_quick(self, capability: str, features: Sequence[str], target: str, seed: int = 0, n_splits: int = 3) -> dict:
+        """The same by folds of the coreset."""
+        rows, usable = self._coreset(features, target)
+        kind = CAPABILITIES[capability]
+        folded = rows.withColumn("__fold", sampling.hashed_fold(["__row"], n_splits, seed))
+        found = models.cross_validate(folded, usable, target, kind.models[0], "__fold", kind.metrics, seed, self.layers["manifest"]["time"], ["__row"])
+        return {"capability": capability, "features": usable, "metrics_mean": found, "n_splits": n_splits}
+
+    def update(self, iteration: int, verdict: str, area: str, gain: float, metric: float | None, features: Sequence[str], best: bool, last_regime: int = -100) -> dict:
+        """What an experiment changes: a best pair joins the interactions, a gainful regime study asks for new bounds, a failure or warning joins or founds a cluster."""
+        done: dict[str, object] = {}
+        if area == "interactions" and best and len(features) > 1:
+            a, b = sorted(features[:2])
+            pairs = {tuple(sorted((p["col_a"], p["col_b"]))): p for p in self.layers["L2"]["pairs"]}
+            pairs[a, b] = {"col_a": a, "col_b": b, "abs_corr": pairs.get((a, b), {}).get("abs_corr", 0.0), "mutual_info": max(0.0, gain)}
+            self._write("L2", {**self.layers["L2"], "pairs": sorted(pairs.values(), key=lambda p: (-max(p.get("mutual_info", 0.0), p["abs_corr"]), p["col_a"], p["col_b"]))[:10]})
+            done["L2"] = "interaction_promoted"
+        if area == "regimes" and gain >= REGIME_GAIN and iteration - last_regime >= REGIME_REST:
+            done["L3"] = "queued_for_resegmentation"
+        if verdict in ("WARN", "FAIL"):
+            known = [clusters.Cluster(**c) for c in self.layers["L7"]]
+            before = len(known)
+            cluster = clusters.match_or_create(known, residual_signature(verdict, gain, metric, len(features)))
+            self._write("L7", [asdict(c) for c in known])
+            done["L7"] = {"cluster_id": cluster.cluster_id, "created": len(known) > before}
+        self._write("similarity", similarity_vector(self.layers))
+        self._write("manifest", {**self.layers["manifest"], "updated": iteration})
+        return done
+
     def likeness(self, other: Sketch) -> float:
         return cosine(self.layers["similarity"], other.layers["similarity"])
