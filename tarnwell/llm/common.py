@@ -7,15 +7,17 @@ splits the UTF-8 form and never ``str.split()``, which knows more kinds of space
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
-import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from tarnwell.sources.tables import store
 
 #: Java and RE2 regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -48,6 +50,8 @@ def scratch_dir(spark: SparkSession) -> str:
 def _local_scratch(spark: SparkSession) -> str:
     found = spark.sparkContext.getCheckpointDir()
     if found is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tarnwell-"))
         found = spark.sparkContext.getCheckpointDir()
     return found
@@ -57,12 +61,25 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return f"{scratch_dir(spark).rstrip('/')}/tarnwell/{what}-{uuid.uuid4().hex}"
 
 
-def store(folder: str) -> tuple[pa.fs.FileSystem, str]:
-    """The file system of a folder by its URI, and the folder's path there; for Python code in tasks."""
-    return pa.fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else "file://" + folder)
+#: Folders of tables written since the innermost temporary() began.
+_WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
 
+@contextmanager
+def temporary() -> Iterator[None]:
+    """Tables that materialise writes inside are removed at the end, but for kept ones; nothing lazy may need them then."""
+    folders: list[str] = []
+    before = _WRITTEN.set(folders)
+    try:
+        yield
+    finally:
+        _WRITTEN.reset(before)
+        for folder in folders:
+            fs, path = store(folder)
+            fs.delete_dir(path)
 
-def materialise(df: DataFrame, what: str) -> DataFrame:
+
+def materialise(df: DataFrame, what: str, codec: str = "snappy", keep: bool = False) -> DataFrame:
     """Write a (narrow) table to the shared folder and read it again.
 
     This cuts lineage, is computed once however often it is read, survives lost
@@ -70,25 +87,15 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_folder(spark, what)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
+    if not keep and (folders := _WRITTEN.get()) is not None:
+        folders.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: T.StructType) -> DataFrame:
-    """mapInArrow with a function of one batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield fn(batch)
-
-    return df.mapInArrow(run, schema)
-
-
-def texts_of(batch: pa.RecordBatch, column: str = "text") -> Iterator[str]:
-    """The batch's texts one by one, so that long ones do not all exist twice."""
-    for value in batch.column(batch.schema.get_field_index(column)):
-        yield value.as_py() or ""
+def split(text: str) -> list[bytes]:
+    """The words of a text, in UTF-8."""
+    return text.encode("utf-8", "replace").split()
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

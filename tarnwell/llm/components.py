@@ -25,3 +25,15 @@ def components(links: DataFrame) -> DataFrame:
         labels = following.select("id", "label")
         if following.where("moved").isEmpty():
             return labels
+
+
+def extended(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Labels of components(), or None, with further links: these join components, not ids, so only they are walked."""
+    if labels is None:
+        return components(links)
+    ends = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    known = labels.unionByName(ends.join(labels, "id", "left_anti").select("id", F.col("id").alias("label")))
+    of = lambda end: known.select(F.col("id").alias(end), F.col("label").alias(f"of_{end}"))
+    between = links.join(of("a"), "a").join(of("b"), "b").where("of_a <> of_b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    to = components(between).select(F.col("id").alias("label"), F.col("label").alias("to"))
+    return materialise(known.join(to, "label", "left").select("id", F.coalesce("to", "label").alias("label")), "labels")

@@ -9,15 +9,21 @@ Candidates are verified on whole texts: the similarity of two texts with m and n
 shingles of which c align in order is c / (m + n - c), and a link needs 0.8 or more.
 c is a longest common subsequence, aligned within the band that a link can leave.
 
-No bucket's pairs are listed. At first each text of a bucket meets the bucket's first,
-the text that shares most buckets with most texts. Then texts that share a bucket but
-no component meet within a window that slides over the bucket: in the first rounds
-over orders by other sketches, then over a seeded one with a window 16 times as wide. A
-window as wide as its bucket leaves no pair out; wider buckets are then cut into parts,
-and each part meets itself and each other part. Before texts are moved, a pair's
-signatures (the least item of each of BINS ranges of hashes, 1 byte each, and the number
-of items) must allow 0.8 within SIGMAS standard deviations. No pair is verified twice. Classes are the
-links' connected components.
+No bucket's pairs are listed. In rounds of stars each text of a bucket meets one text of
+it: first the one that shares most buckets with most texts, then, in buckets that hold
+more than one component, the one like that outside the bucket's largest component. What
+is left are buckets of several components. A text has met nobody else there, so all
+texts outside the largest component meet all texts of the bucket, in blocks: buckets
+are cut into parts of about PART texts, and a task has two parts and their signatures.
+Of a block's pairs that may be similar first the BEST of each text are verified, which
+joins most components, and then, in what is still open, all others. Pairs of one
+component never meet, so what is listed are a few pairs a text and the pairs that come
+close to 0.8 without reaching it.
+
+Before texts are moved, a pair's signatures (the least item of each of BINS ranges of
+hashes, 1 byte each, and the number of items; FINE_BINS of them for blocks) must allow
+0.8 within SIGMAS standard deviations. No pair is verified twice. Classes are the links'
+connected components.
 
 Equal texts (white space apart) are one text here and one class; their rows are
 counted by partial aggregates, so a hot group is not one task's work.
@@ -42,18 +48,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import collapsed, materialise, own, read, whole_text
-from .components import components
+from .common import collapsed, materialise, own, read, temporary, whole_text
+from .components import extended
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Two texts at similarity 0.8 share a sketch with probability about 0.6, so 12 sketches miss one pair in 60,000.
 SKETCHES, PER_SKETCH = 12, 2
-#: Bytes of a signature, and standard deviations by which its estimate may fall below SIMILARITY.
-BINS, SIGMAS = 256, 4.5
-#: First window over a bucket, and texts of a part of a large bucket.
-WINDOW, PART = 16, 1000
-#: Rounds of windows; buckets wider than the last window are then compared part by part.
-WINDOWED = 2
+#: Bytes of a signature and of the finer one for blocks, and standard deviations by which an estimate may fall below SIMILARITY.
+BINS, FINE_BINS, SIGMAS = 256, 2048, 4.5
+#: Rounds of stars; texts of a part of a large bucket; pairs of each text that a block offers in its first round.
+STARS, PART, BEST = 2, 1000, 4
 #: Pairs of signatures compared at once.
 AT_ONCE = 20_000
 #: Texts' ids (40 bytes each) that may be broadcast; more of them are joined by a shuffle.
@@ -109,36 +113,41 @@ def sketches(found: np.ndarray) -> list[int]:
     return out
 
 
-_STARTS = np.arange(BINS + 1, dtype=np.float64) / BINS
-
-
-def signature(found: np.ndarray) -> bytes:
-    """One byte for each of BINS equal ranges of hashes: 1 to 255 from the range's least item, 0 without one; then the number of items in 4 bytes."""
+def signature(found: np.ndarray, bins: int = BINS) -> bytes:
+    """One byte for each of bins equal ranges of hashes: 1 to 255 from the range's least item, 0 without one; then the number of items in 4 bytes."""
     ranked = np.sort(found)
-    at = np.searchsorted(ranked.astype(np.float64) / 2.0**64, _STARTS)
-    out = np.zeros(BINS, np.uint8)
+    at = np.searchsorted(ranked.astype(np.float64) / 2.0**64, np.arange(bins + 1) / bins)
+    out = np.zeros(bins, np.uint8)
     some = at[:-1] < at[1:]
     out[some] = 1 + ranked[at[:-1][some]] % np.uint64(255)
     return out.tobytes() + len(found).to_bytes(4, "little")
 
 
-def may_be_similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For rows of two arrays of signatures: whether the similarity may be SIMILARITY or more.
+def _sizes(signatures: np.ndarray) -> np.ndarray:
+    return signatures[:, -4:].copy().view("<u4")[:, 0].astype(np.float64)
+
+
+def compared(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows of two arrays of signatures: whether the similarity may be SIMILARITY or more, and the share of ranges that agree.
 
     The ranges' least items are drawn without replacement from the union of both texts'
     items, whose size at SIMILARITY follows from theirs; of short texts nearly all are seen.
     """
-    size = a[:, BINS:].copy().view("<u4")[:, 0].astype(np.float64) + b[:, BINS:].copy().view("<u4")[:, 0]
-    a, b = a[:, :BINS], b[:, :BINS]
+    size = _sizes(a) + _sizes(b)
+    a, b = a[:, :-4], b[:, :-4]
     used = ((a | b) != 0).sum(1)
     same = ((a == b) & (a != 0)).sum(1)
     union = np.maximum(size / (1 + SIMILARITY), 2)
     unseen = np.clip((union - used) / (union - 1), 0, 1)
-    return same >= SIMILARITY * used - SIGMAS * np.sqrt(SIMILARITY * (1 - SIMILARITY) * used * unseen) - 1
+    return same >= SIMILARITY * used - SIGMAS * np.sqrt(SIMILARITY * (1 - SIMILARITY) * used * unseen) - 1, same / np.maximum(used, 1)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BINS + 4)
+def may_be_similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return compared(a, b)[0]
+
+
+def _matrix(column: pa.Array, bins: int = BINS) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, bins + 4)
 
 
 def _shingled(words: list[bytes]) -> list[tuple[bytes, ...]]:
@@ -264,62 +273,87 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return placed.groupBy("cell").cogroup(given.groupBy("of")).applyInArrow(run, "a binary, b binary")
 
 
+class _Search:
+    """What a search for links has found: the texts it holds, the pairs it has tried, the components."""
+
+    def __init__(self, docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> None:
+        self.of = docs, rows, id_col, text_col
+        self.texts: DataFrame | None = None
+        self.tried: DataFrame | None = None
+        self.labels: DataFrame | None = None
+
+    def hold(self, needed: DataFrame) -> DataFrame:
+        """The texts held, with those of needed (column UID, distinct)."""
+        docs, rows, id_col, text_col = self.of
+        if self.texts is not None:
+            needed = needed.join(self.texts.select(UID), UID, "left_anti")
+        more = _texts(docs, rows, materialise(needed, "needed"), id_col, text_col)
+        self.texts = more if self.texts is None else self.texts.unionByName(more)
+        return self.texts
+
+    def verify(self, met: DataFrame) -> None:
+        """Add the links among pairs (a, b), repeated ones too."""
+        pairs = met.distinct()
+        if self.tried is not None:
+            pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
+        pairs = materialise(pairs, "pairs")
+        texts = self.hold(pairs.select(F.explode(F.array("a", "b")).alias(UID)).distinct())
+        found = materialise(_verified(pairs, texts), "links")
+        self.tried = pairs if self.tried is None else self.tried.unionByName(pairs)
+        if not found.isEmpty():
+            self.labels = extended(self.labels, found)
+
+
 def linked(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame | None:
     """Labels (id, label) of the texts that have links; rows: of sketched(), written."""
     once = rows.select(UID, "keys", "sig").dropDuplicates([UID])
-    placed = once.select(UID, "keys", F.posexplode("keys").alias("place", "key"))
-    beside = lambda step: F.get("keys", F.pmod(F.col("place") + step, F.lit(SKETCHES)))
-    members = placed.select(UID, "key", beside(1).alias("next"), beside(5).alias("later"))
+    members = once.select(UID, F.explode("keys").alias("key"))
     buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # Signatures are wide: only members of shared buckets get theirs.
     shared = materialise(members.join(buckets, "key").join(once.select(UID, "sig"), UID), "members")
     if shared.isEmpty():
         return None
-    links = labels = tried = texts = None
-    turn = 0
-    while True:
-        if turn == 0:
-            met = _starred(shared)
-        elif turn <= WINDOWED:
-            met = _meetings(shared, labels, turn)
-        else:
-            met = _parted(shared, once, labels, turn)
-        pairs = met.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
-        needed = pairs.select(F.explode(F.array("a", "b")).alias(UID)).distinct()
-        if texts is not None:
-            needed = needed.join(texts.select(UID), UID, "left_anti")
-        more = _texts(docs, rows, materialise(needed, "needed"), id_col, text_col)
-        texts = more if texts is None else texts.unionByName(more)
-        found = materialise(_verified(pairs, texts), "links")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        if not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            labels = components(links)
-        turn += 1
-        if turn > WINDOWED + 1 or shared.where(F.col("n") > _covered(turn)).isEmpty():
-            return labels
-
-
-def _width(turn: int) -> int:
-    return WINDOW * 16 ** (turn - 1)
-
-
-def _covered(turn: int) -> int:
-    """Buckets of so many texts have had all their pairs before this turn."""
-    return 2 if turn == 1 else _width(turn - 1) + 1
+    search = _Search(docs, rows, id_col, text_col)
+    degree = shared.groupBy(UID).agg(F.sum("n").alias("degree"))
+    search.verify(_starred(shared.withColumn("label", F.col(UID)).withColumn("outside", F.lit(True)), degree))
+    for _ in range(STARS - 1):
+        search.verify(_starred(_opened(shared, search.labels), degree))
+    left = _opened(shared, search.labels)
+    if left.isEmpty():
+        return search.labels
+    wanted = left.select(UID).distinct()
+    fine = materialise(_fine(search.hold(wanted).join(wanted, UID, "left_semi")), "fine")
+    search.verify(_blocks(left, once, fine, BEST))
+    left = _opened(shared, search.labels)
+    if not left.isEmpty():
+        search.verify(_blocks(left, once, fine, None))
+    return search.labels
+
+
+def _opened(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Members of the buckets that hold more than one component: with their label, the size of the bucket's largest component, and whether they are outside it.
+
+    The pair of a bucket of two has met in the first star.
+    """
+    rows = shared.where("n > 2")
+    if labels is None:
+        rows = rows.withColumn("label", F.col(UID))
+    else:
+        rows = rows.join(labels.withColumnRenamed("id", UID), UID, "left").withColumn("label", F.coalesce("label", UID))
+    sizes = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    rows = rows.join(largest.select("key", F.col("top.c").alias("top_n"), F.col("top.label").alias("top")), "key")
+    return materialise(rows.withColumn("outside", F.col("label") != F.col("top")).drop("top"), "open")
 
 
-def _starred(shared: DataFrame) -> DataFrame:
-    """Pairs (a, b), repeated ones too, of each text with its bucket's first.
+def _starred(rows: DataFrame, degree: DataFrame) -> DataFrame:
+    """Pairs (a, b), repeated ones too, of each text with its bucket's centre, if that has another label.
 
-    A bucket's first is the text that shares most buckets with most texts: of a family of copies rather the original than a variant.
+    The centre is the text outside the largest component that shares most buckets with most texts: of a family of copies rather the original than a variant.
     """
-    degree = shared.groupBy(UID).agg(F.sum("n").alias("degree"))
-    firsts = shared.join(degree, UID).groupBy("key").agg(F.max(F.struct("degree", UID, "sig")).alias("f")).select("key", F.col(f"f.{UID}").alias("first"), F.col("f.sig").alias("first_sig"))
-    both = shared.select(UID, "key", "sig").join(firsts, "key").where(F.col(UID) != F.col("first"))
+    centres = rows.where("outside").join(degree, UID).groupBy("key").agg(F.max(F.struct("degree", UID, "sig", "label")).alias("f"))
+    centres = centres.select("key", F.col(f"f.{UID}").alias("first"), F.col("f.sig").alias("first_sig"), F.col("f.label").alias("first_label"))
+    both = rows.select(UID, "key", "sig", "label").join(centres, "key").where(F.col("label") != F.col("first_label"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -330,82 +364,52 @@ def _starred(shared: DataFrame) -> DataFrame:
     return both.select(F.least("first", UID).alias("a"), F.greatest("first", UID).alias("b"), "sig", "first_sig").mapInArrow(run, "a binary, b binary")
 
 
-def _uncovered(shared: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
-    """Members of the buckets that have pairs left, with the label of their component."""
-    rows = shared.where(F.col("n") > _covered(turn))
-    if labels is None:
-        return rows.withColumn("label", F.col(UID))
-    return rows.join(labels.withColumnRenamed("id", UID), UID, "left").withColumn("label", F.coalesce("label", UID))
+def _fine(texts: DataFrame) -> DataFrame:
+    """(UID, sig) with the finer signatures of texts."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
+        for batch in batches:
+            found = [signature(items(t.as_py().encode("utf-8", "replace").split(), known), FINE_BINS) for t in batch.column(1)]
+            if len(known) > 500_000:
+                known.clear()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=[UID, "sig"])
 
-def _meetings(shared: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
-    """Pairs (a, b), repeated ones too, of texts without a common component that are within a window of their bucket.
+    return texts.select(UID, TEXT).mapInArrow(run, f"{UID} binary, sig binary")
 
-    Large buckets are cut by hash into parts of about PART texts, anew in each turn; a
-    part is a contiguous run of rows in one task, which holds one window of them.
-    """
-    width = _width(turn)
-    rows = _uncovered(shared, labels, turn)
-    part = F.pmod(F.xxhash64(UID, F.lit(turn)), F.ceil(F.col("n") / max(PART, 2 * width)))
-    drawn = F.xxhash64(UID, F.lit(turn))
-    rows = rows.select(F.xxhash64("key", part).alias("run"), UID, F.xxhash64("label").alias("label"), "sig", "next", "later", "n", drawn.alias("drawn")).repartition("run")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            new = pa.table([batch.column(i) for i in range(4)], names=["run", "uid", "label", "sig"])
-            start = held.num_rows if held is not None else 0
-            table = pa.concat_tables([held, new]).combine_chunks() if start else new
-            key, sig = table.column("run").to_numpy(), _matrix(table.column("sig"))
-            label = table.column("label").to_numpy()
-            uid = table.column("uid").to_pylist()
-            a, b = [], []
-            for lag in range(1, min(width, len(key) - 1) + 1):
-                low = max(lag, start)
-                at = np.arange(low, len(key))
-                at = at[key[at] == key[at - lag]]
-                at = at[label[at] != label[at - lag]] if len(at) else at
-                at = at[may_be_similar(sig[at], sig[at - lag])] if len(at) else at
-                for i in at:
-                    x, y = uid[i], uid[i - lag]
-                    a.append(min(x, y))
-                    b.append(max(x, y))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-            held = table.slice(max(0, table.num_rows - width))
-
-    orders = [["next", "later", "drawn"], ["later", "next", "drawn"]] if turn == 1 else [["drawn"]]
-    out = None
-    for i, by in enumerate(orders):
-        # One order has all pairs of a small bucket.
-        part_rows = rows if i == 0 else rows.where(F.col("n") > width + 1)
-        met = part_rows.sortWithinPartitions("run", *by, UID).select("run", UID, "label", "sig").mapInArrow(run, "a binary, b binary")
-        out = met if out is None else out.unionByName(met)
-    return out
+def _best(i: np.ndarray, j: np.ndarray, share: np.ndarray, most: int) -> np.ndarray:
+    """Which pairs are among the most of greatest share of either end."""
+    ends, share = np.r_[i, j], np.r_[share, share]
+    order = np.lexsort((-share, ends))
+    ranked = ends[order]
+    new = np.r_[True, ranked[1:] != ranked[:-1]]
+    place = np.arange(len(ends))
+    rank = np.empty(len(ends), np.int64)
+    rank[order] = place - np.maximum.accumulate(np.where(new, place, 0))
+    return (rank[: len(i)] < most) | (rank[len(i) :] < most)
 
 
-def _parted(shared: DataFrame, once: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
-    """All pairs (a, b) left of texts that share a bucket but no component.
+def _blocks(rows: DataFrame, once: DataFrame, fine: DataFrame, most: int | None) -> DataFrame:
+    """Pairs (a, b) that may be similar, of texts that share a bucket but no component; most: the best of each text and block only.
 
-    Buckets are cut by hash into parts of about PART texts, and each pair of parts is a
-    group of its own. A pair meets in the first bucket it shares only: where that one is
-    not wide, the pair has met before.
+    In a bucket of over PART texts the parts of texts outside the largest component meet
+    themselves and all other parts; each pair of parts is a group of its own. A pair meets
+    in the first bucket it shares only: that one is open too, unless it is the pair's own.
     """
-    rows = _uncovered(shared, labels, turn).select("key", UID, "label", "sig", "n")
-    several = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    rows = rows.join(several, "key").join(once.select(UID, "keys"), UID)
-    parts = F.ceil(F.col("n") / PART)
-    rows = rows.withColumn("part", F.pmod(F.xxhash64(UID, F.lit(turn)), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    rows = rows.select("key", UID, "label", "outside", "n", "top_n").join(once.select(UID, "keys"), UID).join(fine, UID)
+    outer, inner = F.ceil((F.col("n") - F.col("top_n")) / PART), F.ceil(F.col("top_n") / PART)
+    small, drawn, to = F.col("n") <= PART, F.xxhash64(UID, F.lit(1)), lambda x: F.sequence(F.lit(0).cast("long"), x)
+    rows = rows.withColumn("part", F.when(small, F.lit(0).cast("long")).when(F.col("outside"), F.pmod(drawn, outer)).otherwise(outer + F.pmod(drawn, inner)))
+    rows = rows.withColumn("other", F.explode(F.when(small, to(F.lit(0).cast("long"))).when(F.col("outside"), to(outer + inner - 1)).otherwise(to(outer - 1))))
     rows = rows.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", UID, F.xxhash64("label").alias("label"), F.array_position("keys", F.col("key")).alias("place"), "keys", "sig")
 
     def run(block: pa.Table) -> pa.Table:
         uid, label, part = block.column(UID).to_pylist(), block.column("label").to_numpy(), block.column("part").to_numpy()
-        sig, keys = _matrix(block.column("sig")), np.array(block.column("keys").to_pylist(), np.int64)
-        place = block.column("place").to_numpy() - 1
-        size = sig[:, BINS:].copy().view("<u4")[:, 0].astype(np.float64)
+        sig, keys = _matrix(block.column("sig"), FINE_BINS), np.array(block.column("keys").to_pylist(), np.int64)
+        place, size = block.column("place").to_numpy() - 1, _sizes(sig)
         within = block.column("low")[0] == block.column("high")[0]
-        a, b = [], []
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         rows_at_once = max(1, AT_ONCE // len(uid))
         for low in range(0, len(uid), rows_at_once):
             left = np.arange(low, min(low + rows_at_once, len(uid)))
@@ -416,11 +420,14 @@ def _parted(shared: DataFrame, once: DataFrame, labels: DataFrame | None, turn:
             i = left[i]
             first = (keys[i] == keys[j]).argmax(1) == place[i]
             i, j = i[first], j[first]
-            ok = may_be_similar(sig[i], sig[j])
-            for x, y in zip(i[ok], j[ok], strict=True):
-                a.append(min(uid[x], uid[y]))
-                b.append(max(uid[x], uid[y]))
-        return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+            ok, share = compared(sig[i], sig[j])
+            found.append((i[ok], j[ok], share[ok]))
+        i, j, share = (np.concatenate(x) for x in zip(*found, strict=True))
+        if most is not None and len(i):
+            best = _best(i, j, share, most)
+            i, j = i[best], j[best]
+        pairs = [(min(uid[x], uid[y]), max(uid[x], uid[y])) for x, y in zip(i, j, strict=True)]
+        return pa.table([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], names=["a", "b"])
 
     return rows.groupBy("key", "low", "high").applyInArrow(run, "a binary, b binary")
 
@@ -429,12 +436,15 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     """Sketched rows, and (UID, class_id, class_size) of each text."""
     rows = materialise(sketched(docs, id_col, text_col), "sketches")
     per_text = rows.groupBy(UID).agg(F.min(ID).alias("low"), F.count(F.lit(1)).alias("n"))
-    labels = linked(docs, rows, id_col, text_col)
-    if labels is None:
-        return rows, materialise(per_text.select(UID, F.col("low").alias("class_id"), F.col("n").alias("class_size")), "classes")
-    per_text = per_text.join(labels.withColumnRenamed("id", UID), UID, "left").withColumn("label", F.coalesce("label", UID))
-    classes = per_text.groupBy("label").agg(F.min("low").alias("class_id"), F.sum("n").alias("class_size"))
-    return rows, materialise(per_text.join(classes, "label").select(UID, "class_id", "class_size"), "classes")
+    with temporary():
+        labels = linked(docs, rows, id_col, text_col)
+        if labels is None:
+            classes = per_text.select(UID, F.col("low").alias("class_id"), F.col("n").alias("class_size"))
+        else:
+            per_text = per_text.join(labels.withColumnRenamed("id", UID), UID, "left").withColumn("label", F.coalesce("label", UID))
+            of_class = per_text.groupBy("label").agg(F.min("low").alias("class_id"), F.sum("n").alias("class_size"))
+            classes = per_text.join(of_class, "label").select(UID, "class_id", "class_size")
+        return rows, materialise(classes, "classes", keep=True)
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
