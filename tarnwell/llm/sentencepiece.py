@@ -11,16 +11,21 @@
    model Viterbi gives other pieces than the model's own (it maximises a sum, BPE
    merges greedily), so the fold merges instead: of all neighbouring spans that an
    edge covers, the one of best score, the first of equal ones, until none is left.
-   That is the model's definition, and results equal the public library's.
+   That is the model's definition, and results equal the public library's. One pass
+   over the edges in the order of their scores does it, with the bounds of the spans
+   as bits of a number, unless a merge makes room for an edge that is past; chunks
+   where that happens are noticed and folded merge by merge.
    Characters without a piece become their bytes.
-4. Texts never move. A block is a file's split, as the scan reads it (other input than
-   a scan is written first). A first pass over the texts gives each block's distinct
-   chunks; joined to their ids they are written by block to the shared folder, and a
-   second pass over the same splits looks each block's dictionary up there. A
-   dictionary is bounded by its split, and a lost task reads it again.
+4. Texts never move. A block is BLOCK_ROWS rows of a file, known by the file's path and
+   the rows' places in it, however the file is split into tasks (other input than
+   Parquet files is written first). A first pass over the texts gives each block's
+   distinct chunks. The ids of the chunks that most blocks have, at most COMMON, go to
+   one dictionary that every task holds; the others are joined to the chunks that
+   blocks ask for and written by block to the shared folder. A second pass over the
+   texts looks ids up in both. A lost task reads its dictionaries again.
 
-Chunks of more than LONGEST characters (text without spaces) would make the fold
-quadratic; the same merges are done for them with a heap, in Python, in place.
+Chunks of more than LONGEST characters (text without spaces), whose bounds would not
+fit a number's bits, get the same merges with a heap, in place.
 
 Defined results: null and empty texts have no pieces; a text's own U+2581 is a space
 to the model, so it decodes to one and round_trip is false; repeated rows are encoded
@@ -35,22 +40,31 @@ import re
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, new_folder, own, partitions, read, store, whole_text
+from .common import materialise, new_folder, own, partitions, read, store, temporary, whole_text
 
 MARK = "▁"
 #: Spaces and a word with what its last character can join, spaces and what follows, a line feed, spaces at an end.
 CHUNK = r" *(?:\w+(?:(?:{joined})[^ \n]*)?|[^\w \n][^ \n]*)|\n| +"
-LONGEST, CHUNKS_PER_TASK = 48, 30_000
-#: Distinct chunks after which a task hands on what it holds, answers a task of the join by block should have, and pieces of one batch of results.
-GATHERED_AT_ONCE, ANSWERS_PER_TASK, PIECES_AT_ONCE = 500_000, 1_000_000, 500_000
+#: Characters of a chunk of the lattice, and chunks of one of its tasks.
+LONGEST, CHUNKS_PER_TASK = 60, 30_000
+#: Characters by which the longest piece from a place is known.
+PREFIX = 3
+#: Rows of a block, and chunks of the dictionary that every task holds.
+BLOCK_ROWS, COMMON = 8192, 400_000
+#: Distinct chunks after which a task hands on what it holds, answers a task of the join by block should have, and bytes of texts taken at once.
+GATHERED_AT_ONCE, ANSWERS_PER_TASK, TEXT_BYTES = 500_000, 1_000_000, 12 << 20
 _FALLBACK = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
 BLOCK, ID, TEXT = own("block"), own("id"), own("text")
 
@@ -69,9 +83,9 @@ class Pieces:
     def longest(self) -> int:
         return max(len(p) for p, _, _ in self.rows)
 
-    @property
-    def chunk(self) -> str:
-        """The regular expression of chunks: a sign stays with a word only if some piece has it after the word's last character."""
+    @cached_property
+    def joins(self) -> dict[str, str]:
+        """Signs by the word characters that some piece has before them, both as the inside of a character class."""
         before: dict[str, set[str]] = {}
         for piece, _, _ in self.rows:
             for x, y in zip(piece, piece[1:], strict=False):
@@ -81,7 +95,35 @@ class Pieces:
         for y, x in sorted(before.items()):
             of = re.escape("".join(sorted(x)))
             alike[of] = alike.get(of, "") + re.escape(y)
-        return CHUNK.format(joined="|".join(f"[{y}](?<=[{x}][{y}])" for x, y in alike.items()) or "(?!)")
+        return alike
+
+    @property
+    def chunk(self) -> str:
+        """The regular expression of chunks: a sign stays with a word only if some piece has it after the word's last character."""
+        return CHUNK.format(joined="|".join(f"[{y}](?<=[{x}][{y}])" for x, y in self.joins.items()) or "(?!)")
+
+    @cached_property
+    def table(self) -> dict[str, tuple[int, float]]:
+        """(id, score) by piece, spelled with spaces."""
+        return {p.replace(MARK, " "): (i, s) for p, i, s in self.rows}
+
+    @property
+    def longest_by_prefix(self) -> list[tuple[str, int]]:
+        """The length of the longest piece with each beginning of PREFIX characters, spelled with spaces."""
+        found: dict[str, int] = {}
+        for p in self.table:
+            if len(p) >= PREFIX:
+                found[p[:PREFIX]] = max(len(p), found.get(p[:PREFIX], 0))
+        return sorted(found.items())
+
+    @property
+    def ranked(self) -> list[tuple[str, int, float, int, bool]]:
+        """(piece, id, score, rank, late), spelled with spaces: best score first; late: some two pieces that make it up have no better score, so it may become possible after its turn."""
+        scores = {p: s for p, (_, s) in self.table.items()}
+        rank = {s: r for r, s in enumerate(sorted(set(scores.values()), reverse=True))}
+        cuts = lambda p: ((p[:k], p[k:]) for k in range(1, len(p)))
+        late = lambda p, s: any(x in scores and y in scores and any(len(z) > 1 and scores[z] <= s for z in (x, y)) for x, y in cuts(p))
+        return [(p, i, s, rank[s], late(p, s)) for p, (i, s) in self.table.items()]
 
 
 def load(path: str, kind: str = "bpe") -> Pieces:
@@ -144,32 +186,84 @@ def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
 
 
 def lattice(chunks: DataFrame, pieces: Pieces) -> DataFrame:
-    """chunks: distinct, column chunk, of LONGEST characters at most. All edges (chunk, start, length, id, score), and single characters that have no piece (id null)."""
-    table = chunks.sparkSession.createDataFrame([(p.replace(MARK, " "), i, s) for p, i, s in pieces.rows], "piece string, id int, score double")
+    """chunks: distinct, column chunk, of LONGEST characters at most. All edges (chunk, start, length, id, score, rank, late), and single characters that have no piece (id null)."""
+    table = chunks.sparkSession.createDataFrame(pieces.ranked, "piece string, id int, score double, rank int, late boolean")
+    longest = chunks.sparkSession.createDataFrame(pieces.longest_by_prefix, "prefix string, longest int")
     starts = chunks.select("chunk", F.length("chunk").alias("n")).select("chunk", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("start"))
-    ends = starts.select("chunk", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.col("n") - F.col("start")))).alias("length"))
+    # No substring is longer than the longest piece with its first characters.
+    starts = starts.withColumn("prefix", F.expr(f"substring(chunk, start + 1, {PREFIX})")).join(F.broadcast(longest), "prefix", "left")
+    ends = starts.select("chunk", "start", F.explode(F.sequence(F.lit(1), F.least(F.coalesce("longest", F.lit(PREFIX - 1)), F.col("n") - F.col("start")))).alias("length"))
     spans = ends.select("chunk", "start", "length", F.expr("substring(chunk, start + 1, length)").alias("piece"))
-    return spans.join(F.broadcast(table), "piece", "left").where("id is not null or length = 1").select("chunk", "start", "length", "id", "score")
+    return spans.join(F.broadcast(table), "piece", "left").where("id is not null or length = 1").select("chunk", "start", "length", "id", "score", "rank", "late")
+
+
+#: An edge as a number, in the order of merges: rank (20 bits; single characters last), start (6), length (6), id (20; NONE without a piece), late (1).
+NONE = (1 << 20) - 1
+_PACKED = f"shiftleft(bigint(if(length = 1, {NONE}, rank)), 33) | shiftleft(bigint(start), 27) | shiftleft(bigint(length), 21) | shiftleft(bigint(coalesce(id, {NONE})), 1) | bigint(late and length > 1 and id is not null)"
+_START, _LENGTH, _ID = "int(shiftright(x, 27) & 63)", "int(shiftright(x, 21) & 63)", f"int(shiftright(x, 1) & {NONE})"
+#: By start and length as 12 bits: the bits of an edge's two bounds, and of the places between them (starts of which no bound fits 62 bits have none).
+_AT_12, _ENDS, _MID = "int(shiftright(x, 21) & 4095)", *(
+    "array(" + ", ".join(f"{bits(at >> 6, at & 63)}L" if (at >> 6) + (at & 63) < 62 else "0L" for at in range(4096)) + ")"
+    for bits in (lambda start, length: ((1 << length) | 1) << start, lambda start, length: ((1 << length) - 2) << start if length else 0)
+)
+_EDGE = f"named_struct('o', x, 'ends', get({_ENDS}, {_AT_12}), 'mid', get({_MID}, {_AT_12}))"
+
+
+def _one_pass() -> Column:
+    """Fold of the edges of column m in their order: the bits of the bounds, with bit 62 set where a merge made an earlier, late edge possible."""
+    able = lambda of, x: f"(({of} & {x}.ends) = {x}.ends and bit_count({of} & {x}.mid) = 1)"
+    after = "aggregate(array(b & ~x.mid), b, (q, p) -> if(exists(late, y -> y.o < x.o and " + able("p", "y") + "), p | shiftleft(1L, 62), p))"
+    return F.expr(f"aggregate(m, shiftleft(1L, n + 1) - 1L, (b, x) -> if({able('b', 'x')}, {after}, b))")
+
+
+def _merged_bits(edges: DataFrame) -> DataFrame:
+    """(chunk, m, c, bits): each chunk's edges of two and more characters, its single characters, and the bits of its final bounds."""
+    grouped = edges.groupBy("chunk").agg(F.sort_array(F.collect_list(F.expr(_PACKED))).alias("e"))
+    # Every character has an edge of its own, and these are last.
+    grouped = grouped.select("chunk", F.length("chunk").alias("n"), "e")
+    grouped = grouped.select("chunk", "n", F.expr(f"transform(slice(e, 1, size(e) - n), x -> {_EDGE})").alias("m"), F.expr("slice(e, size(e) - n + 1, n)").alias("c"))
+    grouped = grouped.withColumn("late", F.expr("filter(m, y -> (y.o & 1L) = 1L)")).withColumn("bits", _one_pass())
+    again = F.expr("bits >= shiftleft(1L, 62)")
+    known = "transform(m, y -> y.o)"
+    grouped = grouped.withColumn("k", F.when(again, F.expr(f"transform({known}, x -> 64 * {_START} + {_LENGTH})"))).withColumn("s", F.when(again, F.expr(f"transform({known}, x -> -shiftright(x, 33))")))
+    by_merge = F.aggregate(_bpe_bounds(), F.lit(0).cast("long"), lambda t, i: t.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
+    return grouped.select("chunk", "m", "c", F.when(again, by_merge).otherwise(F.col("bits")).alias("bits"))
+
+
+def _unknown(pieces: Pieces, at: str) -> str:
+    """SQL of the ids of a character without a piece."""
+    if pieces.first_byte is None:
+        return f"array({pieces.unknown})"
+    char = f"substring(chunk, {at} + 1, 1)"
+    return f"transform(sequence(1, octet_length({char})), o -> {pieces.first_byte} + int(conv(substring(hex({char}), 2 * o - 1, 2), 16, 10)))"
+
+
+def _folded_bpe(edges: DataFrame, pieces: Pieces) -> DataFrame:
+    placed = lambda x: f"(shiftright({x}, 27) & 63) << 20 | (shiftright({x}, 1) & {NONE})"
+    merged_ones = f"transform(filter(m, x -> (bits & x.ends) = x.ends and (bits & x.mid) = 0), x -> {placed('x.o')})"
+    single = f"transform(filter(c, x -> (shiftright(bits, {_START}) & 3) = 3), x -> {placed('x')})"
+    cut = _merged_bits(edges).select("chunk", F.sort_array(F.expr(f"concat({merged_ones}, {single})")).alias("c"))
+    known = f"int(z & {NONE})"
+    ids = f"if(exists(c, z -> {known} = {NONE}), flatten(transform(c, z -> if({known} = {NONE}, {_unknown(pieces, 'int(shiftright(z, 20))')}, array({known})))), transform(c, z -> {known}))"
+    return cut.select("chunk", F.expr(ids).alias("ids"))
 
 
-def folded(edges: DataFrame, pieces: Pieces) -> DataFrame:
-    """(chunk, ids) for each chunk of a lattice."""
+def _folded_unigram(edges: DataFrame, pieces: Pieces) -> DataFrame:
     key = 64 * F.col("start") + F.col("length")
     edge = F.when(F.col("id").isNotNull(), F.struct(key.alias("k"), F.col("score").alias("s"), F.col("id").alias("i")))
     grouped = edges.groupBy("chunk").agg(F.collect_list(edge).alias("e"))
     grouped = grouped.select("chunk", F.length("chunk").alias("n"), F.lit(pieces.longest).alias("longest"), F.col("e.k").alias("k"), F.col("e.s").alias("s"), F.col("e.i").alias("i"))
-    bounds = _bpe_bounds() if pieces.kind == "bpe" else _viterbi_bounds(min(s for _, _, s in pieces.rows) - 10.0)
-    cut = grouped.withColumn("b", bounds)
-    if pieces.first_byte is None:
-        unknown = f"array({pieces.unknown})"
-    else:
-        char = "substring(chunk, x + 1, 1)"
-        unknown = f"transform(sequence(1, octet_length({char})), o -> {pieces.first_byte} + int(conv(substring(hex({char}), 2 * o - 1, 2), 16, 10)))"
+    cut = grouped.withColumn("b", _viterbi_bounds(min(s for _, _, s in pieces.rows) - 10.0))
     found = _AT.format(of="i", x="x", y="get(b, y + 1)")
-    ids = f"flatten(transform(slice(b, 1, size(b) - 1), (x, y) -> if({found} is null, {unknown}, array({found}))))"
+    ids = f"flatten(transform(slice(b, 1, size(b) - 1), (x, y) -> if({found} is null, {_unknown(pieces, 'x')}, array({found}))))"
     return cut.select("chunk", F.expr(ids).alias("ids"))
 
 
+def folded(edges: DataFrame, pieces: Pieces) -> DataFrame:
+    """(chunk, ids) for each chunk of a lattice."""
+    return _folded_bpe(edges, pieces) if pieces.kind == "bpe" else _folded_unigram(edges, pieces)
+
+
 def merged(chunk: str, table: dict[str, tuple[int, float]], pieces: Pieces) -> list[int]:
     """The ids of one chunk of a BPE model, with a heap; for long chunks."""
     spans = list(chunk)
@@ -208,123 +302,228 @@ def best_path(chunk: str, table: dict[str, tuple[int, float]], pieces: Pieces) -
     return [i for ids in reversed(out) for i in ids]
 
 
-def chunker(pieces: Pieces) -> Callable[[str], list[str]]:
-    """A function that gives the chunks of a text, spelled with spaces."""
-    find = re.compile(pieces.chunk).findall
-    return lambda text: find(" " + text.replace(MARK, " ")) if text else []
+def words_of(texts: pa.Array) -> pa.ListArray:
+    """Each text, its leading space included, cut before runs of spaces and before line feeds, which no chunk crosses.
 
+    Words come without their first space, unless they begin with a line feed, and have
+    the mark for further spaces. Empty texts have none.
+    """
+    texts = pc.replace_with_mask(texts, pc.equal(texts, ""), pa.scalar(None, pa.string()))
+    if any(pc.any(found).as_py() for found in (pc.match_substring(texts, "  "), pc.match_substring(texts, MARK), pc.starts_with(texts, " "))):
+        texts = pc.binary_join_element_wise("", pc.replace_substring(texts, MARK, " "), " ")
+        texts = pc.replace_substring(pc.replace_substring(texts, "  ", " " + MARK), MARK + " ", 2 * MARK)
+        texts = pc.replace_substring_regex(texts, "^ ", "", max_replacements=1)
+    return pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
 
-def _is_scan(docs: DataFrame) -> bool:
-    """Whether rows come straight from a scan of files, so that a task's rows are its splits'."""
-    node = docs._jdf.queryExecution().analyzed()
-    while node.children().size() == 1 and node.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
-        node = node.children().head()
-    return node.getClass().getSimpleName() == "LogicalRelation"
 
+#: Letters and what follows from an ASCII sign on.
+_LETTERS_SIGN = r"^(?P<letters>\p{L}+)(?P<rest>[!-/:-@\[-^`{-~].*)$"
 
-def located(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """ID, TEXT and BLOCK, a number of the split that each row is in."""
-    if not _is_scan(docs):
-        docs, id_col, text_col = materialise(docs.select(F.col(id_col).alias(ID), whole_text(text_col).alias(TEXT)), "texts"), ID, TEXT
-    at = docs.metadataColumn("_metadata")
-    return docs.select(F.col(id_col).alias(ID), whole_text(text_col).alias(TEXT), F.xxhash64(at["file_path"], at["file_block_start"]).alias(BLOCK))
+
+def chunker(pieces: Pieces) -> Callable[[pa.Array], tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """A function of an array of words of words_of: chunks, their places word by word, and how many each word has.
+
+    Letters alone are one chunk, and letters with a sign that no piece joins to them
+    are two; only other words are searched by the regular expression one by one.
+    """
+    find = re.compile(pieces.chunk).findall
+    joined = r"^\p{L}*(?:" + "|".join(f"[{x}][{y}]" for x, y in pieces.joins.items()) + ")" if pieces.joins else "^$"
+
+    def cut(words: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        whole = pc.utf8_is_alpha(words)
+        apart = pc.extract_regex(words, _LETTERS_SIGN)
+        two = pc.and_(pc.is_valid(apart), pc.invert(pc.match_substring_regex(words, joined)))
+        halves = apart.filter(two)
+        others = [find(spelled(w)) for w in words.filter(pc.invert(pc.or_(whole, two))).to_pylist()]
+        spaced = lambda x: pc.binary_join_element_wise("", x, " ")
+        pool = pa.concat_arrays([spaced(words.filter(whole)), spaced(halves.field("letters")), halves.field("rest"), pa.array(list(chain.from_iterable(others)), pa.string())])
+        one, both = (x.to_numpy(zero_copy_only=False) for x in (whole, two))
+        several = np.flatnonzero(~(one | both))
+        counts = np.where(both, 2, 1)
+        counts[several] = [len(x) for x in others]
+        starts, n_one, n_two = np.cumsum(counts) - counts, int(one.sum()), int(both.sum())
+        places = np.empty(int(counts.sum()), np.int64)
+        places[starts[one]] = np.arange(n_one)
+        places[starts[both]] = n_one + np.arange(n_two)
+        places[starts[both] + 1] = n_one + n_two + np.arange(n_two)
+        rest = _ranges(starts[several], counts[several])
+        places[rest] = n_one + 2 * n_two + np.arange(len(rest))
+        return pool, places, counts
+
+    return cut
+
+
+def spelled(word: str) -> str:
+    word = word.replace(MARK, " ")
+    return word if word[:1] == "\n" else " " + word
+
+
+def slices(batch: pa.RecordBatch, texts: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about TEXT_BYTES of column texts and of one BLOCK (column 0) each."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(texts)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = (np.cumsum(sizes) - sizes) // TEXT_BYTES
+    block = batch.column(0).to_numpy()
+    cuts = np.flatnonzero((np.diff(part) != 0) | (np.diff(block) != 0)) + 1
+    for start, end in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+        if end > start:
+            yield batch.slice(start, end - start)
+
+
+def located(docs: DataFrame, id_col: str, text_col: str, block_rows: int) -> DataFrame:
+    """ID, TEXT and BLOCK, which depends on a row's file and place there only."""
+    row = [F.col(id_col).alias(ID), whole_text(text_col).alias(TEXT)]
+
+    def placed(of: DataFrame, columns: list[Column]) -> DataFrame:
+        at = of.metadataColumn("_metadata")
+        return of.select(*columns, F.xxhash64(at["file_path"], F.floor(at["row_index"] / block_rows)).alias(BLOCK))
+
+    try:
+        found = placed(docs, row)
+        _ = found.schema
+        return found
+    except AnalysisException:  # no Parquet files below, or several of them
+        return placed(materialise(docs.select(*row), "texts"), [F.col(ID), F.col(TEXT)])
+
+
+def _widespread(distinct: DataFrame) -> DataFrame | None:
+    """The chunks that most blocks have: all above a number of blocks, in steps of a quarter of its power of two, COMMON chunks at most."""
+    level = F.floor(4 * F.log2("n"))
+    total, least = 0, None
+    for at, n in sorted(distinct.where("n > 1").groupBy(level.alias("level")).count().collect(), reverse=True):
+        total += n
+        if total > COMMON:
+            break
+        least = at
+    return None if least is None else distinct.where((F.col("n") > 1) & (level >= least)).select("chunk")
 
 
 def dictionaries(texts: DataFrame, pieces: Pieces) -> str:
-    """A shared folder with (chunk, ids, same) of all chunks of each BLOCK but the long ones; same: whether the ids decode to the chunk."""
+    """A shared folder with (chunk, ids, same) of all chunks but the long ones, widespread ones in common, others by BLOCK; same: whether the ids decode to the chunk."""
     spark = texts.sparkSession
     shared = spark.sparkContext.broadcast(pieces)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks_in = chunker(shared.value)
-        held: dict[int, set[str]] = {}
-
-        def handed() -> Iterator[pa.RecordBatch]:
-            for block, chunks in held.items():
-                asked = pa.array([c for c in chunks if len(c) <= LONGEST], pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(asked), block, np.int64)), asked], names=["block", "chunk"])
-            held.clear()
-
-        for batch in batches:
-            for block, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                of = held.setdefault(block, set())
-                of.update(chunks_in(value.as_py()))
-                if len(of) > GATHERED_AT_ONCE:
-                    yield from handed()
-        yield from handed()
+        cut = chunker(shared.value)
+        chunks: list[pa.Array] = []
+        block = None
+
+        def handed() -> pa.RecordBatch:
+            asked = pa.concat_arrays(chunks).unique()
+            asked = asked.filter(pc.less_equal(pc.utf8_length(asked), LONGEST))
+            chunks.clear()
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(asked), block, np.int64)), asked], names=["block", "chunk"])
+
+        for batch in (part for whole in batches for part in slices(whole, 1)):
+            if chunks and (batch.column(0)[0].as_py() != block or sum(map(len, chunks)) > GATHERED_AT_ONCE):
+                yield handed()
+            block = batch.column(0)[0].as_py()
+            chunks.append(cut(words_of(batch.column(1)).flatten().unique())[0].unique())
+        if chunks:
+            yield handed()
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = pa.array([decoded_bytes([i], shared.value) for i in range(len(shared.value.names))], pa.binary())
         for batch in batches:
-            same = [decoded_bytes(i, shared.value) == c.encode() for c, i in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same, pa.bool_())], names=["chunk", "ids", "same"])
-
-    asked = materialise(texts.select(BLOCK, TEXT).mapInArrow(gather, "block long, chunk string"), "chunks")
-    distinct = materialise(asked.select("chunk").distinct(), "distinct")
-    parts = max(partitions(spark), distinct.count() // CHUNKS_PER_TASK + 1)
-    with _setting(spark, _FALLBACK, str(4 * CHUNKS_PER_TASK)):
-        found = folded(lattice(distinct.repartition(parts, "chunk"), pieces), pieces)
-        ids = materialise(found.mapInArrow(check, "chunk string, ids array<int>, same boolean"), "lattice")
+            ids = batch.column(1)
+            spans = pa.ListArray.from_arrays(pc.subtract(ids.offsets, ids.offsets[0]), names.take(ids.flatten()))
+            same = pc.equal(pc.binary_join(spans, pa.scalar(b"")), batch.column(0).cast(pa.binary()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, same], names=["chunk", "ids", "same"])
+
     folder = new_folder(spark, "dictionaries")
-    parts = max(partitions(spark), asked.count() // ANSWERS_PER_TASK + 1)
-    asked.join(ids, "chunk").repartition(parts, "block").write.partitionBy("block").parquet(folder)
+    with temporary():
+        asked = materialise(texts.select(BLOCK, TEXT).mapInArrow(gather, "block long, chunk string"), "chunks", "zstd")
+        distinct = materialise(asked.groupBy("chunk").agg(F.count(F.lit(1)).alias("n")), "distinct", "zstd")
+        parts = max(partitions(spark), distinct.count() // CHUNKS_PER_TASK + 1)
+        with _setting(spark, _FALLBACK, str(4 * CHUNKS_PER_TASK)):
+            found = folded(lattice(distinct.select("chunk").repartition(parts, "chunk"), pieces), pieces)
+            ids = materialise(found.mapInArrow(check, "chunk string, ids array<int>, same boolean"), "lattice", "zstd")
+        if (common := _widespread(distinct)) is not None:
+            # At most COMMON chunks of LONGEST characters, in a few files, as every task reads them.
+            ids.join(F.broadcast(common), "chunk", "left_semi").repartition(4).write.parquet(f"{folder}/common")
+            asked = asked.join(F.broadcast(common), "chunk", "left_anti")
+        parts = max(partitions(spark), asked.count() // ANSWERS_PER_TASK + 1)
+        asked.join(ids, "chunk").repartition(parts, "block").write.partitionBy("block").parquet(f"{folder}/blocks")
     return folder
 
 
-class Dictionary:
-    """The chunks of one block; longer ones are added as they come."""
-
-    def __init__(self, folder: str, block: int, pieces: Pieces) -> None:
-        fs, path = store(f"{folder}/block={block}")
-        # A block of long chunks only has no folder.
-        files = [f.path for f in fs.get_file_info(pa.fs.FileSelector(path, allow_not_found=True)) if f.base_name.endswith(".parquet")]
+@dataclass(frozen=True)
+class Answers:
+    """A table of chunks, their ids, how many each has, and whether they decode to it."""
+
+    chunks: pa.Array
+    values: np.ndarray
+    lengths: np.ndarray
+    same: np.ndarray
+
+    @staticmethod
+    def read(folder: str) -> Answers:
+        fs, path = store(folder)
+        # A block of long or widespread chunks only has no folder.
+        files = sorted(f.path for f in fs.get_file_info(pa.fs.FileSelector(path, allow_not_found=True)) if f.base_name.endswith(".parquet"))
         tables = [pq.read_table(fs.open_input_file(f), columns=["chunk", "ids", "same"]) for f in files]
-        self.pieces, self.table = pieces, {p.replace(MARK, " "): (i, s) for p, i, s in pieces.rows}
-        self.place: dict[str, int] = {}
-        values, lengths, same = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
-        for chunk in (c for t in tables for c in t.column("chunk").chunks):
-            for c in chunk.to_pylist():
-                self.place[c] = len(self.place)
-        if len(self.place) < sum(t.num_rows for t in tables):
-            # Handed on twice by a task: keep the first of each.
-            whole = pa.concat_tables(tables).combine_chunks()
-            first = {c: i for i, c in reversed(list(enumerate(whole.column("chunk").to_pylist())))}
-            tables = [whole.take(pa.array(sorted(first.values())))]
-            self.place = {c: i for i, c in enumerate(tables[0].column("chunk").to_pylist())}
+        chunks = pa.concat_arrays([pa.array([], pa.string()), *(c.cast(pa.string()) for t in tables for c in t.column("chunk").chunks)])
+        values, lengths = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         for ids in (c for t in tables for c in t.column("ids").chunks):
             values.append(ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32, copy=False))
             lengths.append(np.diff(ids.offsets.to_numpy()).astype(np.int64))
-        same += [t.column("same").to_numpy() for t in tables]
-        self.values, self.lengths, self.same = np.concatenate(values), np.concatenate(lengths), np.concatenate(same)
+        return Answers(chunks, np.concatenate(values), np.concatenate(lengths), np.concatenate([np.zeros(0, bool), *(t.column("same").to_numpy() for t in tables)]))
+
+
+#: The common answers of the folder that this process last read.
+_COMMON: dict[str, Answers] = {}
+
+
+def _common(folder: str) -> Answers:
+    if folder not in _COMMON:
+        _COMMON.clear()
+        _COMMON[folder] = Answers.read(folder)
+    return _COMMON[folder]
+
+
+class Dictionary:
+    """The chunks of one block; those in neither table are folded as they come."""
+
+    def __init__(self, folder: str, block: int, pieces: Pieces) -> None:
+        self.pieces = pieces
+        self.common, self.own = _common(f"{folder}/common"), Answers.read(f"{folder}/blocks/block={block}")
+        self.chunks = pa.concat_arrays([self.common.chunks, self.own.chunks])
+        self.values, self.lengths, self.same = (np.concatenate([getattr(self.common, x), getattr(self.own, x)]) for x in ("values", "lengths", "same"))
         self.starts = np.cumsum(self.lengths) - self.lengths
-        self.added: list[list[int]] = []
-
-    def places(self, chunks: list[str]) -> list[int]:
-        try:
-            return [self.place[c] for c in chunks]
-        except KeyError:
-            for c in chunks:
-                if c not in self.place:
-                    self._add(c)
-            return [self.place[c] for c in chunks]
-
-    def _add(self, chunk: str) -> None:
-        if len(chunk) <= LONGEST:
-            raise LookupError(f"chunk {chunk!r} has no answer")
-        self.added.append((merged if self.pieces.kind == "bpe" else best_path)(chunk, self.table, self.pieces))
-        self.place[chunk] = len(self.lengths) + len(self.added) - 1
-
-    def ids(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All ids of the chunks, how many each has, and whether it decodes to itself."""
-        if self.added:
-            lengths = np.array([len(i) for i in self.added], np.int64)
-            same = [decoded_bytes(i, self.pieces) == c.encode() for c, i in zip(list(self.place)[-len(self.added) :], self.added, strict=True)]
-            self.starts = np.r_[self.starts, len(self.values) + np.cumsum(lengths) - lengths]
-            self.values = np.concatenate([self.values, *(np.array(i, np.int32) for i in self.added)])
-            self.lengths, self.same, self.added = np.r_[self.lengths, lengths], np.r_[self.same, np.array(same, bool)], []
-        n = self.lengths[places]
-        ends = np.cumsum(n)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.values[np.repeat(self.starts[places] - (ends - n), n) + np.arange(total)], n, self.same[places]
+        self.folded: dict[str, int] = {}
+
+    def _places(self, chunks: pa.Array) -> np.ndarray:
+        found = pc.index_in(chunks, value_set=self.chunks)
+        missing = found.is_null().to_numpy(zero_copy_only=False)
+        places = pc.fill_null(found, -1).to_numpy().astype(np.int64)
+        if missing.any():
+            others = chunks.filter(pa.array(missing)).to_pylist()
+            if new := [c for c in others if c not in self.folded]:
+                self._fold(new)
+            places[missing] = [self.folded[c] for c in others]
+        return places
+
+    def _fold(self, new: list[str]) -> None:
+        ids = [(merged if self.pieces.kind == "bpe" else best_path)(c, self.pieces.table, self.pieces) for c in new]
+        lengths = np.array([len(i) for i in ids], np.int64)
+        self.folded.update(zip(new, range(len(self.lengths), len(self.lengths) + len(new)), strict=True))
+        self.starts = np.r_[self.starts, len(self.values) + np.cumsum(lengths) - lengths]
+        self.values = np.r_[self.values, np.fromiter(chain.from_iterable(ids), np.int32)]
+        self.lengths = np.r_[self.lengths, lengths]
+        self.same = np.r_[self.same, np.array([decoded_bytes(i, self.pieces) == c.encode() for c, i in zip(new, ids, strict=True)], bool)]
+
+    def ids(self, chunks: pa.Array, places: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For words of counts chunks at places: all their ids, how many each has, and whether it decodes to itself."""
+        coded = chunks.dictionary_encode()
+        at = self._places(coded.dictionary)[coded.indices.to_numpy()[places]]
+        n = self.lengths[at]
+        ends = np.r_[0, np.cumsum(counts)]
+        return self.values[_ranges(self.starts[at], n)], np.diff(np.r_[0, np.cumsum(n)][ends]), np.diff(np.r_[0, np.cumsum(~self.same[at])][ends]) == 0
+
+
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers of ranges that start and are so long, one after another."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
 def decoded_bytes(ids: list[int], pieces: Pieces) -> bytes:
@@ -339,44 +538,42 @@ def decode_ids(ids: list[int], pieces: Pieces) -> str:
     return text[1:] if text[:1] == " " else text
 
 
-def encoded(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: its id, ids, n_pieces and round_trip (whether the ids decode to the text)."""
+def encoded(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """One row per row of docs: its id, ids, n_pieces and round_trip (whether the ids decode to the text). Docs are read twice."""
     spark = docs.sparkSession
-    texts = located(docs, id_col, text_col)
+    texts = located(docs, id_col, text_col, block_rows)
     folder = dictionaries(texts, pieces)
     shared = spark.sparkContext.broadcast(pieces)
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType()), T.StructField("round_trip", T.BooleanType())])
 
-    def encode(ids: pa.Array, values: list[str], places: list[list[int]], known: Dictionary) -> pa.RecordBatch:
-        flat = np.fromiter((p for of in places for p in of), np.int64)
-        found, n, same = known.ids(flat)
-        ends = np.cumsum([0, *(len(of) for of in places)])
+    def encode(batch: pa.RecordBatch, known: Dictionary, chunks_of: Callable) -> pa.RecordBatch:
+        texts = batch.column(2)
+        words = words_of(texts)
+        coded = words.flatten().dictionary_encode()
+        of_words, lengths, same = known.ids(*chunks_of(coded.dictionary))
+        word = coded.indices.to_numpy()
+        n = lengths[word]
+        found = of_words[_ranges((np.cumsum(lengths) - lengths)[word], n)]
+        ends = np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(words), 0).to_numpy())]
         cut = np.r_[0, np.cumsum(n)][ends]
-        wrong = np.diff(np.r_[0, np.cumsum(~same)][ends])
+        wrong = np.diff(np.r_[0, np.cumsum(~same[word])][ends])
         # Chunks that decode to themselves make up the text unless it has the mark itself; other texts are decoded.
-        trip = [MARK not in t if not w else decode_ids(found[i:j].tolist(), known.pieces) == t for t, w, i, j in zip(values, wrong, cut[:-1], cut[1:], strict=True)]
+        trip = ~pc.match_substring(texts, MARK).to_numpy(zero_copy_only=False)
+        for i in np.flatnonzero(wrong):
+            trip[i] = decode_ids(found[cut[i] : cut[i + 1]].tolist(), known.pieces) == texts[int(i)].as_py()
         lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(found))
-        return pa.RecordBatch.from_arrays([ids, lists, pa.array(np.diff(cut), pa.int64()), pa.array(trip, pa.bool_())], names=schema.names)
+        return pa.RecordBatch.from_arrays([batch.column(1), lists, pa.array(np.diff(cut), pa.int64()), pa.array(trip, pa.bool_())], names=schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks_in = chunker(shared.value)
         block = known = None
-        for batch in batches:
-            start, values, places, held = 0, [], [], 0
-            for at, (of, value) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2), strict=True)):
-                if values and (of != block or held > PIECES_AT_ONCE):
-                    yield encode(batch.column(0)[start:at], values, places, known)
-                    start, values, places, held = at, [], [], 0
-                if of != block or known is None:
-                    known = None
-                    block, known = of, Dictionary(folder, of, shared.value)
-                values.append(value.as_py())
-                places.append(known.places(chunks_in(values[-1])))
-                held += len(places[-1])
-            if values:
-                yield encode(batch.column(0)[start:], values, places, known)
-
-    return texts.select(ID, BLOCK, TEXT).mapInArrow(run, schema)
+        chunks_of = chunker(shared.value)
+        for batch in (part for whole in batches for part in slices(whole, 2)):
+            if (of := batch.column(0)[0].as_py()) != block or known is None:
+                known = None
+                block, known = of, Dictionary(folder, of, shared.value)
+            yield encode(batch, known, chunks_of)
+
+    return texts.select(BLOCK, ID, TEXT).mapInArrow(run, schema)
 
 
 def decoded(rows: DataFrame, pieces: Pieces, id_col: str = "doc_id") -> DataFrame:
