@@ -123,7 +123,7 @@ def execute(df: DataFrame, plan: Plan, mission: Mission, capability: Capability,
             out.reason = "no usable features"
             return out
         names = tuple(dict.fromkeys((*capability.metrics, out.primary)))
-        out.valid, out.train = models.train_and_validate(expanded.frame, split, out.features, mission.target, plan.model, names, plan.seed, mission.time)
+        out.valid, out.train = models.train_and_validate(expanded.frame, split, out.features, mission.target, plan.model, names, plan.seed, mission.time, (out.primary,))
         if population if population is not None else plan.iteration > 0 and plan.iteration % POPULATION_EVERY == 0:
             rows = models.prepared(expanded.frame, out.features, mission.target)
             fit = models.build(plan.model, out.features, mission.target, plan.seed).fit(rows, mission.time, [row_id])

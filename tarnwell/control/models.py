@@ -253,15 +253,22 @@ def imputed(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def evaluated(rows: DataFrame, names: Sequence[str]) -> dict[str, float | None]:
-    """Named metrics of (id, y, p); plain aggregates share a pass, and a metric that cannot be computed is None."""
-    plain = [n for n in names if n in metrics.AGGREGATES]
-    found = metrics.plain(rows, plain).first().asDict() if plain else {}
-    for n in names:
-        if n not in found and (fn := metrics.named(n)):
-            try:
-                found[n] = fn(rows).first()[0]
-            except (ArithmeticError, TypeError, ValueError):
-                found[n] = None
+    """Named metrics of (id, y, p), which are computed once; plain aggregates share a pass, as do those of the best hundredths, and a metric that cannot be computed is None."""
+    rows = rows.cache()
+    found: dict[str, float | None] = {}
+    groups: list[tuple[list[str], Callable[[], dict]]] = []
+    if plain := [n for n in names if n in metrics.AGGREGATES]:
+        groups.append((plain, lambda: metrics.plain(rows, plain).first().asDict()))
+    if top := [n for n in names if n in metrics.TOP]:
+        percents = tuple(sorted({metrics.TOP[n][1] for n in top}))
+        groups.append((top, lambda: {n: {r["percent"]: r for r in metrics.top_percent(rows, percents).collect()}.get(metrics.TOP[n][1], {metrics.TOP[n][0]: None})[metrics.TOP[n][0]] for n in top}))
+    groups += [([n], lambda n=n: {n: metrics.named(n)(rows).first()[0]}) for n in names if n not in (*plain, *top) and metrics.named(n)]
+    for of, compute in groups:
+        try:
+            found |= compute()
+        except (ArithmeticError, TypeError, ValueError):
+            found |= dict.fromkeys(of)
+    rows.unpersist()
     return {n: found.get(n) for n in names}
 
 
@@ -301,8 +308,8 @@ class Split:
     folds: list[int] = field(default_factory=list)
 
 
-def train_and_validate(df: DataFrame, split: Split, features: list[str], target: str, key: str, names: Sequence[str], seed: int = 0, time: str | None = None) -> tuple[dict[str, float | None], dict[str, float | None]]:
-    """Mean metrics over the folds of a split: of validation rows, and of the rows fitted on."""
+def train_and_validate(df: DataFrame, split: Split, features: list[str], target: str, key: str, names: Sequence[str], seed: int = 0, time: str | None = None, train_names: Sequence[str] = ()) -> tuple[dict[str, float | None], dict[str, float | None]]:
+    """Mean metrics over the folds of a split: of validation rows, and the train_names of the rows fitted on."""
     joined = prepared(df, features, target).join(split.rows, split.key).cache()
     folds = split.folds or sorted(r[0] for r in joined.select("fold").distinct().collect())
     valid, train = [], []
@@ -310,9 +317,10 @@ def train_and_validate(df: DataFrame, split: Split, features: list[str], target:
         own = joined.where((F.col("fold") == k) & (F.col("role") == "train"))
         fit = build(key, features, target, seed + int(k)).fit(own, time, split.key)
         valid.append(evaluated(judged(fit, joined.where((F.col("fold") == k) & (F.col("role") == "valid")), target, split.key), names))
-        train.append(evaluated(judged(fit, own, target, split.key), names))
+        if train_names:
+            train.append(evaluated(judged(fit, own, target, split.key), train_names))
     joined.unpersist()
-    return mean_of(valid, names), mean_of(train, names)
+    return mean_of(valid, names), mean_of(train, train_names)
 
 
 def treatment_effect(df: DataFrame, treatment: str, outcome: str, covariates: list[str], resamples: int = 50, seed: int = 0) -> dict[str, float]:

@@ -86,22 +86,6 @@ def top_percent(df: DataFrame, percents: tuple[int, ...] = TOP_PERCENTS, tiebrea
     return hit.select("percent", F.try_divide(F.col("hit"), positives).alias("recall"), precision.alias("precision"), F.try_divide(precision, positives / F.col("n")).alias("lift"))
 
 
-def _one_of(values: DataFrame, percent: int, name: str) -> DataFrame:
-    return values.where(F.col("percent") == percent).select(F.col(name).alias(f"{name}_at_{percent}"))
-
-
-def recall_at_top(df: DataFrame, percent: int) -> DataFrame:
-    return _one_of(top_percent(df, (percent,)), percent, "recall")
-
-
-def precision_at_top(df: DataFrame, percent: int) -> DataFrame:
-    return _one_of(top_percent(df, (percent,)), percent, "precision")
-
-
-def lift_at_top(df: DataFrame, percent: int) -> DataFrame:
-    return _one_of(top_percent(df, (percent,)), percent, "lift")
-
-
 def ece(df: DataFrame, bins: int = BINS) -> DataFrame:
     """Expected calibration error over equal bins; null if a score lies outside [0, 1]."""
     at = F.least(F.floor(_p() * bins), F.lit(bins - 1))
@@ -168,7 +152,7 @@ def _nothing(name: str):
     return lambda df: df.sparkSession.range(1).select(F.lit(None).cast("double").alias(name))
 
 
-#: Metrics by name, beside AGGREGATES; the names without a percentage mean 10.
+#: Metrics by name, beside AGGREGATES and TOP.
 NAMED = {
     "roc_auc": roc_auc,
     "average_precision": average_precision,
@@ -181,22 +165,21 @@ NAMED = {
     "spearman_rank_corr": spearman,
     "concordance": concordance,
     "concordance_index": concordance,
-    "recall_at_top_k": lambda df: recall_at_top(df, 10),
-    "precision_at_top_k": lambda df: precision_at_top(df, 10),
-    "lift_at_top_k": lambda df: lift_at_top(df, 10),
-    "top_k_capture_rate": lambda df: recall_at_top(df, 10),
     "ibs": _nothing("ibs"),
     "cumulative_dynamic_auc": _nothing("cumulative_dynamic_auc"),
 }
-for _percent in TOP_PERCENTS:
-    for _name, _fn in (("recall", recall_at_top), ("precision", precision_at_top), ("lift", lift_at_top)):
-        NAMED[f"{_name}_at_top_pct_{_percent}"] = lambda df, fn=_fn, percent=_percent: fn(df, percent)
+#: What a name of the best hundredths means: the column of top_percent and the percentage.
+TOP = {f"{c}_at_top_pct_{percent}": (c, percent) for percent in TOP_PERCENTS for c in ("recall", "precision", "lift")}
+TOP |= {f"{c}_at_top_k": (c, 10) for c in ("recall", "precision", "lift")} | {"top_k_capture_rate": ("recall", 10)}
 
 
 def named(name: str):
     """The function of a metric's name, or None."""
     if name in AGGREGATES:
         return lambda df: plain(df, [name])
+    if name in TOP:
+        column, percent = TOP[name]
+        return lambda df: top_percent(df, (percent,)).select(F.col(column).alias(name))
     return NAMED.get(name)
 
 

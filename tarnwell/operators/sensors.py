@@ -25,11 +25,12 @@ def flatlines(df: DataFrame, time: str, value: str, by: list[str], least_seconds
 
 def readings_report(df: DataFrame, time: str, value: str, by: list[str], deviations: float = SPIKE) -> DataFrame:
     """by columns and counts of spikes (beyond so many deviations of the series' mean), repeats of the time before, negative values and unknown ones."""
-    moments = df.groupBy(*by).agg(F.avg(value).alias("__mean"), F.stddev_samp(value).alias("__sd"))
+    rows = df.select(*by, F.col(time).alias("__t"), F.col(value).alias("__v"))
+    moments = rows.groupBy(*[F.col(b).alias(f"__by_{i}") for i, b in enumerate(by)]).agg(F.avg("__v").alias("__mean"), F.stddev_samp("__v").alias("__sd"))
     same = F.lit(True)
-    for b in by:
-        same = same & df[b].eqNullSafe(moments[b])
-    joined = df.join(moments, same).select(*[df[b] for b in by], df[time].alias("__t"), df[value].alias("__v"), "__mean", "__sd")
+    for i, b in enumerate(by):
+        same = same & F.col(b).eqNullSafe(F.col(f"__by_{i}"))
+    joined = rows.join(moments, same)
     times = joined.groupBy(*by, "__t").agg(F.count(F.lit(1)).alias("__n"), F.count_if(F.abs(F.col("__v") - F.col("__mean")) > deviations * F.col("__sd")).alias("__spikes"), F.count_if(F.col("__v") < 0).alias("__negative"), F.count_if(F.col("__v").isNull()).alias("__missing"))
     return times.groupBy(*by).agg(F.sum("__spikes").alias("n_spikes"), F.sum(F.col("__n") - 1).alias("n_stale"), F.sum("__negative").alias("n_negative"), F.sum("__missing").alias("n_missing"))
 

@@ -472,7 +472,7 @@ def _(spark, d):
 
 @query("split_positional", "WITH p AS (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS k, count(*) OVER () AS n FROM events) SELECT event_id, CASE WHEN k < floor(n * 0.8) THEN 'train' ELSE 'valid' END AS role FROM p")
 def _(spark, d):
-    return sampling.positional_split(_t(spark, d, "events").select("event_id", "ts"), "ts", "event_id")
+    return sampling.positional_split(_t(spark, d, "events").select("event_id", "ts"), "ts", "event_id").select("event_id", "role")
 
 
 @query("impute_median", "WITH e AS (SELECT event_id, CASE WHEN event_id % 6 <> 0 THEN value END AS value FROM events) SELECT event_id, round(coalesce(value, (SELECT median(value) FROM e)), 6) AS value FROM e")

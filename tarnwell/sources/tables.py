@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarnwell.sources.stores import store
+
 #: Missing-value spellings of CSV cells (fixed values).
 MISSING = ("", "NA", "N/A", "NaN", "nan", "null", "NULL", "None", "<NA>", "#N/A")
 SUFFIXES = (".csv", ".json", ".jsonl", ".ndjson", ".parquet")
@@ -55,11 +57,6 @@ def load_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return found
 
 
-def store(folder: str) -> tuple[pa.fs.FileSystem, str]:
-    """The file system of a folder by its URI or local path, and the folder's path there."""
-    return pa.fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else Path(folder).resolve().as_uri())
-
-
 def write_text(folder: str, name: str, text: str) -> None:
     fs, path = store(folder)
     fs.create_dir(path, recursive=True)
