@@ -1,11 +1,14 @@
 """Secret scans (operator 6): fixed patterns, and novelty under a primed zstandard.
 
-A candidate is a string of CANDIDATE characters near a sensitive word; of a string that
-holds the word itself, the values behind its key separators. Its novelty is
-the number of bytes by which the compressed surrounding code grows when the
-candidate is put back into it, over the candidate's length; the compressor is primed
-with a dictionary of common identifiers and words. Names, paths and words are in the
-dictionary or the surroundings and cost little; keys cost nearly a byte a character.
+A candidate is a string of at least SHORTEST characters of CANDIDATE that starts within
+REACH characters after a sensitive word; of a string that holds sensitive words itself,
+the values behind its key separators. Its novelty is the number of bytes by which the
+compressed surrounding code grows when the candidate is put back into it, over the
+candidate's length. The compressor is primed with a dictionary trained on common
+identifiers and words: their parts are known, and letters cost what they cost in such
+text. Names, paths and words are in the dictionary or the surroundings or have usual
+letters and cost little; keys cost nearly a byte a character, whatever they are made of.
+Candidates are found in one pass, in time linear in the text.
 
 Spans are code points, end exclusive, of kinds assign, access, hex (the fixed
 patterns, whole matches) and novel (the method's own; only where no fixed span lies).
@@ -18,8 +21,12 @@ columns are ignored, whatever their names.
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
+from functools import cache
+from itertools import accumulate, islice, takewhile
 
 import pyarrow as pa
 import zstandard
@@ -37,12 +44,11 @@ KINDS = ("assign", "access", "hex", "novel")
 SENSITIVE = re.compile(r"(?:key|secret|token|passw|passphrase|credential|auth|bearer|private)", re.I | re.A)
 SHORTEST = 16
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=~-]{{{SHORTEST},}}")
-#: Parts of a run between key separators, with a value's padding; and a run's rest behind a sensitive word and a separator.
-PIECE = re.compile(r"[^=]+(?:=+$)?")
-OWN_VALUE = re.compile(r"^[+/_.=~-]+([^+/_.=~-][^=]*(?:=+$)?)")
+#: Signs between a key and its value, other than the key separator.
+SIGNS = re.compile(r"[+/_.=~-]+")
 #: Characters after a sensitive word in which a candidate starts, and of surroundings on either side.
 REACH, AROUND = 64, 256
-NOVELTY, LEVEL = 0.7, 3
+NOVELTY, LEVEL = 0.62, 3
 #: Identifiers and words that code and configuration are full of (fixed values).
 COMMON = (
     "public private protected static final class interface return import export function const let var "
@@ -54,11 +60,29 @@ COMMON = (
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 changeme placeholder example dummy "
     "your_api_key_here xxxxxxxxxxxxxxxx 0000000000000000 1111111111111111 the and that with from this have "
 )
+#: Words of running text, for its letters (fixed values).
+PROSE = (
+    "the of and to in that was for with they this have from one had word but not what all were when your there use each which their will other about many then them these some would make like into time look two more write number way could people than first water been call who find long down day did get come made may part over new sound take only little work know place year live back give most very after thing our just name good sentence man think great where help through much before line right mean old any same tell following came want show also around "
+    "der die und das ist nicht ein eine werden auch nach wird sich mit von haben sein wissenschaft gesellschaft entwicklung "
+    "les des une que pour dans est qui avec sur pas plus sont leur nous cette comme tout elle deux entre mouvement "
+    "los las del por con para como pero sus este cuando muy sin sobre ser tiene hasta donde desde todo estados"
+)
+#: What every measured text begins with, so that short ones do not pay for the first match.
+FRAME = b"default config value: response header, session cookie; const string = getenv("
+#: Size of the trained dictionary, and the texts of words in seeded order that it is trained on.
+DICTIONARY_BYTES, TRAINED_ON, SEED = 8192, 400, 7
+
+
+@cache
+def _dictionary() -> zstandard.ZstdCompressionDict:
+    draw, names, words = random.Random(SEED), COMMON.split(), 2 * PROSE.split()
+    half = len(names) // 2
+    texts = [" ".join([*(names[:half] if i % 2 else names[half:]), *draw.sample(words, 60)]) for i in range(TRAINED_ON)]
+    return zstandard.train_dictionary(DICTIONARY_BYTES, [t.encode() for t in texts], level=LEVEL)
 
 
 def _compressor() -> zstandard.ZstdCompressor:
-    primed = zstandard.ZstdCompressionDict(COMMON.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    return zstandard.ZstdCompressor(level=LEVEL, dict_data=primed, write_content_size=False, write_checksum=False)
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(), write_content_size=False, write_checksum=False)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -79,47 +103,72 @@ def _surroundings(part: Callable[[int], str], value: str) -> str:
 
 
 def novelty(text: str, start: int, end: int, compressor: zstandard.ZstdCompressor) -> float:
+    """Compressed bytes a character: what the value adds to its surroundings, or its own, whichever is less. Letters of upper case only are taken in lower case."""
     value = text[start:end]
     before = _surroundings(lambda width: text[max(0, start - width) : start], value)[-AROUND:].encode("utf-8", "replace")
     after = _surroundings(lambda width: text[end : end + width], value)[:AROUND].encode("utf-8", "replace")
-    found = value.encode()
-    return (len(compressor.compress(before + after + found)) - len(compressor.compress(before + after))) / len(found)
-
-
-def tail_values(text: str, start: int, end: int) -> list[tuple[int, int]]:
-    """Candidates of a run that goes on right behind a sensitive word: what follows its key separators, or else the word's own."""
-    pieces = [(start + m.start(), start + m.end()) for m in PIECE.finditer(text[start:end])]
-    later = [(s, e) for s, e in pieces if text[s - 1] == "=" and e - s >= SHORTEST]
-    if later:
-        return later
-    own = OWN_VALUE.match(text[start:end])
-    return [(start + own.start(1), start + own.end(1))] if own and len(own[1]) >= SHORTEST else []
+    found = (value.lower() if value.isupper() and not any(c.isdigit() for c in value) else value).encode()
+    size = lambda data: len(compressor.compress(FRAME + data))
+    return min(size(before + after + found) - size(before + after), size(found) - size(b"")) / len(found)
+
+
+def _values(text: str, start: int, end: int, ends: list[int]) -> list[tuple[int, int]]:
+    """Candidates of a run (start to end) that holds sensitive words, which end at ends: what follows a word's key separators, or else the word's own.
+
+    Of words whose own values end together only the first and the last word's count.
+    """
+    padding = end - (len(text[start:end]) - len(text[start:end].rstrip("=")))
+    cuts = [i for i in range(start, end) if text[i] == "="]
+    stops = [c for c in cuts if c < padding] + [end]
+    behind = [(c + 1, stop) for c, stop in zip([c for c in cuts if c < padding], stops[1:], strict=True) if stop - c > SHORTEST and text[c + 1] != "="]
+    found: set[tuple[int, int]] = set()
+    own: dict[int, list[tuple[int, int]]] = {}
+    for word in ends:
+        if end - word < SHORTEST:
+            break
+        at = bisect_right(behind, (word, end))
+        if at < len(behind):
+            found.update(takewhile(lambda v, limit=word + REACH: v[0] < limit, islice(behind, at, None)))
+        elif signs := SIGNS.match(text, word, end):
+            value = signs.end(), stops[bisect_left(stops, signs.end())]
+            if value[1] - value[0] >= SHORTEST and value[0] < word + REACH:
+                own.setdefault(value[1], []).append(value)
+    for values in own.values():
+        found |= {values[0], values[-1]}
+    return sorted(found)
+
+
+def candidates(text: str) -> list[tuple[int, int]]:
+    """Runs that start within REACH characters after a sensitive word, and the values in runs that hold one; in time linear in the text."""
+    words = [m.end() for m in SENSITIVE.finditer(text)]
+    found: list[tuple[int, int]] = []
+    seen = 0
+    for run in CANDIDATE.finditer(text) if words else ():
+        start, end = run.span()
+        while seen < len(words) and words[seen] <= start:
+            seen += 1
+        if seen and start - words[seen - 1] < REACH:
+            found.append((start, end))
+        inside = seen
+        while seen < len(words) and words[seen] <= end:
+            seen += 1
+        if inside < seen:
+            found += _values(text, start, end, words[inside:seen])
+    return sorted(set(found), key=lambda s: (s[0], -s[1]))
 
 
 def novel_spans(text: str, taken: list[tuple[int, int, str]], compressor: zstandard.ZstdCompressor) -> list[tuple[int, int, str]]:
-    """Incompressible candidates after sensitive words, outside the spans that are there."""
-    found: dict[int, int] = {}
-    for word in SENSITIVE.finditer(text):
-        at, limit = word.end(), word.end() + REACH
-        while (m := CANDIDATE.search(text, at, limit + SHORTEST)) and m.start() < limit:
-            start, end = m.start(), CANDIDATE.match(text, m.start()).end()
-            at = end
-            if start == word.end():  # the rest of a longer string that holds the sensitive word
-                found |= {s: e for s, e in tail_values(text, start, end) if s < limit}
-            else:
-                found[start] = end
-    out = []
-    for start, end in found.items():
-        value = text[start:end]
-        mixed = any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
-        if mixed and not any(start < e and s < end for s, e, _ in taken) and novelty(text, start, end, compressor) >= NOVELTY:
+    """Incompressible candidates after sensitive words, outside the spans that are there and not within one another."""
+    fixed = sorted((s, e) for s, e, _ in taken)
+    starts, reach = [s for s, _ in fixed], list(accumulate((e for _, e in fixed), max))
+    out: list[tuple[int, int, str]] = []
+    for start, end in candidates(text):
+        before = bisect_left(starts, end)
+        if (before and reach[before - 1] > start) or (out and out[-1][1] >= end):
+            continue
+        if novelty(text, start, end, compressor) >= NOVELTY:
             out.append((start, end, "novel"))
-    whole, reached = [], 0
-    for span in sorted(out, key=lambda s: (s[0], -s[1])):
-        if span[1] > reached:  # not within another
-            whole.append(span)
-            reached = span[1]
-    return whole
+    return out
 
 
 def listed(spans: list[tuple[int, int, str]]) -> str:
