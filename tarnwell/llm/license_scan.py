@@ -1,10 +1,13 @@
 """License scans (operator 2) by canonical digest lookup, native.
 
-A text is brought to a canonical form: lower case, no copyright lines, equivalent
-spellings made one, every run of other characters than letters and digits made one
-space. The digest of the entire text is joined to the digests of known licences
-(a fixed table of this file, or the caller's, so broadcast). Beside that each line that speaks of a
-licence is brought to the same form, and its digest looked up among known notices.
+A text is brought to a canonical form: lower case, no copyright lines (lines that
+begin with the word or its sign and hold the sign or a year), no marks of list items,
+every run of other characters than letters and digits one space, and then, word by
+word so that no line break matters, equivalent spellings made one and the phrase "all
+rights reserved" left out. The digest of the entire text is joined to the digests of
+known licences (a fixed table of this file, or the caller's, so broadcast). Beside that
+each line that speaks of a licence is brought to the same form, and its digest looked
+up among known notices.
 
 Defined results: null and empty texts have the digest of the empty string and no
 licence; texts are taken whole; equal texts get equal results; an empty table gives
@@ -16,19 +19,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import own, read, whole_text
+from .common import read, whole_text
 
-#: Equivalent spellings (fixed values), applied in this order to lower-cased text.
+#: Equivalent spellings of whole words and phrases (fixed values), applied in this order to words with single spaces between.
 SPELLINGS = (
     ("licence", "license"),
-    ("sub-license", "sublicense"),
-    ("non-commercial", "noncommercial"),
+    ("licences", "licenses"),
+    ("licenced", "licensed"),
+    ("sub license", "sublicense"),
+    ("non infringement", "noninfringement"),
+    ("non commercial", "noncommercial"),
     ("merchantibility", "merchantability"),
     ("copyright owner", "copyright holder"),
-    ("http:", "https:"),
-    ("&", " and "),
+    ("copyright owners", "copyright holders"),
+    ("http", "https"),
+    ("all rights reserved", ""),
 )
-COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*"
+#: In text in lower case: a year or its place holder, lines that state a copyright, and marks of list items.
+_YEAR = r"((19|20)[0-9][0-9]|[<\[{]y)"
+COPYRIGHT_LINE = r"(^|\n)[ \t]*((\(c\)|©)[^\n]*" + _YEAR + r"|copyright[^\n]*(\(c\)|©|" + _YEAR + r"))[^\n]*"
+ITEM = r"(^|\n)[ \t]*([0-9]+[.)]|[*-])[ \t]"
 SEPARATORS = r"[^\p{L}\p{N}]+"
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -89,10 +99,17 @@ NOTICES = (
 
 def canonical(text: Column) -> Column:
     """The canonical form of a text in lower case."""
-    text = F.regexp_replace(text, COPYRIGHT_LINE, "\n")
+    text = F.regexp_replace(F.regexp_replace(text, COPYRIGHT_LINE, "\n"), ITEM, "\n")
+    words = F.trim(F.regexp_replace(F.replace(text, F.lit("&"), F.lit(" and ")), SEPARATORS, " "))
+    # Every word gets spaces of its own, so that neighbours can both be replaced.
+    words = F.concat(F.lit(" "), F.replace(words, F.lit(" "), F.lit("  ")), F.lit(" "))
     for spelling, usual in SPELLINGS:
-        text = F.replace(text, F.lit(spelling), F.lit(usual))
-    return F.trim(F.regexp_replace(text, SEPARATORS, " "))
+        words = F.replace(words, F.lit(_spaced(spelling)), F.lit(_spaced(usual)))
+    return F.trim(F.regexp_replace(words, " +", " "))
+
+
+def _spaced(words: str) -> str:
+    return f" {words.replace(' ', '  ')} "
 
 
 def _known(spark: SparkSession, table: tuple) -> DataFrame:
@@ -122,10 +139,11 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_canonical(text: str) -> str:
-    out = f"regexp_replace({text}, '{COPYRIGHT_LINE}', chr(10), 'g')"
+    out = f"regexp_replace(regexp_replace({text}, '{COPYRIGHT_LINE}', chr(10), 'g'), '{ITEM}', chr(10), 'g')"
+    out = f"concat(' ', replace(trim(regexp_replace(replace({out}, '&', ' and '), '{SEPARATORS}', ' ', 'g')), ' ', '  '), ' ')"
     for spelling, usual in SPELLINGS:
-        out = f"replace({out}, '{spelling}', '{usual}')"
-    return f"trim(regexp_replace({out}, '{SEPARATORS}', ' ', 'g'))"
+        out = f"replace({out}, '{_spaced(spelling)}', '{_spaced(usual)}')"
+    return f"trim(regexp_replace({out}, ' +', ' ', 'g'))"
 
 
 def _sql_rows(table: tuple) -> str:
