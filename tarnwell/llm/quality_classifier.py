@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import own, read
+from .common import own, read, split
 from .samples import labelled_sample
 
 SAMPLE, DIMENSIONS, NONZERO, OTHERS, MAX_UNITS, LEAST_COUNT, REACH = 4000, 96, 4, 1024, 20_000, 3, 2
@@ -55,6 +55,11 @@ def shape(word: str) -> str:
     return "s:" + re.sub(r"(.)\1+", r"\1\1", word)[:12]
 
 
+def units_of(word: bytes) -> tuple[str, str]:
+    text = word.decode("utf-8", "replace")
+    return core(text), shape(text)
+
+
 def index_vector(unit: str) -> np.ndarray:
     """NONZERO entries of +-1 at places drawn from the name's hash."""
     draw = np.random.default_rng(zlib.crc32(unit.encode("utf-8", "replace")))
@@ -74,12 +79,11 @@ class Vectors:
         if got is None:
             if len(self.cache) >= 300_000:
                 self.cache.clear()
-            text = word.decode("utf-8", "replace")
-            got = self.cache[word] = tuple(self.rows.get(u, len(self.rows) + zlib.crc32(u.encode()) % OTHERS) for u in (core(text), shape(text)))
+            got = self.cache[word] = tuple(self.rows.get(u, len(self.rows) + zlib.crc32(u.encode()) % OTHERS) for u in units_of(word))
         return got
 
     def pooled(self, text: str) -> np.ndarray:
-        words = text.encode("utf-8", "replace").split()
+        words = split(text)
         if not words:
             return np.zeros(DIMENSIONS + DENSE, np.float32)
         ids = np.array([self.of_word(w) for w in words])
@@ -93,11 +97,11 @@ class Vectors:
 def learn_vectors(texts: list[str]) -> Vectors:
     counts: Counter[str] = Counter()
     sequences = []
-    memo: dict[str, tuple[str, str]] = {}
+    memo: dict[bytes, tuple[str, str]] = {}
     for text in texts:
         units = []
-        for word in text.split():
-            got = memo.get(word) or memo.setdefault(word, (core(word), shape(word)))
+        for word in split(text):
+            got = memo.get(word) or memo.setdefault(word, units_of(word))
             units.append(got)
             counts.update(got)
         sequences.append(units)

@@ -13,7 +13,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
 
     A class's share of labels says how to weigh its sampled rows. ``allowed`` limits
     the ids. Ids with null labels are left out; an id labelled twice has its largest
-    label; the ids chosen are at most per_class times the number of classes.
+    label, and one with several texts its least; so the rows are at most per_class
+    times the number of classes.
     """
     ids = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull())
     ids = ids.where(allowed) if allowed is not None else ids
@@ -23,4 +24,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     chosen = [row for k in sorted(counts) for row in ids.where(F.col(own("label")) == k).orderBy(F.xxhash64(own("id")), own("id")).limit(per_class).collect()]
     few = spark.createDataFrame(chosen, ids.schema)
     rows = docs.join(F.broadcast(few), docs[id_col] == few[own("id")])
-    return rows.select(whole_text(text_col).alias("text"), F.col(own("label")).alias("label"), F.xxhash64(own("id")).alias("key")), counts
+    one = rows.groupBy(few[own("id")], few[own("label")]).agg(F.min(whole_text(text_col)).alias("text"))
+    return one.select("text", F.col(own("label")).alias("label"), F.xxhash64(own("id")).alias("key")), counts
