@@ -7,15 +7,21 @@ repeated attempts are never read. Of records with equal payloads the one with th
 largest page_id is a response; the others are revisits, of headers only.
 
 The index is sorted by reversed-host URL key (``com,example)/path``) and cut into
-compressed blocks; the directory has one row per block: its first and last key and
-where it lies. A lookup binary-searches the directory, reads the byte ranges of the
+ranges of keys, one file each (as many as shuffle partitions), and these into compressed
+blocks. Beside each file lies its directory: a line for each block, with its first and
+last key and where it lies, and the places of the lines. A lookup binary-searches the
+ranges, then the directory's lines by reads of a few bytes, reads the byte ranges of the
 blocks that can hold the key, binary-searches these, and reads the records' ranges.
 Reading everything back goes the same way: blocks, then the records they point to.
 
+An archive begins with a warcinfo record. Record ids come from the archive's name and
+the record's place, so repeated rows have different ones; a revisit names the response
+by WARC-Refers-To-Target-URI and -Date (its record id is not known yet).
+
 Defined results: a null payload counts as empty; empty payloads are equal to each
-other; a null URL has the empty key; a null page_id never beats another one, and in
-a group with only null ids all are responses; repeated rows with the largest page_id
-are all responses; payloads of any length are written whole; an empty table gives no
+other; a null URL has the empty key; a null page_id stays null, never beats another one,
+and in a group with only null ids all are responses; repeated rows with the largest
+page_id are all responses; payloads of any length are written whole; an empty table gives no
 archives and an empty result; further columns are ignored, whatever their names.
 """
 
@@ -28,10 +34,10 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +45,9 @@ from .common import materialise, new_folder, own, partitions, read, store
 
 #: Uncompressed bytes after which a task begins another archive; entries of an index block.
 ARCHIVE_BYTES, BLOCK_ENTRIES, GZIP_LEVEL = 64 << 20, 1000, 1
-ID, URL, BODY, KEY, KEEP = own("id"), own("url"), own("body"), own("key"), own("keep")
+DIRECTORY_SUFFIX = ".directory"
+ID, URL, BODY, KEY, KEEP, KEEP_URL = own("id"), own("url"), own("body"), own("key"), own("keep"), own("keep_url")
+DATE = "1970-01-01T00:00:00Z"
 WRITTEN = "surt string, page_id string, archive string, offset long, length long"
 DIRECTORY = "first string, last string, file string, offset long, length long, entries long"
 
@@ -66,24 +74,33 @@ def _gzip(data: bytes) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
-def record(page_id: str, url: str, payload: bytes, refers_to: str | None) -> bytes:
+def _record(headers: list[str], block: bytes) -> bytes:
+    return "\r\n".join(["WARC/1.1", *headers, f"Content-Length: {len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def _record_id(archive: str, offset: int) -> str:
+    return f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{archive}:{offset}')}>"
+
+
+def _line(value: str) -> str:
+    return re.sub(r"[\r\n]+", " ", value)
+
+
+def warcinfo(archive: str) -> bytes:
+    """The first record of an archive."""
+    return _record(["WARC-Type: warcinfo", _record_id(archive, 0), f"WARC-Date: {DATE}", f"WARC-Filename: {archive}", "Content-Type: application/warc-fields"], b"format: WARC File Format 1.1\r\n")
+
+
+def record(page_id: str | None, url: str, payload: bytes, refers_to: str | None, refers_to_url: str = "", archive: str = "", offset: int = 0) -> bytes:
     """A WARC/1.1 response record, or a revisit of identical payload with its HTTP headers only."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = http if refers_to is not None else http + payload
-    lines = [
-        "WARC/1.1",
-        f"WARC-Type: {'revisit' if refers_to is not None else 'response'}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, page_id + ' ' + url)}>",
-        "WARC-Date: 1970-01-01T00:00:00Z",
-        f"WARC-Target-URI: {re.sub(r'[\r\n]+', ' ', url)}",
-        f"WARC-Payload-Digest: sha1:{digest(payload)}",
-        f"X-Page-ID: {page_id}",
-        "Content-Type: application/http; msgtype=response",
-        f"Content-Length: {len(block)}",
-    ]
-    if refers_to is not None:
-        lines[2:2] = ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-ID: {refers_to}"]
-    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    revisit = refers_to is not None
+    headers = [f"WARC-Type: {'revisit' if revisit else 'response'}", _record_id(archive, offset), f"WARC-Date: {DATE}", f"WARC-Target-URI: {_line(url)}", f"WARC-Payload-Digest: sha1:{digest(payload)}", "Content-Type: application/http; msgtype=response"]
+    if revisit:
+        headers += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To-Target-URI: {_line(refers_to_url)}", f"WARC-Refers-To-Date: {DATE}", f"X-Refers-To-Page-ID: {refers_to}"]
+    if page_id is not None:
+        headers.append(f"X-Page-ID: {page_id}")
+    return _record(headers, http if revisit else http + payload)
 
 
 def parse(data: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
@@ -96,7 +113,7 @@ def parse(data: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
 
 
 def write_archives(records: DataFrame, folder: str) -> DataFrame:
-    """records: ID (string), URL, BODY (binary) and KEEP (the id that a revisit refers to). The entries written, as WRITTEN."""
+    """records: ID (string), URL, BODY (binary), KEEP and KEEP_URL (the id and URL that a revisit refers to). The entries written, as WRITTEN."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = store(folder)
@@ -104,13 +121,16 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
         out, name, at, full = None, "", 0, 0
         for batch in batches:
             entries = []
-            for page_id, url, body, refers_to in zip(*(batch.column(i) for i in range(4)), strict=True):
+            for page_id, url, body, refers_to, refers_to_url in zip(*(batch.column(i) for i in range(5)), strict=True):
                 if out is None or full >= ARCHIVE_BYTES:
                     if out is not None:
                         out.close()
-                    name, at, full = f"{uuid.uuid4().hex}.warc.gz", 0, 0
+                    name, full = f"{uuid.uuid4().hex}.warc.gz", 0
                     out = fs.open_output_stream(f"{path}/{name}", compression=None)
-                made = record(page_id.as_py() or "", url.as_py() or "", body.as_py() or b"", refers_to.as_py())
+                    head = _gzip(warcinfo(name))
+                    out.write(head)
+                    at = len(head)
+                made = record(page_id.as_py(), url.as_py() or "", body.as_py() or b"", refers_to.as_py(), refers_to_url.as_py() or "", name, at)
                 packed = _gzip(made)
                 out.write(packed)
                 entries.append((surt(url.as_py()), page_id.as_py(), name, at, len(packed)))
@@ -120,11 +140,11 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
         if out is not None:
             out.close()
 
-    return records.select(ID, URL, BODY, KEEP).mapInArrow(run, WRITTEN)
+    return records.select(ID, URL, BODY, KEEP, KEEP_URL).mapInArrow(run, WRITTEN)
 
 
 def write_index(entries: DataFrame, folder: str) -> DataFrame:
-    """Sort entries by key into compressed blocks; the directory, as DIRECTORY."""
+    """Sort entries by key into compressed blocks, a file and its directory for each range of keys; the blocks, as DIRECTORY."""
     spark = entries.sparkSession
     ordered = entries.repartitionByRange(partitions(spark), "surt", "archive", "offset").sortWithinPartitions("surt", "archive", "offset")
 
@@ -145,19 +165,47 @@ def write_index(entries: DataFrame, folder: str) -> DataFrame:
 
         for batch in batches:
             for row in zip(*(batch.column(i) for i in range(5)), strict=True):
-                held.append([re.sub(r"[\t\n]", " ", str(x.as_py())) for x in row])
+                held.append(["" if x is None else re.sub(r"[\t\n]", " ", str(x)) for x in (x.as_py() for x in row)])
                 if len(held) >= BLOCK_ENTRIES:
                     flush()
         if held:
             flush()
         if out is not None:
             out.close()
+            with fs.open_output_stream(f"{path}/{name}{DIRECTORY_SUFFIX}", compression=None) as directory:
+                directory.write(packed_directory(rows))
             kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["first", "last", "file", "offset", "length", "entries"])
 
     return ordered.mapInArrow(run, DIRECTORY)
 
 
+def packed_directory(rows: list[tuple]) -> bytes:
+    """Lines of first and last key, offset and length of blocks, in order; then where each line starts and where the last one ends, and how many there are, 8 bytes each."""
+    lines = ["\t".join((first, last, str(offset), str(length))).encode() for first, last, _, offset, length, _ in rows]
+    starts = [0, *accumulate(len(line) for line in lines)]
+    return b"".join(lines) + b"".join(n.to_bytes(8, "little") for n in [*starts, len(lines)])
+
+
+class PackedDirectory:
+    """The blocks of a directory file, each found by reading its own line only."""
+
+    def __init__(self, file: pa.NativeFile) -> None:
+        self.file, size = file, file.size()
+        self.count = int.from_bytes(file.read_at(8, size - 8), "little")
+        self.places = size - 8 * (self.count + 2)
+
+    def __len__(self) -> int:
+        return self.count
+
+    def __getitem__(self, i: int) -> tuple[str, str, int, int]:
+        """First and last key, offset and length of block i."""
+        at = self.file.read_at(16, self.places + 8 * i)
+        start, end = int.from_bytes(at[:8], "little"), int.from_bytes(at[8:], "little")
+        first, last, offset, length = self.file.read_at(end - start, start).decode().split("\t")
+        return first, last, int(offset), int(length)
+
+
 def read_range(folder: str, name: str, offset: int, length: int) -> bytes:
     fs, path = store(folder)
     with fs.open_input_file(f"{path}/{name}") as file:
@@ -202,7 +250,7 @@ def read_records(entries: DataFrame, folder: str) -> DataFrame:
                     size = int(http["Content-Length"])
                     if kind == "response" and (digest(payload) != told or len(payload) != size):
                         raise ValueError(f"record at {name}:{row['offset']} does not match its digest")
-                    rows.append((warc["X-Page-ID"], warc["WARC-Target-URI"], kind, size, told, warc.get("X-Refers-To-Page-ID"), payload))
+                    rows.append((warc.get("X-Page-ID"), warc["WARC-Target-URI"], kind, size, told, warc.get("X-Refers-To-Page-ID"), payload))
                 kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=[f.split()[0] for f in schema.split(", ")])
         if file is not None:
@@ -216,23 +264,36 @@ class Captures:
 
     def __init__(self, folder: str, directory: DataFrame):
         self.folder, self.directory = folder, directory
+        self.ranges: list[tuple[str, str, str]] | None = None
 
     def records(self) -> DataFrame:
         return read_records(read_blocks(self.directory, self.folder), self.folder)
 
-    def lookup(self, url: str) -> list[dict]:
-        """The captures of one URL, payloads of revisits resolved. Reads one range of the directory, then blocks, then records."""
-        key = surt(url)
-        blocks = self.directory.where((F.col("first") <= key) & (F.col("last") >= key)).orderBy("first", "file", "offset").collect()
-        found = []
-        for block in blocks:
-            lines = zlib.decompress(read_range(self.folder, block["file"], block["offset"], block["length"]), 31).decode().split("\n")[:-1]
-            keys = [line.split("\t", 1)[0] for line in lines]
-            for line in lines[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]:
-                _, page_id, archive, offset, length = line.split("\t")
-                warc, http, payload = parse(zlib.decompress(read_range(self.folder, archive, int(offset), int(length)), 31))
-                found.append({"page_id": page_id, "url": warc["WARC-Target-URI"], "record_type": warc["WARC-Type"], "payload": payload, "refers_to": warc.get("X-Refers-To-Page-ID")})
-        return found
+    def _blocks(self, key: str) -> Iterator[tuple[str, int, int]]:
+        """(file, offset, length) of the blocks that can hold the key."""
+        if self.ranges is None:  # one row for each shuffle partition at most
+            self.ranges = sorted(map(tuple, self.directory.groupBy("file").agg(F.min("first"), F.max("last")).select("max(last)", "min(first)", "file").collect()))
+        fs, path = store(self.folder)
+        for last, first, name in self.ranges[bisect.bisect_left(self.ranges, key, key=lambda r: r[0]) :]:
+            if first > key:
+                return
+            with fs.open_input_file(f"{path}/{name}{DIRECTORY_SUFFIX}") as file:
+                packed = PackedDirectory(file)
+                for i in range(bisect.bisect_left(packed, key, key=lambda block: block[1]), len(packed)):
+                    first, _, offset, length = packed[i]
+                    if first > key:
+                        return
+                    yield name, offset, length
+
+    def lookup(self, url: str) -> Iterator[dict]:
+        """The captures of one URL one by one, from one block at a time; a revisit has no payload of its own."""
+        key, of = surt(url), lambda line: line.split("\t", 1)[0]
+        for name, offset, length in self._blocks(key):
+            lines = zlib.decompress(read_range(self.folder, name, offset, length), 31).decode().split("\n")[:-1]
+            for line in lines[bisect.bisect_left(lines, key, key=of) : bisect.bisect_right(lines, key, key=of)]:
+                _, _, archive, start, size = line.split("\t")
+                warc, http, payload = parse(zlib.decompress(read_range(self.folder, archive, int(start), int(size)), 31))
+                yield {"page_id": warc.get("X-Page-ID"), "url": warc["WARC-Target-URI"], "record_type": warc["WARC-Type"], "payload": payload, "refers_to": warc.get("X-Refers-To-Page-ID")}
 
 
 def capture(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", folder: str | None = None) -> Captures:
@@ -242,10 +303,10 @@ def capture(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", bod
     body = F.coalesce(F.col(body_col).cast("binary"), F.lit("").cast("binary"))
     rows = pages.select(F.col(id_col).alias(ID), F.col(url_col).alias(URL), body.alias(BODY))
     rows = rows.withColumn(KEY, F.concat_ws(":", F.sha2(BODY, 256), F.octet_length(BODY)))
-    groups = rows.groupBy(KEY).agg(F.max(ID).alias(KEEP), F.count(F.lit(1)).alias("n"))
-    kept = materialise(groups.where("n > 1").select(KEY, KEEP), "payloads")
+    groups = rows.groupBy(KEY).agg(F.max(F.struct(ID, URL)).alias(KEEP), F.count(F.lit(1)).alias("n"))
+    kept = materialise(groups.where("n > 1").select(KEY, F.col(f"{KEEP}.{URL}").alias(KEEP_URL), F.col(f"{KEEP}.{ID}").alias(KEEP)), "payloads")
     refers = F.when(F.col(KEEP).isNotNull() & ~F.col(ID).eqNullSafe(F.col(KEEP)), F.col(KEEP)).cast("string")
-    records = rows.join(kept, KEY, "left").select(F.col(ID).cast("string").alias(ID), URL, BODY, refers.alias(KEEP))
+    records = rows.join(kept, KEY, "left").select(F.col(ID).cast("string").alias(ID), URL, BODY, refers.alias(KEEP), KEEP_URL)
     entries = materialise(write_archives(records, folder), "entries")
     return Captures(folder, materialise(write_index(entries, folder + "/index"), "directory").withColumn("file", F.concat(F.lit("index/"), F.col("file"))))
 
