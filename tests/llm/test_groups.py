@@ -135,6 +135,68 @@ def test_near_classes_find_a_pair_hidden_in_large_buckets(spark):
     assert got == {i: min(i, 900) for i in range(902)}
 
 
+def _classes_by_brute_force(texts):
+    """Components over all pairs of texts that are similar."""
+    compare = near_dedup.Comparer()
+    label = list(range(len(texts)))
+
+    def root(i):
+        while label[i] != i:
+            label[i] = label[label[i]]
+            i = label[i]
+        return i
+
+    held = [t.encode() for t in texts]
+    for i in range(len(texts)):
+        for j in range(i):
+            if root(i) != root(j) and compare.similar(held[i], held[j]):
+                a, b = sorted((root(i), root(j)))
+                label[b] = a
+    return {i: root(i) for i in range(len(texts))}
+
+
+@pytest.mark.parametrize("part", [60, 1000])
+def test_near_classes_of_a_large_family_and_a_common_passage(spark, monkeypatch, part):
+    """500 variants of one text, many near the edge of 0.8, and 300 texts that share a passage only; cut into parts and not. Few pairs are listed."""
+    monkeypatch.setattr(near_dedup, "PART", part)
+    listed = []
+    verified = near_dedup._verified
+    monkeypatch.setattr(near_dedup, "_verified", lambda pairs, texts: listed.append(pairs.count()) or verified(pairs, texts))
+    draw = random.Random(21)
+    new = lambda n: [f"w{draw.randint(0, 999_999)}" for _ in range(n)]
+    base, passage = new(150), new(110)
+    texts = []
+    for _ in range(500):
+        text = list(base)
+        for at in draw.sample(range(len(text)), draw.randint(0, 6)):
+            text[at] = new(1)[0]
+        texts.append(" ".join(text))
+    texts += [" ".join(passage + new(45)) for _ in range(300)]
+    draw.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(docs).collect()}
+    assert got == _classes_by_brute_force(texts)
+    assert sum(listed) < 20 * len(texts)
+
+
+def test_near_signatures_let_similar_texts_through():
+    """Pairs at 0.8 and a little above, of short and long texts, by both kinds of signatures."""
+    draw = random.Random(5)
+    for n in (12, 60, 400, 3000):
+        for _ in range(40):
+            text = [f"w{draw.randint(0, 10**9)}" for _ in range(n)]
+            other = list(text)
+            while True:
+                changed = list(other)
+                changed[draw.randrange(n)] = f"x{draw.randint(0, 10**9)}"
+                if not near_dedup.similar([w.encode() for w in text], [w.encode() for w in changed]):
+                    break
+                other = changed
+            for bins in (near_dedup.BINS, near_dedup.FINE_BINS):
+                a, b = (np.frombuffer(near_dedup.signature(near_dedup.items([w.encode() for w in t], {}), bins), np.uint8)[None, :] for t in (text, other))
+                assert near_dedup.may_be_similar(a, b)[0]
+
+
 def test_near_awkward(spark):
     rows = near_dedup.near_classes(awkward(spark)).collect()
     assert len(rows) == 12
@@ -158,6 +220,48 @@ def test_sentencepiece_equals_the_library(spark):
     assert sentencepiece.encoded(empty(spark), pieces).count() == 0
 
 
+def test_sentencepiece_does_not_depend_on_splits(spark, tmp_path, monkeypatch):
+    """Files are split otherwise in the second pass; widespread, own and long chunks, and ones that no table has."""
+    import public_tokenizers
+    import sentencepiece as library
+
+    model = library.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    draw = random.Random(11)
+    texts = [" ".join(f"w{draw.randint(0, 400)}x{draw.randint(0, 9)}" + draw.choice(["", ",", "  ", "\n"]) for _ in range(60)) for _ in range(400)] + ["a" * 5000, "日本" * 60]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.option("parquet.block.size", "8192").parquet(f"{tmp_path}/docs")
+    docs, pieces = spark.read.parquet(f"{tmp_path}/docs"), sentencepiece.standard()
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for common in (sentencepiece.COMMON, 50):
+        monkeypatch.setattr(sentencepiece, "COMMON", common)
+        try:
+            rows = sentencepiece.encoded(docs, pieces, block_rows=64)
+            spark.conf.set("spark.sql.files.maxPartitionBytes", "6000")
+            assert {r["doc_id"]: list(r["ids"]) for r in rows.collect()} == {i: model.encode(t) for i, t in enumerate(texts)}
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_merges_in_one_pass_or_one_by_one(spark):
+    """Scores that make late merges possible: both folds, the heap and a plain loop agree."""
+    draw = random.Random(4)
+    names = [*"abcd", "ab", "bc", "cd", "abc", "bcd", "abcd", "aa", "aab", "da", "dab"]
+    for _ in range(6):
+        scores = draw.sample(range(100), len(names))
+        pieces = sentencepiece.Pieces(tuple((p, i + 1, -float(s)) for i, (p, s) in enumerate(zip(names, scores, strict=True))), "bpe", None, 0, ("<unk>", *names))
+        chunks = sorted({"".join(draw.choice("abcde") for _ in range(draw.randint(1, 9))) for _ in range(60)})
+
+        def plain(text):
+            spans = list(text)
+            while able := [(-pieces.table[x + y][1], i) for i, (x, y) in enumerate(zip(spans, spans[1:], strict=False)) if x + y in pieces.table]:
+                i = min(able)[1]
+                spans[i : i + 2] = [spans[i] + spans[i + 1]]
+            return [pieces.table[s][0] if s in pieces.table else 0 for s in spans]
+
+        frame = spark.createDataFrame([(c,) for c in chunks], "chunk string")
+        got = {r["chunk"]: list(r["ids"]) for r in sentencepiece.folded(sentencepiece.lattice(frame, pieces), pieces).collect()}
+        assert got == {c: plain(c) for c in chunks} == {c: sentencepiece.merged(c, pieces.table, pieces) for c in chunks}
+
+
 def test_viterbi_fold_equals_all_paths(spark):
     draw = random.Random(3)
     names = ["▁", *"abc", "ab", "bc", "abc", "▁a", "ca", "▁ab"]
@@ -187,10 +291,27 @@ def test_warc_round_trip(spark):
     assert got["2"]["record_type"] == "response" and (got["1"]["record_type"], got["1"]["refers_to"]) == ("revisit", "2")
     assert (got["3"]["record_type"], got["3"]["refers_to"], got["5"]["record_type"]) == ("revisit", "5", "response")
     assert bytes(got["4"]["payload"]).decode() == rows[3][2]
-    assert sorted(f["page_id"] for f in made.lookup("http://a.example.com/x")) == ["1", "4"] and made.lookup("http://none.example.com/") == []
+    assert sorted(f["page_id"] for f in made.lookup("http://a.example.com/x")) == ["1", "4"] and list(made.lookup("http://none.example.com/")) == []
+    assert [f["page_id"] for f in made.lookup("http://n.example.com")] == [None]
     assert warc.capture(spark.createDataFrame([], pages.schema)).records().count() == 0
 
 
+def test_warc_lookup_searches_ranges_and_blocks(spark, monkeypatch):
+    """A hot URL over several blocks and ranges, repeated rows, and keys before, between and after."""
+    monkeypatch.setattr(warc, "BLOCK_ENTRIES", 3)
+    urls = ["http://hot.example.com/"] * 40 + [f"http://h{i % 9}.example.com/p{i}" for i in range(40)]
+    rows = [(i, u, f"<p>{i % 50}</p>") for i, u in enumerate(urls)] + [(79, urls[79], "<p>29</p>")]
+    made = warc.capture(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    for u in {*urls, "http://a.example.com/", "http://h3.example.com/p3x", "http://zz.example.org/"}:
+        assert sorted(f["page_id"] for f in made.lookup(u)) == sorted(str(i) for i, x, _ in rows if x == u)
+    heads = []
+    for row in warc.read_blocks(made.directory, made.folder).collect():
+        heads.append(warc.parse(__import__("zlib").decompress(warc.read_range(made.folder, row["archive"], row["offset"], row["length"]), 31))[0])
+    assert len({h["WARC-Record-ID"] for h in heads}) == len(rows)
+    by_page = {h["X-Page-ID"]: h for h in heads}
+    assert all(h["WARC-Refers-To-Target-URI"] == by_page[h["X-Refers-To-Page-ID"]]["WARC-Target-URI"] for h in heads if h["WARC-Type"] == "revisit")
+
+
 def test_surt():
     assert warc.surt("http://www.Example.com:80/a/b?c=d") == "com,example,www)/a/b?c=d"
     assert np.all([warc.surt(None) == "", warc.surt("http://x.org:8080") == "org,x:8080)/"])

@@ -104,6 +104,131 @@ def test_novel_values_that_stand_twice(gap):
     assert _novel((f"bearer {key}" + " " * (gap % 7) + "\n") * 40) == [key] * 40
 
 
+@pytest.mark.parametrize("before", ["private bearer ", "auth_", "MY_AUTH="])
+def test_novel_values_of_letters_only_but_no_words(before):
+    for value in ("QJMUayYVGZiHdExKJmGAFwAwOlJLlfZJZqcRxBtV", "nrudfuxjdxkxqpzvjwkxhbgyqvmcfjzkwpxdbqgh"):
+        assert _novel(f"{before}{value}\nnext") == [value]
+    for word in ("Donaudampfschifffahrtsgesellschaft", "internationalization", "get_private_key_from_environment", "einheitliche_schnittstelle"):
+        assert _novel(f"{before}{word}\nnext") == []
+
+
+def _quick(text):
+    import time
+
+    began = time.perf_counter()
+    found = _novel(text)
+    assert time.perf_counter() - began < 5
+    return found
+
+
+def test_novel_values_of_very_long_texts_take_linear_time():
+    key, million = "q9Xz7Lw2Rk8Tn4Vb6Yp1", 1_000_000
+    assert _quick("key" * (million // 3)) == [] == _quick("key_" * (million // 4)) == _quick("key =" * (million // 5))
+    assert _quick("key=" * (million // 4) + key) == [key]
+    assert _quick("token " * (million // 6) + key) == [key]
+    assert _quick("a" * million + f" bearer {key} " + "b" * million) == [key]
+    assert len(_quick(f"bearer {key}\n" * 3000)) == 3000
+
+
+def test_novel_values_of_runs_with_several_words():
+    key = "q9Xz7Lw2Rk8Tn4Vb6Yp1"
+    assert _novel(f"secret_of_auth_{key}") in ([key], [f"of_auth_{key}"])
+    # The second string starts within reach of the first word, so it is taken whole.
+    assert _novel(f"a_key={key}&b_auth={key[::-1]}") == [key, f"b_auth={key[::-1]}"]
+    assert _novel(f"a_key={key}&{'b ' * 40}b_auth={key[::-1]}") == [key, key[::-1]]
+
+
+def _spans_by_the_rules(text):
+    """The fixed spans, read from the rules sign by sign."""
+    words = ("password", "passwd", "secret", "token", "apikey", "api_key")
+    low = "".join(c.lower() if c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" else c for c in text)
+    value = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+
+    def run(at, signs):
+        while at < len(text) and text[at] in signs:
+            at += 1
+        return at
+
+    def assign(at):
+        for word in words:
+            if low.startswith(word, at):
+                for quote in (1, 0):
+                    p = at + len(word)
+                    if quote:
+                        if text[p : p + 1] not in ('"', "'"):
+                            continue
+                        p += 1
+                    p = run(p, " ")
+                    if text[p : p + 1] not in (":", "="):
+                        continue
+                    p = run(p + 1, " ")
+                    p += text[p : p + 1] in ('"', "'") and bool(text[p : p + 1])
+                    if (end := run(p, value)) > p:
+                        return end, end - p >= 8
+        return None
+
+    found, at = [], 0
+    while at < len(text):
+        if got := assign(at):
+            if got[1]:
+                found.append((at, got[0], "assign"))
+            at = got[0]
+        else:
+            at += 1
+    at = 0
+    while at < len(text):
+        end = run(at + 4, set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")) if text.startswith("AKIA", at) else at
+        if end > at + 4 and end - at >= 16:
+            found.append((at, end, "access"))
+        at = end if end > at + 4 else at + 1
+    at = 0
+    while at < len(text):
+        end = run(at, set("0123456789abcdef"))
+        if end - at >= 32:
+            found.append((at, end, "hex"))
+        at = max(end, at + 1)
+    return sorted(found)
+
+
+def test_base_spans_follow_the_rules():
+    import random
+
+    draw = random.Random(8)
+    parts = ["token", "Secret", "PASSWORD", "passwd", "api_key", "apikey", '"', "'", " ", ":", "=", "==", "abcdefgh", "x1+/_.-", "AKIA", "A1B2C3D4E5F6", "0f" * 16, "0f" * 3, "é", "ſ", "\n", "\u212a"]
+    for _ in range(3000):
+        text = "".join(draw.choice(parts) for _ in range(draw.randint(1, 14)))
+        assert sorted(secret_scan.base_spans(text)) == _spans_by_the_rules(text), text
+
+
+def test_secret_rows_of_awkward_texts(spark):
+    rows = secret_scan.secrets(clashing(awkward(spark))).collect()
+    assert len(rows) == 12 and all(r["spans"] == "" for r in rows)
+
+
+def test_licenses_in_their_published_layouts(spark):
+    """Wrapped lines, holders, list marks and headings as the licences are published."""
+    isc = "ISC License\n\nCopyright (c) 2004-2010 by Some Consortium\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n\n" + "\n".join(_wrapped(license_scan._ISC_WARRANTY, 70))
+    bsd = "Copyright (c) 1998, Regents of a University\nAll rights reserved.\n\n" + "\n".join(_wrapped(f"{license_scan._BSD_HEAD}\n{license_scan._BSD_3}\n{license_scan._BSD_TAIL}".replace("COPYRIGHT HOLDER OR", "COPYRIGHT\nOWNER OR"), 60)).replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* ")
+    mit = "The MIT License (MIT)\n\nCopyright © 2015 Somebody <a@b.example>\n\n" + "\n".join(_wrapped(license_scan._MIT.replace("sublicense", "sub-license"), 64))
+    holders = "Copyright Somebody\n\n" + license_scan._MIT
+    rows = [(1, isc), (2, bsd), (3, mit), (4, holders), (5, mit.replace("THE SOFTWARE IS", "THE  SOFTWARE\tIS")), (6, isc * 2), (7, "x " * 300_000 + mit)]
+    got = {r["doc_id"]: r["license"] for r in license_scan.licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "ISC", 2: "BSD-3-Clause", 3: "MIT", 4: None, 5: "MIT", 6: None, 7: None}
+
+
+def _wrapped(text, width):
+    import textwrap
+
+    return [line for part in text.split("\n") for line in textwrap.wrap(part, width)]
+
+
+def test_license_rows_of_awkward_texts(spark):
+    rows = license_scan.licenses(clashing(awkward(spark))).collect()
+    assert len(rows) == 12 and {r["license"] for r in rows} == {None}
+    by = {r["doc_id"]: r["canon_sha256"] for r in rows}
+    assert by[3] == by[4] == by[9] and by[1] == by[2] and len({r["canon_sha256"] for r in rows if r["doc_id"] == 6}) == 1
+
+
 def _labelled(spark, bad):
     docs = [(i, SENTENCE + f"number{i} " + (bad if i % 3 == 0 else "kind")) for i in range(240)]
     return spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 3 != 0), int(i % 3 == 0)) for i in range(240)], "doc_id long, quality int, toxic int")
