@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import read
+from .common import read, split
 from .samples import labelled_sample
 
 SAMPLE, GRADES, PREFIXES = 4000, 4, (4, 5, 7)
@@ -38,9 +38,9 @@ RIDGE, ROUNDS, RATE = 1e-5, 600, 0.1
 _NO_LETTER = re.compile(r"[\W\d_]+")
 
 
-def features(word: str) -> tuple[str, ...]:
+def features(word: bytes) -> tuple[str, ...]:
     """A word's features: its letters, and their beginnings with a mark."""
-    core = _NO_LETTER.sub("", word.lower())
+    core = _NO_LETTER.sub("", word.decode("utf-8", "replace").lower())
     return (core, *(f"{core[:n]}*" for n in PREFIXES if len(core) >= n)) if core else ()
 
 
@@ -56,12 +56,26 @@ class Model:
         return 1 / (1 + np.exp(np.clip(np.asarray(self.thresholds)[None, :] - score[:, None], -500, 500)))
 
 
-def _graded(rows: list[tuple[Counter, int]], strong: set[str]) -> np.ndarray:
+def _coded(texts: list[str]) -> tuple[list[np.ndarray], list[str]]:
+    """The distinct features of each text as numbers, and the features by number."""
+    numbers: dict[str, int] = {}
+    known: dict[bytes, tuple[int, ...]] = {}
+    rows = []
+    for text in texts:
+        found: set[int] = set()
+        for word in set(split(text)):
+            if (of := known.get(word)) is None:
+                of = known[word] = tuple(numbers.setdefault(f, len(numbers)) for f in features(word))
+            found.update(of)
+        rows.append(np.array(sorted(found), np.int32))
+    return rows, list(numbers)
+
+
+def _graded(rows: list[np.ndarray], labels: np.ndarray, strong: np.ndarray) -> np.ndarray:
     """Labels as grades; two-valued ones by thirds of the number of strong features."""
-    labels = np.array([label for _, label in rows])
     if labels.max(initial=0) > 1:
         return np.minimum(labels, GRADES - 1)
-    marks = np.array([len(strong & found.keys()) for found, _ in rows])
+    marks = np.array([int(strong[found].sum()) for found in rows])
     cuts = np.quantile(marks[labels == 1], [i / (GRADES - 1) for i in range(1, GRADES - 1)])
     return np.where(labels == 1, 1 + np.searchsorted(cuts, marks, side="right"), 0)
 
@@ -69,24 +83,25 @@ def _graded(rows: list[tuple[Counter, int]], strong: set[str]) -> np.ndarray:
 def fit(texts: list[tuple[str, int]], class_weight: dict[int, float]) -> Model:
     """texts: (text, label). Adam on the ordinal likelihood with a ridge; no randomness."""
     texts = list(dict(texts).items())
-    rows = [(Counter(f for w in text.split() for f in features(w)), label) for text, label in texts]
-    toxic, clean = sum(y > 0 for _, y in rows), sum(y == 0 for _, y in rows)
+    labels = np.array([label for _, label in texts], np.int64)
+    toxic, clean = int((labels > 0).sum()), int((labels == 0).sum())
     if not toxic or not clean:
         return Model()
-    having = [Counter(f for found, y in rows if (y > 0) == kind for f in found) for kind in (True, False)]
-    odds = {}
-    for f, a in having[0].items():
-        b = having[1].get(f, 0)
-        if a + b >= LEAST_TEXTS:
-            p, q = (a + 0.5) / (toxic + 1), (b + 0.5) / (clean + 1)
-            odds[f] = np.log(p / (1 - p) * (1 - q) / q) / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5) + 1 / (toxic - a + 0.5) + 1 / (clean - b + 0.5))
-    names = sorted((f for f, z in odds.items() if abs(z) >= Z), key=lambda f: (-abs(odds[f]), f))[:MAX_FEATURES]
-    strong = {f for f in names if odds[f] >= STRONG_Z} or set(names)
-    at = {f: i for i, f in enumerate(names)}
-    grades = _graded(rows, strong)
-    pairs = [(i, at[f]) for i, (found, _) in enumerate(rows) for f in found if f in at]
-    row, col = (np.array(x, np.int64) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
-    weight = np.array([class_weight.get(int(y > 0), 1.0) for _, y in rows])
+    rows, every = _coded([text for text, _ in texts])
+    a, b = (np.bincount(np.concatenate([r for r, y in zip(rows, labels, strict=True) if (y > 0) == kind]), minlength=len(every)) for kind in (True, False))
+    p, q = (a + 0.5) / (toxic + 1), (b + 0.5) / (clean + 1)
+    odds = np.log(p / (1 - p) * (1 - q) / q) / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5) + 1 / (toxic - a + 0.5) + 1 / (clean - b + 0.5))
+    chosen = sorted(np.flatnonzero((a > 0) & (a + b >= LEAST_TEXTS) & (np.abs(odds) >= Z)).tolist(), key=lambda i: (-abs(odds[i]), every[i]))[:MAX_FEATURES]
+    names = [every[i] for i in chosen]
+    place, strong = np.full(len(every), -1, np.int64), np.zeros(len(every), bool)
+    place[chosen] = np.arange(len(chosen))
+    strong[chosen] = odds[chosen] >= STRONG_Z
+    if not strong.any():
+        strong[chosen] = True
+    grades = _graded(rows, labels, strong)
+    held = [place[r][place[r] >= 0] for r in rows]
+    row, col = np.repeat(np.arange(len(rows)), [len(h) for h in held]), np.concatenate(held)
+    weight = np.array([class_weight.get(int(y > 0), 1.0) for y in labels])
     weight /= weight.sum()
     n_cuts = GRADES - 1
     # Thresholds as a first one and the logarithms of the gaps.
@@ -111,7 +126,7 @@ def fit(texts: list[tuple[str, int]], class_weight: dict[int, float]) -> Model:
         parameters -= RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
     w = parameters[: len(names)]
     cuts = parameters[len(names)] + np.concatenate([[0.0], np.cumsum(np.exp(parameters[len(names) + 1 :]))])
-    return Model({f: float(w[k]) for f, k in at.items()}, tuple(cuts.tolist()))
+    return Model({f: float(w[k]) for k, f in enumerate(names)}, tuple(cuts.tolist()))
 
 
 def fitted(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> Model:
@@ -131,12 +146,12 @@ def graded(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        known: dict[str, tuple[str, ...]] = {}
+        known: dict[bytes, tuple[str, ...]] = {}
         for batch in batches:
             scores = []
             for value in batch.column(1):
                 found: set[str] = set()
-                for word in set((value.as_py() or "").split()):
+                for word in set(split(value.as_py() or "")):
                     has = known.get(word)
                     if has is None:
                         if len(known) >= 200_000:
