@@ -36,7 +36,7 @@ class Plan:
     hypothesis: str = ""
     iteration: int = 0
     seed: int = 0
-    median: bool = False
+    folds: int = 5
 
     @property
     def fingerprint(self) -> str:
@@ -111,7 +111,7 @@ def execute(df: DataFrame, plan: Plan, mission: Mission, capability: Capability,
         return out
     context = context_of(mission, row_id, interactions)
     try:
-        split = folds_of(df, capability, mission, row_id, seed=plan.seed)
+        split = folds_of(df, capability, mission, row_id, plan.folds, plan.seed)
         expanded = expand(df, list(plan.features), context)
         numbers = set(profile.numeric_columns(expanded.frame))
         out.features = [c for c in expanded.columns if c in numbers and c != mission.target]
