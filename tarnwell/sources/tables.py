@@ -107,7 +107,7 @@ def log_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def documents(spark: SparkSession, paths: str | Iterable[str], limit: int | None = None) -> DataFrame:
     """path, suffix, n_chars, text, error, truncated of each document; formats without a parser are listed with an error.
 
-    Texts are whole unless a limit (the reference's is DOCUMENT_LIMIT) is given.
+    Texts are whole unless a limit (DOCUMENT_LIMIT is the usual one) is given.
     """
     raw = spark.read.format("binaryFile").load(list(paths) if not isinstance(paths, str) else paths)
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
