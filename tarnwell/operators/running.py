@@ -12,9 +12,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges of an order; what a single task orders is about this share of the rows.
+#: Ranges of an order, of which a task has one at a time; and bounds that are compared at once.
 RANGES = 256
-_RANGE, _BOUNDS = "__range", "__bounds"
+STEP = 16
+_RANGE, _BOUNDS, _COARSE, _FINE = "__range", "__bounds", "__coarse_bounds", "__fine_bounds"
 
 
 def as_number(df: DataFrame, column: str) -> Column:
@@ -32,9 +33,16 @@ def running(df: DataFrame, order: str, sums: dict[str, Column], by: Sequence[str
     of the order come first (last, if descending). Without then, equal rows stand in any order.
     """
     at = as_number(df, order)
-    bounds = df.agg(F.percentile_approx(at, F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), 10 * ranges).alias(_BOUNDS))
-    cut = F.coalesce(F.size(F.filter(F.array_distinct(_BOUNDS), lambda b: b < at)), F.lit(0))
-    placed = df.join(F.broadcast(bounds)).withColumn(_RANGE, F.when(at.isNull(), F.lit(-1)).otherwise(cut)).drop(_BOUNDS)
+    every = F.array_distinct(F.percentile_approx(at, F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), 10 * ranges))
+    bounds = df.agg(every.alias(_BOUNDS)).select(
+        F.filter(_BOUNDS, lambda b, i: (i + 1) % STEP == 0).alias(_COARSE),
+        F.transform(F.sequence(F.lit(0), F.coalesce(F.size(_BOUNDS), F.lit(0)).cast("int")), lambda k: F.slice(_BOUNDS, k * STEP + 1, F.lit(STEP))).alias(_FINE),
+    )
+    # How many bounds are below: of every STEP-th first, then of the STEP that follow.
+    below = lambda bounds: F.coalesce(F.size(F.filter(bounds, lambda b: b < at)), F.lit(0))
+    coarse = below(F.col(_COARSE))
+    placed = df.join(F.broadcast(bounds)).withColumn("__coarse", coarse)
+    placed = placed.withColumn(_RANGE, F.when(at.isNull(), F.lit(-1)).otherwise(F.col("__coarse") * STEP + below(F.get(_FINE, F.col("__coarse"))))).drop(_COARSE, _FINE, "__coarse")
     placed = placed.withColumns({f"__own_{n}": e for n, e in sums.items()})
     turn = F.desc if descending else F.asc
     own = {n: F.sum(f"__own_{n}") for n in sums}
