@@ -10,10 +10,11 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,6 +94,16 @@ def materialise(df: DataFrame, what: str, codec: str = "snappy", keep: bool = Fa
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidied(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that gives Arrow's unused memory back when a task ends, as idle workers are kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+
+    return run
+
+
 def split(text: str) -> list[bytes]:
     """The words of a text, in UTF-8."""
     return text.encode("utf-8", "replace").split()

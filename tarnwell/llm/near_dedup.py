@@ -48,7 +48,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import collapsed, materialise, own, read, temporary, whole_text
+from .common import collapsed, materialise, own, read, temporary, tidied, whole_text
 from .components import extended
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -236,7 +236,7 @@ def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     known.clear()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(keys, pa.list_(pa.int64())), pa.array(signatures, pa.binary())], names=schema.names)
 
-    return docs.select(F.col(id_col).alias(ID), text_id(text_col).alias(UID), _raw(text_col).alias(RAW), F.col(text_col).alias(TEXT)).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias(ID), text_id(text_col).alias(UID), _raw(text_col).alias(RAW), F.col(text_col).alias(TEXT)).mapInArrow(tidied(run), schema)
 
 
 def _texts(docs: DataFrame, rows: DataFrame, needed: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -361,7 +361,7 @@ def _starred(rows: DataFrame, degree: DataFrame) -> DataFrame:
                 ok = may_be_similar(_matrix(batch.column(2)), _matrix(batch.column(3)))
                 yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.select(F.least("first", UID).alias("a"), F.greatest("first", UID).alias("b"), "sig", "first_sig").mapInArrow(run, "a binary, b binary")
+    return both.select(F.least("first", UID).alias("a"), F.greatest("first", UID).alias("b"), "sig", "first_sig").mapInArrow(tidied(run), "a binary, b binary")
 
 
 def _fine(texts: DataFrame) -> DataFrame:
@@ -375,7 +375,7 @@ def _fine(texts: DataFrame) -> DataFrame:
                 known.clear()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=[UID, "sig"])
 
-    return texts.select(UID, TEXT).mapInArrow(run, f"{UID} binary, sig binary")
+    return texts.select(UID, TEXT).mapInArrow(tidied(run), f"{UID} binary, sig binary")
 
 
 def _best(i: np.ndarray, j: np.ndarray, share: np.ndarray, most: int) -> np.ndarray:

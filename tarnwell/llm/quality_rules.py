@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE_CHARS, materialise, own, read
+from .common import SPACE_CHARS, materialise, own, read, tidied
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
@@ -154,7 +154,7 @@ def measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             columns = [pa.array([f[0][i] for f in found], pa.int64()) for i in range(len(FEATURES))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array([f[2] for f in found], pa.bool_()), pa.array([f[1] for f in found], pa.int32())], names=schema.names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(tidied(run), schema)
 
 
 def _pattern_counts(rows: DataFrame) -> dict[int, int]:
@@ -180,7 +180,7 @@ def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             found = [measure(x.as_py() or "") for x in batch.column(at)]
             yield batch.filter(pa.array([not failed and table.get(pattern, 0.0) >= 0.5 for _, pattern, failed in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,7 +52,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, new_folder, own, partitions, read, store, temporary, whole_text
+from .common import materialise, new_folder, own, partitions, read, store, temporary, tidied, whole_text
 
 MARK = "▁"
 #: Spaces and a word with what its last character can join, spaces and what follows, a line feed, spaces at an end.
@@ -64,7 +64,7 @@ PREFIX = 3
 #: Rows of a block, and chunks of the dictionary that every task holds.
 BLOCK_ROWS, COMMON = 8192, 400_000
 #: Distinct chunks after which a task hands on what it holds, answers a task of the join by block should have, and bytes of texts taken at once.
-GATHERED_AT_ONCE, ANSWERS_PER_TASK, TEXT_BYTES = 500_000, 1_000_000, 12 << 20
+GATHERED_AT_ONCE, ANSWERS_PER_TASK, TEXT_BYTES = 500_000, 1_000_000, 4 << 20
 _FALLBACK = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
 BLOCK, ID, TEXT = own("block"), own("id"), own("text")
 
@@ -431,12 +431,12 @@ def dictionaries(texts: DataFrame, pieces: Pieces) -> str:
 
     folder = new_folder(spark, "dictionaries")
     with temporary():
-        asked = materialise(texts.select(BLOCK, TEXT).mapInArrow(gather, "block long, chunk string"), "chunks", "zstd")
+        asked = materialise(texts.select(BLOCK, TEXT).mapInArrow(tidied(gather), "block long, chunk string"), "chunks", "zstd")
         distinct = materialise(asked.groupBy("chunk").agg(F.count(F.lit(1)).alias("n")), "distinct", "zstd")
         parts = max(partitions(spark), distinct.count() // CHUNKS_PER_TASK + 1)
         with _setting(spark, _FALLBACK, str(4 * CHUNKS_PER_TASK)):
             found = folded(lattice(distinct.select("chunk").repartition(parts, "chunk"), pieces), pieces)
-            ids = materialise(found.mapInArrow(check, "chunk string, ids array<int>, same boolean"), "lattice", "zstd")
+            ids = materialise(found.mapInArrow(tidied(check), "chunk string, ids array<int>, same boolean"), "lattice", "zstd")
         if (common := _widespread(distinct)) is not None:
             # At most COMMON chunks of LONGEST characters, in a few files, as every task reads them.
             ids.join(F.broadcast(common), "chunk", "left_semi").repartition(4).write.parquet(f"{folder}/common")
@@ -469,7 +469,7 @@ class Answers:
         return Answers(chunks, np.concatenate(values), np.concatenate(lengths), np.concatenate([np.zeros(0, bool), *(t.column("same").to_numpy() for t in tables)]))
 
 
-#: The common answers of the folder that this process last read.
+#: The common answers of the folder that the task in this process has read.
 _COMMON: dict[str, Answers] = {}
 
 
@@ -572,8 +572,9 @@ def encoded(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: s
                 known = None
                 block, known = of, Dictionary(folder, of, shared.value)
             yield encode(batch, known, chunks_of)
+        _COMMON.clear()
 
-    return texts.select(BLOCK, ID, TEXT).mapInArrow(run, schema)
+    return texts.select(BLOCK, ID, TEXT).mapInArrow(tidied(run), schema)
 
 
 def decoded(rows: DataFrame, pieces: Pieces, id_col: str = "doc_id") -> DataFrame:
