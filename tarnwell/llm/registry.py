@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, license_scan, mixing, near_dedup, quality_classifier, quality_rules, secret_scan, sentencepiece, toxicity, warc
+from . import collocations, exact_dedup, fingerprints, license_scan, manifest, mixing, near_dedup, quality_classifier, quality_rules, secret_scan, sentencepiece, toxicity, warc
 
-MODULES = (quality_rules, license_scan, toxicity, quality_classifier, mixing, secret_scan, sentencepiece, near_dedup, exact_dedup, warc)
+MODULES = (quality_rules, license_scan, toxicity, quality_classifier, mixing, secret_scan, sentencepiece, near_dedup, exact_dedup, warc, fingerprints, collocations, manifest)
 
 
 def queries() -> dict:
