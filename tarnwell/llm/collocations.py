@@ -15,7 +15,10 @@ phrase is 2 to LONGEST neighbouring words of a piece. Everything is by language.
    spaces, which counts all occurrences in the chunk, overlapping ones too. A chunk's
    matches must be as many as the places its candidates came from; were two phrases of
    one 64-bit hash, they would not be, and candidates are then taken by their texts.
-4. Counts are summed over chunks, and thresholds applied to the sums.
+4. Counts are summed over chunks, and thresholds applied to the sums. A task sends its
+   phrases packed in BLOCKS blocks a language by their hash, as phrases that are rare in
+   the corpus are sent by nearly every task they occur in and rows of their own would be
+   most of the cost; blocks are sorted, and a task adds up one block at a time.
 
 So memory is bounded by a chunk and the sketches' bits (CELLS / 8 bytes an order, which
 is what is broadcast), work is linear in the texts at any size, and results are exact
@@ -37,7 +40,9 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 from operator import itemgetter
+from zlib import crc32
 
 import ahocorasick
 import numpy as np
@@ -59,6 +64,8 @@ CELL_BITS, BLOCK_BITS = 25, 16
 CHUNK = 8 << 20
 HELD = 300_000
 SALTS = 64
+#: Blocks of a language's phrases, of which a task adds up one at a time.
+BLOCKS = 512
 
 #: A-Z to lower case, ends of pieces to line feeds, tabs to spaces.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else 10 if chr(c) in PIECE_ENDS else 32 if c == 9 else c for c in range(256))
@@ -264,7 +271,14 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
         held: Counter[tuple[str, str]] = Counter()
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.string()), pa.array([k[1] for k in held], pa.string()), pa.array(list(held.values()), pa.int64())], names=["lang", "phrase", "f"])
+            packed: dict[tuple[str, int], list[tuple[str, int]]] = {}
+            for (lang, phrase), n in held.items():
+                packed.setdefault((lang, crc32(phrase.encode()) % BLOCKS), []).append((phrase, n))
+            rows = packed.values()
+            return pa.RecordBatch.from_arrays(
+                [pa.array([k[0] for k in packed], pa.string()), pa.array([k[1] for k in packed], pa.int32()), pa.array(["\n".join(p for p, _ in r) for r in rows], pa.string()), pa.array([[n for _, n in r] for r in rows], pa.list_(pa.int64()))],
+                names=["lang", "block", "phrases", "n"],
+            )
 
         for lang, data in chunks(batches):
             held[lang, ""] += len(data.split())
@@ -276,8 +290,18 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
         if held:
             yield out()
 
-    found = texts.mapInArrow(tidied(scan), "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
-    return materialise(found.where((F.col("f") >= least) | (F.col("phrase") == "")), "phrases")
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((lang.as_py(), block.as_py(), phrases.as_py(), n.as_py()) for batch in batches for lang, block, phrases, n in zip(*batch.columns, strict=True))
+        for (lang, _), parts in groupby(rows, itemgetter(0, 1)):
+            sums: Counter[str] = Counter()
+            for _, _, phrases, n in parts:
+                sums.update(dict(zip(phrases.split("\n"), n, strict=True)))
+            kept = [(p, n) for p, n in sums.items() if n >= least or not p]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(kept), pa.string()), pa.array([p for p, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["lang", "phrase", "f"])
+
+    packed = texts.mapInArrow(tidied(scan), "lang string, block int, phrases string, n array<long>")
+    blocks = packed.repartition(partitions(spark), "lang", "block").sortWithinPartitions("lang", "block")
+    return materialise(blocks.mapInArrow(tidied(add), "lang string, phrase string, f long"), "phrases")
 
 
 #: floor(1000 a n / (l r)), exact for products of up to 38 digits; beyond them Spark raises.
