@@ -30,42 +30,54 @@ KEYS = {
     "forecasting_classical": ("theta", "ets", "naive_seasonal"),
     "forecasting_neural": ("ridge_lagged", "lgbm_regressor", "mlp_tabular_regressor"),
 }
-_PROSE = frozenset("the and or with a an of in on for to is are was were be by as at from into expected drivers".split())
 
 
 def _idea(iteration: int, name: str, family: str, area: str, model: str, features: list[str], gain: float, source: str, why: str) -> dict:
     return {"id": f"H-iter{iteration}-{name}", "name": name, "family": family, "area": area, "model": model, "features": features, "gain": gain, "source": source, "rationale": why}
 
 
+def _of_pairs(layers: dict, target: str) -> list[tuple]:
+    strength = lambda p: min(1.0, p.get("mutual_info") or p.get("abs_corr", 0.0))
+    return [(f"interaction_{p['col_a']}_{p['col_b']}", "interactions", "lgbm_default", [p["col_a"], p["col_b"], "engineered:interactions_top5"], 0.5 + strength(p) / 2, "a pair of the joint layer") for p in layers.get("L2", {}).get("pairs", [])[:3]]
+
+
+def _of_regimes(layers: dict, target: str) -> list[tuple]:
+    n = len(layers.get("L3", {}).get("regimes", []))
+    return [("regime_specific_submodel", "regimes", "lgbm_per_regime", ["+all_allowed"], 0.55, f"{n} regimes")] * (n > 1)
+
+
+def _of_neighbours(layers: dict, target: str) -> list[tuple]:
+    near = [end for e in layers.get("L6", []) for end, other in ((e["src"], e["dst"]), (e["dst"], e["src"])) if other == target]
+    return [("neighbours_only", "causal", "logreg_or_ridge", near[:5], 0.55, "neighbours of the target")] * bool(near)
+
+
+def _of_failures(layers: dict, target: str) -> list[tuple]:
+    largest = sorted(layers.get("L7", []), key=lambda c: -c["n"])[:1]
+    return [("robust_to_failure_cluster", "robustness", "lgbm_default", ["+all_allowed"], 0.45, f"{c['cluster_id']} has {c['n']} failures") for c in largest]
+
+
+#: Each layer's ideas, and the family they are for; None is the family that was drawn.
+SOURCES = ((_of_pairs, None), (_of_regimes, None), (_of_neighbours, None), (_of_failures, "ensemble"))
+
+
 def from_sketch(layers: dict, target: str, family: str, iteration: int) -> list[dict]:
-    """Up to three interactions, the regimes, the target's neighbours in the dependence graph, and the largest failure cluster."""
-    found = [
-        _idea(iteration, f"interaction_{p['col_a']}_{p['col_b']}", family, "interactions", "lgbm_default", [p["col_a"], p["col_b"], "engineered:interactions_top5"], 0.5 + 0.5 * min(1.0, p.get("mutual_info") or p.get("abs_corr", 0.0)), "sketch", "a pair of the joint layer")
-        for p in layers.get("L2", {}).get("pairs", [])[:3]
+    """What the layers suggest, by the table of sources."""
+    return [
+        _idea(iteration, name, its_family or family, area, model, features, gain, "sketch", why)
+        for source, its_family in SOURCES
+        for name, area, model, features, gain, why in source(layers, target)
     ]
-    n = len(layers.get("L3", {}).get("regimes", []))
-    if n > 1:
-        found.append(_idea(iteration, "regime_specific_submodel", family, "regimes", "lgbm_per_regime", ["+all_allowed"], 0.55, "sketch", f"{n} regimes"))
-    near = [e["src"] if e["dst"] == target else e["dst"] for e in layers.get("L6", []) if target in (e["src"], e["dst"])]
-    if near:
-        found.append(_idea(iteration, "neighbours_only", family, "causal", "logreg_or_ridge", near[:5], 0.55, "sketch", "neighbours of the target"))
-    clusters = layers.get("L7", [])
-    if clusters:
-        largest = max(clusters, key=lambda c: c["n"])
-        found.append(_idea(iteration, "robust_to_failure_cluster", "ensemble", "robustness", "lgbm_default", ["+all_allowed"], 0.45, "sketch", f"{largest['cluster_id']} has {largest['n']} failures"))
-    return found
 
 
-def from_notes(notes: str, family: str, iteration: int) -> list[dict]:
-    """The names below "Expected drivers:" in the user's notes, alone and as interactions."""
-    part = re.search(r"Expected drivers:\s*\n(.+?)(?:\n\n[A-Z][a-z][^\n]*:|\Z)", notes or "", re.S)
-    names = list(dict.fromkeys(w for w in re.findall(r"[A-Za-z_]\w+", part[1]) if w.lower() not in _PROSE)) if part else []
-    if len(names) < 2:
+def from_notes(notes: str, columns: Iterable[str], family: str, iteration: int) -> list[dict]:
+    """The table's columns that the user's notes name, in the order of the notes: as drivers, and with interactions if there are several."""
+    known = set(columns)
+    named = [w for w in dict.fromkeys(re.split(r"\W+", notes or "")) if w in known]
+    if not named:
         return []
-    found = [_idea(iteration, "user_expected_drivers", family, "features", "logreg_or_ridge", names[:5], 0.5, "user", "the user's drivers")]
-    if len(names) > 3:
-        found.append(_idea(iteration, "user_driver_interactions", family, "interactions", "lgbm_default", ["+all_allowed", "engineered:interactions_top5"], 0.55, "user", "pairs of the user's drivers"))
-    return found
+    drivers = _idea(iteration, "named_in_notes", family, "features", "logreg_or_ridge", named, 0.5, "user", "columns that the notes name")
+    crossed = _idea(iteration, "named_in_notes_crossed", family, "interactions", "lgbm_default", [*named, "engineered:interactions_top5"], 0.55, "user", "pairs of columns that the notes name")
+    return [drivers, crossed][: len(named)]
 
 
 def from_library(library: Library | None, capability: Capability, family: str, iteration: int, most: int = 4) -> list[dict]:
@@ -107,7 +119,7 @@ def generated(project: Project, capability: Capability, layers: dict | None = No
     family = project.pick(seed)
     ideas = [
         *from_sketch(layers or {}, project.mission.target, family, iteration),
-        *from_notes(project.mission.notes, family, iteration),
+        *from_notes(project.mission.notes, [c["column"] for c in (layers or {}).get("L1", [])], family, iteration),
         *from_library(library, capability, family, iteration),
         *[_idea(iteration, f"directive_{i}", family, "features", "lgbm_default", list(d.get("features") or ["+all_allowed"]), 0.5, "directive", d.get("text", "")) for i, d in enumerate(project.directives())],
         *wildcards(project, capability, iteration, project.state.breakthrough),

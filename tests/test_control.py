@@ -183,7 +183,7 @@ def test_hypotheses(sketch, tmp_path):
     assert 8 <= len(rows) <= 12 and len({r["id"] for r in rows}) == len(rows)
     by = {r["source"]: r for r in rows}
     assert {"sketch", "user", "library", "directive"} <= set(by) and by["library"]["model"] == "lgbm_default" and by["user"]["features"]
-    assert hypotheses.from_notes("nothing", "linear", 1) == []
+    assert hypotheses.from_notes("nothing", ["x"], "linear", 1) == []
 
 
 def test_planning_and_lock(spark, frame, tmp_path):
