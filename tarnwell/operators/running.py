@@ -26,12 +26,8 @@ def as_number(df: DataFrame, column: str) -> Column:
     return F.unix_date(column).cast("long") if kind == "date" else F.col(column)
 
 
-def running(df: DataFrame, order: str, sums: dict[str, Column], by: Sequence[str] = (), then: Sequence[str] = (), descending: bool = False, ranges: int = RANGES) -> DataFrame:
-    """df with columns of what stands before each row: for each name the sum of its expression over the rows of by that come first.
-
-    order is a number or time; rows of equal order stand by the columns in then. Nulls
-    of the order come first (last, if descending). Without then, equal rows stand in any order.
-    """
+def _in_ranges(df: DataFrame, order: str, ranges: int) -> DataFrame:
+    """df with the range that each row's place in the order is in; -1 for nulls."""
     at = as_number(df, order)
     every = F.array_distinct(F.percentile_approx(at, F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), 10 * ranges))
     bounds = df.agg(every.alias(_BOUNDS)).select(
@@ -42,7 +38,16 @@ def running(df: DataFrame, order: str, sums: dict[str, Column], by: Sequence[str
     below = lambda bounds: F.coalesce(F.size(F.filter(bounds, lambda b: b < at)), F.lit(0))
     coarse = below(F.col(_COARSE))
     placed = df.join(F.broadcast(bounds)).withColumn("__coarse", coarse)
-    placed = placed.withColumn(_RANGE, F.when(at.isNull(), F.lit(-1)).otherwise(F.col("__coarse") * STEP + below(F.get(_FINE, F.col("__coarse"))))).drop(_COARSE, _FINE, "__coarse")
+    return placed.withColumn(_RANGE, F.when(at.isNull(), F.lit(-1)).otherwise(F.col("__coarse") * STEP + below(F.get(_FINE, F.col("__coarse"))))).drop(_COARSE, _FINE, "__coarse")
+
+
+def running(df: DataFrame, order: str, sums: dict[str, Column], by: Sequence[str] = (), then: Sequence[str] = (), descending: bool = False, ranges: int = RANGES) -> DataFrame:
+    """df with columns of what stands before each row: for each name the sum of its expression over the rows of by that come first.
+
+    order is a number or time; rows of equal order stand by the columns in then. Nulls
+    of the order come first (last, if descending). Without then, equal rows stand in any order.
+    """
+    placed = _in_ranges(df, order, ranges)
     placed = placed.withColumns({f"__own_{n}": e for n, e in sums.items()})
     turn = F.desc if descending else F.asc
     own = {n: F.sum(f"__own_{n}") for n in sums}
@@ -59,6 +64,27 @@ def running(df: DataFrame, order: str, sums: dict[str, Column], by: Sequence[str
     return joined.select(*df.columns, *[(F.col(f"__in_{n}") + F.col(f"__before_{n}")).alias(n) for n in sums])
 
 
+def carried(df: DataFrame, order: str, values: dict[str, Column], by: Sequence[str] = (), then: Sequence[str] = (), ranges: int = RANGES, current: bool = True) -> DataFrame:
+    """df with columns of what was last known: for each name its expression's last value that is not null, of the rows of by that come first and, if current, of the row itself.
+
+    As in running, rows stand by order and then by the columns in then, nulls first. A
+    range's own last value is carried over all ranges that follow without one.
+    """
+    placed = _in_ranges(df, order, ranges).withColumns({f"__own_{n}": e for n, e in values.items()})
+    latest = {n: F.max(F.when(F.col(f"__own_{n}").isNotNull(), F.struct(F.col(order).alias("at"), *[F.col(c).alias(f"then_{i}") for i, c in enumerate(then)], F.col(f"__own_{n}").alias("value")))) for n in values}
+    ends = placed.groupBy(*by, _RANGE).agg(*[e.alias(f"__end_{n}") for n, e in latest.items()])
+    # A row for each range of a group.
+    earlier = Window.partitionBy(*by).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    before = ends.select(*[F.col(b).alias(f"__by_{i}") for i, b in enumerate(by)], F.col(_RANGE).alias("__of"), *[F.last(f"__end_{n}.value", ignorenulls=True).over(earlier).alias(f"__before_{n}") for n in values])
+    inside = Window.partitionBy(*by, _RANGE).orderBy(order, *then).rowsBetween(Window.unboundedPreceding, 0 if current else -1)
+    local = placed.withColumns({f"__in_{n}": F.last(f"__own_{n}", ignorenulls=True).over(inside) for n in values})
+    same = F.col(_RANGE) == F.col("__of")
+    for i, b in enumerate(by):
+        same = same & F.col(b).eqNullSafe(F.col(f"__by_{i}"))
+    joined = local.join(before if by else F.broadcast(before), same)
+    return joined.select(*df.columns, *[F.coalesce(f"__in_{n}", f"__before_{n}").alias(n) for n in values])
+
+
 def ranked(df: DataFrame, order: str, then: Sequence[str] = (), by: Sequence[str] = (), descending: bool = False, name: str = "place") -> DataFrame:
     """df with each row's place from 0."""
     return running(df, order, {name: F.lit(1).cast("long")}, by=by, then=then, descending=descending)

@@ -1,10 +1,12 @@
-"""Patterns of failing sensors and gaps of calendars: windows over each series in time order, one row of counts for each."""
+"""Patterns of failing sensors and gaps of calendars: each series in ranges of time, one row of counts for each."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .running import carried, running
+
 #: Shortest flat stretch, deviations of a spike.
 FLAT_SECONDS, SPIKE = 3600, 3.0
 
@@ -14,11 +16,11 @@ def _seconds(column: str):
 
 
 def flatlines(df: DataFrame, time: str, value: str, by: list[str], least_seconds: float = FLAT_SECONDS) -> DataFrame:
-    """by columns, value, start, end and n of stretches in which a value does not move for at least so long."""
-    order = Window.partitionBy(*by).orderBy(time, value)
+    """by columns, value, start, end and n of stretches in which a value does not move for at least so long; in ranges of time, so that no series is one task."""
     known = df.where(F.col(value).isNotNull()).select(*by, time, value)
-    moved = known.withColumn("__new", F.when(F.col(value).eqNullSafe(F.lag(value).over(order)), F.lit(0)).otherwise(F.lit(1)))
-    stretches = moved.withColumn("__k", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    before = carried(known, time, {"__before": F.col(value)}, by, [value], current=False)
+    moved = before.withColumn("__new", F.when(F.col(value).eqNullSafe(F.col("__before")), F.lit(0)).otherwise(F.lit(1))).drop("__before")
+    stretches = running(moved, time, {"__k": F.col("__new")}, by, [value]).withColumn("__k", F.col("__k") + F.col("__new"))
     found = stretches.groupBy(*by, "__k").agg(F.first(value).alias(value), F.min(time).alias("start"), F.max(time).alias("end"), F.count(F.lit(1)).alias("n")).drop("__k")
     return found.where((F.col("n") > 1) & (_seconds("end") - _seconds("start") >= least_seconds))
 
@@ -37,7 +39,7 @@ def readings_report(df: DataFrame, time: str, value: str, by: list[str], deviati
 
 def calendar_gaps(df: DataFrame, time: str, by: list[str], step_seconds: float) -> DataFrame:
     """by columns, after and before: neighbouring distinct times of a series more than a step apart, and how many steps are missing."""
-    times = df.where(F.col(time).isNotNull()).select(*by, F.col(time).alias("after")).distinct()
-    found = times.withColumn("before", F.lead("after").over(Window.partitionBy(*by).orderBy("after")))
+    times = df.where(F.col(time).isNotNull()).select(*by, F.col(time).alias("before")).distinct()
+    found = carried(times, "before", {"after": F.col("before")}, by, current=False).select(*by, "after", "before")
     steps = (_seconds("before") - _seconds("after")) / step_seconds
     return found.where(steps > 1).withColumn("n_missing", (F.ceil(steps) - 1).cast("long"))

@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+from itertools import groupby
+from operator import itemgetter
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .running import ranked
+from tarnwell.sources.saved import Saved
+
+from .running import carried, ranked
 
 WINDOW = 64
+#: Rows of a range of cusum, windows of a block of the matrix profile, and digits of correlations that are compared.
+BLOCK, TILE, DIGITS = 65_536, 4096, 10
 #: Rows of a series up to which pelt is tried.
 PELT_ROWS = 5000
 
@@ -39,12 +48,19 @@ def sax_words(df: DataFrame, time: str, value: str, by: list[str], window: int =
     return rows.groupBy(*by, F.concat(*letter).alias("word")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _same(by: list[str], prefix: str = "__of_") -> Column:
+    """Equal keys, nulls too; those of the other side have a prefix and their place."""
+    return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{prefix}{i}")) for i, c in enumerate(by)], F.lit(True))
+
+
 def filled(df: DataFrame, time: str, value: str, by: list[str] | None = None) -> DataFrame:
-    """Gaps take the last known value, and before the first one the first."""
-    w = Window.partitionBy(*(by or [])).orderBy(time)
-    last = F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    first = F.first(value, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    return df.withColumn(value, F.coalesce(last, first))
+    """Gaps take the last known value, and before the first one the first; in ranges of time, so that no series is one task."""
+    by = by or []
+    known = F.struct(F.col(time).alias("at"), F.col(value).alias("value"))
+    first = df.groupBy(*[F.col(c).alias(f"__of_{i}") for i, c in enumerate(by)]).agg(F.min(F.when(F.col(value).isNotNull(), known)).alias("__first"))
+    last = carried(df, time, {"__last": F.col(value)}, by)
+    rows = last.join(first if by else F.broadcast(first), _same(by), "left")
+    return rows.withColumn(value, F.coalesce("__last", "__first.value")).select(*df.columns)
 
 
 def naive_seasonal(df: DataFrame, time: str, value: str, horizon: int, period: int = 7) -> DataFrame:
@@ -109,21 +125,103 @@ def regime_bounds(alarms: list[int], n: int, most: int = 8) -> list[int]:
     return kept[: most - 1]
 
 
-def change_points(df: DataFrame, time: str, value: str, by: list[str], method: str = "cusum", pelt_rows: int = PELT_ROWS) -> DataFrame:
-    """by columns, place of the regimes' bounds and the method that found them, one task for each series, which is an inherently sequential scan.
+def _scan(up: float, down: float, z: np.ndarray, k: float = 0.5, h: float = 4.0) -> tuple[float, float, list[int]]:
+    """Both sums after a range that they enter with up and down, and the places of its alarms."""
+    alarms = []
+    for i, x in enumerate(z.tolist()):
+        up, down = max(0.0, up + x - k), max(0.0, down - x - k)
+        if max(up, down) > h:
+            alarms.append(i)
+            up = down = 0.0
+    return up, down, alarms
+
 
-    pelt needs memory of the square of a series' length, so series of over pelt_rows are searched by cusum; the column method says so.
+def cusum_alarms(df: DataFrame, time: str, value: str, by: list[str], block: int = BLOCK) -> DataFrame:
+    """by columns, place and n: the alarms of cusum in series of n rows of any length, cut into ranges of block rows.
+
+    A range is a map from the sums that enter it to those that leave it. All ranges are
+    mapped from zeros at once; then those whose entering sums turn out to be others are
+    mapped again, until none is. Sums fall back to zero all the time, so what enters a
+    range seldom tells at its end and few rounds are needed; there are never more than a
+    series has ranges, and the alarms are the loop's in any case. A task has a range.
+    """
+    spark = df.sparkSession
+    rows = df.select(*by, time, F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double")).alias("v"))
+    rows = filled(rows, time, "v", by).withColumn("v", F.coalesce("v", F.lit(0.0)))
+    key = F.to_json(F.struct(*[F.col(c) for c in by]), {"ignoreNullFields": "false"})
+    moments = rows.groupBy(*[F.col(c).alias(f"__of_{i}") for i, c in enumerate(by)]).agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd")).where("n >= 20 AND sd > 0")
+    placed = ranked(rows, time, ["v"], by).join(moments, _same(by))
+    cut = placed.groupBy(key.alias("series"), F.floor(F.col("place") / block).cast("long").alias("block")).agg(F.array_sort(F.collect_list(F.struct("place", ((F.col("v") - F.col("mean")) / F.col("sd")).alias("z")))).alias("z"), F.any_value(F.struct(*by, "n")).alias("of"))
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            z = batch.column(4)
+            found = [_scan(up.as_py(), down.as_py(), z[i].values.to_numpy(zero_copy_only=False)) for i, (up, down) in enumerate(zip(batch.column(2), batch.column(3), strict=True))]
+            sums = [pa.array([f[j] for f in found], pa.float64()) for j in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *sums, pa.array([f[2] for f in found], pa.list_(pa.int32()))], names=["series", "block", "up", "down", "up_out", "down_out", "alarms"])
+
+    def entered(ranges: DataFrame) -> DataFrame:
+        return ranges.select("series", "block", "up", "down", F.col("z.z").alias("z")).mapInArrow(mapped, "series string, block long, up double, down double, up_out double, down_out double, alarms array<int>")
+
+    with Saved(spark) as saved:
+        ranges = saved(cut)
+        states = saved(entered(ranges.withColumns({"up": F.lit(0.0), "down": F.lit(0.0)})))
+        # A row for each range, without its values.
+        order = Window.partitionBy("series").orderBy("block")
+        while True:
+            entering = {s: F.coalesce(F.lag(f"{s}_out").over(order), F.lit(0.0)) for s in ("up", "down")}
+            moved = states.select("series", "block", *[e.alias(f"{s}_in") for s, e in entering.items()], "up", "down").where("up_in <> up OR down_in <> down")
+            moved = saved(moved.select("series", "block", F.col("up_in").alias("up"), F.col("down_in").alias("down")))
+            if moved.isEmpty():
+                break
+            again = entered(ranges.join(moved, ["series", "block"]))
+            states = saved(states.join(moved, ["series", "block"], "left_anti").unionByName(again))
+        alarms = states.where(F.size("alarms") > 0).join(ranges.select("series", "block", "of"), ["series", "block"])
+        return saved(alarms.select("of.*", F.explode("alarms").alias("at"), "block").select(*by, (F.col("block") * block + F.col("at")).alias("place"), "n"), keep=True)
+
+
+def spaced(alarms: DataFrame, by: list[str], most: int = 8) -> DataFrame:
+    """by columns and place of the alarms that leave regimes of at least max(50, 5 %) rows, at most ``most`` regimes, as regime_bounds; a step for each regime, so that no series' alarms meet in one task."""
+    least = F.greatest(F.lit(50), F.floor(F.col("n") * 0.05))
+    open_ = alarms.where(F.col("n") - F.col("place") >= least).withColumn("__least", least)
+    names = [F.col(c).alias(f"__of_{i}") for i, c in enumerate(by)]
+    with Saved(alarms.sparkSession) as saved:
+        after = open_.withColumn("__after", F.lit(0).cast("long"))
+        steps = []
+        for _ in range(most - 1):
+            step = saved(after.where(F.col("place") - F.col("__after") >= F.col("__least")).groupBy(*names).agg(F.min("place").alias("__after")))
+            steps.append(step)
+            if step.isEmpty():
+                break
+            after = open_.join(step, _same(by)).drop(*[f"__of_{i}" for i in range(len(by))])
+        found = reduce(DataFrame.unionByName, steps)
+        return saved(found.select(*[F.col(f"__of_{i}").alias(c) for i, c in enumerate(by)], F.col("__after").alias("place")), keep=True)
+
+
+def change_points(df: DataFrame, time: str, value: str, by: list[str], method: str = "cusum", pelt_rows: int = PELT_ROWS, block: int = BLOCK) -> DataFrame:
+    """by columns, place of the regimes' bounds and the method that found them.
+
+    cusum takes series of any length, in ranges. pelt's cost needs memory of the square of
+    a series' length, so series of over pelt_rows are searched by cusum; method says so.
+    Rows of one time stand by value, gaps take the last known value, and a series without
+    any value is 0 throughout and has no bounds.
     """
+    if method == "cusum":
+        return spaced(cusum_alarms(df, time, value, by, block), by).withColumn("method", F.lit("cusum"))
+    names = [F.col(c).alias(f"__of_{i}") for i, c in enumerate(by)]
+    long = df.groupBy(*names).count().where(F.col("count") > pelt_rows)
+    short = df.join(long, _same(by), "left_anti")
 
     def scan(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(time)
+        part = part.sort_values([time, value])
         v = part[value].astype(float).ffill().bfill().fillna(0.0).to_numpy()
-        used = "pelt" if method == "pelt" and len(v) <= pelt_rows else "cusum"
-        places = regime_bounds(pelt_rbf(v) if used == "pelt" else cusum(v), len(v))
-        return pd.DataFrame({**{c: [part[c].iloc[0]] * len(places) for c in by}, "place": places, "method": [used] * len(places)}).astype({"place": "int64"})
+        places = regime_bounds(pelt_rbf(v), len(v))
+        return pd.DataFrame({**{c: [part[c].iloc[0]] * len(places) for c in by}, "place": places}).astype({"place": "int64"})
 
     kinds = dict(df.dtypes)
-    return df.select(*by, time, value).groupBy(*by).applyInPandas(scan, ", ".join(f"{c} {kinds[c]}" for c in by) + ", place long, method string")
+    exact = short.select(*by, time, value).groupBy(*by).applyInPandas(scan, ", ".join(f"{c} {kinds[c]}" for c in by) + ", place long").withColumn("method", F.lit("pelt"))
+    rest = df.join(long, _same(by), "left_semi")
+    return exact if long.isEmpty() else exact.unionByName(change_points(rest, time, value, by, block=block))
 
 
 def regime_summary(df: DataFrame, time: str, value: str, bounds: list[int]) -> DataFrame:
@@ -132,36 +230,100 @@ def regime_summary(df: DataFrame, time: str, value: str, bounds: list[int]) -> D
     return ranked(df.select(time, value), time).withColumn("regime", regime).groupBy("regime").agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("stdev"), F.avg((F.col(value) > 0).cast("double")).alias("rate"))
 
 
+def _standard(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Standardised windows over the root of their length, so that products are correlations, and which windows are flat."""
+    centred = windows - windows.mean(axis=1, keepdims=True)
+    sd = windows.std(axis=1)
+    flat = sd < 1e-12
+    return centred / np.where(flat, 1.0, sd * np.sqrt(windows.shape[1]))[:, None], flat
+
+
+def _tile(left: np.ndarray, right: np.ndarray, left_at: int, right_at: int, m: int, rows: int = 512) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """For the windows of each side the greatest correlation with one of the other side and its place, the first of equal ones; windows that overlap by three quarters or more don't count."""
+    (a, flat_a), (b, flat_b) = (_standard(np.lib.stride_tricks.sliding_window_view(v, m)) for v in (left, right))
+    best_a, at_a = np.full(len(a), -np.inf), np.zeros(len(a), np.int64)
+    best_b, at_b = np.full(len(b), -np.inf), np.zeros(len(b), np.int64)
+    places = right_at + np.arange(len(b))
+    for i in range(0, len(a), rows):
+        r = a[i : i + rows] @ b.T
+        # Two flat windows are equal; a flat one and another are at the distance of the root of m.
+        r[flat_a[i : i + rows]] = 0.5
+        r[:, flat_b] = np.where(flat_a[i : i + rows, None], 1.0, 0.5)
+        r = np.round(np.clip(r, -1.0, 1.0), DIGITS)
+        mine = left_at + i + np.arange(len(r))
+        r[np.abs(mine[:, None] - places) <= -(-m // 4)] = -np.inf
+        j = r.argmax(axis=1)
+        best_a[i : i + rows], at_a[i : i + rows] = r[np.arange(len(r)), j], places[j]
+        k = r.argmax(axis=0)
+        better = r[k, np.arange(len(b))] > best_b
+        best_b[better], at_b[better] = r[k, np.arange(len(b))][better], mine[k][better]
+    return (best_a, at_a), (best_b, at_b)
+
+
 def matrix_profile(values: np.ndarray, m: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Distance and place of each window's nearest other window, standardised, with an exclusion zone of a quarter window; row by row, in linear memory."""
-    n = len(values) - m + 1
-    windows = np.lib.stride_tricks.sliding_window_view(values, m)
-    mean, sd = windows.mean(axis=1), np.maximum(windows.std(axis=1), 1e-12)
-    distance, place = np.full(n, np.inf), np.zeros(n, int)
-    for i in range(n):
-        r = (windows @ windows[i] - m * mean * mean[i]) / (m * sd * sd[i])
-        d = np.sqrt(np.maximum(0.0, 2 * m * (1 - np.clip(r, -1, 1))))
-        d[max(0, i - -(-m // 4)) : i + -(-m // 4) + 1] = np.inf
-        j = int(np.argmin(d))
-        distance[i], place[i] = d[j], j
-    return distance, place
-
-
-def motifs_discords(df: DataFrame, time: str, value: str, by: list[str], window: int = WINDOW, k: int = 3) -> DataFrame:
-    """by columns, kind, place, match and distance: the k windows nearest to and farthest from any other."""
+    """Distance and place of each window's nearest other window, standardised, with an exclusion zone of a quarter window; in linear memory."""
+    (best, place), _ = _tile(values, values, 0, 0, m)
+    return np.where(np.isfinite(best), np.sqrt(2 * m * (1 - np.maximum(best, -1.0))), np.inf), place
 
-    def scan(part: pd.DataFrame) -> pd.DataFrame:
-        v = part.sort_values(time)[value].dropna().astype(float).to_numpy()
-        rows = []
-        if len(v) >= 2 * window:
-            distance, place = matrix_profile(v, window)
-            order = [i for i in np.argsort(distance, kind="stable") if np.isfinite(distance[i])]
-            rows = [("motif", i) for i in order[:k]] + [("discord", i) for i in order[::-1][:k]]
-            rows = [(kind, int(i), int(place[i]), float(distance[i])) for kind, i in rows]
-        out = pd.DataFrame(rows, columns=["kind", "place", "match", "distance"])
-        for c in reversed(by):
-            out.insert(0, c, part[c].iloc[0])
-        return out
 
-    kinds = dict(df.dtypes)
-    return df.select(*by, time, value).groupBy(*by).applyInPandas(scan, ", ".join(f"{c} {kinds[c]}" for c in by) + ", kind string, place long, match long, distance double")
+def nearest_windows(df: DataFrame, time: str, value: str, by: list[str], window: int = WINDOW, block: int = TILE) -> DataFrame:
+    """by columns, place, match and distance of each window of a series: the matrix profile, in tiles.
+
+    A series is cut into blocks of windows, each with the values that its last windows
+    reach into. Every two blocks meet once, in a tile, whose correlations are products of
+    matrices, so the square of a series' length is work but never memory; a block meets
+    half of the blocks after it, in a ring, so tiles are dealt evenly. For each block the
+    best of its tiles is kept as they stream by. Series of under two windows have no rows.
+    """
+    block = max(block, window)
+    key = F.to_json(F.struct(*[F.col(c) for c in by]), {"ignoreNullFields": "false"})
+    rows = df.select(*by, time, F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double")).alias("v")).where("v IS NOT NULL")
+    sizes = rows.groupBy(*[F.col(c).alias(f"__of_{i}") for i, c in enumerate(by)]).agg(F.count("v").alias("n")).where(F.col("n") >= 2 * window)
+    placed = ranked(rows, time, ["v"], by).join(sizes, _same(by))
+    at = F.floor(F.col("place") / block).cast("long")
+    # A value is in its own block, and in the one before if windows reach into it from there.
+    mine = F.when((at > 0) & (F.col("place") % block < window - 1), F.array(at, at - 1)).otherwise(F.array(at))
+    cut = placed.select(key.alias("series"), F.struct(*by).alias("of"), "n", "place", "v", F.explode(mine).alias("block")).where(F.col("block") * block + window <= F.col("n"))
+    cut = cut.groupBy("series", "block").agg(F.array_sort(F.collect_list(F.struct("place", "v")))["v"].alias("v"), F.any_value("of").alias("of"), F.any_value(F.ceil((F.col("n") - window + 1) / block).cast("long")).alias("blocks"))
+
+    def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                series, a, b = (batch.column(c)[i].as_py() for c in range(3))
+                left, right = (batch.column(c)[i].values.to_numpy() for c in (3, 4))
+                sides = _tile(left, right, a * block, b * block, window)
+                found = [(a, sides[0]), (b, sides[1])][: 1 if a == b else 2]
+                yield pa.RecordBatch.from_arrays([pa.array([series] * len(found)), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1][0] for f in found], pa.list_(pa.float64())), pa.array([f[1][1] for f in found], pa.list_(pa.int64()))], names=["series", "block", "best", "match"])
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = ((batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].values.to_numpy(), batch.column(3)[i].values.to_numpy()) for batch in batches for i in range(batch.num_rows))
+        for (series, at), group in groupby(parts, itemgetter(0, 1)):
+            _, _, r, match = next(group)
+            for _, _, other, its in group:
+                take = (other > r) | ((other == r) & (its < match))
+                r, match = np.where(take, other, r), np.where(take, its, match)
+            yield pa.RecordBatch.from_arrays([pa.array([series]), pa.array([at], pa.int64()), pa.array([r], pa.list_(pa.float64())), pa.array([match], pa.list_(pa.int64()))], names=["series", "block", "best", "match"])
+
+    spark = df.sparkSession
+    with Saved(spark) as saved:
+        blocks = saved(cut)
+        step = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("blocks") / 2))).alias("step")
+        pairs = blocks.select("series", "block", "v", "blocks", step).where((F.col("step") * 2 < F.col("blocks")) | (F.col("block") < F.col("step")))
+        pairs = pairs.withColumn("other", F.pmod(F.col("block") + F.col("step"), F.col("blocks")))
+        right = blocks.select("series", F.col("block").alias("other"), F.col("v").alias("its"))
+        met = pairs.join(right, ["series", "other"]).select("series", "block", "other", "v", "its")
+        schema = "series string, block long, best array<double>, match array<long>"
+        found = met.mapInArrow(tiles, schema).repartition("series", "block").sortWithinPartitions("series", "block").mapInArrow(best, schema)
+        each = found.join(blocks.select("series", "block", "of"), ["series", "block"]).select("of.*", "block", F.posexplode(F.arrays_zip("best", "match")).alias("i", "w"))
+        distance = F.sqrt(2 * window * (1 - F.col("w.best")))
+        return saved(each.where(F.col("w.best") >= -1).select(*by, (F.col("block") * block + F.col("i")).alias("place"), F.col("w.match").alias("match"), distance.alias("distance")), keep=True)
+
+
+def motifs_discords(df: DataFrame, time: str, value: str, by: list[str], window: int = WINDOW, k: int = 3, block: int = TILE) -> DataFrame:
+    """by columns, kind, place, match and distance: the k windows nearest to and farthest from any other, the first of equal ones."""
+    found = nearest_windows(df, time, value, by, window, block)
+    kinds = []
+    for kind, order in (("motif", F.asc("distance")), ("discord", F.desc("distance"))):
+        first = found.withColumn("__k", F.row_number().over(Window.partitionBy(*by).orderBy(order, "place"))).where(F.col("__k") <= k)
+        kinds.append(first.select(*by, F.lit(kind).alias("kind"), "place", "match", "distance"))
+    return kinds[0].unionByName(kinds[1])

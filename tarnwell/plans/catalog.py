@@ -104,6 +104,29 @@ def _(spark, d):
     return joins.asof_join(left, right, "ts", ["user_id"], "p")
 
 
+@query(
+    "asof_no_key",
+    """SELECT l.event_id, l.ts, r.value AS value_p FROM (SELECT event_id, ts FROM events WHERE event_type = (SELECT min(event_type) FROM events)) l
+ASOF LEFT JOIN (SELECT ts, max(value) AS value FROM events WHERE event_type = (SELECT max(event_type) FROM events) GROUP BY ts) r ON l.ts >= r.ts""",
+)
+def _(spark, d):
+    e = _t(spark, d, "events")
+    e = e.join(F.broadcast(e.agg(F.min("event_type").alias("lo"), F.max("event_type").alias("hi"))))
+    left = e.where("event_type = lo").select("event_id", "ts")
+    return joins.asof_join(left, e.where("event_type = hi").select("ts", F.col("value").alias("value_p")), "ts", tiebreak="value_p")
+
+
+@query(
+    "join_interval",
+    """WITH s AS (SELECT user_id, event_type AS kind, date_trunc('week', ts) AS week, min(ts) AS began, max(ts) AS ended FROM events GROUP BY ALL)
+SELECT e.event_id, e.user_id, e.ts, s.kind, s.began, s.ended FROM events e JOIN s ON s.user_id = e.user_id AND e.ts BETWEEN s.began AND s.ended""",
+)
+def _(spark, d):
+    e = _t(spark, d, "events")
+    spans = e.groupBy("user_id", F.col("event_type").alias("kind"), F.date_trunc("week", "ts")).agg(F.min("ts").alias("began"), F.max("ts").alias("ended"))
+    return joins.interval_join(e.select("event_id", "user_id", "ts"), spans.select("user_id", "kind", "began", "ended"), ("ts", "ts"), ("began", "ended"), ["user_id"])
+
+
 # --- profiles and statistics ----------------------------------------------------------
 
 _NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -272,12 +295,31 @@ def _(spark, d):
     return s.select("regime", "n", r(F.col("mean"), 4).alias("mean"), r(F.col("stdev"), 4).alias("stdev"), "rate")
 
 
-@query("cusum_changes")
+@query(
+    "cusum_changes",
+    """WITH RECURSIVE s AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, value) - 1 AS i, (value - avg(value) OVER p) / stddev_pop(value) OVER p AS z, count(*) OVER p AS n FROM events WINDOW p AS (PARTITION BY event_type)),
+t AS (SELECT event_type, any_value(n) AS n, greatest(50, floor(any_value(n) * 0.05)) AS least FROM s GROUP BY 1),
+c(event_type, i, up, down, alarm) AS (SELECT event_type, -1::BIGINT, 0::DOUBLE, 0::DOUBLE, false FROM t WHERE n >= 20 UNION ALL
+SELECT event_type, i, CASE WHEN greatest(u, d) > 4 THEN 0 ELSE u END, CASE WHEN greatest(u, d) > 4 THEN 0 ELSE d END, greatest(u, d) > 4 FROM (SELECT s.event_type, s.i, greatest(0, c.up + s.z - 0.5) AS u, greatest(0, c.down - s.z - 0.5) AS d FROM c JOIN s ON s.event_type = c.event_type AND s.i = c.i + 1)),
+a AS (SELECT event_type, i, n, least FROM c JOIN t USING (event_type) WHERE alarm AND n - i >= least),
+k(event_type, place, step) AS (SELECT event_type, 0::BIGINT, 0 FROM t UNION ALL SELECT k.event_type, min(a.i), k.step + 1 FROM k JOIN a ON a.event_type = k.event_type AND a.i - k.place >= a.least WHERE k.step < 7 GROUP BY k.event_type, k.step)
+SELECT event_type, place, 'cusum' AS method FROM k WHERE step > 0""",
+)
 def _(spark, d):
     return series.change_points(_t(spark, d, "events"), "ts", "value", ["event_type"])
 
 
-@query("motifs_discords")
+@query(
+    "motifs_discords",
+    """WITH h AS (SELECT event_type, date_trunc('hour', ts) AS hour, avg(value) AS v FROM events GROUP BY ALL),
+p AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY hour) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n, list(v) OVER (PARTITION BY event_type ORDER BY hour ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING) AS w FROM h),
+m AS (SELECT *, list_avg(w) AS mean, list_stddev_pop(w) AS sd FROM p WHERE len(w) = 16 AND n >= 32),
+z AS (SELECT event_type, i, list_transform(w, lambda x: (x - mean) / sd) AS z FROM m),
+r AS (SELECT a.event_type, a.i, b.i AS j, round(list_dot_product(a.z, b.z) / 16, 10) AS r FROM z a JOIN z b ON b.event_type = a.event_type AND abs(b.i - a.i) > 4),
+d AS (SELECT event_type, i AS place, j AS match, sqrt(2 * 16 * (1 - least(1, r))) AS distance FROM r QUALIFY row_number() OVER (PARTITION BY event_type, i ORDER BY r DESC, j) = 1)
+SELECT event_type, 'motif' AS kind, place, match, round(distance, 6) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY distance, place) <= 3
+UNION ALL SELECT event_type, 'discord', place, match, round(distance, 6) FROM d QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY distance DESC, place) <= 3""",
+)
 def _(spark, d):
     hourly = _t(spark, d, "events").groupBy("event_type", F.date_trunc("hour", "ts").alias("hour")).agg(F.avg("value").alias("value"))
     return series.motifs_discords(hourly, "hour", "value", ["event_type"], 16).withColumn("distance", r(F.col("distance")))
