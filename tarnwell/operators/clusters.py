@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -33,13 +34,19 @@ class Cluster:
         self.n = n
 
 
-def match_or_create(clusters: list[Cluster], point: dict[str, float], near: float = NEAR) -> Cluster:
+def numbered(founded: int) -> str:
+    """The id of a cluster after so many others: the usual factory of ids."""
+    return f"FC-{founded + 1:03d}"
+
+
+def match_or_create(clusters: list[Cluster], point: dict[str, float], near: float = NEAR, name: Callable[[int], str] = numbered) -> Cluster:
+    """The nearest cluster, which takes the point, or a new one, named by how many there are."""
     found = [(d, i) for i, c in enumerate(clusters) if (d := c.distance(point)) is not None]
     if found and min(found)[0] <= near:
         cluster = clusters[min(found)[1]]
         cluster.add(point)
         return cluster
-    clusters.append(Cluster(f"FC-{len(clusters) + 1:03d}", 1, dict(point), dict.fromkeys(point, 1.0)))
+    clusters.append(Cluster(name(len(clusters)), 1, dict(point), dict.fromkeys(point, 1.0)))
     return clusters[-1]
 
 

@@ -719,6 +719,25 @@ def _(spark, d):
     return t.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", r(F.col("total"), 4).alias("total"))
 
 
+@query(
+    "stream_join",
+    """SELECT a.event_id, a.user_id, a.ts AS began, b.event_id AS next_id, b.ts AS ended FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 2 HOURS
+WHERE a.event_type = (SELECT min(event_type) FROM events) AND b.event_type = (SELECT max(event_type) FROM events)""",
+)
+def _(spark, d):
+    e = _t(spark, d, "events")
+    e = e.join(F.broadcast(e.agg(F.min("event_type").alias("lo"), F.max("event_type").alias("hi"))))
+    began = e.where("event_type = lo").select("event_id", "user_id", F.col("ts").alias("began"))
+    ended = e.where("event_type = hi").select(F.col("event_id").alias("next_id"), "user_id", F.col("ts").alias("ended"))
+    return windows.joined(began, ended, ["user_id"], "began", "ended", "2 hours").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("began", "ended")})
+
+
+@query("stream_distinct", "SELECT DISTINCT user_id, event_type, date_trunc('hour', ts) AS hour FROM events")
+def _(spark, d):
+    e = _t(spark, d, "events").select("user_id", "event_type", F.date_trunc("hour", "ts").alias("hour"))
+    return windows.distinct_events(e, ["user_id", "event_type", "hour"], "hour").withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+
+
 @query("stream_session", "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '6 hours' THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL '6 hours' AS session_end, count(*) AS n FROM s GROUP BY user_id, k")
 def _(spark, d):
     s = windows.sessions(_t(spark, d, "events"), "ts", "6 hours", ["user_id"])
