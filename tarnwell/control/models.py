@@ -23,11 +23,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnwell.control import estimators as E
+from tarnwell.control.boosting import BoostedOnAllRows
 from tarnwell.control.estimators import cox_ph, isolation_scores  # noqa: F401
-from tarnwell.operators import metrics
+from tarnwell.operators import metrics, survival
 from tarnwell.operators.running import ranked
 
 SAMPLE = 5000
+#: Fewer and longer steps than the sampled fit takes, as each level is a pass over all rows.
+FOCAL_ROUNDS, FOCAL_RATE = 20, 0.4
 
 
 @dataclass
@@ -94,6 +97,32 @@ class OnSample:
         return Fitted(lambda of: of.withColumn("p", p))
 
 
+@dataclass
+class OnRiskSets:
+    """Proportional hazards over all rows, features standardised over all rows; p is the linear predictor, higher for earlier events."""
+
+    seed: int = 0
+
+    def fit(self, df: DataFrame, features: list[str], target: str, time: str | None = None, key: Sequence[str] = ()) -> Fitted:
+        moments = df.agg(*[e for c in features for e in (F.avg(c), F.stddev_pop(c))]).first()
+        scaled = [((F.col(c) - F.lit(moments[2 * i] or 0.0)) / F.lit(moments[2 * i + 1] or 1.0)).alias(f"x{i}") for i, c in enumerate(features)]
+        names = [f"x{i}" for i in range(len(features))]
+        beta = survival.cox_coefficients(df.select(*scaled, F.col(target).alias("t")), names, "t")
+        p = sum((float(b) * ((F.col(c) - F.lit(moments[2 * i] or 0.0)) / F.lit(moments[2 * i + 1] or 1.0)) for i, (c, b) in enumerate(zip(features, beta, strict=True))), F.lit(0.0))
+        return Fitted(lambda of: of.withColumn("p", p))
+
+
+@dataclass
+class Boosted:
+    """Trees on the focal loss, fitted on all rows."""
+
+    seed: int = 0
+
+    def fit(self, df: DataFrame, features: list[str], target: str, time: str | None = None, key: Sequence[str] = ()) -> Fitted:
+        model = BoostedOnAllRows(rounds=FOCAL_ROUNDS, rate=FOCAL_RATE).fit(df, features, target)
+        return Fitted(lambda of: of.withColumn("p", model.column(features)))
+
+
 @dataclass
 class OnSeries:
     """A forecast by step: the rows to score are the steps after the fitted ones, in time order."""
@@ -170,8 +199,8 @@ MODELS: dict[str, Callable[[], object]] = {
     "extra_trees": lambda: OnAllRows(lambda seed: C.RandomForestClassifier(numTrees=50, maxDepth=8, subsamplingRate=1.0, bootstrap=False, seed=seed), classifies=True),
     "lgbm_binary": _boosted,
     "lgbm_weighted": lambda: _boosted(weighted=True),
-    "lgbm_focal": lambda: OnSample(lambda seed: E.FocalBoosting()),
-    "xgboost_focal": lambda: OnSample(lambda seed: E.FocalBoosting()),
+    "lgbm_focal": Boosted,
+    "xgboost_focal": Boosted,
     "mlp_tabular": lambda: OnAllRows(lambda seed: C.MultilayerPerceptronClassifier(maxIter=100, seed=seed), classifies=True, scaled=True),
     "naive_bayes": lambda: OnAllRows(lambda seed: C.NaiveBayes(modelType="gaussian"), classifies=True),
     "voting_soft": lambda: Blend(("logreg", "random_forest", "lgbm_binary")),
@@ -187,7 +216,7 @@ MODELS: dict[str, Callable[[], object]] = {
     "permutation_importance": _boosted_regressor,
     "lgbm_aft": lambda: OnAllRows(lambda seed: _Uncensored()),
     "mlp_tabular_regressor": lambda: OnSample(lambda seed: E.MlpRegressor(seed=seed)),
-    "cox_ph": lambda: OnSample(lambda seed: E.CoxPh()),
+    "cox_ph": OnRiskSets,
     "isolation_forest": lambda: OnSample(lambda seed: E.IsolationForest(seed)),
     "lof": lambda: OnSample(lambda seed: E.LocalOutlierFactor()),
     "ocsvm": lambda: OnSample(lambda seed: E.OneClassSvm()),
@@ -214,7 +243,7 @@ def _Uncensored():
 class Task:
     """An estimator with the columns that it is for."""
 
-    estimator: OnAllRows | OnSample | OnSeries | Blend
+    estimator: OnAllRows | OnSample | OnSeries | OnRiskSets | Boosted | Blend
     features: list[str]
     target: str
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnwell.functions import scalars as S
 from tarnwell.control import models
-from tarnwell.operators import clusters, joins, metrics, profile, sampling, sensors, series, statistics, vectors
+from tarnwell.operators import clusters, joins, metrics, profile, sampling, sensors, series, statistics, summaries, vectors
 from tarnwell.plans.features import Context, expand
 from tarnwell.sources import tables
 from tarnwell.sources.tables import latest_wins
@@ -158,6 +158,22 @@ query(
 )(profile_joined)
 
 
+@query(
+    "profile_merged",
+    " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS n_total, count(*) - count({c}) AS n_missing, min({c})::DOUBLE AS min, max({c})::DOUBLE AS max, round(avg({c}), 8) AS mean, round(stddev_samp({c}), 6) AS stdev, true AS n_unique_near, true AS median_near FROM lineitem" for c in _NUM),
+)
+def _(spark, d):
+    """Summaries of each month's rows, merged, beside exact answers."""
+    li = _t(spark, d, "lineitem")
+    parts = summaries.summaries(li, {"month": F.date_trunc("month", "l_shipdate")}, _NUM)
+    found = summaries.answers(parts, [0.5])
+    exact = li.agg(*[F.array(F.count_distinct(c).cast("double"), F.percentile(c, 0.44), F.percentile(c, 0.56)).alias(c) for c in _NUM])
+    exact = exact.select(F.explode(F.array(*[F.struct(F.lit(c).alias("of"), F.col(c).alias("e")) for c in _NUM])).alias("x")).select("x.*")
+    median = F.col("quantiles")[0]
+    rows = found.join(F.broadcast(exact), F.col("column") == F.col("of"))
+    return rows.select("column", "n_total", "n_missing", "min", "max", r(F.col("mean"), 8).alias("mean"), r(F.col("stdev")).alias("stdev"), (F.abs(F.col("n_unique") - F.col("e")[0]) <= F.greatest(F.lit(1.0), 0.04 * F.col("e")[0])).alias("n_unique_near"), median.between(F.col("e")[1], F.col("e")[2]).alias("median_near"))
+
+
 @query("dtype_classify", "SELECT 'c_name' AS \"column\", CASE WHEN count(DISTINCT c_name) <= greatest(50, floor(sqrt(count(*)))) THEN 'categorical' ELSE 'text' END AS semantic FROM customer UNION ALL SELECT 'c_mktsegment', CASE WHEN count(DISTINCT c_mktsegment) <= greatest(50, floor(sqrt(count(*)))) THEN 'categorical' ELSE 'text' END FROM customer UNION ALL SELECT 'c_acctbal', 'numeric'")
 def _(spark, d):
     return profile.column_profile(_t(spark, d, "customer").select("c_name", "c_mktsegment", "c_acctbal")).select("column", "semantic")

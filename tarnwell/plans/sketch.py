@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tarnwell.control import models
 from tarnwell.control.project import CAPABILITIES, cosine
-from tarnwell.operators import clusters, profile, sampling, series, statistics
+from tarnwell.operators import clusters, profile, sampling, series, statistics, summaries
 from tarnwell.sources.tables import read_texts, write_text
 
 #: Gain from which a regime study asks for new bounds, and iterations between two such.
@@ -51,6 +51,7 @@ def build_sketch(df: DataFrame, folder: str | Path, target: str | None = None, t
             l5.setdefault(row["column"], {"words": [], "motif": [], "discord": []})[row["kind"]].append([row["place"], row["match"], row["distance"]])
         l5 = {c: {**found, "words": found["words"][:8], "discord": found["discord"][::-1]} for c, found in l5.items()}
     l6 = statistics.dependence_graph(df, numbers)
+    summaries.summaries(df).write.mode("overwrite").parquet(f"{folder}/summaries")
     layers = {"L1": l1, "L2": l2, "L3": l3, "L5": l5, "L6": l6, "L7": []}
     layers["similarity"] = similarity_vector(layers)
     matrix = statistics.correlation_matrix(df.dropna(subset=numbers), numbers) if len(numbers) > 1 else []
@@ -205,6 +206,13 @@ class Sketch:
         found = models.cross_validate(folded, usable, target, kind.models[0], "__fold", kind.metrics, seed, self.layers["manifest"]["time"], ["__row"])
         return {"capability": capability, "features": usable, "metrics_mean": found, "n_splits": n_splits}
 
+    def absorb(self, rows: DataFrame) -> None:
+        """New rows join the profile: their summary is added, and the first layer's numbers are merged anew, no old row being read. Distinct values and quantiles are then estimates."""
+        path = f"{self.folder}/summaries"
+        summaries.summaries(rows).write.mode("append").parquet(path)
+        merged = {r["column"]: r.asDict() for r in summaries.answers(rows.sparkSession.read.parquet(path)).collect()}
+        self._write("L1", [{**row, **merged.get(row["column"], {})} for row in self.layers["L1"]])
+
     def update(self, iteration: int, verdict: str, area: str, gain: float, metric: float | None, features: Sequence[str], best: bool, last_regime: int = -100) -> dict:
         """What an experiment changes: a best pair joins the interactions, a gainful regime study asks for new bounds, a failure or warning joins or founds a cluster."""
         done: dict[str, object] = {}

@@ -170,6 +170,16 @@ def test_sketch_updates(sketch):
     assert [p["mutual_info"] for p in again.ask("top_interactions")["pairs"] if "mutual_info" in p] == [0.4] and again.layers["similarity"][17:] == [1.0, 2.0, 2.0]
 
 
+def test_sketch_absorbs_new_rows(spark, frame, tmp_path):
+    sketch = build_sketch(frame.where("row < 400").select("row", "x_temp", "y"), tmp_path / "s", target="y")
+    sketch.absorb(frame.where("row >= 400").select("row", "x_temp", "y"))
+    again = type(sketch)(sketch.folder)
+    row = again.ask("distribution", column="x_temp")
+    mean, low = frame.agg(F.avg("x_temp"), F.min("x_temp")).first()
+    assert (row["n_total"], row["min"], row["semantic"]) == (600, low, "numeric") and row["mean"] == pytest.approx(mean)
+    assert again.ask("cardinality", column="row")["n_unique"] == pytest.approx(600, rel=0.03) and 99 < again.ask("quantile", column="x_temp", q=0.5)["value"] < 106
+
+
 def test_hypotheses(sketch, tmp_path):
     project = Project(tmp_path / "p", mission(notes="Expected drivers:\nx_temp and x_press with x_flow, x_age\n\nOther things: none"))
     kind = CAPABILITIES["temporal_classification"]
