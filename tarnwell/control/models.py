@@ -52,6 +52,7 @@ class OnAllRows:
     scaled: bool = False
     signed: bool = False  # labels as -1 and 1, the answer as 0 or 1
     weighted: bool = False  # rows of the rarer class count more
+    alpha: float | None = None  # strength of a ridge on sums of squares, as others state it; Spark's is for means
     seed: int = 0
 
     def fit(self, df: DataFrame, features: list[str], target: str, time: str | None = None, key: Sequence[str] = ()) -> Fitted:
@@ -61,6 +62,10 @@ class OnAllRows:
         estimator = self.make(self.seed).setFeaturesCol("__z" if self.scaled else "__x").setLabelCol("__y").setPredictionCol("__p")
         if isinstance(estimator, C.MultilayerPerceptronClassifier):
             estimator = estimator.setLayers([len(features), 32, 2])
+        if self.alpha is not None:
+            # Spark divides the label, and with it this strength, by the label's deviation.
+            n, spread = df.agg(F.count(target), F.stddev_pop(F.col(target).cast("double"))).first()
+            estimator = estimator.setRegParam(self.alpha / max(1, n) * (spread or 1.0) * (2 if self.signed else 1)).setStandardization(False)
         if self.weighted:
             estimator = estimator.setWeightCol("__w")
             sizes = df.groupBy(F.col(target).alias("__of")).agg(F.count(F.lit(1)).alias("__n"))
@@ -193,7 +198,7 @@ MODELS: dict[str, Callable[[], object]] = {
     "logreg": _logistic,
     "logreg_l1": lambda: _logistic(1.0),
     "logreg_elastic": lambda: _logistic(0.5),
-    "ridge_classifier": lambda: OnAllRows(lambda seed: R.LinearRegression(regParam=1e-3), signed=True),
+    "ridge_classifier": lambda: OnAllRows(lambda seed: R.LinearRegression(), signed=True, alpha=1.0),
     "decision_tree": lambda: OnAllRows(lambda seed: C.DecisionTreeClassifier(maxDepth=8, seed=seed), classifies=True),
     "random_forest": lambda: OnAllRows(lambda seed: C.RandomForestClassifier(numTrees=50, maxDepth=8, seed=seed), classifies=True),
     "extra_trees": lambda: OnAllRows(lambda seed: C.RandomForestClassifier(numTrees=50, maxDepth=8, subsamplingRate=1.0, bootstrap=False, seed=seed), classifies=True),
@@ -206,8 +211,8 @@ MODELS: dict[str, Callable[[], object]] = {
     "voting_soft": lambda: Blend(("logreg", "random_forest", "lgbm_binary")),
     "bagging": lambda: Blend(("decision_tree",) * 10, resampled=True),
     "stacked_blend": lambda: Blend(("logreg", "random_forest", "lgbm_binary"), stacked=True),
-    "ridge": lambda: _linear(0.0),
-    "ridge_lagged": lambda: _linear(0.0),
+    "ridge": lambda: OnAllRows(lambda seed: R.LinearRegression(), alpha=1.0),
+    "ridge_lagged": lambda: OnAllRows(lambda seed: R.LinearRegression(), alpha=1.0),
     "elasticnet": lambda: _linear(0.5, 1e-2),
     "random_forest_regressor": lambda: OnAllRows(lambda seed: R.RandomForestRegressor(numTrees=50, maxDepth=8, seed=seed)),
     "extra_trees_regressor": lambda: OnAllRows(lambda seed: R.RandomForestRegressor(numTrees=50, maxDepth=8, subsamplingRate=1.0, bootstrap=False, seed=seed)),

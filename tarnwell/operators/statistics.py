@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from itertools import combinations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .running import running
+from tarnwell.sources.saved import Saved
+
+from .running import ranked, running
 
 
 def safe_corr(a: Column, b: Column) -> Column:
@@ -58,6 +62,76 @@ def mutual_information(df: DataFrame, column: str, target: str, bins: int = 10)
     return sums.agg(F.sum(p * F.log(F.col("n") * F.col("total") / (F.col("nx") * F.col("ny")))).alias("mutual_info"))
 
 
+def _digamma(x: Column) -> Column:
+    """By the recurrence up to x + 6 and the asymptotic series there; good to 1e-10 from 1 on."""
+    y = x + 6
+    series = F.log(y) - 1 / (2 * y) - 1 / (12 * y**2) + 1 / (120 * y**4) - 1 / (252 * y**6) + 1 / (240 * y**8)
+    return series - sum((1 / (x + i) for i in range(6)), F.lit(0.0))
+
+
+def _counted_below(values: DataFrame, queries: DataFrame) -> DataFrame:
+    """queries (id, q, with_equal) with below, how many of values (v) are less than q, or equal to it if with_equal; by running sums over ranges."""
+    none = F.lit(None).cast("long")
+    # At equal values: queries for less, values, queries for less or equal.
+    points = values.select(F.col("v"), F.lit(1).alias("turn"), none.alias("id"), F.lit(False).alias("with_equal"))
+    asked = queries.select(F.col("q").alias("v"), F.when(F.col("with_equal"), 2).otherwise(0).alias("turn"), "id", "with_equal")
+    both = points.unionByName(asked)
+    return running(both, "v", {"below": F.when(F.col("turn") == 1, 1).otherwise(0).cast("long")}, then=["turn"]).where("turn <> 1").select("id", "with_equal", "below")
+
+
+def _information(n: int, own: float | None, of: float | None, nearer: float | None) -> float:
+    if not n:
+        return 0.0
+    harmonic = math.log(n) - 1 / (2 * n) - 1 / (12 * n**2) if n > 50 else sum(1 / i for i in range(1, n)) - 0.5772156649015329
+    return max(0.0, harmonic + own - of - nearer)
+
+
+def neighbour_information(df: DataFrame, column: str, target: str, neighbours: int = 3, block: int = 4096) -> float:
+    """Mutual information of a number with a target's values, in nats, from nearest neighbours (Ross 2014); at least 0.
+
+    For each row the distance to its neighbours-th nearest row of the same value, and how
+    many rows of all lie nearer than that. Rows of a value stand in order in blocks with
+    the next ones' edges, so distances need windows of a block; rows that lie nearer are
+    running counts over ranges. Rows whose value no other row has are left out, as are
+    rows with a null. Where so many rows are equal that the distance is 0, the equal ones
+    count.
+    """
+    rows = df.where(F.col(column).isNotNull() & F.col(target).isNotNull()).select(F.col(column).cast("double").alias("v"), F.col(target).alias("y"))
+    sizes = rows.groupBy(F.col("y").alias("of")).agg(F.count(F.lit(1)).alias("of_n")).where("of_n > 1")
+    with Saved(df.sparkSession) as saved:
+        # Places within a value, which with it name a row.
+        placed = saved(ranked(rows.join(sizes, F.col("y") == F.col("of")).select("v", "y", "of_n"), "v", by=["y"]).withColumn("k", F.least(F.lit(neighbours), F.col("of_n") - 1).cast("int")))
+        at = F.floor(F.col("place") / block)
+        edge = lambda shift: F.floor((F.col("place") + shift) / block)
+        blocks = placed.withColumn("block", F.explode(F.array_distinct(F.array(at, edge(neighbours), edge(-neighbours)))))
+        inside = Window.partitionBy("y", "block").orderBy("place")
+        beside = [f(F.col("v"), i).over(inside) for i in range(1, neighbours + 1) for f in (F.lag, F.lead)]
+        near = F.array_sort(F.filter(F.array(*[F.struct(F.abs(b - F.col("v")).alias("gap"), b.alias("v")) for b in beside]), lambda s: s["gap"].isNotNull()))
+        found = blocks.withColumn("far", F.get(near, F.col("k") - 1)).where(at == F.col("block"))
+        # The farthest neighbour's own value bounds its side exactly.
+        high = F.when(F.col("far.v") >= F.col("v"), F.col("far.v")).otherwise(F.col("v") + F.col("far.gap"))
+        low = F.when(F.col("far.v") <= F.col("v"), F.col("far.v")).otherwise(F.col("v") - F.col("far.gap"))
+        spans = saved(found.select(F.monotonically_increasing_id().alias("id"), "of_n", "k", "v", low.alias("low"), high.alias("high"), (F.col("far.gap") == 0).alias("equal")))
+        # Above 0 the ends are open: less than high, without those up to low. At 0 they are closed.
+        asked = spans.select("id", F.explode(F.array(F.struct(F.col("high").alias("q"), F.col("equal").alias("with_equal"), F.lit(1).alias("sign")), F.struct(F.col("low").alias("q"), (~F.col("equal")).alias("with_equal"), F.lit(-1).alias("sign")))).alias("a")).select("id", "a.*")
+        ends = _counted_below(spans.select("v"), asked.select((F.col("id") * 2 + (F.col("sign") > 0).cast("int")).alias("id"), "q", "with_equal"))
+        nearer = ends.groupBy(F.floor(F.col("id") / 2).alias("id")).agg(F.sum(F.when(F.col("id") % 2 == 1, F.col("below")).otherwise(-F.col("below"))).alias("m"))
+        means = spans.join(nearer, "id").agg(F.count(F.lit(1)).alias("n"), F.avg(_digamma(F.col("k").cast("double"))), F.avg(_digamma(F.col("of_n").cast("double"))), F.avg(_digamma(F.greatest(F.col("m"), F.lit(1)).cast("double")))).first()
+    return _information(*means)
+
+
+def shortlist(df: DataFrame, columns: Sequence[str], target: str, most: int, bins: int = 16) -> list[str]:
+    """The columns that tell most of a target, at most so many; of a number's target its quantile bins."""
+    if len(columns) <= most:
+        return list(columns)
+    if isinstance(df.schema[target].dataType, T.NumericType):
+        cuts = [c for c in df.agg(F.percentile_approx(target, F.array(*[F.lit(i / bins) for i in range(1, bins)]), 10_000)).first()[0] or []]
+        df = df.withColumn("__bin", F.when(F.col(target).isNotNull(), sum(((F.col(target) > c).cast("int") for c in dict.fromkeys(cuts)), F.lit(0))))
+        target = "__bin"
+    told = {c: neighbour_information(df, c, target) for c in columns}
+    return sorted(columns, key=lambda c: (-told[c], c))[:most]
+
+
 def partial_correlation(matrix: np.ndarray, a: int, b: int, given: tuple[int, ...]) -> float:
     """From the inverse of the correlation matrix of the columns concerned."""
     at = [a, b, *given]

@@ -223,6 +223,23 @@ def _(spark, d):
     return statistics.mutual_information(_t(spark, d, "lineitem"), "l_quantity", "l_returnflag").select(r(F.col("mutual_info"), 8).alias("mutual_info"))
 
 
+_PSI = "(ln({x} + 6) - 1 / (2 * ({x} + 6)) - 1 / (12 * ({x} + 6) ** 2) + 1 / (120 * ({x} + 6) ** 4) - 1 / (252 * ({x} + 6) ** 6) + 1 / (240 * ({x} + 6) ** 8)" + "".join(f" - 1 / ({{x}} + {i})" for i in range(6)) + ")"
+
+
+@query(
+    "mutual_info_neighbours",
+    f"""WITH e AS (SELECT value AS v, event_type AS y, count(*) OVER (PARTITION BY event_type) AS c FROM events WHERE value IS NOT NULL AND event_type IS NOT NULL),
+b AS (SELECT v, y, c, [{", ".join(f"lag(v, {i}) OVER w, lead(v, {i}) OVER w" for i in (1, 2, 3))}] AS b FROM e WHERE c > 1 WINDOW w AS (PARTITION BY y ORDER BY v)),
+f AS (SELECT row_number() OVER () AS i, v, y, c, least(3, c - 1) AS k, list_sort(list_transform(list_filter(b, lambda x: x IS NOT NULL), lambda x: {{'gap': abs(x - v), 'v': x}}))[least(3, c - 1)] AS far FROM b),
+s AS (SELECT i, c, k, CASE WHEN far.v <= v THEN far.v ELSE v - far.gap END AS lo, CASE WHEN far.v >= v THEN far.v ELSE v + far.gap END AS hi, far.gap = 0 AS eq FROM f),
+m AS (SELECT i, any_value(s.c) AS c, any_value(k) AS k, count(*) AS m FROM s JOIN b ON b.v >= s.lo AND b.v <= s.hi AND (eq OR (b.v > s.lo AND b.v < s.hi)) GROUP BY i)
+SELECT round(greatest(0, {_PSI.format(x="count(*)::DOUBLE")} + avg({_PSI.format(x="k::DOUBLE")}) - avg({_PSI.format(x="c::DOUBLE")}) - avg({_PSI.format(x="m::DOUBLE")})), 6) AS mutual_info FROM m""",
+)
+def _(spark, d):
+    told = statistics.neighbour_information(_t(spark, d, "events"), "value", "event_type")
+    return spark.createDataFrame([(round(told, 6),)], "mutual_info double")
+
+
 @query("pca_variance")
 def _(spark, d):
     parts = statistics.principal_components(_t(spark, d, "lineitem"), _NUM)

@@ -19,6 +19,8 @@ from tarnwell.sources.tables import read_texts, write_text
 
 #: Gain from which a regime study asks for new bounds, and iterations between two such.
 REGIME_GAIN, REGIME_REST = 0.3, 5
+#: Columns of which pairs are looked at.
+SHORTLIST = 20
 
 
 def build_sketch(df: DataFrame, folder: str | Path, target: str | None = None, time: str | None = None, forbidden: tuple[str, ...] = (), key: list[str] | None = None, seed: int = 0) -> Sketch:
@@ -31,7 +33,9 @@ def build_sketch(df: DataFrame, folder: str | Path, target: str | None = None, t
     tops = profile.top_values(df, [r["column"] for r in l1 if r["semantic"] == "categorical"]).collect() if any(r["semantic"] == "categorical" for r in l1) else []
     for row in l1:
         row["top"] = [[t["value"], t["n"]] for t in sorted(tops, key=lambda t: t["place"]) if t["column"] == row["column"]]
-    pairs = statistics.correlation_pairs(df, inputs).collect() if len(inputs) > 1 else []
+    # Pairs are of the columns that tell most of the target.
+    telling = statistics.shortlist(df, inputs, target, SHORTLIST) if target in df.columns else inputs
+    pairs = statistics.correlation_pairs(df, telling).collect() if len(telling) > 1 else []
     ranked = sorted(({"col_a": p["col_a"], "col_b": p["col_b"], "abs_corr": abs(p["corr"] or 0.0)} for p in pairs), key=lambda p: (-p["abs_corr"], p["col_a"], p["col_b"]))
     l2 = {"pairs": ranked[:10], "components": statistics.principal_components(df, inputs) if len(inputs) > 1 else []}
     l3 = {"bounds": [], "regimes": []}

@@ -72,3 +72,14 @@ def test_boosting_on_all_rows_grows_the_same_trees(spark, monkeypatch):
     squares = boosting.BoostedOnAllRows(lambda target, margin: (margin - target, np.ones(len(target))), rounds=1, rate=1.0, depth=1, ridge=0.0).fit(df, ["b"], "y")
     tree = squares.trees[0]
     assert len(tree.values) == 2 and list(tree.splits) == [0]
+
+
+def test_ridge_has_the_usual_strength(spark):
+    draw = np.random.default_rng(4)
+    x = draw.normal(size=(30, 2)) * [1.0, 5.0]
+    y = x @ [2.0, -1.0] + 3 + draw.normal(size=30)
+    df = spark.createDataFrame([(*map(float, a), float(b)) for a, b in zip(x, y, strict=True)], "a double, b double, y double")
+    got = [r["p"] for r in models.build("ridge", ["a", "b"], "y").fit(df).scored(df).collect()]
+    centred = x - x.mean(axis=0)
+    beta = np.linalg.solve(centred.T @ centred + np.eye(2), centred.T @ (y - y.mean()))
+    assert got == pytest.approx((y.mean() + centred @ beta).tolist(), abs=1e-6)

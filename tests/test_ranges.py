@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tarnwell.operators import joins, running, sensors, series
+from tarnwell.operators import joins, running, sensors, series, statistics
 
 
 def _by(rows, key, value):
@@ -136,6 +136,33 @@ def test_asof_by_ranges_of_time(spark, keys):
         assert plain.count() == 400  # a time that is no number goes through a window
 
 
+def _plain_information(v, y, k=3):
+    """Ross's estimator by all distances."""
+    psi = lambda n: sum(1 / i for i in range(1, n)) - 0.5772156649015329
+    rows = [i for i in range(len(v)) if y.count(y[i]) > 1]
+    terms = []
+    for i in rows:
+        own = sorted(abs(v[j] - v[i]) for j in rows if j != i and y[j] == y[i])
+        near = min(k, len(own))
+        r = own[near - 1]
+        m = sum(abs(v[j] - v[i]) < r or (r == 0 and v[j] == v[i]) for j in rows)
+        terms.append(psi(near) - psi(len(own) + 1) - psi(m))
+    return max(0.0, psi(len(rows)) + sum(terms) / len(terms))
+
+
+@pytest.mark.parametrize("block", [16, 4096])
+def test_information_of_neighbours(spark, block):
+    draw = random.Random(6)
+    rows = [(draw.gauss({"a": 0, "b": 1, None: 0}[y], 1), y) for y in draw.choices(["a", "b", None], k=250)] + [(5.0, "b")] * 6 + [(0.5, "lone"), (None, "a")]
+    df = spark.createDataFrame(rows, "x double, y string").withColumn("noise", F.xxhash64("x") % 1000)
+    known = [(x, y) for x, y in rows if x is not None and y is not None]
+    told = statistics.neighbour_information(df, "x", "y", block=block)
+    assert told == pytest.approx(_plain_information(*map(list, zip(*known, strict=True))), abs=1e-9) and told > 0.05
+    if block > 16:
+        assert statistics.neighbour_information(df.limit(0), "x", "y") == 0
+        assert statistics.shortlist(df, ["noise", "x"], "y", 1) == ["x"] and statistics.shortlist(df, ["noise"], "y", 1) == ["noise"]
+
+
 def _spans(n, seed, gap=0):
     draw = random.Random(seed)
     rows = [(i, draw.randint(0, 1000) + gap, draw.choice([0, 0, 1, 3, 20, 400]), draw.choice("ab")) for i in range(n)]
