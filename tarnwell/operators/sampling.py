@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .running import quantiles, ranked
 
@@ -49,6 +50,18 @@ def recency_weights(df: DataFrame, time: str) -> DataFrame:
     return _mean_one(joined, 0.1 + 1.9 * F.coalesce(F.try_divide("__rank", "__top"), F.lit(1.0))).drop("__t", "__rank", "__top")
 
 
+def weights_for(df: DataFrame, target_type: str, target: str | None = None, time: str | None = None) -> DataFrame:
+    """Weights that suit what is predicted: of classes for a binary target, of distance from the median for a continuous one, of recency for survival; else 1, as without the column needed."""
+    numeric = target in df.columns and isinstance(df.schema[target].dataType, T.NumericType)
+    if target_type == "binary" and target in df.columns:
+        return class_weights(df, target)
+    if target_type == "continuous" and numeric:
+        return regression_weights(df, target)
+    if target_type == "survival" and time in df.columns:
+        return recency_weights(df, time)
+    return df.withColumn("weight", F.lit(1.0))
+
+
 def weighted_sample(df: DataFrame, weight: str, key: Sequence[str], rows: int = ROWS, seed: int = 0) -> DataFrame:
     """Rows drawn without replacement, likelier by weight: the smallest -ln(u)/weight, u from a hash of the key.
 

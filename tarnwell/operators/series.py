@@ -230,6 +230,17 @@ def regime_summary(df: DataFrame, time: str, value: str, bounds: list[int]) -> D
     return ranked(df.select(time, value), time).withColumn("regime", regime).groupBy("regime").agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("stdev"), F.avg((F.col(value) > 0).cast("double")).alias("rate"))
 
 
+def regime_classes(df: DataFrame, time: str, label: str, bounds: list[int]) -> DataFrame:
+    """regime, n, top (its most frequent label, the first of equally frequent ones), rate (top's share) and n_unique; labels are counted first."""
+    regime = sum(((F.col("place") >= b).cast("int") for b in bounds), F.lit(0))
+    counts = ranked(df.select(time, label), time).withColumn("regime", regime).groupBy("regime", label).agg(F.count(F.lit(1)).alias("k"))
+    most = F.max(F.when(F.col(label).isNotNull(), F.col("k")))
+    tops = counts.groupBy("regime").agg(F.sum("k").alias("n"), most.alias("most"), F.count(label).alias("n_unique"))
+    named = counts.where(F.col(label).isNotNull()).withColumnsRenamed({"regime": "__of", "k": "__k"})
+    first = tops.join(named, (F.col("regime") == F.col("__of")) & (F.col("most") == F.col("__k")), "left")
+    return first.groupBy("regime").agg(F.max("n").alias("n"), F.min(label).alias("top"), (F.max("most") / F.max("n")).alias("rate"), F.max("n_unique").alias("n_unique"))
+
+
 def _standard(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Standardised windows over the root of their length, so that products are correlations, and which windows are flat."""
     centred = windows - windows.mean(axis=1, keepdims=True)

@@ -328,6 +328,16 @@ def _(spark, d):
     return s.select("regime", "n", r(F.col("mean"), 4).alias("mean"), r(F.col("stdev"), 4).alias("stdev"), "rate")
 
 
+@query(
+    "regime_classes",
+    f"""WITH d AS ({_DAILY}), p AS (SELECT strftime(day, '%a') AS label, row_number() OVER (ORDER BY day) - 1 AS k FROM d), c AS (SELECT CAST((k >= 100)::INTEGER + (k >= 250)::INTEGER AS INTEGER) AS regime, label, count(*) AS k FROM p GROUP BY 1, 2)
+SELECT regime, CAST(sum(k) AS BIGINT) AS n, min(label) FILTER (WHERE k = most) AS top, max(k) / sum(k) AS rate, count(*) AS n_unique FROM (SELECT *, max(k) OVER (PARTITION BY regime) AS most FROM c) GROUP BY 1""",
+)
+def _(spark, d):
+    labelled = _daily(spark, d).select("day", F.date_format("day", "E").alias("label"))
+    return series.regime_classes(labelled, "day", "label", [100, 250])
+
+
 @query(
     "cusum_changes",
     """WITH RECURSIVE s AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, value) - 1 AS i, (value - avg(value) OVER p) / stddev_pop(value) OVER p AS z, count(*) OVER p AS n FROM events WINDOW p AS (PARTITION BY event_type)),

@@ -23,7 +23,7 @@ REGIME_GAIN, REGIME_REST = 0.3, 5
 SHORTLIST = 20
 
 
-def build_sketch(df: DataFrame, folder: str | Path, target: str | None = None, time: str | None = None, forbidden: tuple[str, ...] = (), key: list[str] | None = None, seed: int = 0) -> Sketch:
+def build_sketch(df: DataFrame, folder: str | Path, target: str | None = None, time: str | None = None, forbidden: tuple[str, ...] = (), key: list[str] | None = None, seed: int = 0, capability: str | None = None) -> Sketch:
     """A few batched jobs over the table; every layer is a small JSON file but the coreset, which is parquet."""
     folder = str(folder)
     df = df.cache()
@@ -44,7 +44,14 @@ def build_sketch(df: DataFrame, folder: str | Path, target: str | None = None, t
         one = df.select(F.lit(0).alias("part"), time, signal)
         l3["bounds"] = [r["place"] for r in series.change_points(one, time, signal, ["part"]).orderBy("place").collect()]
         l3["regimes"] = [r.asDict() for r in series.regime_summary(df.where(F.col(signal).isNotNull()), time, signal, l3["bounds"]).orderBy("regime").collect()]
-    weighed = sampling.class_weights(df, target) if target and target not in numbers else df.withColumn("weight", F.lit(1.0))
+    if time and target in df.columns:
+        if target in numbers:
+            l3["targets"] = [r.asDict() for r in series.regime_summary(df.where(F.col(signal).isNotNull()), time, target, l3["bounds"]).orderBy("regime").collect()] if signal else []
+        else:
+            l3["targets"] = [r.asDict() for r in series.regime_classes(df, time, target, l3["bounds"]).orderBy("regime").collect()]
+    # Without a capability, labels are classes and numbers weigh alike.
+    kind = CAPABILITIES[capability].target_type if capability else "binary" if target not in numbers else ""
+    weighed = sampling.weights_for(df, kind, target, time)
     sampling.weighted_sample(weighed, "weight", key or df.columns, seed=seed).write.mode("overwrite").parquet(f"{folder}/coreset")
     l5: dict[str, dict] = {}
     if time and numbers:

@@ -170,6 +170,16 @@ def test_sketch_updates(sketch):
     assert [p["mutual_info"] for p in again.ask("top_interactions")["pairs"] if "mutual_info" in p] == [0.4] and again.layers["similarity"][17:] == [1.0, 2.0, 2.0]
 
 
+def test_coreset_weights_follow_the_capability(spark, frame):
+    rows = frame.select("row", "t", "x_temp", "y")
+    spread = lambda df: df.agg(F.min("weight"), F.max("weight"), F.avg("weight")).first()
+    low, high, mean = spread(sampling.weights_for(rows, CAPABILITIES["predictive_maintenance"].target_type, "y", "t"))
+    assert high / low == pytest.approx(20) and mean == pytest.approx(1)
+    assert sampling.weights_for(rows, "binary", "y").select("y", "weight").distinct().count() == 2
+    assert sampling.weights_for(rows, "continuous", "x_temp").orderBy("weight").first()["x_temp"] == pytest.approx(rows.agg(F.percentile("x_temp", 0.5)).first()[0], abs=0.1)
+    assert spread(sampling.weights_for(rows, "continuous", "none"))[:2] == spread(sampling.weights_for(rows, "survival", "y"))[:2] == (1.0, 1.0)
+
+
 def test_sketch_absorbs_new_rows(spark, frame, tmp_path):
     sketch = build_sketch(frame.where("row < 400").select("row", "x_temp", "y"), tmp_path / "s", target="y")
     sketch.absorb(frame.where("row >= 400").select("row", "x_temp", "y"))
