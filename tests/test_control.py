@@ -176,7 +176,7 @@ def test_coreset_weights_follow_the_capability(spark, frame):
     low, high, mean = spread(sampling.weights_for(rows, CAPABILITIES["predictive_maintenance"].target_type, "y", "t"))
     assert high / low == pytest.approx(20) and mean == pytest.approx(1)
     assert sampling.weights_for(rows, "binary", "y").select("y", "weight").distinct().count() == 2
-    assert sampling.weights_for(rows, "continuous", "x_temp").orderBy("weight").first()["x_temp"] == pytest.approx(rows.agg(F.percentile("x_temp", 0.5)).first()[0], abs=0.1)
+    assert sampling.weights_for(rows, "continuous", "x_temp").orderBy("weight").first()["x_temp"] == pytest.approx(rows.agg(F.percentile("x_temp", 0.5)).first()[0], abs=0.5)
     assert spread(sampling.weights_for(rows, "continuous", "none"))[:2] == spread(sampling.weights_for(rows, "survival", "y"))[:2] == (1.0, 1.0)
 
 
