@@ -75,6 +75,27 @@ LICENSES = (
     ("Zlib", "zlib License\n" + _ZLIB),
     ("Apache-2.0", _APACHE),
 )
+#: Canonical digests of long licences (fixed values): of the published text, and where it has an appendix on how to apply it, of what ends with "END OF TERMS AND CONDITIONS".
+DIGESTS = (
+    ("Apache-2.0", "b610aae6b096759844272677f5b976192a700a139cc44d2004d59bea190d05c7"),
+    ("Apache-2.0", "f610752a3dafda9c28e5a6b64f7c7a12600f0e8cdec11ddc03c102132021e6e6"),
+    ("CC0-1.0", "adf75bc38a3fbbdcbadda90b262623acbb176db40d4de0538e4bddaa4c7f8d2a"),
+    ("GFDL-1.2", "6b425c0a67e6b748551b88317924ea086929a4b21a9b0791f8352babd645e0c4"),
+    ("GFDL-1.3", "9ad82f8a2ded896851802d54f1dfa67116166983cb978bf868a1fec0585ed4cf"),
+    ("GPL-1.0", "312ed964c77e540bdb607f644cda48e580b88c9f8d91df1eee77c93245c8493a"),
+    ("GPL-1.0", "50af69451b4f4323042be2b48648be1ccf43ac320b71bd83ae265a91b55895f4"),
+    ("GPL-2.0", "82a6cca2aba6d89ca2af2de0d09a06af62f784080c8095ea0b6303dfc3c0221a"),
+    ("GPL-2.0", "c44c78fe989f55f2781e85f5ea3ad8563febdd7b092943641629c3e204d407f4"),
+    ("GPL-3.0", "7def7745ca7d72ed67b7ca260b527e58f2dda1e6d9b026635f99031f2e48136f"),
+    ("GPL-3.0", "8b8a15a249d6df90360243b78b2a1a71debdeb809176e7d7441c8949da98a357"),
+    ("LGPL-2.0", "ec44c766883b869bef6a328cf51aafbe256ee10744ba67af3472eda9d0446def"),
+    ("LGPL-2.0", "1e171ab9f596d207116d86bf27b99c05d8a6f40293600a2db16618fd81e3619d"),
+    ("LGPL-2.1", "5ef8b7ba71d31fa31954beed6b9d500255758be9aaae1903502fe0f4c080e8d9"),
+    ("LGPL-2.1", "dfb509c568fdca357b76a1c523438615ce8698edf63076cc8a224aac11a0199a"),
+    ("LGPL-3.0", "828c3944cde1fc14c68737c9be14d8d0f4f13ab980f8a72364a0e64f72965525"),
+    ("MPL-1.1", "6fb8d28c46d1f9f30824eb88ddce362530e2ff3ed28c74f4e4d5afb3015f4089"),
+    ("MPL-2.0", "c72d732662f1062b77b9075836226ca87c674ae131839c5a567b0749ff029ae3"),
+)
 #: Notices that name a licence in one line (fixed values).
 NOTICES = (
     ("MIT", "Released under the MIT License."),
@@ -117,13 +138,16 @@ def _known(spark: SparkSession, table: tuple) -> DataFrame:
     return rows.select("spdx", F.sha2(canonical(F.lower("raw")), 256).alias("digest")).distinct()
 
 
-def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", entire_texts: tuple = LICENSES) -> DataFrame:
+def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", entire_texts: tuple = LICENSES, digests: tuple = DIGESTS) -> DataFrame:
     """One row per row of docs: canon_sha256, license (of the entire text) and notices (names in its lines, in order).
 
-    entire_texts: (spdx, text) of the licences to know by their entire text; one name for each canonical text.
+    entire_texts: (spdx, text) of the licences to know by their entire text, and digests:
+    (spdx, canonical digest) of those known by that alone; one name for each canonical text.
     """
     spark = docs.sparkSession
-    entire = F.broadcast(_known(spark, entire_texts).select(F.col("spdx").alias("license"), F.col("digest").alias("canon_sha256")))
+    known = _known(spark, entire_texts)
+    table = known.unionByName(spark.createDataFrame(list(digests), known.schema)).distinct()
+    entire = F.broadcast(table.select(F.col("spdx").alias("license"), F.col("digest").alias("canon_sha256")))
     names = {digest: spdx for spdx, digest in _known(spark, NOTICES).collect()}
     lower = F.lower(whole_text(text_col))
     line_digests = F.transform(F.filter(F.split(lower, "\n"), lambda x: x.contains("licen") | x.contains("cc0")), lambda x: F.sha2(canonical(x), 256))
@@ -153,7 +177,7 @@ def _sql_rows(table: tuple) -> str:
 QUERIES = {"op2_license_scan": op2_license_scan}
 ORACLES = {
     "op2_license_scan": f"""
-WITH k AS (SELECT DISTINCT spdx AS license, sha256({_sql_canonical("lower(raw)")}) AS canon_sha256 FROM (VALUES {_sql_rows(LICENSES)}) v(spdx, raw)),
+WITH k AS (SELECT DISTINCT spdx AS license, sha256({_sql_canonical("lower(raw)")}) AS canon_sha256 FROM (VALUES {_sql_rows(LICENSES)}) v(spdx, raw) UNION VALUES {_sql_rows(DIGESTS)}),
 m AS (SELECT DISTINCT spdx, sha256({_sql_canonical("lower(raw)")}) AS digest FROM (VALUES {_sql_rows(NOTICES)}) v(spdx, raw)),
 d AS (SELECT doc_id, sha256({_sql_canonical("lower(coalesce(text, ''))")}) AS canon_sha256 FROM documents),
 l AS (SELECT doc_id, unnest(string_split(lower(coalesce(text, '')), chr(10))) AS line FROM documents),

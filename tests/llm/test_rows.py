@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -255,3 +256,24 @@ def test_quality_classifier(spark):
     again = quality_classifier.scored(docs.repartition(3), quality_classifier.fitted(docs, labels))
     assert {r["doc_id"]: r["score"] for r in again.collect()} == {r["doc_id"]: r["score"] for r in rows}
     assert quality_classifier.scored(empty(spark), quality_classifier.Model(None)).count() == 0
+
+
+#: Files of the machine's licence texts and their names.
+FULL = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "GFDL-1.3": "GFDL-1.3"}
+
+
+def test_long_licences_by_their_digests(spark):
+    """The published texts: whole, without the appendix, and with other case, spaces and line breaks; halves are none."""
+    mark = "END OF TERMS AND CONDITIONS"
+    rows = []
+    for file, name in FULL.items():
+        path = Path("/usr/share/common-licenses") / file
+        if path.exists():
+            text = path.read_text()
+            rows += [(name, text), (name, text[: text.find(mark) + len(mark)] if mark in text else text), (name, text.upper().replace(" ", "  ")), (name, text.replace("\n", "\r\n")), (None, text[: len(text) // 2])]
+    if not rows:
+        pytest.skip("this machine has no licence texts")
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    found = {r["doc_id"]: r["license"] for r in license_scan.licenses(docs).collect()}
+    assert [found[i] for i in range(len(rows))] == [n for n, _ in rows]
+    assert license_scan.licenses(docs, digests=()).where("license IS NOT NULL").count() == 0
