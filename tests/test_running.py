@@ -69,6 +69,22 @@ def test_nearest_vectors(spark):
     assert len(got) == 12
 
 
+@pytest.mark.parametrize(("pivots", "rows"), [(1, 8192), (12, 16), (64, 8192)])
+def test_knn_join_is_exact(spark, monkeypatch, pivots, rows):
+    monkeypatch.setattr(vectors, "TILE_ROWS", rows)
+    monkeypatch.setattr(vectors, "TILE_QUERIES", 4)
+    draw = np.random.default_rng(9)
+    x = np.r_[draw.normal(size=(150, 4)) * 0.1, draw.normal(size=(50, 4)) * 0.1 + 5, draw.normal(size=(40, 4)), np.zeros((3, 4))]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(999, None)], "id long, v array<double>").repartition(4)
+    got = vectors.knn_join(df.where("id % 10 = 0"), df, "id", "v", 5, pivots).collect()
+    for q in range(0, 243, 10):
+        gaps = np.round(np.linalg.norm(x - x[q], axis=1), 9)
+        want = sorted(range(len(x)), key=lambda i: (gaps[i], i))[:5]
+        rows_of = sorted((r for r in got if r["query_id"] == q), key=lambda r: r["place"])
+        assert [r["id"] for r in rows_of] == want and [r["distance"] for r in rows_of] == pytest.approx(gaps[want].tolist(), abs=1e-6)
+    assert vectors.knn_join(df.limit(0), df, "id", "v").count() == vectors.knn_join(df, df.limit(0), "id", "v").count() == 0
+
+
 def test_matrix_profile_by_loops():
     draw = np.random.default_rng(5)
     v, m = draw.normal(size=60), 8
