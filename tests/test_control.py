@@ -90,8 +90,9 @@ def test_all_metrics_of_a_capability(frame):
     assert found["roc_auc"] == 1 and found["precision_at_top_pct_10"] == 1 and found["ibs"] is None is found["unknown"] and all(found[n] is not None for n in CAPABILITIES["temporal_classification"].metrics)
 
 
-def test_every_key_fits(frame):
+def test_every_key_fits(frame, monkeypatch):
     """Classifiers find the class, regressors the number, anomaly models the odd row, series models the level."""
+    monkeypatch.setattr(models, "FOCAL_ROUNDS", 3)
     rows = models.prepared(frame, ["x_temp", "x_press"], "y").limit(400).cache()
     for key in ("logreg_l1", "ridge_classifier", "decision_tree", "extra_trees", "lgbm_weighted", "lgbm_focal", "mlp_tabular", "voting_soft", "stacked_blend", "bagging"):
         scored = models.build(key, ["x_temp", "x_press"], "y").fit(rows, "t", ["row"]).scored(rows)
