@@ -71,10 +71,10 @@ def precision_at(df: DataFrame, k: int = 10) -> DataFrame:
 def top_percent(df: DataFrame, percents: tuple[int, ...] = TOP_PERCENTS, tiebreak: str = "id") -> DataFrame:
     """recall, precision and lift of the best-scored hundredths: a row for each percentage. Sizes are rounded half to even.
 
-    Places come from running sums over ranges of scores, so the best rows never meet in one task.
+    Places come from running sums over ranges of scores and, where many rows have one score, of the tiebreak, so the best rows never meet in one task.
     """
     rows = df.select(_y().alias("y"), _p().alias("p"), tiebreak)
-    placed = running(rows, "p", {"place": F.lit(1).cast("long")}, then=[tiebreak], descending=True)
+    placed = running(rows, "p", {"place": F.lit(1).cast("long")}, then=[tiebreak], descending=True, ties=True)
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("positives"))
     sizes = total.select("n", "positives", F.explode(F.array(*map(F.lit, percents))).alias("percent"))
     sizes = sizes.where("n > 0").withColumn("size", F.greatest(F.lit(1), F.least(F.col("n"), F.bround(F.col("percent") / 100.0 * F.col("n")).cast("long"))))

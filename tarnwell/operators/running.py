@@ -2,7 +2,9 @@
 
 The order's values are cut into ranges at approximate quantiles. Sums run within a
 range in a window of its own; the sums of whole ranges, a few rows, run in a second
-window; both are added. Equal values are in one range, so ties cost no more.
+window; both are added. Equal values are in one range. Where one value may have more
+rows than a range should (ties), the rows of such a value, or without one, are cut
+again at quantiles of the column that they stand by.
 """
 
 from __future__ import annotations
@@ -15,12 +17,20 @@ from pyspark.sql import functions as F
 #: Ranges of an order, of which a task has one at a time; and bounds that are compared at once.
 RANGES = 256
 STEP = 16
+#: Parts that the rows of a frequent value are cut into, and numbers of parts set aside for a range.
+PARTS, PLACES = 256, 512
+#: Bytes by which text is ordered as a number.
+HEAD = 7
 _RANGE, _BOUNDS, _COARSE, _FINE = "__range", "__bounds", "__coarse_bounds", "__fine_bounds"
 
 
 def as_number(df: DataFrame, column: str) -> Column:
-    """A column as a number in its order: times as microseconds."""
+    """A column as a number in its order: times as microseconds, text by its first bytes (so that different texts may be equal)."""
     kind = dict(df.dtypes)[column]
+    if kind == "string":
+        return F.conv(F.rpad(F.hex(F.substring(F.col(column).cast("binary"), 1, HEAD)), 2 * HEAD, "0"), 16, 10).cast("long")
+    if kind == "boolean":
+        return F.col(column).cast("int")
     if kind.startswith("timestamp"):
         return F.unix_micros(F.col(column).cast("timestamp"))
     return F.unix_date(column).cast("long") if kind == "date" else F.col(column)
@@ -41,13 +51,38 @@ def _in_ranges(df: DataFrame, order: str, ranges: int) -> DataFrame:
     return placed.withColumn(_RANGE, F.when(at.isNull(), F.lit(-1)).otherwise(F.col("__coarse") * STEP + below(F.get(_FINE, F.col("__coarse"))))).drop(_COARSE, _FINE, "__coarse")
 
 
-def running(df: DataFrame, order: str, sums: dict[str, Column], by: Sequence[str] = (), then: Sequence[str] = (), descending: bool = False, ranges: int = RANGES) -> DataFrame:
+def _in_parts(df: DataFrame, order: str, then: str, ranges: int, descending: bool) -> DataFrame:
+    """df in ranges of which those of frequent values, and of nulls, are cut by the column then, at its quantiles among the value's rows.
+
+    A value is frequent if it is two bounds at least, so there are at most half as many as ranges. The
+    rows of a range that have other values are its first part; parts run with then, which always ascends.
+    """
+    at, second = as_number(df, order), as_number(df, then)
+    edges = df.agg(F.percentile_approx(at, F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), 10 * ranges).alias(_BOUNDS))
+    often = F.array_distinct(F.filter(_BOUNDS, lambda b, i: (i > 0) & (b == F.get(F.col(_BOUNDS), i - 1))))
+    frequent = df.select(at.alias("__at"), second.alias("__second")).join(F.broadcast(edges.select(often.alias("__often")))).where(F.col("__at").isNull() | F.array_contains("__often", F.col("__at")))
+    cut = F.percentile_approx("__second", F.array(*[F.lit(i / PARTS) for i in range(1, PARTS)]), 10 * PARTS)
+    # A row for each frequent value.
+    cuts = frequent.groupBy("__at").agg(F.coalesce(F.array_distinct(cut), F.array().cast(f"array<{_kind(frequent, '__second')}>")).alias("__cuts"))
+    placed = _in_ranges(df, order, ranges).join(F.broadcast(cuts), at.eqNullSafe(F.col("__at")), "left")
+    below = F.coalesce(F.size(F.filter("__cuts", lambda c: c < second)), F.lit(0))
+    part = F.when(F.col("__cuts").isNull(), F.lit(0)).otherwise(PLACES - 1 - below if descending else 1 + below)
+    return placed.withColumn(_RANGE, F.col(_RANGE).cast("long") * PLACES + part).drop("__at", "__cuts")
+
+
+def _kind(df: DataFrame, column: str) -> str:
+    return dict(df.dtypes)[column]
+
+
+def running(df: DataFrame, order: str, sums: dict[str, Column], by: Sequence[str] = (), then: Sequence[str] = (), descending: bool = False, ranges: int = RANGES, ties: bool = False) -> DataFrame:
     """df with columns of what stands before each row: for each name the sum of its expression over the rows of by that come first.
 
     order is a number or time; rows of equal order stand by the columns in then. Nulls
     of the order come first (last, if descending). Without then, equal rows stand in any order.
+    ties, for which then is needed, cuts the rows of frequent values too, at the price of one more pass;
+    not those of a text, as texts that begin alike are one number.
     """
-    placed = _in_ranges(df, order, ranges)
+    placed = _in_parts(df, order, then[0], ranges, descending) if ties and _kind(df, order) != "string" else _in_ranges(df, order, ranges)
     placed = placed.withColumns({f"__own_{n}": e for n, e in sums.items()})
     turn = F.desc if descending else F.asc
     own = {n: F.sum(f"__own_{n}") for n in sums}
@@ -59,7 +94,7 @@ def running(df: DataFrame, order: str, sums: dict[str, Column], by: Sequence[str
     same = F.col(_RANGE) == F.col("__of")
     for i, b in enumerate(by):
         same = same & F.col(b).eqNullSafe(F.col(f"__by_{i}"))
-    # Without by there is a row for each range at most.
+    # Without by there is a row for each range, or part of one, at most.
     joined = local.join(before if by else F.broadcast(before), same)
     return joined.select(*df.columns, *[(F.col(f"__in_{n}") + F.col(f"__before_{n}")).alias(n) for n in sums])
 
@@ -85,9 +120,9 @@ def carried(df: DataFrame, order: str, values: dict[str, Column], by: Sequence[s
     return joined.select(*df.columns, *[F.coalesce(f"__in_{n}", f"__before_{n}").alias(n) for n in values])
 
 
-def ranked(df: DataFrame, order: str, then: Sequence[str] = (), by: Sequence[str] = (), descending: bool = False, name: str = "place") -> DataFrame:
-    """df with each row's place from 0."""
-    return running(df, order, {name: F.lit(1).cast("long")}, by=by, then=then, descending=descending)
+def ranked(df: DataFrame, order: str, then: Sequence[str] = (), by: Sequence[str] = (), descending: bool = False, name: str = "place", ties: bool = False) -> DataFrame:
+    """df with each row's place from 0; ties as in running."""
+    return running(df, order, {name: F.lit(1).cast("long")}, by=by, then=then, descending=descending, ties=ties)
 
 
 def quantiles(cells: DataFrame, value: str, n: str, at: Sequence[float], by: Sequence[str] = ()) -> DataFrame:

@@ -87,13 +87,13 @@ def group_folds(df: DataFrame, group: str, k: int = 5) -> DataFrame:
     """group and fold: larger groups first, dealt to and fro, so that folds are of like sizes."""
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
     turn = F.pmod(F.col("place"), F.lit(2 * k))
-    return ranked(sizes.withColumn("__less", -F.col("n")), "__less", then=[group]).select(group, F.when(turn < k, turn).otherwise(2 * k - 1 - turn).cast("int").alias("fold"))
+    return ranked(sizes.withColumn("__less", -F.col("n")), "__less", then=[group], ties=True).select(group, F.when(turn < k, turn).otherwise(2 * k - 1 - turn).cast("int").alias("fold"))
 
 
 def time_folds(df: DataFrame, time: str, key: str, splits: int = 5, parts: int = 6, gap: int = 0) -> DataFrame:
     """key, fold and role (train or valid) of an expanding split: fold i trains on the first i parts and validates on the next, gap rows later."""
     total = df.agg(F.floor(F.count(F.lit(1)) / parts).alias("chunk"))
-    placed = ranked(df.select(key, time), time, then=[key]).join(F.broadcast(total)).select(key, (F.col("place") + 1).alias("place"), "chunk")
+    placed = ranked(df.select(key, time), time, then=[key], ties=True).join(F.broadcast(total)).select(key, (F.col("place") + 1).alias("place"), "chunk")
     folds = placed.select(key, "place", "chunk", F.explode(F.sequence(F.lit(1), F.lit(splits))).alias("fold"))
     start, end = F.col("fold") * F.col("chunk"), F.col("fold") * F.col("chunk") + gap
     role = F.when(F.col("place") <= start, F.lit("train")).when((F.col("place") > end) & (F.col("place") <= end + F.col("chunk")), F.lit("valid"))
@@ -103,5 +103,5 @@ def time_folds(df: DataFrame, time: str, key: str, splits: int = 5, parts: int =
 def positional_split(df: DataFrame, time: str, key: str, share: float = 0.8) -> DataFrame:
     """df with role: the first share of the rows in time order train, the others valid."""
     total = df.agg(F.floor(F.count(F.lit(1)) * F.lit(share)).alias("__train"))
-    placed = ranked(df, time, then=[key], name="__place").join(F.broadcast(total))
+    placed = ranked(df, time, then=[key], name="__place", ties=True).join(F.broadcast(total))
     return placed.withColumn("role", F.when(F.col("__place") < F.col("__train"), F.lit("train")).otherwise(F.lit("valid"))).drop("__place", "__train")

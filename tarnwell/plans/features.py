@@ -171,11 +171,17 @@ def _words(out: Expanded, context: Context) -> list[str]:
 
 
 def _frequency(out: Expanded, c: str) -> str:
-    """Dense rank of the value's count over the number of rows; null is a value. Counts are small tables, joined by size."""
+    """Dense rank of the value's count over the number of rows; null is a value. Counts are small tables, joined by size.
+
+    Ranks are of the distinct counts, of which there are at most the square root of twice the rows.
+    """
     name = f"{MARK}{c}_freq"
     counts = out.frame.groupBy(F.col(c).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
-    rank = F.dense_rank().over(Window.orderBy("__n")) / F.sum("__n").over(Window.partitionBy(F.lit(1))).cast("double")
-    out.frame = out.frame.join(counts.select("__v", rank.alias(name)), F.col(c).eqNullSafe(F.col("__v")), "left").drop("__v")
+    sizes = counts.groupBy("__n").agg(F.count(F.lit(1)).alias("__values"))
+    everything = F.sum(F.col("__n") * F.col("__values")).over(Window.partitionBy(F.lit(1))).cast("double")
+    ranks = sizes.select(F.col("__n").alias("__of"), (F.dense_rank().over(Window.orderBy("__n")) / everything).alias(name))
+    table = counts.join(ranks, F.col("__n") == F.col("__of")).select("__v", name)
+    out.frame = out.frame.join(table, F.col(c).eqNullSafe(F.col("__v")), "left").drop("__v")
     out.lineage[name] = {c}
     return name
 
@@ -207,13 +213,14 @@ def _target_encoded(out: Expanded, c: str, context: Context, smoothing: float =
     y = F.col(context.target).cast("double")
     sums = out.frame.groupBy(F.col(c).alias("__v"), F.col(context.fold).alias("__f")).agg(F.sum(y).alias("__s"), F.count(y).alias("__n"))
     whole = Window.partitionBy("__v")
-    fold = Window.partitionBy("__f")
-    every = Window.partitionBy(F.lit(1))
     others = lambda what: F.sum(what).over(whole) - F.col(what)
-    outside = lambda what: F.sum(what).over(every) - F.sum(what).over(fold)
-    prior = F.try_divide(outside("__s"), outside("__n"))
-    value = (others("__s") + smoothing * prior) / (others("__n") + smoothing)
-    table = sums.select("__v", "__f", value.alias(name))
+    # A row for each fold, of which one window has all.
+    folds = sums.groupBy(F.col("__f").alias("__of")).agg(F.sum("__s").alias("__fs"), F.sum("__n").alias("__fn"))
+    every = Window.partitionBy(F.lit(1))
+    outside = lambda what: F.sum(what).over(every) - F.coalesce(F.col(what), F.lit(0))
+    priors = folds.select("__of", F.try_divide(outside("__fs"), outside("__fn")).alias("__prior"))
+    value = (others("__s") + smoothing * F.col("__prior")) / (others("__n") + smoothing)
+    table = sums.join(F.broadcast(priors), F.col("__f").eqNullSafe(F.col("__of"))).select("__v", "__f", value.alias(name))
     out.frame = out.frame.join(table, F.col(c).eqNullSafe(F.col("__v")) & F.col(context.fold).eqNullSafe(F.col("__f")), "left").drop("__v", "__f")
     out.lineage[name] = {c}  # the target enters through other folds only
     return name

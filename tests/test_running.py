@@ -158,3 +158,35 @@ def test_clusters_by_a_plain_fold(spark):
             k = len(held)
             held.append((v, 1.0, 1))
         assert got[i] == f"FC-{k + 1:03d}"
+
+
+@pytest.mark.parametrize("descending", [False, True])
+@pytest.mark.parametrize("then", ["id", "name"])
+def test_running_sums_cut_frequent_values(spark, descending, then):
+    """One value, or none, in nine tenths of the rows: sums are the loop's, and no range or part has many rows."""
+    draw = random.Random(11)
+    for usual in (7, None):
+        rows = [(i, f"{draw.choice('abcdefgh')}{i:05d}", usual if i % 10 else draw.randint(0, 20), draw.randint(1, 5)) for i in range(3000)]
+        df = spark.createDataFrame(rows, "id long, name string, v int, n int")
+        got = {r["id"]: r["s"] for r in running.running(df, "v", {"s": F.col("n")}, then=[then], descending=descending, ties=True).collect()}
+        place = lambda r: ((r[2] is not None, r[2] or 0) if not descending else (r[2] is None, -(r[2] or 0)), r[0 if then == "id" else 1])  # noqa: B023, E731
+        total, want = 0, {}
+        for r in sorted(rows, key=place):
+            want[r[0]] = total
+            total += r[3]
+        assert got == want
+        parts = running._in_parts(df, "v", then, running.RANGES, descending).groupBy("__range").count()
+        assert parts.agg(F.max("count")).first()[0] <= 2 * 3000 / running.RANGES + 20 * (then == "id") + 25 * (then == "name")
+
+
+def test_running_sums_by_text_and_of_awkward_orders(spark):
+    rows = [(i, x) for i, x in enumerate(["", "a", "a\u0000", "ab", "zebra crossing", "zebra crosses", "é", None, "日本", "A"] * 7)]
+    df = spark.createDataFrame(rows, "id long, v string")
+    for ties in (False, True):
+        got = {r["id"]: r["place"] for r in running.ranked(df, "v", then=["id"], ties=ties).collect()}
+        want = sorted(rows, key=lambda r: (r[1] is not None, (r[1] or "").encode(), r[0]))
+        assert [r[0] for r in want] == sorted(got, key=got.get)
+        floats = spark.createDataFrame([(1, float("nan")), (2, float("nan")), (3, 0.0), (4, -0.0), (5, None), (6, 1.0)], "id long, v double")
+        assert {r["id"]: r["place"] for r in running.ranked(floats, "v", then=["id"], ties=ties).collect()} == {5: 0, 3: 1, 4: 2, 6: 3, 1: 4, 2: 5}
+        assert running.ranked(df.limit(0), "v", then=["id"], ties=ties).count() == 0
+        assert [r["place"] for r in running.ranked(df.limit(3).withColumn("id", F.lit(None).cast("long")), "v", then=["id"], ties=ties).collect()]
