@@ -6,6 +6,13 @@ A task names its files at random and lists them in its result, so files of lost
 repeated attempts are never read. Of records with equal payloads the one with the
 largest page_id is a response; the others are revisits, of headers only.
 
+Payloads are digested where they are scanned; groups are found by digests, ids and URLs
+alone. What a task needs to tell a record's kind is broadcast: all groups of two or more
+where they are few, else the largest ones and a bitmap of the others' digests. Only
+records whose digest is in that bitmap meet their group in a shuffle; all others are
+written by the task that scanned them, so empty and boilerplate payloads, and single
+ones, never move.
+
 The index is sorted by reversed-host URL key (``com,example)/path``) and cut into
 ranges of keys, one file each (as many as shuffle partitions), and these into compressed
 blocks. Beside each file lies its directory: a line for each block, with its first and
@@ -46,7 +53,11 @@ from .common import materialise, new_folder, own, partitions, read, store
 #: Uncompressed bytes after which a task begins another archive; entries of an index block.
 ARCHIVE_BYTES, BLOCK_ENTRIES, GZIP_LEVEL = 64 << 20, 1000, 1
 DIRECTORY_SUFFIX = ".directory"
-ID, URL, BODY, KEY, KEEP, KEEP_URL = own("id"), own("url"), own("body"), own("key"), own("keep"), own("keep_url")
+#: Bytes of groups that are broadcast as they are. Beyond, groups of more than this part of the grouped rows are, if their URL has not more bytes.
+FEW_BYTES, LARGE_PART, URL_BYTES = 32 << 20, 4096, 8192
+#: Bits of the bitmap of the other groups' digests (4 MB), in rows of 32,768.
+BITMAP_BITS = 25
+ID, URL, BODY, KEY, KEEP, KEEP_URL, BIT, BUCKET, BITS, ROWS, FOUND = (own(c) for c in ("id", "url", "body", "key", "keep", "keep_url", "bit", "bucket", "bits", "rows", "found"))
 DATE = "1970-01-01T00:00:00Z"
 WRITTEN = "surt string, page_id string, archive string, offset long, length long"
 DIRECTORY = "first string, last string, file string, offset long, length long, entries long"
@@ -296,6 +307,34 @@ class Captures:
                 yield {"page_id": warc.get("X-Page-ID"), "url": warc["WARC-Target-URI"], "record_type": warc["WARC-Type"], "payload": payload, "refers_to": warc.get("X-Refers-To-Page-ID")}
 
 
+def _cell(key: str) -> Column:
+    """The bit of a digest, from 1."""
+    return F.pmod(F.xxhash64(key), F.lit(1 << BITMAP_BITS)) + 1
+
+
+def with_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """rows (with KEY) and the KEEP and KEEP_URL of their group; groups is a written table with a row and its ROWS for each digest of two rows or more.
+
+    Only rows whose digest may be that of a group that is not broadcast move.
+    """
+    size = groups.agg(F.sum(F.octet_length(KEY) + F.coalesce(F.octet_length(KEEP_URL), F.lit(0)) + 32)).first()[0] or 0
+    if size <= FEW_BYTES:
+        return rows.join(F.broadcast(groups.drop(ROWS)), KEY, "left")
+    placed = groups.join(F.broadcast(groups.agg(F.sum(ROWS).alias("grouped"))))
+    # Fewer than LARGE_PART rows, of URL_BYTES at most.
+    is_large = (F.col(ROWS) * LARGE_PART > F.col("grouped")) & (F.coalesce(F.octet_length(KEEP_URL), F.lit(0)) <= URL_BYTES)
+    large = placed.where(is_large).select(KEY, KEEP, KEEP_URL, F.lit(True).alias(FOUND))
+    others = placed.where(~is_large).select(KEY, KEEP, KEEP_URL)
+    cell = {BUCKET: F.bitmap_bucket_number(_cell(KEY)), BIT: F.bitmap_bit_position(_cell(KEY))}
+    bitmap = others.withColumns(cell).groupBy(BUCKET).agg(F.bitmap_construct_agg(BIT).alias(BITS))
+    looked = rows.join(F.broadcast(large), KEY, "left").withColumns(cell).join(F.broadcast(bitmap), BUCKET, "left")
+    byte = F.conv(F.hex(F.substring(BITS, F.floor(F.col(BIT) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.floor(byte / F.pow(F.lit(2), F.pmod(BIT, F.lit(8)))) % 2 == 1
+    meets = F.col(FOUND).isNull() & F.coalesce(is_set, F.lit(False))
+    moved = looked.where(meets).select(*rows.columns).join(others, KEY, "left")
+    return looked.where(~meets).select(*rows.columns, KEEP, KEEP_URL).unionByName(moved)
+
+
 def capture(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", folder: str | None = None) -> Captures:
     """Write pages' records and their index."""
     spark = pages.sparkSession
@@ -303,10 +342,10 @@ def capture(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", bod
     body = F.coalesce(F.col(body_col).cast("binary"), F.lit("").cast("binary"))
     rows = pages.select(F.col(id_col).alias(ID), F.col(url_col).alias(URL), body.alias(BODY))
     rows = rows.withColumn(KEY, F.concat_ws(":", F.sha2(BODY, 256), F.octet_length(BODY)))
-    groups = rows.groupBy(KEY).agg(F.max(F.struct(ID, URL)).alias(KEEP), F.count(F.lit(1)).alias("n"))
-    kept = materialise(groups.where("n > 1").select(KEY, F.col(f"{KEEP}.{URL}").alias(KEEP_URL), F.col(f"{KEEP}.{ID}").alias(KEEP)), "payloads")
+    counted = rows.groupBy(KEY).agg(F.max(F.struct(ID, URL)).alias(KEEP), F.count(F.lit(1)).alias(ROWS))
+    groups = materialise(counted.where(F.col(ROWS) > 1).select(KEY, F.col(f"{KEEP}.{URL}").alias(KEEP_URL), F.col(f"{KEEP}.{ID}").alias(KEEP), ROWS), "payloads")
     refers = F.when(F.col(KEEP).isNotNull() & ~F.col(ID).eqNullSafe(F.col(KEEP)), F.col(KEEP)).cast("string")
-    records = rows.join(kept, KEY, "left").select(F.col(ID).cast("string").alias(ID), URL, BODY, refers.alias(KEEP), KEEP_URL)
+    records = with_groups(rows, groups).select(F.col(ID).cast("string").alias(ID), URL, BODY, refers.alias(KEEP), KEEP_URL)
     entries = materialise(write_archives(records, folder), "entries")
     return Captures(folder, materialise(write_index(entries, folder + "/index"), "directory").withColumn("file", F.concat(F.lit("index/"), F.col("file"))))
 

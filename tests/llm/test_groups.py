@@ -4,6 +4,8 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tarnwell.llm import exact_dedup, mixing, near_dedup, sentencepiece, warc
 
@@ -315,3 +317,37 @@ def test_warc_lookup_searches_ranges_and_blocks(spark, monkeypatch):
 def test_surt():
     assert warc.surt("http://www.Example.com:80/a/b?c=d") == "com,example,www)/a/b?c=d"
     assert np.all([warc.surt(None) == "", warc.surt("http://x.org:8080") == "org,x:8080)/"])
+
+
+@pytest.mark.parametrize(("few", "part", "url"), [(0, 4096, 8192), (0, 4, 8192), (0, 4096, 5), (32 << 20, 4096, 8192)])
+def test_warc_records_do_not_depend_on_how_groups_are_met(spark, monkeypatch, few, part, url):
+    """Half of all pages have one payload; groups are broadcast, found by the bitmap, or met in a shuffle."""
+    for name, value in (("FEW_BYTES", few), ("LARGE_PART", part), ("URL_BYTES", url), ("BITMAP_BITS", 16)):
+        monkeypatch.setattr(warc, name, value)
+    body = lambda i: None if i % 2 else "" if i % 20 == 0 else f"twice {i // 4}" if i % 3 else f"single {i}"
+    rows = [(i if i % 7 else None, f"http://h{i % 5}.org/{i}", body(i)) for i in range(400)] + [(398, "http://h.org/again", body(398)), (None, "u", "none"), (None, "v", "none")]
+    got = [(r["page_id"], r["url"], r["record_type"], r["refers_to"]) for r in warc.capture(clashing(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3))).records().collect()]
+    best = {}
+    for i, _, html in rows:
+        if i is not None:
+            best[html or ""] = max(best.get(html or "", -1), i)
+    text = lambda i: None if i is None else str(i)
+    keep = lambda i, html: best.get(html or "") if best.get(html or "") != i else None
+    want = [(text(i), u, "revisit" if keep(i, html) is not None else "response", text(keep(i, html))) for i, u, html in rows]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_warc_payloads_of_single_and_frequent_groups_stay(spark, monkeypatch):
+    """Of 200 empty payloads, 200 single ones and 50 pairs only the pairs, and single ones by chance, pass the exchange."""
+    monkeypatch.setattr(warc, "FEW_BYTES", 0)
+    monkeypatch.setattr(warc, "LARGE_PART", 10)
+    rows = [("", i, f"u{i}", "hot") for i in range(200)] + [(f"{i}", i, f"u{i}", "x") for i in range(200)] + [(f"pair {i % 50}", i, f"u{i}", "y") for i in range(100)]
+    frame = spark.createDataFrame(rows, [warc.KEY, warc.ID, warc.URL, warc.BODY])
+    groups = frame.groupBy(warc.KEY).agg(F.max(warc.ID).alias(warc.KEEP), F.max(warc.URL).alias(warc.KEEP_URL), F.count("*").alias(warc.ROWS)).where(F.col(warc.ROWS) > 1)
+    asked, original = [], DataFrame.unionByName
+    monkeypatch.setattr(DataFrame, "unionByName", lambda self, other: (asked.append((self, other)), original(self, other))[1])
+    made = warc.with_groups(frame, groups)
+    assert made.count() == 500 and made.where(F.col(warc.KEEP).isNotNull()).count() == 300
+    stays, moves = asked[0]
+    assert 100 <= moves.count() <= 105 and moves.where(f"{warc.BODY} = 'y'").count() == 100
+    assert stays.count() + moves.count() == 500 and stays.where(F.col(warc.KEEP).isNotNull()).count() == 200
