@@ -4,7 +4,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnwell.llm import exact_dedup, mixing, near_dedup, sentencepiece, warc
@@ -344,8 +343,8 @@ def test_warc_payloads_of_single_and_frequent_groups_stay(spark, monkeypatch):
     rows = [("", i, f"u{i}", "hot") for i in range(200)] + [(f"{i}", i, f"u{i}", "x") for i in range(200)] + [(f"pair {i % 50}", i, f"u{i}", "y") for i in range(100)]
     frame = spark.createDataFrame(rows, [warc.KEY, warc.ID, warc.URL, warc.BODY])
     groups = frame.groupBy(warc.KEY).agg(F.max(warc.ID).alias(warc.KEEP), F.max(warc.URL).alias(warc.KEEP_URL), F.count("*").alias(warc.ROWS)).where(F.col(warc.ROWS) > 1)
-    asked, original = [], DataFrame.unionByName
-    monkeypatch.setattr(DataFrame, "unionByName", lambda self, other: (asked.append((self, other)), original(self, other))[1])
+    asked, original = [], type(frame).unionByName
+    monkeypatch.setattr(type(frame), "unionByName", lambda self, other: (asked.append((self, other)), original(self, other))[1])
     made = warc.with_groups(frame, groups)
     assert made.count() == 500 and made.where(F.col(warc.KEEP).isNotNull()).count() == 300
     stays, moves = asked[0]
