@@ -113,6 +113,26 @@ def test_novel_values_of_letters_only_but_no_words(before):
         assert _novel(f"{before}{word}\nnext") == []
 
 
+def test_novel_short_values_and_parameters():
+    for value in ("q9Xz7Lw2Rk8T", "4f9a0c7e1b3d52", "Zk3vQ81xPw0Lm"):
+        assert _novel(f"my private bearer {value}\nnext") == [value]
+    code = "user token max_tokens2 secretKeyFactory utf8_general_ci md5sumChecker apiV2Endpoint base64Decode oauth2Provider version_12.345 2024-11-27T10:00"
+    assert _novel(code) == []
+    compressor, text = secret_scan._compressor(), f"bearer{' ' * 200}q9Xz7Lw2Rk8Tn4Vb6Yp1 and auth Vb6Yp1Zk3v"
+    spans = lambda **bounds: [text[s:e] for s, e, _ in secret_scan.novel_spans(text, [], compressor, **bounds)]
+    assert spans() == [] and spans(reach=300) == ["q9Xz7Lw2Rk8Tn4Vb6Yp1"] and spans(shortest=10) == ["Vb6Yp1Zk3v"]
+
+
+def test_novelty_asked_of_short_values_is_that_of_random_ones():
+    import random
+    import string
+
+    draw, compressor = random.Random(1), secret_scan._compressor()
+    for length in range(12, secret_scan.USUAL):
+        values = ["".join(draw.choices(string.ascii_letters + string.digits, k=length)) for _ in range(100)]
+        assert sum(secret_scan.novelty(f"bearer {v} and", 7, 7 + length, compressor) >= secret_scan.random_novelty(length) for v in values) >= 90
+
+
 def _quick(text):
     import time
 
