@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, new_folder, own, partitions, read, store
+from .common import materialise, new_folder, own, partitions, read, store, temporary
 
 #: Uncompressed bytes after which a task begins another archive; entries of an index block.
 ARCHIVE_BYTES, BLOCK_ENTRIES, GZIP_LEVEL = 64 << 20, 1000, 1
@@ -343,11 +343,13 @@ def capture(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", bod
     rows = pages.select(F.col(id_col).alias(ID), F.col(url_col).alias(URL), body.alias(BODY))
     rows = rows.withColumn(KEY, F.concat_ws(":", F.sha2(BODY, 256), F.octet_length(BODY)))
     counted = rows.groupBy(KEY).agg(F.max(F.struct(ID, URL)).alias(KEEP), F.count(F.lit(1)).alias(ROWS))
-    groups = materialise(counted.where(F.col(ROWS) > 1).select(KEY, F.col(f"{KEEP}.{URL}").alias(KEEP_URL), F.col(f"{KEEP}.{ID}").alias(KEEP), ROWS), "payloads")
     refers = F.when(F.col(KEEP).isNotNull() & ~F.col(ID).eqNullSafe(F.col(KEEP)), F.col(KEEP)).cast("string")
-    records = with_groups(rows, groups).select(F.col(ID).cast("string").alias(ID), URL, BODY, refers.alias(KEEP), KEEP_URL)
-    entries = materialise(write_archives(records, folder), "entries")
-    return Captures(folder, materialise(write_index(entries, folder + "/index"), "directory").withColumn("file", F.concat(F.lit("index/"), F.col("file"))))
+    with temporary():
+        groups = materialise(counted.where(F.col(ROWS) > 1).select(KEY, F.col(f"{KEEP}.{URL}").alias(KEEP_URL), F.col(f"{KEEP}.{ID}").alias(KEEP), ROWS), "payloads")
+        records = with_groups(rows, groups).select(F.col(ID).cast("string").alias(ID), URL, BODY, refers.alias(KEEP), KEEP_URL)
+        entries = materialise(write_archives(records, folder), "entries")
+        directory = materialise(write_index(entries, folder + "/index"), "directory", keep=True)
+    return Captures(folder, directory.withColumn("file", F.concat(F.lit("index/"), F.col("file"))))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

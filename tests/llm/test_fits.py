@@ -95,3 +95,61 @@ def test_samples_have_one_text_of_each_id(spark):
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 0), (4, 1), (None, 1), (5, None)], "doc_id long, quality int")
     rows, counts = samples.labelled_sample(docs, labels, "quality", 10)
     assert sorted((r["text"], r["label"]) for r in rows.collect()) == [("", 0), ("b", 0), ("text 0", 1)] and counts == {0: 2, 1: 2}
+
+
+def _loss(layers, z, y, weight):
+    """Weighted cross-entropy of one batch and the decay of both weight tables, row by row."""
+    w1, b1, w2, b2 = layers
+    total = 0.0
+    for row, truth, w in zip(z, y, weight, strict=True):
+        hidden = [max(0.0, sum(row[i] * w1[i][j] for i in range(len(row))) + b1[j]) for j in range(len(b1))]
+        logit = sum(h * v for h, v in zip(hidden, w2, strict=True)) + float(b2)
+        total += w * (math.log1p(math.exp(-abs(logit))) + max(logit, 0) - truth * logit)
+    decay = quality_classifier.DECAY / 2
+    return total / sum(weight) + decay * float((np.asarray(w1) ** 2).sum() + (np.asarray(w2) ** 2).sum())
+
+
+def test_network_by_slopes_of_its_loss(monkeypatch):
+    """The first step of training follows the loss's slopes, found by differences, and training ends with a smaller loss."""
+    q = quality_classifier
+    monkeypatch.setattr(q, "HIDDEN", 3)
+    monkeypatch.setattr(q, "EPOCHS", 1)
+    monkeypatch.setattr(q, "BATCH", 1000)
+    draw = random.Random(3)
+    words = {0: ["buy", "now", "cheap", "click"], 1: ["river", "stone", "quiet", "valley"]}
+    rows = [(" ".join(draw.choices(words[i % 2] + ["and", "the"], k=12)), i % 2, i) for i in range(40)]
+    share = {0: 2.0, 1: 1.0}
+    model = q.fit(rows, share)
+    x = np.array([model.vectors.pooled(t) for t, _, _ in rows], np.float64)
+    z, y, weight = (x - model.mean) / model.scale, [v for _, v, _ in rows], [share[v] for _, v, _ in rows]
+    rng = np.random.default_rng(q.SEED)
+    d = x.shape[1]
+    start = [rng.normal(0, np.sqrt(2 / d), (d, 3)), np.zeros(3), rng.normal(0, np.sqrt(1 / 3), 3), np.zeros(())]
+    used = np.abs(z).sum(axis=0) > 1e-6
+    for layer, (before, after) in enumerate(zip(start, model.layers, strict=True)):
+        for place in list(np.ndindex(before.shape))[:: max(1, before.size // 12)]:
+            if layer == 0 and not used[place[0]]:
+                continue
+            up, down = ([p.copy() for p in start] for _ in range(2))
+            up[layer][place] += 1e-5
+            down[layer][place] -= 1e-5
+            slope = (_loss(up, z, y, weight) - _loss(down, z, y, weight)) / 2e-5
+            # Adam's first step has the size of the rate, against the slope.
+            assert float(after[place] - before[place]) == pytest.approx(-q.RATE * slope / (abs(slope) + 1e-8), rel=2e-2, abs=2e-6)
+    monkeypatch.setattr(q, "EPOCHS", 60)
+    assert _loss(q.fit(rows, share).layers, z, y, weight) < _loss(model.layers, z, y, weight)
+
+
+def test_temperature_has_the_least_loss_on_the_fifth_that_calibrates():
+    draw = random.Random(4)
+    words = {0: ["buy", "now", "cheap", "click"], 1: ["river", "stone", "quiet", "valley"]}
+    rows = [(" ".join(draw.choices(words[i % 2 if draw.random() < 0.8 else 1 - i % 2] + ["and", "the"], k=6)), i % 2, i // 2) for i in range(300)]
+    model = quality_classifier.fit(rows, {0: 1.0, 1: 3.0})
+    held = [(float(model.logits(model.vectors.pooled(t)[None, :])[0]), y) for t, y, k in rows if k % 5 == 0]
+
+    def loss(t):
+        return sum((3.0 if y else 1.0) * math.log1p(math.exp(min(700, (-v if y else v) / t))) for v, y in held)
+
+    assert 0.5 < model.temperature < 10
+    assert loss(model.temperature) <= min(loss(0.5 * 20 ** (i / 59)) for i in range(60)) + 1e-9
+    assert loss(model.temperature) <= min(loss(0.5 + i / 100) for i in range(950)) * 1.001
