@@ -12,7 +12,8 @@ texts (none is known) is found in the winners and its rows are joined by full te
 Defined results: a null text counts as empty and all empty texts are equal; a null
 doc_id never wins over another one and a group with only null ids keeps one of them;
 of repeated rows (same doc_id, equal text) one is kept, the first by its other
-columns; an empty table gives an empty result; further columns are carried by
+columns; texts of any length are compared whole, within a row's limit of 2 GB; an empty
+table gives an empty result; further columns are carried by
 ``deduplicated`` and ignored by ``exact_groups``, whatever their names.
 """
 

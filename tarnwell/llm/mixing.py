@@ -16,7 +16,8 @@ then rows of the one range that the point lies in.
 Defined results: a null text has size 0; null is a source of its own, ordered last;
 a null id takes part; rows that agree in id and text share a place in the order and
 are taken together; an empty table gives an empty result; when all sizes are 0, so
-are targets. ``mixed`` carries further columns of any name.
+are targets; texts of any length are counted and digested whole, and move only with their
+own row in ``mixed``, which carries further columns of any name.
 """
 
 from __future__ import annotations

@@ -30,7 +30,8 @@ counted by partial aggregates, so a hot group is not one task's work.
 
 Defined results: null and empty texts are equal to each other and near nothing else;
 a text of one to four words is one shingle; a null doc_id is never a class's id if
-it has another; of repeated rows (same doc_id, equal text) one is kept; an empty
+it has another; of repeated rows (same doc_id, equal text) one is kept; texts of any
+length are sketched and aligned whole, in memory in proportion to them; an empty
 table gives an empty result; ``near_deduplicated`` carries further columns of any
 name.
 """
