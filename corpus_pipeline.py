@@ -2,6 +2,12 @@
 
 Quality rules drop texts, exact and near dedup keep one of each group, the mix
 repeats and samples by source, and the last stage encodes what is left.
+
+Defined results: null, empty and very short texts go in the first stage, as they fail its
+base rules; of equal rows and of equal texts one stays, that of the smallest doc_id, and a
+null doc_id stays only where no other row has its text; null is a source like others;
+very long texts pass every stage whole; an empty table gives an empty result; all stages
+but the last carry further columns of any name.
 """
 
 from __future__ import annotations
