@@ -190,3 +190,26 @@ def test_running_sums_by_text_and_of_awkward_orders(spark):
         assert {r["id"]: r["place"] for r in running.ranked(floats, "v", then=["id"], ties=ties).collect()} == {5: 0, 3: 1, 4: 2, 6: 3, 1: 4, 2: 5}
         assert running.ranked(df.limit(0), "v", then=["id"], ties=ties).count() == 0
         assert [r["place"] for r in running.ranked(df.limit(3).withColumn("id", F.lit(None).cast("long")), "v", then=["id"], ties=ties).collect()]
+
+
+@pytest.mark.parametrize("block", [8, 50, 65_536])
+def test_sliding_windows_of_blocks(spark, monkeypatch, block):
+    """Windows of a series cut into blocks are those of the whole series, with keys (hot), without, and of short series."""
+    monkeypatch.setattr(series, "BLOCK", block)
+    draw = random.Random(12)
+    rows = [(t, g, None if draw.random() < 0.05 else draw.gauss(0, 1)) for g, n in (("a", 120), ("b", 30), ("c", 3), (None, 20)) for t in range(n)]
+    df = spark.createDataFrame(rows, "t long, g string, v double").repartition(3)
+    want = {}
+    for g in ("a", "b", "c", None):
+        known = [(t, v) for t, k, v in rows if k == g and v is not None]
+        means = {known[i][0]: sum(v for _, v in known[i : i + 8]) / 8 for i in range(len(known) - 7)}
+        want |= {(g, t): (m, abs(m - sum(means.values()) / len(means))) for t, m in means.items()}
+    for hot in (False, True):
+        got = {(r["g"], r["t"]): (r["window_mean"], r["distance"]) for r in series.moving_profile(df, "t", "v", ["g"], 8, hot).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    words = [sorted(map(str, series.sax_words(df, "t", "v", ["g"], 10, hot=hot).collect())) for hot in (False, True)]
+    assert words[0] == words[1] and len(words[0]) > 20
+    one = df.where("g = 'a'")
+    assert sorted(r["distance"] for r in series.moving_profile(one, "t", "v", None, 8).collect()) == pytest.approx(sorted(want[k][1] for k in want if k[0] == "a"))
+    assert sum(r["n"] for r in series.sax_words(one, "t", "v", [], 10).collect()) == one.where("v is not null").count() - 9
+    assert series.moving_profile(df.limit(0), "t", "v").count() == 0 == series.sax_words(df.limit(0), "t", "v", []).count()
