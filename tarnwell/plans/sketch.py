@@ -56,7 +56,7 @@ def build_sketch(df: DataFrame, folder: str | Path, target: str | None = None, t
     l5: dict[str, dict] = {}
     if time and numbers:
         long = df.select(time, F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in inputs[:30]])).alias("p")).select(time, "p.*")
-        for row in series.sax_words(long, time, "v", ["column"]).orderBy(F.desc("n"), "word").collect():
+        for row in series.sax_words(long, time, "v", ["column"], hot=True).orderBy(F.desc("n"), "word").collect():
             l5.setdefault(row["column"], {"words": [], "motif": [], "discord": []})["words"].append([row["word"], row["n"]])
         for row in series.motifs_discords(long, time, "v", ["column"]).orderBy("column", "kind", "distance", "place").collect():
             l5.setdefault(row["column"], {"words": [], "motif": [], "discord": []})[row["kind"]].append([row["place"], row["match"], row["distance"]])
