@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from itertools import groupby
 from operator import itemgetter
@@ -25,26 +25,27 @@ BLOCK, TILE, DIGITS = 65_536, 4096, 10
 PELT_ROWS = 5000
 
 
-def _frames(rows: DataFrame, time: str, by: list[str], window: int, hot: bool) -> tuple[DataFrame, Window, Column]:
-    """rows, the window of a row and those that follow it, and which rows' windows count.
+def _frames(rows: DataFrame, time: str, by: list[str], window: int, hot: bool, then: Sequence[str] = ()) -> tuple[DataFrame, Window, Column]:
+    """rows, the window of a row and those that follow it, and which rows' windows count; rows of one time stand by the columns in then.
 
     Without by, or with hot, series are cut into blocks, and a block's last windows reach
     into copies of the next block's first rows, whose own windows do not count.
     """
     if by and not hot:
-        return rows, Window.partitionBy(*by).orderBy(time).rowsBetween(0, window - 1), F.lit(True)
+        return rows, Window.partitionBy(*by).orderBy(time, *then).rowsBetween(0, window - 1), F.lit(True)
     size = max(BLOCK, window)
     block = F.floor(F.col("__place") / size)
     copied = (F.col("__place") % size < window - 1) & (block > 0)
-    placed = ranked(rows, time, by=by, name="__place").withColumn("__of", block)
+    placed = ranked(rows, time, then, by=by, name="__place").withColumn("__of", block)
     blocks = placed.withColumn("__block", F.explode(F.when(copied, F.array(block, block - 1)).otherwise(F.array(block))))
     return blocks, Window.partitionBy(*by, "__block").orderBy("__place").rowsBetween(0, window - 1), F.col("__block") == F.col("__of")
 
 
-def _with_totals(rows: DataFrame, by: list[str], hot: bool, totals: dict[str, Column]) -> DataFrame:
-    """rows with aggregates over their series, by a window or, without by or with hot, by an aggregation."""
+def _with_totals(rows: DataFrame, by: list[str], hot: bool, totals: dict[str, Column], order: Sequence[str] = ()) -> DataFrame:
+    """rows with aggregates over their series, by a window (in order, if given, so that sums are the same in each run) or, without by or with hot, by an aggregation."""
     if by and not hot:
-        return rows.withColumns({n: e.over(Window.partitionBy(*by)) for n, e in totals.items()})
+        whole = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        return rows.withColumns({n: e.over(whole) for n, e in totals.items()})
     found = rows.groupBy(*[F.col(c).alias(f"__of_{i}") for i, c in enumerate(by)]).agg(*[e.alias(n) for n, e in totals.items()])
     return rows.join(found if by else F.broadcast(found), _same(by)).drop(*[f"__of_{i}" for i in range(len(by))])
 
@@ -57,12 +58,15 @@ def moving_profile(df: DataFrame, time: str, value: str, by: list[str] | None =
     return _with_totals(means, by, hot, {"__mean": F.avg("window_mean")}).select(*by, time, "window_mean", F.abs(F.col("window_mean") - F.col("__mean")).alias("distance"))
 
 
-def sax_words(df: DataFrame, time: str, value: str, by: list[str], window: int = WINDOW, letters: int = 4, length: int = 8, hot: bool = False) -> DataFrame:
-    """by columns, word and n: the symbolic words of all sliding windows, standardised per series; hot as in moving_profile."""
+def sax_words(df: DataFrame, time: str, value: str, by: list[str], window: int = WINDOW, letters: int = 4, length: int = 8, hot: bool = False, then: Sequence[str] = ()) -> DataFrame:
+    """by columns, word and n: the symbolic words of all sliding windows, standardised per series; hot as in moving_profile, rows of one time stand by the columns in then.
+
+    A mean that lies on a cut falls to either side by its rounding, so series are summed in their order.
+    """
     cuts = [NormalDist().inv_cdf(i / letters) for i in range(1, letters)]
-    known = _with_totals(df.where(F.col(value).isNotNull()).select(*by, time, value), by, hot, {"__mean": F.avg(value), "__sd": F.stddev_samp(value)})
+    known = _with_totals(df.where(F.col(value).isNotNull()).select(*by, time, *then, value), by, hot, {"__mean": F.avg(value), "__sd": F.stddev_samp(value)}, [time, *then])
     z = F.coalesce(F.try_divide(F.col(value) - F.col("__mean"), F.nullif("__sd", F.lit(0.0))), F.lit(0.0))
-    rows, frame, counts = _frames(known.select(*by, time, z.alias("z")), time, by, window, hot)
+    rows, frame, counts = _frames(known.select(*by, time, *then, z.alias("z")), time, by, window, hot, then)
     rows = rows.withColumns({"w": F.collect_list("z").over(frame), "__counts": counts}).where((F.size("w") == window) & F.col("__counts"))
     # Chunks as equal as may be, the longer ones first.
     sizes = [window // length + (i < window % length) for i in range(length)]

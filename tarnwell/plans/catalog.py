@@ -306,7 +306,7 @@ x AS (SELECT user_id, list(coalesce(z, 0)) OVER (PARTITION BY user_id ORDER BY t
 SELECT word, n FROM (SELECT {_SAX_WORD} AS word, count(*) AS n FROM x WHERE len(w) = 32 GROUP BY 1) ORDER BY n DESC, word LIMIT 8""",
 )
 def _(spark, d):
-    words = series.sax_words(_t(spark, d, "events"), "ts", "value", ["user_id"], 32)
+    words = series.sax_words(_t(spark, d, "events"), "ts", "value", ["user_id"], 32, then=["event_id"])
     total = words.groupBy("word").agg(F.sum("n").alias("n"))
     return total.orderBy(F.desc("n"), "word").limit(8)
 

@@ -1,6 +1,8 @@
 """Running sums by ranges against plain loops, and streams against tables."""
 
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -213,3 +215,35 @@ def test_sliding_windows_of_blocks(spark, monkeypatch, block):
     assert sorted(r["distance"] for r in series.moving_profile(one, "t", "v", None, 8).collect()) == pytest.approx(sorted(want[k][1] for k in want if k[0] == "a"))
     assert sum(r["n"] for r in series.sax_words(one, "t", "v", [], 10).collect()) == one.where("v is not null").count() - 9
     assert series.moving_profile(df.limit(0), "t", "v").count() == 0 == series.sax_words(df.limit(0), "t", "v", []).count()
+
+
+def test_words_of_means_that_lie_on_a_cut(spark):
+    """Values of a few tenths, so that means of chunks are the series' but for rounding: sums run by time and then, however rows are dealt."""
+    draw = random.Random(13)
+    rows = [(t // 2, t, g, draw.randint(1, 9) / 10) for g in range(80) for t in range(40)]
+    want = Counter()
+    for g in range(80):
+        values = [v for _, _, k, v in rows if k == g]
+        mean = squares = 0.0
+        for n, v in enumerate(values, 1):
+            gap = v - mean
+            mean += gap / n
+            squares += gap * (gap - gap / n)
+        z = [(v - sum_in_turn(values) / 40) / math.sqrt(squares / 39) for v in values]
+        for i in range(40 - 15):
+            means = [sum_in_turn(z[i + k : i + k + 2]) / 2 for k in range(0, 16, 2)]
+            want["".join("ab"[m > 0] for m in means)] += 1
+    draw.shuffle(rows)
+    for parts in (1, 7):
+        df = spark.createDataFrame(rows, "t long, id long, g long, v double").repartition(parts)
+        for time, then in (("id", []), ("t", ["id"])):
+            got = series.sax_words(df, time, "v", ["g"], 16, 2, then=then) if then else series.sax_words(df, time, "v", ["g"], 16, 2)
+            assert {r["word"]: r["n"] for r in got.groupBy("word").agg(F.sum("n").alias("n")).collect()} == want
+
+
+def sum_in_turn(values):
+    """Python's own sum compensates for rounding."""
+    total = 0.0
+    for v in values:
+        total += v
+    return total
