@@ -162,6 +162,57 @@ def test_clusters_by_a_plain_fold(spark):
         assert got[i] == f"FC-{k + 1:03d}"
 
 
+def _plain_clusters(values, near=clusters.NEAR):
+    """How many clusters were founded before each value's, every cluster being asked."""
+    held, out = [], []
+    for x in values:
+        found = clusters.match_or_create(held, {"v": x} if x is not None and x == x else {}, near)
+        out.append(next(i for i, c in enumerate(held) if c is found))
+    return out
+
+
+def test_clusters_of_a_line_ask_few_of_them():
+    draw = np.random.default_rng(3)
+    usual = draw.exponential(50, 4000).round(2)
+    cases = [usual, draw.normal(0, 1e4, 600), draw.normal(0, 0.5, 1500), np.where(draw.random(800) < 0.1, np.nan, draw.integers(0, 40, 800)), np.where(draw.random(800) < 0.1, np.inf, draw.integers(0, 40, 800) / 2)]
+    cases += [draw.choice([1e16, 1e16 + 2, 1e16 + 4, -3e18, 1e100, 0.0], 300), np.cumsum(draw.normal(0, 1, 1500)) * np.linspace(1, 3, 1500)]
+    for values in cases:
+        for near in (0.0, 0.5, clusters.NEAR, 60.0):
+            assert clusters.Line(near).numbers(values.tolist()) == _plain_clusters(values.tolist(), near)
+    line = clusters.Line(clusters.NEAR)
+    line.numbers(usual.tolist())
+    asked = [len(line.cells.get(x // line.width, [])) + len(line.wide) for x in usual]
+    assert len(line.n) > 80 and sum(asked) / len(asked) < 4
+
+
+def test_clusters_by_keys_and_batches(spark):
+    """Keys that end within batches, null and NaN keys, missing, infinite and very large values, several features."""
+    draw = random.Random(5)
+    value = lambda: draw.choice([None, float("nan"), float("inf"), 1e200, -1e200, *[draw.expovariate(0.05) for _ in range(20)]])
+    rows = [(i, draw.choice([None, float("nan"), 1.0, 2.0, 3.0]), value(), draw.choice([None, 0.0, 9.0])) for i in range(1200)]
+    draw.shuffle(rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 70)
+    try:
+        df = spark.createDataFrame(rows, "i long, g double, v double, w double").repartition(3)
+        got = {r["i"]: r["cluster_id"] for r in clusters.cluster_rows(df, "g", "i", ["v"]).collect()}
+        both = {r["i"]: r["cluster_id"] for r in clusters.cluster_rows(df.where("abs(v) < 1e9"), "g", "i", ["v", "w"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    groups = {}
+    for i, g, v, w in sorted(rows):
+        groups.setdefault(str(g), []).append((i, v, w))
+    for held in groups.values():
+        # Beyond 1e150 squares overflow in a plain loop: one cluster for each such value.
+        large = {x: -1e9 if x < 0 else 1e9 for x in (1e200, -1e200)}
+        want = _plain_clusters([large.get(v, v) for _, v, _ in held])
+        assert [got[i] for i, _, _ in held] == [clusters.numbered(k) for k in want]
+        known = []
+        for i, v, w in held:
+            if v is not None and abs(v) < 1e9:
+                assert both[i] == clusters.match_or_create(known, {"v": v} | ({"w": w} if w is not None else {})).cluster_id
+    assert len(groups) == 5 and len(got) == 1200
+
+
 @pytest.mark.parametrize("descending", [False, True])
 @pytest.mark.parametrize("then", ["id", "name"])
 def test_running_sums_cut_frequent_values(spark, descending, then):
