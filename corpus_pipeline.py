@@ -15,11 +15,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tarnwell.llm import exact_dedup, mixing, near_dedup, quality_rules, sentencepiece
-from tarnwell.llm.common import materialise, read
+from tarnwell.llm.common import bounded_batches, materialise, read
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: documents that the rules reject go."""
+    bounded_batches(spark)
     return quality_rules.kept_rows(docs)
 
 
@@ -30,6 +31,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: one document of each class of near copies stays."""
+    bounded_batches(spark)
     return near_dedup.near_deduplicated(docs)
 
 
@@ -40,6 +42,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: ids of every row of the mix."""
+    bounded_batches(spark)
     return sentencepiece.encoded(docs, sentencepiece.standard())
 
 

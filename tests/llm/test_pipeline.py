@@ -80,3 +80,30 @@ def test_stages_take_awkward_documents(spark, make):
         assert out.count() <= 2 * docs.count()
     encoded = corpus_pipeline.STAGES[-1][1](spark, docs, "")
     assert encoded.count() == docs.count()
+
+
+@pytest.mark.parametrize("name", ["quality rules", "minhash near-dedup", "sentencepiece encoding"])
+def test_stages_bound_the_batches_of_texts(spark, name):
+    """After a stage that goes through Python, 10 MB of texts come in batches of about BATCH_BYTES, and a session's own bound stays."""
+    import pyarrow as pa
+
+    import corpus_pipeline
+    from tarnwell.llm.common import BATCH_BYTES
+
+    key, docs = "spark.sql.execution.arrow.maxBytesPerBatch", spark.range(0, 1000, 1, 1).selectExpr("id", "repeat('word ', 2000) as text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "size"])
+
+    before = spark.conf.get(key, None)
+    try:
+        spark.conf.unset(key)
+        dict(corpus_pipeline.STAGES)[name](spark, empty(spark), "")
+        found = docs.mapInArrow(sizes, "n long, size long").collect()
+        assert sum(r["n"] for r in found) == 1000 and max(r["size"] for r in found) < 1.25 * BATCH_BYTES
+        spark.conf.set(key, "1234567")
+        dict(corpus_pipeline.STAGES)[name](spark, empty(spark), "")
+        assert spark.conf.get(key) == "1234567"
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
